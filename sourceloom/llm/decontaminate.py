@@ -139,14 +139,8 @@ def search_texts(groups: list[PatternGroup], data: np.ndarray, offs: np.ndarray)
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, spans (hit words), items (ids found)."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("size")).first()["size"]
-    blocks = max(1, -(-size // block_bytes))
-    parts = []
-    for k in range(blocks):
-        own = benchmark.select(F.col("item_id").cast("long"), "text")
-        if blocks > 1:
-            own = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        parts.append(_block_hits(docs, [(r[0], r[1]) for r in own.collect() if r[0] is not None], window))  # at most about block_bytes
+    parts = [_block_hits(docs, items, window) for items in _blocks(benchmark, block_bytes)]
+    blocks = len(parts)
     if blocks == 1:
         return parts[0].drop("digest")
     found = parts[0]
@@ -160,6 +154,33 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("digest", "copies", "copy")
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str | None]]]:
+    """The items in blocks of about ``block_bytes`` of text; items without an id are left out."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("size")).first()["size"]
+    blocks = max(1, -(-size // block_bytes))
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL")
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return [[(r[0], r[1]) for r in own.filter(part == k).collect()] for k in range(blocks)]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any benchmark window, with all their columns."""
+    for items in _blocks(benchmark, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(pattern_groups(items, window))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offs = text_buffers(batch.column("text"))
+                clean = np.ones(len(batch), bool)
+                for i, j in row_chunks(offs):
+                    _, spans, _ = search_texts(held.value, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    clean[[i + r for r in spans]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _block_hits(docs: DataFrame, items: list[tuple[int, str | None]], window: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(pattern_groups(items, window))
 

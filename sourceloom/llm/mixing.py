@@ -88,13 +88,17 @@ def sainte_lague(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return base.join(quotients, "place", "left").withColumn("quota", F.col("base") + F.coalesce("dealt", F.lit(0))).drop("more", "base", "dealt")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, quota, taken."""
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, quota, taken.
+
+    With ``carry``, a struct ``row`` of all the document's columns comes along.
+    """
+    extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     sized = docs.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"),
-        key.alias("key"),
+        key.alias("key"), *extra,
     ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
     pieces = sized.groupBy("source", "bucket").agg(F.sum("size").alias("piece_size"))
@@ -120,7 +124,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[in
     placed = (
         sized.alias("d")
         .join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
-        .select("d.doc_id", "d.source", "d.bucket", "d.key", "d.size", "piece_start", "source_size", "target", "quota", "passes", "run", "run_start")
+        .select("d.doc_id", "d.source", "d.bucket", "d.key", "d.size", "piece_start", "source_size", "target", "quota", "passes", "run", "run_start", *(["d.row"] if carry else []))
         .withColumn("lo", F.col("piece_start") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     )
     hi = F.col("lo") + F.col("size")
@@ -131,4 +135,11 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[in
     first, last = F.col("run_start") * block, (F.col("run_start") + F.col("run")) * block
     wrapped = last - F.ceil(F.col("source_size") / block) * block
     taken = F.col("passes") * F.col("size") + overlap(first, last) + overlap(F.lit(0), wrapped)
-    return placed.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"), *(["row"] if carry else []))
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The mixed documents: each as often as its taken words are its size, rounded."""
+    mixed = mix(docs, carry=True, **options).filter("taken > 0")
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    return mixed.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select("row.*")

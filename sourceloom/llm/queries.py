@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import decontaminate, mixing, quality, reshard, toxicity
+from sourceloom.llm import decontaminate, mixing, near_dup, quality, reshard, token_ids, toxicity, warc
 from sourceloom.llm.common import read_table
 
 SHARDS = 40
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_json(name: str = TOKENIZER) -> str:
+    """The text of a public tokenizer file (a few MB), read on the driver."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +28,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -29,6 +42,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(docs, read_table(spark, sf_dir, "benchmark")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(read_table(spark, sf_dir, "pages")))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_ids.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_json())
+    return token_ids.read_shards(path, spark)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -40,8 +62,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
+    "op7_token_ids": op7_token_ids,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
@@ -66,6 +91,15 @@ hi AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FRO
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
+""",
+    "op6_warc": r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
 """,
     "op10_mixing": r"""
 WITH sized AS (

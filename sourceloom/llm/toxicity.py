@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sourceloom.llm.common import row_chunks, text_buffers
 from sourceloom.llm.labelled import held_out, labelled_sample
@@ -75,7 +76,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, steps: int = 250, seed: int = 5) -> FactorizationMachine:
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, steps: int = 600, seed: int = 5) -> FactorizationMachine:
     """Adam over all rows; rows holds each text's distinct terms."""
     n, size = len(rows), 1 << BITS
     place = np.full(size, -1, np.int32)
@@ -147,19 +148,34 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Factorizatio
     return fit_machine([rows[i].astype(np.int64) for i in order], y[order] if len(y) else y)
 
 
-def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with ``keep``, all columns of ``docs`` and _score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _free_name(docs: DataFrame) -> str:
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def with_score(docs: DataFrame, model: FactorizationMachine) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` and a score column, and that column's name."""
+    held, name = docs.sparkSession.sparkContext.broadcast(model), _free_name(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             out = [held.value.score(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in row_chunks(offs)]
             value = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, value] if keep else [batch.column("doc_id"), value], [*batch.schema.names, "_score"] if keep else ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
+
+
+def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    scored, name = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= threshold).cast("int").alias("predicted"))
+
 
-    if keep:
-        schema = docs.schema.add("_score", "double")
-        return docs.mapInArrow(run, schema)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    scored, name = with_score(docs, model)
+    return scored.filter(F.col(name) < threshold).drop(name)
