@@ -224,7 +224,7 @@ class Shard:
 
 def shards_of(content: bytes | memoryview) -> Iterator[Shard]:
     """The shards of a file."""
-    raw, at = memoryview(content), 0
+    raw, at = memoryview(content).cast("B"), 0
     while at < len(raw):
         shard = Shard(raw[at:])
         yield shard

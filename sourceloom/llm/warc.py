@@ -150,7 +150,7 @@ def frame_end(raw: memoryview, at: int) -> int:
 
 def read_records(content: bytes | memoryview) -> Iterator[bytes]:
     """The records of one archive."""
-    raw, at, leading, dictionary = memoryview(content), 0, True, None
+    raw, at, leading, dictionary = memoryview(content).cast("B"), 0, True, None
     decompressor = zstandard.ZstdDecompressor()
     while at < len(raw):
         magic = int.from_bytes(raw[at : at + 4], "little")
