@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import decontaminate, mixing, near_dup, quality, reshard, token_ids, toxicity, warc
+from sourceloom.llm import decontaminate, mixing, multi_index, near_dup, quality, reshard, token_ids, toxicity, warc
 from sourceloom.llm.common import read_table
 
 SHARDS = 40
@@ -51,6 +51,10 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_shards(path, spark)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
     "op7_token_ids": op7_token_ids,
+    "op8_nearest": op8_nearest,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
