@@ -14,9 +14,11 @@ regions that double in height, so a text only looks at the regions it needs.
 
 Candidates: the signature is cut into bands; texts that share a band form a
 bucket.  A bucket is never expanded into all pairs: its members are compared
-with a few leaders, the links are merged to components, and buckets that still
-hold several components go on with the next leaders.  So no link between two
-components that share a bucket is lost.  A comparison counts shared cells exactly.
+with the one that shares most buckets with others, and the links are merged to
+components.  Where a bucket then holds several, the members outside its largest
+one are compared with those of all others, if their signatures, of which a
+sketch of 4 bits a coordinate is kept, differ no more than those of similar texts
+do (but for four standard deviations).  A comparison counts shared cells exactly.
 
 Defined results: a null text is a class of its own; texts without words are in
 a class with equal texts only; copies and repeated rows share their class; null
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import row_chunks, stage_table, text_buffers
@@ -41,8 +43,8 @@ from sourceloom.llm.words import mix, words
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-#: Leaders of a bucket in the first round; twice as many in each further round.
-LEADERS = 2
+#: 64-bit words of a sketch.
+SKETCH = -(-BANDS * ROWS // 16)
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -148,21 +150,32 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """n x SKETCH words with the low 4 bits of every coordinate."""
+    n = len(signature)
+    low = np.zeros((n, SKETCH * 16), np.uint64)
+    low[:, : signature.shape[1]] = signature & U64(15)
+    return np.bitwise_or.reduce(low.reshape(n, SKETCH, 16) << (np.arange(16, dtype=np.uint64) * U64(4)), axis=2)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (null for a null text), bands (empty without words)."""
+    """doc_id, text_key (null for a null text), bands (empty without words), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             for i, j in row_chunks(offs):
                 owner, cell = cells(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                keys = band_keys(dart_signatures(owner, cell, j - i)).view(np.int64)
+                signature = dart_signatures(owner, cell, j - i)
+                keys, sketch = band_keys(signature).view(np.int64), sketches(signature).view(np.int64)
                 full = np.bincount(owner, minlength=j - i) > 0
                 cut = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(keys[full].ravel()))], ["doc_id", "text_key", "bands"])
+                bands = pa.ListArray.from_arrays(pa.array(cut), pa.array(keys[full].ravel()))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * SKETCH), pa.array(sketch.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), bands, sketch], ["doc_id", "text_key", "bands", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5("text")).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key binary, bands array<long>, sketch array<long>")
 
 
 def _cell_blobs(texts: DataFrame) -> DataFrame:
@@ -206,7 +219,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     that id (all repeated rows of it alike).
     """
     signed = stage_table(_signed(docs), "darts")
-    items = signed.filter("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands"))
+    items = signed.filter("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     items = stage_table(items.withColumn("item", F.monotonically_increasing_id()), "items")
     labels = _class_labels(docs, items, similarity)
     named = items.select("text_key", "item", "first_doc")
@@ -221,38 +234,54 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return out.select("doc_id", "text_key", F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(own).alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def _differing(a: Column, b: Column) -> Column:
+    """Signature coordinates that differ, by the sketches."""
+    total = F.lit(0)
+    for k in range(SKETCH):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        spread = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        total = total + F.bit_count(spread.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def sketch_limit(similarity: float) -> int:
+    """Differing coordinates that texts of this similarity stay under, but for four standard deviations."""
+    k = BANDS * ROWS
+    differ = (1 - similarity) * 15 / 16
+    return math.ceil(k * differ + 4 * math.sqrt(k * differ * (1 - differ)))
+
+
 def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame | None:
     """(item, label) of the items that have links; None if no two items share a bucket."""
-    spread = items.select("item", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo < hi").select("key")
+    spread = items.select("item", "sketch", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     buckets = stage_table(spread.join(shared, "key"), "buckets")
-    members = items.join(buckets.select("item").distinct(), "item").select("item", "text_key", "first_doc")
+    if buckets.isEmpty():
+        return None
+    degree = buckets.groupBy("item").agg(F.sum("members").alias("degree"))
+    members = items.join(degree, "item").select("item", "text_key", "first_doc")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5("text")).alias("text_key"))
     found = texts.join(members, (texts.text_key == members.text_key) & texts.doc_id.eqNullSafe(members.first_doc)).select("item", "text")
-    blobs = stage_table(_cell_blobs(found), "cells")  # repeated rows give equal blobs
-    blobs = blobs.dropDuplicates(["item"])
-    links: DataFrame | None = None
-    label_of: DataFrame | None = None
-    leaders = LEADERS
-    while not buckets.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("item"))
-        lead = buckets.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("key", F.col("item").alias("lead"), *(["label"] if label_of is not None else []))
-        if label_of is None:
-            pairs = buckets.join(lead, "key").filter("lead <> item")
-        else:
-            pairs = buckets.join(lead.withColumnRenamed("label", "lead_label"), "key").filter("label <> lead_label")
-        pairs = pairs.select(F.least("lead", "item").alias("a"), F.greatest("lead", "item").alias("b")).distinct()
+    blobs = stage_table(_cell_blobs(found), "cells").dropDuplicates(["item"])  # repeated rows give equal blobs
+
+    def verified(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
         first, second = (blobs.select(F.col("item").alias(x), F.col("cells").alias(f"c{x}")) for x in "ab")
-        new = stage_table(_verified(pairs.join(first, "a").join(second, "b"), similarity), "links")
-        links = new if links is None else links.union(new)
-        labels = connected_components(links)
-        done = lead.select("key", F.col("lead").alias("item"))
-        left = buckets.select("key", "item").join(done, ["key", "item"], "left_anti").join(labels, "item", "left").select("key", "item", F.coalesce("label", "item").alias("label"))
-        mixed = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        buckets = stage_table(left.join(mixed, "key"), "buckets")
-        label_of = labels
-        leaders *= 2
-    return label_of
+        return stage_table(_verified(pairs.join(first, "a").join(second, "b"), similarity), "links")
+
+    # all members of a bucket against the one that shares most with others
+    centre = buckets.join(degree, "item").groupBy("key").agg(F.max_by("item", F.struct("degree", -F.col("item"))).alias("lead"))
+    links = verified(buckets.join(centre, "key").filter("item <> lead"), "item", "lead")
+    labelled = buckets.join(connected_components(links), "item", "left").select("key", "item", "sketch", F.coalesce("label", "item").alias("label"))
+    labelled = stage_table(labelled, "labelled-buckets")
+
+    # in buckets of several components: those outside the largest one against all other components
+    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("parts > 1")
+    outside = labelled.join(mixed, "key").filter("label <> main").select("key", F.col("item").alias("other"), F.col("sketch").alias("other_sketch"), F.col("label").alias("other_label"))
+    near = _differing(F.col("sketch"), F.col("other_sketch")) <= sketch_limit(similarity)
+    pairs = labelled.join(outside, (labelled.key == outside.key) & (F.col("label") != F.col("other_label")) & near)
+    return connected_components(links.union(verified(pairs, "item", "other")))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
