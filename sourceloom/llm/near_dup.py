@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import row_chunks, stage_table, text_buffers
+from sourceloom.llm.common import free_name, row_chunks, stage_table, text_buffers
 from sourceloom.llm.components import connected_components
 from sourceloom.llm.words import mix, words
 
@@ -178,7 +178,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key binary, bands array<long>, sketch array<long>")
 
 
-def _cell_blobs(texts: DataFrame) -> DataFrame:
+def _cell_lists(texts: DataFrame) -> DataFrame:
     """item, cells (sorted 64-bit hashes) of (item, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +186,11 @@ def _cell_blobs(texts: DataFrame) -> DataFrame:
             data, offs = text_buffers(batch.column("text"))
             for i, j in row_chunks(offs):
                 owner, cell = cells(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                cut = np.searchsorted(owner, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("item").slice(i, j - i), pa.array([np.sort(cell[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["item", "cells"])
+                cut = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
+                cell = cell[np.lexsort((cell, owner))].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("item").slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(cell))], ["item", "cells"])
 
-    return texts.mapInArrow(run, "item long, cells binary")
+    return texts.mapInArrow(run, "item long, cells array<long>")
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -199,7 +200,7 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ca"), batch.column("cb"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                p, q = x.values.to_numpy(), y.values.to_numpy()
                 if min(len(p), len(q)) < similarity * max(len(p), len(q)):
                     keep.append(False)  # too different in weight
                     continue
@@ -262,32 +263,42 @@ def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataF
     members = items.join(degree, "item").select("item", "text_key", "first_doc")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5("text")).alias("text_key"))
     found = texts.join(members, (texts.text_key == members.text_key) & texts.doc_id.eqNullSafe(members.first_doc)).select("item", "text")
-    blobs = stage_table(_cell_blobs(found), "cells").dropDuplicates(["item"])  # repeated rows give equal blobs
-
-    def verified(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-        first, second = (blobs.select(F.col("item").alias(x), F.col("cells").alias(f"c{x}")) for x in "ab")
-        return stage_table(_verified(pairs.join(first, "a").join(second, "b"), similarity), "links")
+    lists = stage_table(_cell_lists(found), "cells").dropDuplicates(["item"])  # repeated rows give equal lists
 
     # all members of a bucket against the one that shares most with others
     centre = buckets.join(degree, "item").groupBy("key").agg(F.max_by("item", F.struct("degree", -F.col("item"))).alias("lead"))
-    links = verified(buckets.join(centre, "key").filter("item <> lead"), "item", "lead")
+    pairs = buckets.join(centre, "key").filter("item <> lead").select(F.least("item", "lead").alias("a"), F.greatest("item", "lead").alias("b")).distinct()
+    first, second = (lists.select(F.col("item").alias(x), F.col("cells").alias(f"c{x}")) for x in "ab")
+    links = stage_table(_verified(pairs.join(first, "a").join(second, "b"), similarity), "links")
     labelled = buckets.join(connected_components(links), "item", "left").select("key", "item", "sketch", F.coalesce("label", "item").alias("label"))
     labelled = stage_table(labelled, "labelled-buckets")
 
     # in buckets of several components: those outside the largest one against all other components
     parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("parts > 1")
-    outside = labelled.join(mixed, "key").filter("label <> main").select("key", F.col("item").alias("other"), F.col("sketch").alias("other_sketch"), F.col("label").alias("other_label"))
-    near = _differing(F.col("sketch"), F.col("other_sketch")) <= sketch_limit(similarity)
-    pairs = labelled.join(outside, (labelled.key == outside.key) & (F.col("label") != F.col("other_label")) & near)
-    return connected_components(links.union(verified(pairs, "item", "other")))
+    rows = labelled.join(mixed, "key").join(items.select("item", "bands"), "item").join(lists, "item")
+    rows = stage_table(rows.select("key", "item", "label", "main", "sketch", "bands", "cells"), "mixed-buckets")
+    outside = rows.filter("label <> main").select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
+    shared = F.size(F.array_intersect("cells", "o_cells"))
+    similar = shared >= similarity * (F.size("cells") + F.size("o_cells") - shared)
+    pair = (
+        (rows.key == outside.o_key) & (F.col("label") != F.col("o_label"))
+        & (_differing(F.col("sketch"), F.col("o_sketch")) <= sketch_limit(similarity))
+        & (F.array_min(F.array_intersect("bands", "o_bands")) == F.col("key"))  # once for all buckets that they share
+        & similar
+    )
+    more = rows.join(outside, pair).select(F.col("item").alias("a"), F.col("o_item").alias("b"))
+    return connected_components(links.union(stage_table(more, "links")))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, with all its columns; of repeated rows one."""
-    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.coalesce("text_key", F.lit(b"")).alias("_kept_key"))
-    key = F.coalesce(F.unhex(F.md5(F.col("text").cast("string"))), F.lit(b""))
-    own_id = docs.doc_id.cast("long")
-    joined = docs.join(kept.distinct(), F.coalesce(own_id, F.lit(0)).eqNullSafe(F.coalesce("_kept_id", F.lit(0))) & own_id.isNull().eqNullSafe(F.col("_kept_id").isNull()) & (key == F.col("_kept_key")))
-    return joined.dropDuplicates(["_kept_id", "_kept_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own_id, own_key, kept_id, kept_key = (free_name(docs, n) for n in ("own_id", "own_key", "kept_id", "kept_key"))
+    kept = near_duplicates(docs, similarity).filter("kept")
+    no_text = F.lit(b"")
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.coalesce("text_key", no_text).alias(kept_key)).distinct()
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_key: F.coalesce(F.unhex(F.md5(F.col("text").cast("string"))), no_text)})
+    joined = keyed.join(kept, F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_key) == F.col(kept_key)), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = joined.groupBy(own_id, own_key).agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(free_name(docs, "whole")))
+    return one.select(f"{free_name(docs, 'whole')}.*")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import row_chunks, stage_table, text_buffers
+from sourceloom.llm.common import equal_runs, row_chunks, stage_table, text_buffers
 from sourceloom.llm.induced_sort import equal_groups, suffix_order
 from sourceloom.llm.words import SpanHasher, mix
 
@@ -120,8 +120,7 @@ def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
                 own, place = runs[flags], bucket[flags] if base == 0 else base + (mix(runs["row"][flags].astype(np.uint64) + np.uint64(number)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(place, kind="stable")
                 own, place = own[order], place[order]
-                at = np.flatnonzero(np.diff(place, prepend=-1))
-                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(place)], strict=True):
+                for a, b in equal_runs(place):
                     group = own[a:b]
                     present, compact = np.unique(group["row"], return_inverse=True)
                     group["row"] = compact
@@ -135,16 +134,14 @@ def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
             part = np.frombuffer(r, _RUN)
             runs.append(part)
             docs.append(np.frombuffer(d, np.int64)[part["row"]])
-        doc, run = np.concatenate(docs), np.concatenate(runs)
+        doc, run = np.concatenate(docs), np.concatenate(runs)  # a group has a row at least
         if table.column("bucket")[0].as_py() < buckets:
             keep, _ = _shared(run["hash"], doc)
             doc, run = doc[keep], run[keep]
         order = np.argsort(doc, kind="stable")
         doc, run = doc[order], run[order]
-        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        raw, size = run.tobytes(), _RUN.itemsize
-        ends = np.append(at[1:], len(doc)) if len(at) else at
-        return pa.table({"doc": pa.array(doc[at]), "runs": pa.array([raw[a * size : b * size] for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())})
+        groups, raw, size = equal_runs(doc), run.tobytes(), _RUN.itemsize
+        return pa.table({"doc": pa.array(doc[np.array([a for a, _ in groups], np.int64)], pa.int64()), "runs": pa.array([raw[a * size : b * size] for a, b in groups], pa.binary())})
 
     found = docs.mapInArrow(run, "bucket long, docs binary, runs binary")
     return found.groupBy("bucket").applyInArrow(shared, "doc long, runs binary")
@@ -188,8 +185,7 @@ def _flagged(texts: DataFrame, shards: int) -> DataFrame:
                 by = np.argsort(shard, kind="stable")
                 sent, shard = sent[by], shard[by]
                 names, metas, bodies = [], [], []
-                at = np.flatnonzero(np.diff(shard, prepend=-1))
-                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(shard)], strict=True):
+                for a, b in equal_runs(shard):
                     own = sent[a:b]
                     size = runs["size"][own].astype(np.int64) + LENGTH - 1
                     place = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -246,9 +242,8 @@ def judge_runs(meta: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _span_table(rid: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Table:
     order = np.argsort(rid, kind="stable")
     rid, pairs = rid[order], np.stack([start, count], axis=1)[order].astype(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(rid)) if len(at) else at
-    return pa.table({"rid": pa.array(rid[at], pa.int64()), "spans": pa.array([_blob(pairs[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())})
+    groups = equal_runs(rid)
+    return pa.table({"rid": pa.array(rid[np.array([a for a, _ in groups], np.int64)], pa.int64()), "spans": pa.array([_blob(pairs[a:b]) for a, b in groups], pa.binary())})
 
 
 def covered(pairs: np.ndarray, size: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sourceloom.llm.common import row_chunks, text_buffers
+from sourceloom.llm.common import free_name, row_chunks, text_buffers
 from sourceloom.llm.labelled import held_out, labelled_sample
 from sourceloom.llm.words import words
 
@@ -148,16 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Factorizatio
     return fit_machine([rows[i].astype(np.int64) for i in order], y[order] if len(y) else y)
 
 
-def _free_name(docs: DataFrame) -> str:
-    name = "score"
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def with_score(docs: DataFrame, model: FactorizationMachine) -> tuple[DataFrame, str]:
     """All columns of ``docs`` and a score column, and that column's name."""
-    held, name = docs.sparkSession.sparkContext.broadcast(model), _free_name(docs)
+    held, name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
