@@ -56,6 +56,17 @@ def test_resharding_places_every_row_once(spark):
             assert (r["size"], r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
 
 
+def test_whole_small_table_is_spread_evenly(spark, sf):
+    rows = queries.op1_sharding(spark, sf).collect()
+    size = Counter()
+    for r in rows:
+        size[r.shard] += r["size"]
+        assert r.law == "bytes" and r.grown_shard is None
+    largest = max(r["size"] for r in rows)
+    total = sum(size.values())
+    assert set(size) <= set(range(40)) and all(abs(size[k] - total / 40) <= largest + 1 for k in range(40))
+
+
 def test_rewriting_touches_only_changed_shards(spark, tmp_path):
     from pyspark.sql import functions as F
 
