@@ -306,7 +306,8 @@ def dfg_fold_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _micros(column: str = "ts"):
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    """Microseconds of a wall-clock time, whatever the session's time zone."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone()))
 
 
 def event_spans(spark: SparkSession, sf_dir: str, scale: float | None = None) -> DataFrame:
