@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.operators import graph
+from sourceloom.functions import text as T
+from sourceloom.operators import discovery, graph
 from sourceloom.queries import query, table
+from sourceloom.sources import captures
 from sourceloom.sources.rule_packs import Registry
 
 _TEXT = """
@@ -89,3 +91,76 @@ def graph_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = built(spark, sf_dir).symbols
     return symbols.agg(F.count_if(F.col("kind") != "callee").alias("definitions"), F.count_if(F.col("kind") == "callee").alias("callees"))
+
+
+# ----------------------------------------------- expressions over derived code
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'BINARY' WHEN o_orderkey % 11 = 0 THEN 'ERROR' WHEN o_orderkey % 100 * 1000000 > 52428800 THEN 'TOO_LARGE'
+  WHEN o_orderkey % 100 * 1000000 >= 10485760 AND o_orderkey % 3 = 0 THEN 'PATHOLOGICAL'
+  WHEN o_custkey * 100 > 50000 AND (o_orderkey % 9000) / least(o_custkey * 100, 50000) >= 0.1 THEN 'PARTIAL' ELSE 'OK' END AS status FROM orders"""
+)
+def parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    text, signs = F.when(key % 11 != 0, F.lit("t")), F.when(key % 3 == 0, F.lit("minified")).otherwise(F.lit(""))
+    status = discovery.parse_status(text, key % 100 * 1_000_000, key % 13 == 0, signs, F.col("o_custkey") * 100, key % 9000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN octet_length(encode(url)) * 20 >= 256
+  THEN len(regexp_extract_all(url, '[\\x09\\x0A\\x0D\\x20-\\x7E]')) * 20 / (octet_length(encode(url)) * 20) ELSE 1.0 END::DOUBLE AS share FROM pages"""
+)
+def printable_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.encode(F.repeat("url", F.lit(20)), "UTF-8")
+    return table(spark, sf_dir, "pages").select("page_id", discovery.printable_share(content).cast("double").alias("share"))
+
+
+_CALL = (
+    "CASE p_partkey % 5 WHEN 0 THEN concat('os.path.join(\"', p_brand, '\", name, \"f.txt\")') WHEN 1 THEN concat('path.join(\"/a/\", \"', p_brand, '\")') "
+    "WHEN 2 THEN concat('new URL(\"/v/', p_size, '\", \"https://h.io\")') WHEN 3 THEN concat('URL(\"https://h/', p_size, '\")') ELSE concat('open(\"', p_brand, '\")') END"
+)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand || '/{x}/f.txt' WHEN 1 THEN '/a/' || p_brand WHEN 2 THEN 'https://h.io/v/' || p_size WHEN 3 THEN 'https://h/' || p_size END AS normal FROM part")
+def call_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.normalize_call(F.expr(_CALL)).alias("normal"))
+
+
+@query("SELECT p_partkey, p_brand || '|' || p_type AS literals FROM part")
+def string_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.format_string("f('%s', x, \"%s\")", "p_brand", "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.string_literals(code), "|").alias("literals"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'f' || p_size || '(2)|?,int|' WHEN 1 THEN 'm' || p_size || '(1)|?|' ELSE 'K' || p_size || '(0)||' END AS signature FROM part")
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('def f', p_size, '(a, b: int = g(1, 2)):') WHEN 1 THEN concat('async def m', p_size, '(self, *xs):') ELSE concat('class K', p_size, ':') END")
+    return table(spark, sf_dir, "part").select("p_partkey", graph.signature(header, F.lit("python")).alias("signature"))
+
+
+@query("SELECT p_partkey, 'a' || p_size || ';g(1, 2);[x, {y, z}];k=' || p_partkey || ';\"p, q\"' AS args FROM part")
+def split_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = F.format_string('a%d, g(1, 2), [x, {y, z}], k=%d, "p, q"', "p_size", "p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(captures.split_arguments(inside), ";").alias("args"))
+
+
+@query("SELECT p_partkey, v.imported, v.alias, v.kind, 'm' || p_size AS module FROM part, (VALUES ('default', 'D', 'default'), ('a', 'b', 'named'), ('c', 'c', 'named')) v(imported, alias, kind)")
+def script_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.format_string("import D, { a as b, c } from 'm%d'", "p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(graph.script_imports(line)).alias("b")).select("p_partkey", "b.*")
+
+
+@query("SELECT 'src/p' || p_partkey || '.py' AS path, 3 AS defs, 3 AS calls, 2 AS imports FROM part")
+def lift_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions, calls and imports of each file."""
+    kind = F.col("semantic_type")
+    counts = {"defs": kind.isin("Class", "Function", "Method"), "calls": kind == "Call", "imports": kind == "Import"}
+    return built(spark, sf_dir).nodes.groupBy("path").agg(*[F.count_if(c).cast("int").alias(n) for n, c in counts.items()])
+
+
+@query("SELECT 'fastapi' AS tag, count(*) * 2 AS matched, count(DISTINCT p_partkey) AS files FROM part")
+def detect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects and files of each telemetry tag."""
+    return built(spark, sf_dir).effects.groupBy("tag").agg(F.count("*").alias("matched"), F.countDistinct("path").alias("files"))

@@ -230,3 +230,18 @@ def fold_concat(expression: Column) -> Column:
         .otherwise(F.array(F.lit("DYNAMIC")))
     )
     return F.struct(value.alias("value"), flags.alias("flags"))
+
+
+def string_literals(code: Column) -> Column:
+    """The contents of quoted strings, in order."""
+    pattern = r"'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\""
+    return F.transform(F.regexp_extract_all(code, F.lit(pattern), F.lit(0)), lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+
+
+def normalize_call(expression: Column) -> Column:
+    """One path of the arguments of os.path.join, path.join and URL, {x} for what isn't literal; null for other calls."""
+    inside = F.regexp_extract(expression, r"^\s*(?:os\.path\.join|path\.join|(?:new\s+)?URL)\s*\((.*)\)\s*$", 1)
+    is_url = expression.rlike(r"^\s*(?:new\s+)?URL\s*\(")
+    parts = F.transform(F.split(inside, r"\s*,\s*"), lambda a: F.when(a.rlike(r"^\s*(['\"]).*\1\s*$"), strip_quotes(a)).otherwise(F.lit("{x}")))
+    joined = F.array_join(F.when(is_url, F.reverse(parts)).otherwise(parts), "/")
+    return F.when(inside != "", F.regexp_replace(joined, r"(?<!:)//+", "/"))

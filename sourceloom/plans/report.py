@@ -75,3 +75,8 @@ def sarif_document(results: DataFrame) -> DataFrame:
     driver = F.struct(F.struct(F.lit("sourceloom").alias("name"), rules.alias("rules")).alias("driver"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "uri", body.alias("r")))), lambda x: x["r"])
     return results.agg(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), ordered.alias("results"))).alias("runs"))).alias("sarif"))
+
+
+def save_json(report: DataFrame, folder: str) -> None:
+    """Write a report's rows as JSON lines."""
+    report.write.mode("overwrite").json(folder)
