@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions import fixed, ids
 from sourceloom.functions import text as T
 from sourceloom.operators import effects, flow, intervals
+from sourceloom.plans.staging import stage_table
 from sourceloom.sources import captures
 
 
@@ -35,8 +36,11 @@ def signature(header: Column, language: Column) -> Column:
 
 
 def build(files: DataFrame, rules: DataFrame) -> Graph:
-    """The graph of (path, language, text, blob_sha256)."""
-    rows = captures.lines(files)
+    """The graph of (path, language, text, blob_sha256).
+
+    Lines, definitions and calls are stage tables, as several parts read them.
+    """
+    rows = stage_table(captures.lines(files), "lines")
     defs = captures.definitions(rows)
     span = ids.span_key(F.col("path"), F.col("start"), F.col("end"))
     defs = defs.withColumn("def_key", span)
@@ -50,6 +54,8 @@ def build(files: DataFrame, rules: DataFrame) -> Graph:
         "symbol_id": ids.symbol_id(F.col("language"), F.col("qualified_name"), F.lower("semantic_type"), signature(F.col("header"), F.col("language"))),
     })
 
+    defs = stage_table(defs, "definitions")
+
     module = files.select("path", "language", ids.node_id("Module", F.col("language"), F.col("path"), ids.span_key(F.col("path"), F.lit(0), F.lit(0))).alias("node_id"))
     called = captures.calls(rows)
     grouped = intervals.islands(called, ["path"], "start", "end", "callee")
@@ -58,7 +64,7 @@ def build(files: DataFrame, rules: DataFrame) -> Graph:
     groups = groups.withColumn("call_key", span).withColumn("call_id", ids.node_id("Call", F.col("language"), F.col("path"), F.col("call_key")))
     functions = intervals.place_in_order(defs.filter("semantic_type <> 'Class'").select("path", "start", "end", "node_id"), ["path"], "node_id")
     owner = intervals.smallest_owner(groups.select("path", "start", "end", "call_id"), functions, ["path"], "call_id", "node_id")
-    groups = groups.join(owner, "call_id")
+    groups = stage_table(groups.join(owner, "call_id"), "calls")
 
     imported = captures.imports(rows).withColumn("key", span)
     imported = imported.withColumn("import_id", ids.node_id("Import", F.col("language"), F.col("path"), F.col("key")))
