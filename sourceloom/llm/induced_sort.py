@@ -15,11 +15,62 @@ from __future__ import annotations
 import numpy as np
 
 
-def words_at(text: np.ndarray, at: np.ndarray, number: int) -> list[np.ndarray]:
-    """``number`` consecutive 8-byte words from each position, as big-endian numbers."""
-    padded = np.concatenate([text, np.zeros(8 * number + 8, np.uint8)])
-    each = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    return [np.ascontiguousarray(each[at + 8 * k]).view(">u8").ravel().astype(np.uint64) for k in range(number)]
+class PackedText:
+    """The next bytes of every position as one 64-bit number, in the order of the bytes.
+
+    Bytes are coded by their rank among those that occur, so a number holds 8
+    bytes or more; past the end of the text it goes on with the smallest code.
+    """
+
+    def __init__(self, text: np.ndarray) -> None:
+        present = np.flatnonzero(np.bincount(text, minlength=256))
+        bits = max(1, int(len(present) - 1).bit_length())
+        code = np.zeros(256, np.uint64)
+        code[present] = np.arange(len(present))
+        self.bits, self.width = bits, 64 // bits
+        block, have = code[text], 1
+        self.words = np.zeros(len(text) + 1, np.uint64)
+        done, rest = 0, self.width
+        while rest:  # blocks of 1, 2, 4, ... bytes, put together
+            if rest & 1:
+                self.words[: len(text)] = (self.words[: len(text)] << np.uint64(bits * have)) | self._later(block, done)
+                done += have
+            rest >>= 1
+            block, have = (block << np.uint64(bits * have)) | self._later(block, have), 2 * have
+
+    @staticmethod
+    def _later(block: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros_like(block)
+        out[: max(0, len(block) - by)] = block[by:]
+        return out
+
+    def at(self, positions: np.ndarray, length: int) -> list[np.ndarray]:
+        """Numbers that cover ``length`` bytes from each position at least."""
+        return [self.words[np.minimum(positions + k, len(self.words) - 1)] for k in range(0, length, self.width)]
+
+
+def sorted_by(columns: list[np.ndarray]) -> np.ndarray:
+    """Indices in the order of the columns, the first one first.
+
+    One sort by the first column; only groups of equal numbers in it whose other
+    columns differ are sorted again.
+    """
+    order = np.argsort(columns[0], kind="stable")
+    if len(columns) == 1 or len(order) < 2:
+        return order
+    first = columns[0][order]
+    tie = first[1:] == first[:-1]
+    differ = np.zeros(len(tie), bool)
+    for column in columns[1:]:
+        own = column[order]
+        differ |= own[1:] != own[:-1]
+    group = np.concatenate([[0], np.cumsum(~tie)])
+    mixed = np.zeros(group[-1] + 1, bool)
+    mixed[group[1:][tie & differ]] = True
+    again = np.flatnonzero(mixed[group])
+    rows = order[again]
+    order[again] = rows[np.lexsort([c[rows] for c in columns[::-1]])]
+    return order
 
 
 def types(text: np.ndarray) -> np.ndarray:
@@ -40,12 +91,12 @@ def _deal(queues: list[list[np.ndarray]], found: np.ndarray, first: np.ndarray)
         queues[first[a]].append(found[a:b])
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, depth: int, packed: PackedText | None = None) -> np.ndarray:
     """Positions of ``text`` (bytes, ending in its smallest) in the order of their first ``depth`` bytes."""
     n = len(text)
     is_s = types(text)
     star = np.flatnonzero(is_s[1:-1] & ~is_s[:-2]) + 1
-    star = star[np.lexsort(words_at(text, star, -(-depth // 8))[::-1])]
+    star = star[sorted_by((packed or PackedText(text)).at(star, depth))]
     byte = text.astype(np.int16)
     none = np.zeros(0, np.int64)
 
@@ -90,14 +141,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def equal_groups(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def equal_groups(text: np.ndarray, order: np.ndarray, length: int, packed: PackedText | None = None) -> np.ndarray:
     """For positions in suffix order, the number of the group of equal ``length``-byte strings."""
+    packed = packed or PackedText(text)
     new = np.zeros(len(order), bool)
     new[:1] = True
-    full, rest = divmod(length, 8)
-    columns = words_at(text, order, full + (rest > 0))
-    if rest:
-        columns[-1] = columns[-1] >> np.uint64(8 * (8 - rest))
+    columns = packed.at(order, length)
+    if over := len(columns) * packed.width - length:
+        columns[-1] = columns[-1] >> np.uint64(packed.bits * over)
     for column in columns:
         new[1:] |= column[1:] != column[:-1]
     return np.cumsum(new) - 1

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import equal_runs, row_chunks, stage_table, text_buffers
-from sourceloom.llm.induced_sort import equal_groups, suffix_order
+from sourceloom.llm.induced_sort import PackedText, equal_groups, suffix_order
 from sourceloom.llm.words import SpanHasher, mix
 
 LENGTH = 50
@@ -49,6 +49,7 @@ _LONGEST_RUN = 4096
 _NULL_ID = (1 << 63) - 1
 
 _RUN = np.dtype([("hash", "<u8"), ("row", "<u4"), ("start", "<u4"), ("size", "<u2")])
+_SPAN = np.dtype([("start", "<i8"), ("count", "<i8")])
 
 
 def window_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -98,6 +99,35 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+_PACKED = "part long, keys binary, records binary"
+
+
+def _packed(keys: np.ndarray, records: np.ndarray, parts: int) -> pa.Table:
+    """Records by a hash of their keys: one row for each part."""
+    part = (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, keys, records = part[order], keys[order], records[order]
+    groups = equal_runs(part)
+    return pa.table({
+        "part": pa.array([int(part[a]) for a, _ in groups], pa.int64()),
+        "keys": pa.array([_blob(keys[a:b]) for a, b in groups], pa.binary()), "records": pa.array([_blob(records[a:b]) for a, b in groups], pa.binary()),
+    })
+
+
+def _gathered(packed: DataFrame, key: str, name: str, kind: np.dtype) -> DataFrame:
+    """One row for each key, with all its records."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()])
+        records = np.concatenate([np.frombuffer(x, kind) for x in table.column("records").to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        keys, raw, size = keys[order], records[order].tobytes(), kind.itemsize
+        groups = equal_runs(keys)
+        return pa.table({key: pa.array(keys[np.array([a for a, _ in groups], np.int64)], pa.int64()), name: pa.array([raw[a * size : b * size] for a, b in groups], pa.binary())})
+
+    return packed.groupBy("part").applyInArrow(gather, f"{key} long, {name} binary")
+
+
 def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """doc, runs (packed) of runs whose hash several documents have; (doc, text) come in."""
 
@@ -138,30 +168,27 @@ def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
         if table.column("bucket")[0].as_py() < buckets:
             keep, _ = _shared(run["hash"], doc)
             doc, run = doc[keep], run[keep]
-        order = np.argsort(doc, kind="stable")
-        doc, run = doc[order], run[order]
-        groups, raw, size = equal_runs(doc), run.tobytes(), _RUN.itemsize
-        return pa.table({"doc": pa.array(doc[np.array([a for a, _ in groups], np.int64)], pa.int64()), "runs": pa.array([raw[a * size : b * size] for a, b in groups], pa.binary())})
+        return _packed(doc, run, buckets)
 
     found = docs.mapInArrow(run, "bucket long, docs binary, runs binary")
-    return found.groupBy("bucket").applyInArrow(shared, "doc long, runs binary")
+    return _gathered(found.groupBy("bucket").applyInArrow(shared, _PACKED), "doc", "runs", _RUN)
 
 
 def _flagged(texts: DataFrame, shards: int) -> DataFrame:
     """rid, spans (pairs of first window and number) of windows that start in a smaller document too.
 
-    ``texts`` has rid, doc, text and runs (a list of packed runs).
+    ``texts`` has rid, doc, text and runs (packed).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             rid, doc = batch.column("rid").to_numpy(), batch.column("doc").to_numpy()
-            lists = batch.column("runs")
+            lists = batch.column("runs")  # packed
             for i, j in row_chunks(offs, 4 << 20):
                 parts = []
                 for k in range(i, j):
-                    own = np.unique(np.concatenate([np.frombuffer(x, _RUN) for x in lists[k].as_py()])[["start", "size", "hash"]])
+                    own = np.unique(np.frombuffer(lists[k].as_py(), _RUN)[["start", "size", "hash"]])
                     own = own[own["start"].astype(np.int64) + own["size"] + LENGTH - 1 <= offs[k + 1] - offs[k]]
                     part = np.zeros(len(own), _RUN)
                     for name in ("start", "size", "hash"):
@@ -198,15 +225,21 @@ def _flagged(texts: DataFrame, shards: int) -> DataFrame:
                     bodies.append(b"")
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(metas, pa.binary()), pa.array(bodies, pa.binary())], ["shard", "meta", "body"])
 
+    def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), _SPAN)
+        out["start"], out["count"] = start, count
+        return out
+
     def judge(table: pa.Table) -> pa.Table:
         meta = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("meta").to_pylist()]).reshape(-1, 4)
         if table.column("shard")[0].as_py() >= shards:
-            return _span_table(meta[:, 0], meta[:, 2], meta[:, 3])
+            return _packed(meta[:, 0], spans(meta[:, 2], meta[:, 3]), shards)
         body = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
-        return _span_table(*judge_runs(meta, body))
+        rid, start, count = judge_runs(meta, body)
+        return _packed(rid, spans(start, count), shards)
 
     dealt = texts.mapInArrow(run, "shard long, meta binary, body binary")
-    return dealt.groupBy("shard").applyInArrow(judge, "rid long, spans binary")
+    return _gathered(dealt.groupBy("shard").applyInArrow(judge, _PACKED), "rid", "spans", _SPAN)
 
 
 def judge_runs(meta: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,9 +260,10 @@ def judge_runs(meta: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarr
     owner = np.repeat(np.arange(len(meta)), count)
     owner_of = np.full(len(text), -1, np.int64)
     owner_of[at] = owner
-    order = suffix_order(text, LENGTH)
+    packed = PackedText(text)
+    order = suffix_order(text, LENGTH, packed)
     order = order[windows[order]]
-    group = equal_groups(text, order, LENGTH)
+    group = equal_groups(text, order, LENGTH, packed)
     doc = meta[owner_of[order], 1]
     first = np.flatnonzero(np.diff(group, prepend=-1))
     least = np.minimum.reduceat(doc, first) if len(first) else doc
@@ -239,13 +273,6 @@ def judge_runs(meta: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return meta[run, 0], meta[run, 2] + flagged[new] - starts[run], np.diff(np.append(new, len(flagged)))
 
 
-def _span_table(rid: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Table:
-    order = np.argsort(rid, kind="stable")
-    rid, pairs = rid[order], np.stack([start, count], axis=1)[order].astype(np.int64)
-    groups = equal_runs(rid)
-    return pa.table({"rid": pa.array(rid[np.array([a for a, _ in groups], np.int64)], pa.int64()), "spans": pa.array([_blob(pairs[a:b]) for a, b in groups], pa.binary())})
-
-
 def covered(pairs: np.ndarray, size: int) -> np.ndarray:
     """Flags of the bytes that the flagged windows cover."""
     edge = np.zeros(size + 1, np.int64)
@@ -269,21 +296,19 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     runs = stage_table(_repeated_runs(rows.select("doc", "text"), max(4, -(-total // BUCKET_BYTES))), "repeat-runs")
     run_bytes = runs.agg(F.sum(F.octet_length("runs"))).first()[0] or 0
     shards = max(4, -(-(run_bytes // _RUN.itemsize * 67) // SHARD_BYTES))
-    lists = runs.groupBy("doc").agg(F.collect_list("runs").alias("runs"))  # at most two for each bucket
-    wanted = lists.join(firsts.withColumnRenamed("first", "doc"), "doc")  # of equal texts only the first
+    wanted = runs.join(firsts.withColumnRenamed("first", "doc"), "doc")  # of equal texts only the first
     texts = rows.join(wanted, ["key", "doc"])
     texts = stage_table(texts.dropDuplicates(["key", "doc"]).withColumn("rid", F.monotonically_increasing_id()), "repeat-texts")
 
     spans = stage_table(_flagged(texts.select("rid", "doc", "text", "runs"), shards), "repeat-spans")
-    spans = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             removed, number, shas, kept = [], [], [], []
-            for k, lists in enumerate(batch.column("spans").to_pylist()):
+            for k, flagged in enumerate(batch.column("spans")):
                 own = data[offs[k] : offs[k + 1]]
-                gone = covered(np.concatenate([np.frombuffer(x, np.int64) for x in lists]).reshape(-1, 2), len(own))
+                gone = covered(np.frombuffer(flagged.as_buffer(), np.int64).reshape(-1, 2), len(own))
                 left = own[~gone].tobytes()
                 removed.append(int(gone.sum()))
                 number.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
