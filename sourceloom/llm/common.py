@@ -1,58 +1,20 @@
-"""Shared plumbing: stage tables in the cluster's shared folder, Arrow helpers.
-
-Stage tables replace lineage: a table is written once under the folder named by
-``spark.checkpoint.dir`` and read back, so that a lost executor only costs the
-tasks that were running on it.
-"""
+"""Shared plumbing: Arrow helpers, and the library's stage tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sourceloom.plans.staging import shared_dir, stage_path, stage_table  # noqa: F401
 from sourceloom.session import ship_package
 
 #: Bytes of text that the numpy kernels work on at a time (a longer text is one piece).
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this cluster; one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it."""
-    spark = df.sparkSession
-    path = stage_path(spark, name)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")  # the shuffle files of a finished stage table are of no more use
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
