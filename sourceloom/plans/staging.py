@@ -41,4 +41,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stage_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._stage_path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
