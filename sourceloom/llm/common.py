@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sourceloom.plans.staging import shared_dir, stage_path, stage_table  # noqa: F401
+from sourceloom.plans.staging import discard, shared_dir, stage_path, stage_table  # noqa: F401
 from sourceloom.session import ship_package
 
 #: Bytes of text that the numpy kernels work on at a time (a longer text is one piece).

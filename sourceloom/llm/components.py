@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import stage_table
+from sourceloom.llm.common import discard, stage_table
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,16 +17,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     labels = both.select(F.col("a").alias("item")).distinct().withColumn("label", F.col("item"))
-    edges = both.distinct()
+    labels = stage_table(labels, "component-labels")
+    edges, old = both.distinct(), []
     while True:
         edges = stage_table(edges, "component-edges")
+        discard(*old)
         if edges.isEmpty():
+            discard(edges)
             return labels
         parent = edges.groupBy("a").agg(F.min("b").alias("p")).filter("p < a")
         for _ in range(2):
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"))
         parent = stage_table(parent, "component-parents")
+        old = [edges, parent, labels]
         labels = stage_table(
             labels.join(parent.select(F.col("a").alias("label"), "p"), "label", "left").select("item", F.coalesce("p", "label").alias("label")),
             "component-labels",

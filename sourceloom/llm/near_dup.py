@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import free_name, row_chunks, stage_table, text_buffers
+from sourceloom.llm.common import discard, free_name, row_chunks, stage_table, text_buffers
 from sourceloom.llm.components import connected_components
 from sourceloom.llm.words import mix, words
 
@@ -258,26 +258,31 @@ def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataF
     shared = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     buckets = stage_table(spread.join(shared, "key"), "buckets")
     if buckets.isEmpty():
+        discard(buckets)
         return None
     degree = buckets.groupBy("item").agg(F.sum("members").alias("degree"))
     members = items.join(degree, "item").select("item", "text_key", "first_doc")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5("text")).alias("text_key"))
     found = texts.join(members, (texts.text_key == members.text_key) & texts.doc_id.eqNullSafe(members.first_doc)).select("item", "text")
-    lists = stage_table(_cell_lists(found), "cells").dropDuplicates(["item"])  # repeated rows give equal lists
+    all_lists = stage_table(_cell_lists(found), "cells")
+    lists = all_lists.dropDuplicates(["item"])  # repeated rows give equal lists
 
     # all members of a bucket against the one that shares most with others
     centre = buckets.join(degree, "item").groupBy("key").agg(F.max_by("item", F.struct("degree", -F.col("item"))).alias("lead"))
     pairs = buckets.join(centre, "key").filter("item <> lead").select(F.least("item", "lead").alias("a"), F.greatest("item", "lead").alias("b")).distinct()
     first, second = (lists.select(F.col("item").alias(x), F.col("cells").alias(f"c{x}")) for x in "ab")
     links = stage_table(_verified(pairs.join(first, "a").join(second, "b"), similarity), "links")
-    labelled = buckets.join(connected_components(links), "item", "left").select("key", "item", "sketch", F.coalesce("label", "item").alias("label"))
+    parts_of = connected_components(links)
+    labelled = buckets.join(parts_of, "item", "left").select("key", "item", "sketch", F.coalesce("label", "item").alias("label"))
     labelled = stage_table(labelled, "labelled-buckets")
+    discard(buckets, parts_of)
 
     # in buckets of several components: those outside the largest one against all other components
     parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("parts > 1")
     rows = labelled.join(mixed, "key").join(items.select("item", "bands"), "item").join(lists, "item")
     rows = stage_table(rows.select("key", "item", "label", "main", "sketch", "bands", "cells"), "mixed-buckets")
+    discard(labelled, all_lists)
     outside = rows.filter("label <> main").select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
     shared = F.size(F.array_intersect("cells", "o_cells"))
     similar = shared >= similarity * (F.size("cells") + F.size("o_cells") - shared)
@@ -287,8 +292,11 @@ def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataF
         & (F.array_min(F.array_intersect("bands", "o_bands")) == F.col("key"))  # once for all buckets that they share
         & similar
     )
-    more = rows.join(outside, pair).select(F.col("item").alias("a"), F.col("o_item").alias("b"))
-    return connected_components(links.union(stage_table(more, "links")))
+    more = stage_table(rows.join(outside, pair).select(F.col("item").alias("a"), F.col("o_item").alias("b")), "links")
+    discard(rows)
+    labels = connected_components(links.union(more))
+    discard(links, more)
+    return labels
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
