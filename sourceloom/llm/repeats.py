@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import equal_runs, row_chunks, stage_table, text_buffers
+from sourceloom.llm.common import discard, equal_runs, row_chunks, stage_table, text_buffers
 from sourceloom.llm.induced_sort import PackedText, equal_groups, suffix_order
 from sourceloom.llm.words import SpanHasher, mix
 
@@ -300,6 +300,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     texts = rows.join(wanted, ["key", "doc"])
     texts = stage_table(texts.dropDuplicates(["key", "doc"]).withColumn("rid", F.monotonically_increasing_id()), "repeat-texts")
 
+    discard(runs)
     spans = stage_table(_flagged(texts.select("rid", "doc", "text", "runs"), shards), "repeat-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,6 +319,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     partly = texts.select("rid", "doc", "key", "text").join(spans, "rid").select("doc", "key", "text", "spans").mapInArrow(cut, "doc long, key binary, n_removed long, n_spans long, kept_sha string, kept binary")
     partly = stage_table(partly, "repeat-cut")
+    discard(texts, spans)
     copy = F.col("first").isNotNull() & (F.col("doc") > F.col("first"))
     out = light.join(firsts, "key", "left").join(partly, ["key", "doc"], "left")
     return out.select(
