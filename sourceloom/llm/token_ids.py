@@ -40,6 +40,8 @@ END_ID = 2
 #: Bytes of text for one partition of documents, and ids after which a new shard begins.
 PARTITION_BYTES = 32 << 20
 SHARD_IDS = 1 << 22
+#: Ids that a worker remembers at most for segments it has met.
+POOL_IDS = 1 << 23
 MAGIC = b"IDSHARD1"
 SEPARATOR = "\n"
 
@@ -51,7 +53,7 @@ _KIND[65:91] = _KIND[97:123] = 1
 _KIND[48:58] = 2
 _KIND[39] = 4
 _KIND[128:] = 4
-_SLOTS_BITS = 21
+_SLOTS_BITS = 20
 _encoders: dict[str, SegmentEncoder] = {}
 
 
@@ -101,7 +103,7 @@ class SegmentEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of the texts; no end ids."""
-        if self.used > 1 << 24:
+        if self.used > POOL_IDS:
             self._reset()
         kind = _KIND[data]
         lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
@@ -257,7 +259,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str | None = None,
             doc_id = batch.column("doc_id")
             null = doc_id.is_null().to_numpy(zero_copy_only=False)
             key = doc_id.fill_null(0).to_numpy()
-            for i, j in row_chunks(offs, 2 << 20):
+            for i, j in row_chunks(offs):
                 got, cut = encoder.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 size = np.diff(cut)
                 full = np.full(len(got) + j - i, end_id, kind)
