@@ -22,11 +22,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import stage_table
+from sourceloom.llm.common import free_name, stage_table
 
 OVERHEAD = 16
 #: Pieces that the stream of one old shard is cut into for prefix sums.
 PIECES = 1024
+#: Bytes of text that one task writes of a new shard, about.
+WRITE_BYTES = 64 << 20
 
 
 class FlowNetwork:
@@ -155,17 +157,29 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
 
 
-def reshard(docs: DataFrame, shards: int, old_shard: Column) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot.
+def crc_of(text: Column) -> Column:
+    return F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
 
-    ``old_shard`` names the old shard of each row, e.g. its file.
+
+def _piece() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int")
+
+
+#: The order of documents in an old shard, and in a new one (there by old shard before the row).
+_KEY = ["piece", "doc_id", "text_crc32", "size"]
+
+
+def reshard(docs: DataFrame, shards: int, old_shard: Column, row_id: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot; and piece, row_id.
+
+    ``old_shard`` names the old shard of each row, e.g. its file; ``row_id`` tells
+    its rows apart at every reading, e.g. their places in the file.
     """
     spark = docs.sparkSession
     meta = docs.select(
-        "doc_id", size_of(F.col("text")).alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        old_shard.cast("string").alias("old_name"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int").alias("piece"),
+        "doc_id", size_of(F.col("text")).alias("size"), crc_of(F.col("text")).alias("text_crc32"),
+        old_shard.cast("string").alias("old_name"), _piece().alias("piece"),
+        (F.monotonically_increasing_id() if row_id is None else row_id.cast("long")).alias("row_id"),
     )
     meta = stage_table(meta, "reshard-meta")
     pieces = meta.groupBy("old_name", "piece").agg(F.sum("size").alias("piece_size"))
@@ -184,33 +198,70 @@ def reshard(docs: DataFrame, shards: int, old_shard: Column) -> DataFrame:
         .groupBy("old_name")
         .agg(F.sort_array(F.collect_list(F.struct("cut", "to"))).alias("cuts"))
     )  # at most one cut per old and new shard, in all
-    within = Window.partitionBy("old_name", "piece").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("old_name", "piece").orderBy("doc_id", "text_crc32", "size", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("piece_start") + F.sum("size").over(within) - F.floor((F.col("size") + 1) / 2)
     placed = (
         meta.alias("m").join(pieces.alias("p"), F.col("m.old_name").eqNullSafe(F.col("p.old_name")) & (F.col("m.piece") == F.col("p.piece")))
         .select("m.*", "piece_start").withColumn("middle", middle).alias("d")
         .join(cut_table.alias("c"), F.col("d.old_name").eqNullSafe(F.col("c.old_name")))
         .withColumn("shard", F.array_max(F.filter("cuts", lambda c: c["cut"] <= F.col("middle")))["to"])
-        .select("d.doc_id", "d.size", "d.text_crc32", "d.old_name", "d.piece", "shard")
+        .select("d.doc_id", "d.size", "d.text_crc32", "d.old_name", "d.piece", "d.row_id", "shard")
     )
     placed = stage_table(placed, "reshard-placed")
+    order = Window.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size", "old_name", "row_id")
+    slot = (F.col("first") + F.row_number().over(order) - 1).cast("long")
+    return placed.join(_first_slots(placed), ["shard", "piece"]).withColumn("slot", slot).select("doc_id", "size", "text_crc32", F.col("old_name").alias("old_shard"), "shard", "slot", "piece", "row_id")
+
+
+def _first_slots(placed: DataFrame) -> DataFrame:
+    """shard, piece, first: the slot of the first document of each piece of a new shard."""
     counts = placed.groupBy("shard", "piece").count()
-    first = counts.withColumn("first", F.sum("count").over(Window.partitionBy("shard").orderBy("piece")) - F.col("count")).drop("count")
-    order = Window.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size", "old_name")
-    return placed.join(first, ["shard", "piece"]).withColumn("slot", (F.col("first") + F.row_number().over(order) - 1).cast("long")).select("doc_id", "size", "text_crc32", F.col("old_name").alias("old_shard"), "shard", "slot")
+    return counts.select("shard", "piece", (F.sum("count").over(Window.partitionBy("shard").orderBy("piece")) - F.col("count")).alias("first"))
+
 
+def shard_names(placed: DataFrame) -> list[str | None]:
+    """The old shards that hold documents, in the planner's order."""
+    return sorted((r[0] for r in placed.select("old_shard").distinct().collect()), key=lambda x: (x is None, x))  # one row per file
 
-def rewrite(docs: DataFrame, placed: DataFrame, names: Sequence[str], path: str) -> list[int]:
+
+def rewrite(docs: DataFrame, placed: DataFrame, names: Sequence[str | None], path: str, old_shard: Column | None = None, row_id: Column | None = None) -> list[int]:
     """Write the new shards whose rows differ from the old ones; their numbers.
 
     A new shard that keeps all rows of its old file, and gets none, is left as
-    it is.  ``names`` are the old shards in the planner's order.
+    it is.  ``names`` are the old shards in the planner's order.  Every row of
+    ``docs`` is written once, with all its columns, its shard as the folder and
+    its slot (``shard`` and ``slot``, with underscores where ``docs`` has them).
+
+    With the ``old_shard`` and ``row_id`` that ``reshard`` had, a row finds its
+    shard by the first rows that each old shard gives to each new one, so texts
+    are shuffled once.  Without them rows are paired with placements of the same
+    id, size and crc, one to one.
     """
-    number = {n: i for i, n in enumerate(names)}
     spark = docs.sparkSession
-    order = spark.createDataFrame(list(number.items()), "old_shard string, old_number int")
-    moves = placed.join(order, "old_shard").groupBy("shard", "old_number").count().filter("shard <> old_number").collect()  # one row per transfer
-    affected = sorted({r["shard"] for r in moves} | {r["old_number"] for r in moves})
-    rows = placed.filter(F.col("shard").isin(affected))
-    (docs.join(rows.select("doc_id", "shard", "slot"), "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))
+    order = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, old_number int")
+    moves = placed.join(F.broadcast(order), F.col("old_shard").eqNullSafe(F.col("name")), "left").groupBy("shard", "old_number").count().filter("NOT shard <=> old_number").collect()  # one row per transfer
+    affected = sorted({r["shard"] for r in moves} | {r["old_number"] for r in moves if r["old_number"] is not None})
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    key = [_piece().alias("piece"), F.col("doc_id"), crc_of(F.col("text")).alias("text_crc32"), size_of(F.col("text")).alias("size")]
+    if old_shard is None or row_id is None:
+        nth = Window.partitionBy("doc_id", "text_crc32", "size")
+        own = docs.select(whole, *key).withColumn("nth", F.row_number().over(nth.orderBy(F.xxhash64(F.to_json("whole")))))
+        rows = placed.withColumn("nth", F.row_number().over(nth.orderBy("shard", "slot"))).filter(F.col("shard").isin(affected))
+        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "text_crc32", "size", "nth")]
+        found = own.alias("d").join(rows.alias("p"), same).select("d.whole", "p.shard", "p.slot").repartition("shard").sortWithinPartitions("shard", "slot")
+    else:
+        firsts = placed.groupBy("old_shard", "shard").agg(F.min(F.struct(*_KEY, "row_id")).alias("first"))
+        firsts = firsts.groupBy("old_shard").agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("firsts"))  # one entry per transfer
+        own = docs.select(whole, *key, row_id.cast("long").alias("row_id"), old_shard.cast("string").alias("old_name"))
+        at = F.size(F.filter("firsts", lambda f: f["first"] <= F.struct(*_KEY, "row_id")))
+        own = own.join(F.broadcast(firsts), F.col("old_name").eqNullSafe(F.col("old_shard"))).withColumn("shard", F.element_at("firsts", at)["shard"])
+        own = own.drop("firsts", "old_shard").filter(F.col("shard").isin(affected))
+        largest = placed.groupBy("shard").agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] or 0
+        parts = min(PIECES, max(1, -(-largest // WRITE_BYTES)))
+        own = own.withColumn("part", F.floor(F.col("piece") * parts / PIECES).cast("int")).repartition("shard", "part")
+        within = Window.partitionBy("shard", "part", "piece").orderBy("doc_id", "text_crc32", "size", "old_name", "row_id")
+        found = own.withColumn("nth", F.row_number().over(within)).join(F.broadcast(_first_slots(placed)), ["shard", "piece"])
+        found = found.select("whole", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    found.select("whole.*", F.col("shard").alias(shard), F.col("slot").alias(slot)).write.partitionBy(shard).parquet(path)
     return affected

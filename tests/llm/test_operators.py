@@ -76,6 +76,25 @@ def test_rewriting_touches_only_changed_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == placed.filter(F.col("shard").isin(done)).count()
 
 
+@pytest.mark.parametrize("by_row", [False, True])
+def test_rewriting_keeps_null_and_repeated_ids(spark, tmp_path, by_row):
+    from pyspark.sql import functions as F
+
+    data = [([None, 7, i, i][i % 4], f"text {i % 11} of {i // 3} " * (1 + i % 5), None if i % 6 == 0 else f"f{i % 3}", i, 9) for i in range(120)]
+    data += [(None, "same", "f1", 200 + i, 9) for i in range(40)] + [(None, None, None, 300, 9), (7, None, "f0", 301, 9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, file string, row long, shard int").repartition(3)
+    row_id = F.col("row") if by_row else None
+    placed = reshard.reshard(docs, 4, F.col("file"), row_id)
+    names = reshard.shard_names(placed)
+    assert names == ["f0", "f1", "f2", None]
+    done = reshard.rewrite(docs, placed, names, str(tmp_path / "out"), *([F.col("file"), row_id] if by_row else []))
+    assert done == [0, 1, 2, 3]
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.text, r.file, r.row, r.shard) for r in rows) == Counter(data)
+    raw = lambda r: (r.text or "").encode()
+    assert Counter((r.doc_id, len(raw(r)) + 16, zlib.crc32(raw(r)), r.shard_, r.slot) for r in rows) == Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in placed.collect())
+
+
 def test_resharding_an_empty_table(spark):
     from pyspark.sql import functions as F
 
