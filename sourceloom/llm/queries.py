@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.llm import decontaminate, mixing, multi_index, near_dup, quality, repeats, reshard, token_ids, toxicity, warc
-from sourceloom.llm.common import read_table
+from sourceloom.llm.common import read_table, stage_path
 
 SHARDS = 40
 TOKENIZER = "word_bpe_49k.json"
@@ -24,7 +24,8 @@ def tokenizer_json(name: str = TOKENIZER) -> str:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    placed = reshard.reshard(docs, SHARDS, F.col("_metadata.file_path"))
+    path = stage_path(spark, "reshard-files")
+    placed = reshard.reshard_files(docs, SHARDS, path)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

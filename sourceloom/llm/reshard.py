@@ -21,8 +21,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sourceloom.llm.common import free_name, stage_table
+from sourceloom.llm.common import discard, free_name, stage_table
 
 OVERHEAD = 16
 #: Pieces that the stream of one old shard is cut into for prefix sums.
@@ -265,3 +266,29 @@ def rewrite(docs: DataFrame, placed: DataFrame, names: Sequence[str | None], pat
     shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
     found.select("whole.*", F.col("shard").alias(shard), F.col("slot").alias(slot)).write.partitionBy(shard).parquet(path)
     return affected
+
+
+def reshard_files(docs: DataFrame, shards: int, path: str) -> DataFrame:
+    """Move Parquet files to ``shards`` shards; doc_id, size, text_crc32, shard, slot as read back.
+
+    Old shards are the files of ``docs``.  Affected shards are written under
+    ``path``; the others are read where they are, a row's slot being its place in the file.
+    """
+    spark = docs.sparkSession
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    placed = stage_table(reshard(docs, shards, file, row), "reshard-plan")
+    names = shard_names(placed)
+    affected = rewrite(docs, placed, names, path, file, row)
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    found = []
+    if affected:
+        schema = StructType([*docs.schema.fields, StructField(slot, LongType()), StructField(shard, IntegerType())])
+        found.append(spark.read.schema(schema).parquet(path).select("doc_id", "text", F.col(f"`{shard}`").alias("shard"), F.col(f"`{slot}`").alias("slot")))
+    left = [(n, i) for i, n in enumerate(names) if i not in set(affected)]
+    if left or not affected:
+        kept = F.broadcast(spark.createDataFrame(left, "name string, shard int"))
+        own = docs.select("doc_id", "text", file.alias("file"), row.alias("slot"))
+        found.append(own.join(kept, F.col("file") == F.col("name")).select("doc_id", "text", "shard", "slot"))
+    rows = found[0] if len(found) == 1 else found[0].union(found[1])
+    discard(placed)
+    return rows.select("doc_id", size_of(F.col("text")).alias("size"), crc_of(F.col("text")).alias("text_crc32"), "shard", "slot")

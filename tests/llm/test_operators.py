@@ -95,6 +95,29 @@ def test_rewriting_keeps_null_and_repeated_ids(spark, tmp_path, by_row):
     assert Counter((r.doc_id, len(raw(r)) + 16, zlib.crc32(raw(r)), r.shard_, r.slot) for r in rows) == Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in placed.collect())
 
 
+def test_the_sharding_query_reads_back_rewritten_files(spark, tmp_path):
+    folder = D.write(spark, tmp_path)
+    found = queries.op1_sharding(spark, folder)
+    files = [f for f in found.inputFiles() if "reshard-files" in f]
+    assert files and all("/shard_=" in f for f in files)  # the table has a column shard
+    rows = spark.read.parquet(*{f.split("/shard_=")[0] for f in files})
+    assert Counter((r.doc_id, r.text) for r in rows.collect()) == Counter((r[0], r[1]) for r in D.rows())
+    raw = [(r[0], (r[1] or "").encode()) for r in D.rows()]
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in found.collect()) == Counter((i, len(x) + 16, zlib.crc32(x)) for i, x in raw)
+
+
+def test_files_that_fit_stay_where_they_are(spark, tmp_path):
+    docs = [spark.createDataFrame([(10 * k + i, "x" * 84) for i in range(4 if k < 2 else 2)], "doc_id long, text string").coalesce(1) for k in range(4)]
+    for k, part in enumerate(docs):
+        part.write.parquet(str(tmp_path / f"f{k}"))
+    whole = spark.read.parquet(*[str(tmp_path / f"f{k}") for k in range(4)])
+    found = reshard.reshard_files(whole, 3, str(tmp_path / "out"))
+    rows = found.collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in rows if r.shard < 2) == [(10 * k + i, k, i) for k in range(2) for i in range(4)]
+    assert sorted((r.doc_id, r.shard) for r in rows if r.shard == 2) == [(i, 2) for i in (20, 21, 30, 31)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["shard=2"]
+
+
 def test_resharding_an_empty_table(spark):
     from pyspark.sql import functions as F
 
