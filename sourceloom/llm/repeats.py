@@ -15,8 +15,9 @@ Full external recursion over the whole corpus would put every suffix on disk,
 which is over ten times the text; so shards are cut by content instead, and
 Spark's shuffle is the disk-backed queue between them.
 
-Hot groups: of runs with one hash in a batch, one goes to the shared bucket and
-the rest are settled as repeated on the spot; of equal runs in a batch, only
+Hot groups: of runs with one hash in a batch, those of the smallest and of the
+largest document go to the shared bucket, so that it sees several owners wherever
+there are any, and the rest are settled as repeated on the spot; of equal runs in a batch, only
 that of the smallest document goes to a shard.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes lose
@@ -83,16 +84,16 @@ def window_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram:
 
 
 def _shared(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries have a hash that another owner has too; and the first entry of each such hash."""
+    """Which entries have a hash that another owner has too; and two entries of each such hash, of its smallest and largest owner."""
     if not len(hashes):
         return np.zeros(0, bool), np.zeros(0, np.int64)
-    order = np.argsort(hashes, kind="stable")
+    order = np.lexsort((owner, hashes))
     at = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
-    sorted_owner = owner[order]
-    many = np.minimum.reduceat(sorted_owner, at) != np.maximum.reduceat(sorted_owner, at)
+    last = np.append(at[1:], len(hashes)) - 1
+    many = owner[order[at]] != owner[order[last]]
     flags = np.zeros(len(hashes), bool)
-    flags[order] = np.repeat(many, np.diff(np.append(at, len(hashes))))
-    return flags, order[at[many]]
+    flags[order] = np.repeat(many, last - at + 1)
+    return flags, order[np.concatenate([at[many], last[many]])]
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -141,9 +142,9 @@ def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
                 part["row"] += np.uint32(i)
                 parts.append(part)
             runs = np.concatenate(parts) if parts else np.zeros(0, _RUN)
-            known, one = _shared(runs["hash"], doc[runs["row"]])
+            known, two = _shared(runs["hash"], doc[runs["row"]])
             sent = ~known
-            sent[one] = True
+            sent[two] = True
             bucket = (runs["hash"] >> np.uint64(32)).astype(np.int64) % buckets
             rows, names = [], []
             for flags, base in ((sent, 0), (known, buckets)):  # known to repeat: passed through, dealt by row

@@ -263,6 +263,22 @@ def test_repeats_of_an_empty_table(spark):
 # ------------------------------------------------------------- decontamination
 
 
+def test_repeats_with_null_ids_in_many_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    passage = [D.prose(500 + i, 30) for i in range(12)]
+    rows = []
+    for i, p in enumerate(passage):  # a batch with a null id and document i, and one with null ids only
+        rows += [(None, f"{p} first {i}"), (i, f"second {i} {p}"), (None, f"third {i} {p}"), (None, f"fourth {i}")]
+        rows += [(77, f"fifth {i} {D.prose(600 + i, 30)}"), (78, f"sixth {i} {D.prose(600 + i, 30)}"), (77, f"{D.prose(600 + i, 30)} seventh {i}"), (77, "eighth")]
+    spark.conf.set(key, "2")
+    try:
+        got = Counter(tuple(x) for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == brute_repeats(rows)
+
+
 def brute_hits(rows, items):
     windows = defaultdict(set)
     for item, t in items:
