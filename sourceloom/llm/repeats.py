@@ -6,7 +6,9 @@ with a smaller id.  All strings are judged on the input.
 1. Windows of ``LENGTH`` bytes are grouped into runs by their smallest hashed
    ``GRAM``-byte string, which equal windows share.  Runs whose smallest hash no
    other document has can't repeat; hashes are compared bucket by bucket.
-2. The bytes of the other runs are dealt by that hash to shards that fit memory.
+2. The bytes of the other runs are dealt by that hash to shards that fit memory;
+   where the runs of a hash have over ``HOT_BYTES``, each window is a row instead,
+   and its smallest document comes from an aggregation by the window's bytes.
    Each shard sorts its suffixes by induced sorting; equal neighbours tell the
    smallest document of every window.
 3. A document's flagged windows come together and its other bytes are kept.
@@ -46,6 +48,8 @@ GRAM = 20
 #: Bytes of text for each bucket of hashes, and of run bytes for each shard.
 BUCKET_BYTES = 24 << 20
 SHARD_BYTES = 3 << 20
+#: Bytes of runs with one hash beyond which their windows are compared one by one.
+HOT_BYTES = SHARD_BYTES
 _LONGEST_RUN = 4096
 _NULL_ID = (1 << 63) - 1
 
@@ -175,10 +179,111 @@ def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
     return _gathered(found.groupBy("bucket").applyInArrow(shared, _PACKED), "doc", "runs", _RUN)
 
 
-def _flagged(texts: DataFrame, shards: int) -> DataFrame:
-    """rid, spans (pairs of first window and number) of windows that start in a smaller document too.
+def _hot_slots(texts: DataFrame, slots: int) -> np.ndarray:
+    """Slots (hashes modulo ``slots``) whose runs have over ``HOT_BYTES``, in order."""
 
-    ``texts`` has rid, doc, text and runs (packed).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots)
+        for batch in batches:
+            data, offs = text_buffers(batch.column("runs"))
+            own = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), _RUN)
+            total += np.bincount((own["hash"] % np.uint64(slots)).astype(np.int64), own["size"].astype(np.int64) + LENGTH - 1, slots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], ["slot", "bytes"])
+
+    sums = texts.select("runs").mapInArrow(run, "slot long, bytes long").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+    return np.array(sorted(r["slot"] for r in sums.filter(F.col("bytes") > HOT_BYTES).collect()), np.int64)  # at most one for each HOT_BYTES
+
+
+def _own_runs(lists: pa.Array, i: int, j: int, offs: np.ndarray, slots: int, hot: np.ndarray, want_hot: bool) -> np.ndarray:
+    """The runs of texts i to j that fit them, of hot slots or of all others."""
+    parts = []
+    for k in range(i, j):
+        own = np.unique(np.frombuffer(lists[k].as_py(), _RUN)[["start", "size", "hash"]])
+        own = own[own["start"].astype(np.int64) + own["size"] + LENGTH - 1 <= offs[k + 1] - offs[k]]
+        part = np.zeros(len(own), _RUN)
+        for name in ("start", "size", "hash"):
+            part[name] = own[name]
+        part["row"] = k
+        parts.append(part)
+    runs = np.concatenate(parts)
+    if len(hot):
+        return runs[np.isin((runs["hash"] % np.uint64(slots)).astype(np.int64), hot) == want_hot]
+    return runs[:0] if want_hot else runs
+
+
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(start), _SPAN)
+    out["start"], out["count"] = start, count
+    return out
+
+
+def _hot_windows(texts: DataFrame, slots: int, hot: np.ndarray) -> DataFrame:
+    """key, doc, entries (pairs of rid and window) of the windows of hot runs.
+
+    Of equal windows in a chunk those of the smallest document share a row; the
+    others are settled, and have a null key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffers(batch.column("text"))
+            rid, doc = batch.column("rid").to_numpy(), batch.column("doc").to_numpy()
+            for i, j in row_chunks(offs):
+                runs = _own_runs(batch.column("runs"), i, j, offs, slots, hot, True)
+                if not len(runs):
+                    continue
+                chunk = data[offs[i] : offs[j]]
+                count, row = runs["size"].astype(np.int64), runs["row"].astype(np.int64)
+                at = np.repeat(offs[row] - offs[i] + runs["start"] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                row = np.repeat(row, count)
+                content = SpanHasher(chunk)(at, at + LENGTH)
+                order = np.lexsort((doc[row], content))
+                at, row, content = at[order], row[order], content[order]
+                new = np.concatenate([[True], content[1:] != content[:-1]])
+                lead = np.flatnonzero(new)
+                later = doc[row] > doc[row[lead]][np.cumsum(new) - 1]
+                entries = np.stack([rid[row], at - (offs[row] - offs[i])], axis=1).astype(np.int64)
+                if later.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([_blob(entries[later])], pa.binary())], ["key", "doc", "entries"])
+                size = np.add.reduceat(~later, lead, dtype=np.int64)
+                entries, end = entries[~later], np.cumsum(size)
+                for a in range(0, len(lead), 1 << 14):
+                    own = slice(a, min(a + (1 << 14), len(lead)))
+                    n, low = own.stop - a, int(end[a] - size[a])
+                    keys = chunk[at[lead[own]][:, None] + np.arange(LENGTH)]
+                    cuts = np.concatenate([[0], end[own] - low]).astype(np.int32) * np.int32(16)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * np.int32(LENGTH)).tobytes()), pa.py_buffer(_blob(keys))]),
+                        pa.array(doc[row[lead[own]]], pa.int64()),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(_blob(entries[low : end[own.stop - 1]]))]),
+                    ], ["key", "doc", "entries"])
+
+    return texts.mapInArrow(run, "key binary, doc long, entries binary")
+
+
+def _hot_flagged(found: DataFrame, shards: int) -> DataFrame:
+    """Packed spans of the windows of ``_hot_windows`` that start in a smaller document too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffers(batch.column("entries"))
+            own = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.int64).reshape(-1, 2)
+            if not len(own):
+                continue
+            own = own[np.lexsort((own[:, 1], own[:, 0]))]
+            new = np.flatnonzero(np.concatenate([[True], (own[1:, 0] != own[:-1, 0]) | (own[1:, 1] != own[:-1, 1] + 1)]))
+            yield from _packed(own[new, 0], _spans(own[new, 1], np.diff(np.append(new, len(own)))), shards).to_batches()
+
+    least = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
+    later = found.join(least, "key").filter("doc > least").select("entries")  # null keys don't meet
+    return later.union(found.filter("key IS NULL").select("entries")).mapInArrow(run, _PACKED)
+
+
+def _flagged(texts: DataFrame, shards: int, slots: int, hot: np.ndarray) -> DataFrame:
+    """Packed spans (first window and number, by rid) of windows that start in a smaller document too.
+
+    ``texts`` has rid, doc, text and runs (packed); runs of hot slots are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +292,7 @@ def _flagged(texts: DataFrame, shards: int) -> DataFrame:
             rid, doc = batch.column("rid").to_numpy(), batch.column("doc").to_numpy()
             lists = batch.column("runs")  # packed
             for i, j in row_chunks(offs, 4 << 20):
-                parts = []
-                for k in range(i, j):
-                    own = np.unique(np.frombuffer(lists[k].as_py(), _RUN)[["start", "size", "hash"]])
-                    own = own[own["start"].astype(np.int64) + own["size"] + LENGTH - 1 <= offs[k + 1] - offs[k]]
-                    part = np.zeros(len(own), _RUN)
-                    for name in ("start", "size", "hash"):
-                        part[name] = own[name]
-                    part["row"] = k
-                    parts.append(part)
-                runs = np.concatenate(parts)
+                runs = _own_runs(lists, i, j, offs, slots, hot, False)
                 row = runs["row"].astype(np.int64)
                 first = offs[row] + runs["start"] - offs[i]
                 chunk = data[offs[i] : offs[j]]
@@ -226,21 +322,16 @@ def _flagged(texts: DataFrame, shards: int) -> DataFrame:
                     bodies.append(b"")
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(metas, pa.binary()), pa.array(bodies, pa.binary())], ["shard", "meta", "body"])
 
-    def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(start), _SPAN)
-        out["start"], out["count"] = start, count
-        return out
-
     def judge(table: pa.Table) -> pa.Table:
         meta = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("meta").to_pylist()]).reshape(-1, 4)
         if table.column("shard")[0].as_py() >= shards:
-            return _packed(meta[:, 0], spans(meta[:, 2], meta[:, 3]), shards)
+            return _packed(meta[:, 0], _spans(meta[:, 2], meta[:, 3]), shards)
         body = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
         rid, start, count = judge_runs(meta, body)
-        return _packed(rid, spans(start, count), shards)
+        return _packed(rid, _spans(start, count), shards)
 
     dealt = texts.mapInArrow(run, "shard long, meta binary, body binary")
-    return _gathered(dealt.groupBy("shard").applyInArrow(judge, _PACKED), "rid", "spans", _SPAN)
+    return dealt.groupBy("shard").applyInArrow(judge, _PACKED)
 
 
 def judge_runs(meta: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,7 +393,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     texts = stage_table(texts.dropDuplicates(["key", "doc"]).withColumn("rid", F.monotonically_increasing_id()), "repeat-texts")
 
     discard(runs)
-    spans = stage_table(_flagged(texts.select("rid", "doc", "text", "runs"), shards), "repeat-spans")
+    own, slots = texts.select("rid", "doc", "text", "runs"), 32 * shards
+    hot = _hot_slots(texts, slots)
+    flagged, windows = _flagged(own, shards, slots, hot), []
+    if len(hot):
+        windows.append(stage_table(_hot_windows(own, slots, hot), "repeat-hot"))
+        flagged = flagged.union(_hot_flagged(windows[0], shards))
+    spans = stage_table(_gathered(flagged, "rid", "spans", _SPAN), "repeat-spans")
+    discard(*windows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -279,6 +279,21 @@ def test_repeats_with_null_ids_in_many_batches(spark):
     assert got == brute_repeats(rows)
 
 
+def test_a_hot_string_spreads_over_many_groups(spark, monkeypatch):
+    phrase, longer = "twenty-six bytes, no more.", D.prose(700, 40)
+    rows = [([None, 5, i][i % 3 if i % 7 else 2], f"{D.prose(800 + i, 12)} {phrase} {D.prose(800 + i // 2 * 2, 9 + i % 5)}" + f" {longer}" * (i % 4 == 0)) for i in range(90)]
+    judged = []
+    real = repeats._hot_windows
+    monkeypatch.setattr(repeats, "HOT_BYTES", 2000)
+    monkeypatch.setattr(repeats, "_hot_windows", lambda texts, slots, hot: judged.append(len(hot)) or real(texts, slots, hot))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(x) for x in repeats.remove_repeats(docs).collect())
+    assert judged and judged[0] >= 1
+    assert got == brute_repeats(rows)
+    monkeypatch.setattr(repeats, "HOT_BYTES", 0)  # all windows one by one
+    assert Counter(tuple(x) for x in repeats.remove_repeats(D.frame(spark)).collect()) == brute_repeats([(r[0], r[1]) for r in D.rows()])
+
+
 def brute_hits(rows, items):
     windows = defaultdict(set)
     for item, t in items:
