@@ -94,14 +94,32 @@ def split_arguments(inside: Column) -> Column:
 
 
 def imports(table: DataFrame) -> DataFrame:
-    """path, language, statement, start, end; a Python statement in parentheses may run over lines."""
+    """path, language, statement, start, end; a list in parentheses or braces may run over any number of lines.
+
+    It ends at the first line at which the running depth is back at that before
+    its head; a list that is never closed is its head line only.
+    """
     python = F.col("language") == "python"
     head = F.when(python, F.col("line").rlike(r"^\s*(import\s|from\s+\S+\s+import\b)")).otherwise(F.col("line").rlike(r"^\s*import\b|\brequire\s*\("))
-    order = Window.partitionBy("path").orderBy("line_no")
-    following = F.array_join(F.collect_list("line").over(order.rowsBetween(0, 20)), "\n")  # at most 20 lines
-    statement = F.when(python & F.col("line").rlike(r"\([^)]*$"), F.regexp_extract(following, r"^([^)]*\))", 1)).otherwise(F.col("line"))
-    rows = table.withColumns({"is_import": head, "statement": statement}).filter("is_import")
-    return rows.select("path", "language", F.trim("statement").alias("statement"), F.col("byte_start").alias("start"), (F.col("byte_start") + F.octet_length("statement")).alias("end"), "line_no")
+    opens = F.when(python, F.col("code").rlike(r"^\s*from\s+\S+\s+import\b[^()]*\([^)]*$")).otherwise(F.col("code").rlike(r"^\s*import\s[^'\"({]*\{[^}]*$"))
+    parens = F.regexp_count("code", F.lit(r"\(")) - F.regexp_count("code", F.lit(r"\)"))
+    until = F.sum(parens).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    level = F.when(python, until).otherwise(F.col("depth") + F.col("opened"))
+    rows = table.withColumns({"is_import": head, "opens": opens, "level": level, "before": F.when(python, until - parens).otherwise(F.col("depth"))})
+    # the statement's end within its last line, and the line without comments
+    stop = F.when(python, F.col("byte_start") + F.octet_length(F.regexp_extract("line", r"^[^)]*\)", 0))).otherwise(F.col("byte_end"))
+    bare_line = F.when(python, F.regexp_replace("line", r"\s*#.*$", "")).otherwise(F.trim(F.regexp_replace(F.regexp_replace("line", r"/\*.*?\*/|(^|[\s,{])//.*$", "$1"), r"^\s+|\s+$", "")))
+    later = rows.select(F.col("path").alias("p"), F.col("line_no").alias("n"), F.col("level").alias("l"), stop.alias("stop"), bare_line.alias("part"))
+    long = rows.filter("is_import AND opens").select("path", "line_no", "before")
+    after = (F.col("path") == F.col("p")) & (F.col("n") > F.col("line_no")) & (F.col("l") <= F.col("before"))
+    ends = long.join(later, after).groupBy("path", "line_no").agg(F.min(F.struct("n", "stop")).alias("last"))
+    inside = (F.col("path") == F.col("p")) & F.col("n").between(F.col("line_no"), F.col("last.n"))
+    parts = ends.join(later.drop("stop"), inside).groupBy("path", "line_no", "last").agg(F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    joined = parts.select("path", "line_no", F.col("last.stop").alias("stop"), F.col("parts.part").alias("parts"))
+    rows = rows.filter("is_import").join(joined, ["path", "line_no"], "left")
+    whole = F.when(python, F.regexp_extract(F.array_join("parts", "\n"), r"^([^)]*\))", 1)).otherwise(F.array_join("parts", " "))
+    statement = F.coalesce(whole, F.col("line"))
+    return rows.select("path", "language", F.trim(statement).alias("statement"), F.col("byte_start").alias("start"), F.coalesce("stop", "byte_end").alias("end"), "line_no")
 
 
 def assignments(table: DataFrame) -> DataFrame:

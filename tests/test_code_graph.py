@@ -313,3 +313,17 @@ def test_cache_probe(spark):
     files_ = spark.createDataFrame([("a", "s1", "g", "q"), ("a", "s2", "g", "q")], "path string, blob_sha256 string, grammar_fp string, query_fp string")
     got = {r.blob_sha256: r.cache_state for r in incremental.split_cached(files_, files_.limit(1).union(files_.filter("blob_sha256 = 's1'"))).collect()}
     assert got["s1"] == "hit"
+
+
+def test_imports_over_many_lines(spark):
+    names = [f"n{i}" for i in range(60)]
+    python = "x = f(\n  1)\nfrom a.b import (  # (all\n" + "".join(f"    {n} as m_{n},  # of {n})\n" for n in names) + ")  # end\nimport os\nfrom c import (\n    never,\n"
+    script = "import D, {\n" + "".join(f"\t{n} as m_{n}, // of {n} }}\n" for n in names) + "} from \"m\";\nimport { a } from 'https://q';\nimport type {\n  T /* a type */\n} from 't';\nconst f = () => {\n};\n"
+    table = spark.createDataFrame([("a.py", "python", python), ("b.ts", "typescript", script)], "path string, language string, text string")
+    found = captures.imports(captures.lines(table)).orderBy("path", "line_no").collect()
+    text = {"a.py": python, "b.ts": script}
+    assert [text[r.path][r.start : r.end].split("\n")[-1] for r in found] == [")", "import os", "from c import (", "} from \"m\";", "import { a } from 'https://q';", "} from 't';"]
+    got = [[tuple(x) for x in one(spark, (T.python_imports if r.language == "python" else graph.script_imports)(F.lit(r.statement)))] for r in found]
+    assert got[0] == [("a.b", n, f"m_{n}", "named") for n in names] and got[1] == [("os", None, "os", "module")]
+    assert got[3] == [("m", "default", "D", "default")] + [("m", n, f"m_{n}", "named") for n in names]
+    assert got[4] == [("https://q", "a", "a", "named")] and [x[:3] for x in got[5]] == [("t", "T", "T")]
