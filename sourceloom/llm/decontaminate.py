@@ -12,7 +12,9 @@ most ``block_bytes`` of text each; the hits of several blocks are merged.
 
 Defined results: null and empty texts have no words and are clean; items
 without words match nothing; repeated rows are separate documents; equal items
-all count; an empty benchmark leaves every document clean; only the id and text
+all count; items without an id are one item, whose words count as hits and which
+counts as one in ``n_items``, but not in ``items_sha256``; an empty benchmark
+leaves every document clean; only the id and text
 columns of both tables are read, so other columns can't clash.
 """
 
@@ -93,12 +95,16 @@ class PatternGroup:
                 yield first, p
 
 
-def pattern_groups(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[PatternGroup]:
+def _nulls_last(item: int | None) -> tuple[bool, int | None]:
+    return item is None, item
+
+
+def pattern_groups(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[PatternGroup]:
     """The patterns of a block of the benchmark, by length."""
     encoded = [(x[1] or "").encode() for x in items]
     offs = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
     w = words(np.frombuffer(b"".join(encoded), np.uint8), offs)
-    found: dict[tuple[bytes, ...], tuple[np.ndarray, set[int]]] = {}
+    found: dict[tuple[bytes, ...], tuple[np.ndarray, set[int | None]]] = {}
     for i, (item, _) in enumerate(items):
         lo, hi = int(w.first[i]), int(w.first[i + 1])
         size = min(window, hi - lo)
@@ -108,7 +114,7 @@ def pattern_groups(items: list[tuple[int, str | None]], window: int = WINDOW) ->
     groups = []
     for length in sorted({len(k) for k in found}):
         own = [(k, *v) for k, v in found.items() if len(k) == length]
-        groups.append(PatternGroup(length, np.stack([x[1] for x in own]), [x[0] for x in own], [sorted(x[2]) for x in own]))
+        groups.append(PatternGroup(length, np.stack([x[1] for x in own]), [x[0] for x in own], [sorted(x[2], key=_nulls_last) for x in own]))
     return groups
 
 
@@ -154,11 +160,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("digest", "copies", "copy")
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str | None]]]:
-    """The items in blocks of about ``block_bytes`` of text; items without an id are left out."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int | None, str | None]]]:
+    """The items in blocks of about ``block_bytes`` of text; all items without an id are one item."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("size")).first()["size"]
     blocks = max(1, -(-size // block_bytes))
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL")
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     return [[(r[0], r[1]) for r in own.filter(part == k).collect()] for k in range(blocks)]
 
@@ -194,7 +200,7 @@ def _block_hits(docs: DataFrame, items: list[tuple[int, str | None]], window: in
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(i, j - i), batch.column("digest").slice(i, j - i), pa.array(n_words, pa.int64()),
                     pa.array([[{"lo": a, "hi": b} for a, b in spans.get(r, ())] for r in rows], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-                    pa.array([sorted(found.get(r, ())) for r in rows], pa.list_(pa.int64())),
+                    pa.array([sorted(found.get(r, ()), key=_nulls_last) for r in rows], pa.list_(pa.int64())),
                 ], ["doc_id", "digest", "n_words", "spans", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))

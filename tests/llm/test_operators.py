@@ -337,6 +337,17 @@ def test_decontamination_with_empty_tables(spark):
 # ------------------------------------------------------------------------ warc
 
 
+@pytest.mark.parametrize("block_bytes", [1, 1 << 30])
+def test_benchmark_items_without_an_id(spark, block_bytes):
+    a, b, c = (D.prose(900 + i, 14) for i in range(3))
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"{b} {c}"), (3, "clean"), (None, f"{a} {b}")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, a), (None, c), (8, b), (9, None), (None, None)], "item_id long, text string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = decontaminate.digest(decontaminate.find_hits(docs, items, block_bytes=block_bytes)).collect()
+    assert {r.doc_id: tuple(r)[2:] for r in rows} == {1: (14, 1, sha(""), True), 2: (28, 2, sha("8"), True), 3: (0, 0, sha(""), False), None: (28, 2, sha("8"), True)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items, block_bytes=block_bytes).collect()] == [3]
+
+
 def brute_warc(rows):
     raw = [(p, (h or "").encode()) for p, _, h in rows]
     top = {}
