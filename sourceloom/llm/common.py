@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,53 @@ from sourceloom.session import ship_package
 
 #: Bytes of text that the numpy kernels work on at a time (a longer text is one piece).
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 8 << 20
+
+
+def _release() -> None:
+    """Give the memory that this worker's allocators hold but don't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """``run`` for mapInArrow, whose worker gives back its free memory at the end of each partition.
+
+    Python workers are used again by later stages; without this, each keeps the
+    most that any of them has needed.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return wrapped
+
+
+def releasing_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` for applyInArrow, likewise at the end of each group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        _release()
+        return out
+
+    return wrapped
+
+
+def releasing_groups(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for groups of two tables."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        _release()
+        return out
+
+    return wrapped
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +103,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Let the workers import this package, and bound Arrow batches by bytes, as rows may be very long."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,11 +2,14 @@
 
 A word is a longest run of ASCII digits, ASCII letters (lower-cased) and bytes
 over 0x7F.  Words are hashed to 64 bits with a polynomial over random byte
-codes, taken from prefix sums, so that no Python code runs per word.
+codes, taken from prefix sums, so that no Python code runs per word.  Such a
+polynomial has known collisions between long strings, so words of more than
+``LONG_WORD`` bytes get a cryptographic hash instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +25,11 @@ LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True
 
+#: Bytes beyond which a word is hashed on its own.
+LONG_WORD = 48
+#: Powers that a worker keeps at most; a longer table lives for one call.
+KEPT_POWERS = (1 << 20) + 1
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -29,10 +37,11 @@ def _table(which: str, base: int, n: int) -> np.ndarray:
     """base ** i for i < n, modulo 2 ** 64."""
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        factors = np.full(size, base, np.uint64)
+        factors = np.full(max(n, 1 << 16), base, np.uint64)
         factors[0] = 1
-        have = _powers[which] = np.multiply.accumulate(factors)
+        have = np.multiply.accumulate(factors)
+        if len(have) <= KEPT_POWERS:
+            _powers[which] = have
     return have
 
 
@@ -92,4 +101,8 @@ def words(data: np.ndarray, offs: np.ndarray) -> Words:
     starts, ends = runs(IS_WORD[data], offs)
     lower = LOWER[data]
     hasher = SpanHasher(lower)
-    return Words(starts, ends, hasher(starts, ends), np.searchsorted(starts, offs), lower, hasher)
+    hashes = hasher(starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        hashes[long] = [int.from_bytes(hashlib.blake2b(lower[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return Words(starts, ends, hashes, np.searchsorted(starts, offs), lower, hasher)
