@@ -22,6 +22,7 @@ def write_raw(blocks: DataFrame, name: str, separator: str, path: str | None = N
     return path
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """content of every file of a folder that write_raw made."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+def read_raw(spark: SparkSession, path: str, *, file: str | None = None) -> DataFrame:
+    """content of every file of a folder that write_raw made; its path as the column ``file`` if asked."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return rows.select("content", *([F.col("path").alias(file)] if file else []))

@@ -2,48 +2,56 @@
 
 Documents are dealt by ranges of doc_id, encoded, and written to shards.  A
 shard holds a minimal perfect hash of its document keys with a fingerprint per
-slot, so that a key's ids are found in constant time, and the raw ids.
+slot, so that a key's ids are found in constant time, and the raw ids.  A small
+table beside the shards leads from a key to the files that can hold it.
 
 Encoding: a text is cut at white space and, inside plain chunks (ASCII and
 Latin-1 letters, digits, marks, without apostrophes or special tokens), where
 the tokenizer's own pattern always cuts; equal segments are encoded once by the
-tokenizers library and remembered.  Other chunks are encoded whole.  All of
-this leaves every text's ids as they are for the whole text.
+tokenizers library and remembered by their bytes: segments of under 16 bytes
+are two numbers that hold them whole, longer ones are looked up as they are.
+Other chunks are encoded whole.  All of this leaves every text's ids as they
+are for the whole text.
 
-Layout of a shard, little endian: magic, 8 int64 counts, then sections: sizes
-of the hash levels, their bits, fingerprints, row of each slot, offsets of rows,
-keys of rows, null flags, ids; and a crc32 of all before it.
+Layout of a shard, little endian: magic, 8 int64 counts, then sections: words of
+the hash levels, their bits and ranks, fingerprints, row of each slot, offsets
+of rows, keys of rows, null flags, ids; and a crc32 of all before it.
 
 Defined results: null and empty texts are the end id alone; null ids come
-first; repeated ids keep all their rows, which stand side by side, and the index
-leads to the first; an empty table gives no rows; only the id and text columns
-are read, so other columns can't clash.
+first; rows with one id are in the order of their text's first characters, its
+hash and the text, so that a frequent id, or the null id, may fill many shards;
+the index of a shard leads to its first row of a key; an empty table gives no
+rows; only the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourceloom.llm import perfect_hash
-from sourceloom.llm.common import row_chunks, stage_table, text_buffers
+from sourceloom.llm.common import releasing, row_chunks, stage_table, text_buffers
 from sourceloom.llm.raw_files import read_raw, write_raw
-from sourceloom.llm.words import SpanHasher, runs
+from sourceloom.llm.words import mix, runs
 
 END_ID = 2
 #: Bytes of text for one partition of documents, and ids after which a new shard begins.
 PARTITION_BYTES = 32 << 20
 SHARD_IDS = 1 << 22
-#: Ids that a worker remembers at most for segments it has met.
-POOL_IDS = 1 << 23
-MAGIC = b"IDSHARD1"
+#: Ids that a worker remembers at most for segments it has met, and bytes of long segments.
+POOL_IDS = 1 << 21
+LONG_BYTES = 4 << 20
+#: Leading characters of a text that deal rows with one id to shards, before its hash.
+DEAL_CHARS = 64
+MAGIC = b"IDSHARD2"
 SEPARATOR = "\n"
+INDEX = "_index"
 
 _B = np.arange(256)
 _SPACE = np.isin(_B, [9, 10, 11, 12, 13, 32])
@@ -53,7 +61,10 @@ _KIND[65:91] = _KIND[97:123] = 1
 _KIND[48:58] = 2
 _KIND[39] = 4
 _KIND[128:] = 4
-_SLOTS_BITS = 20
+_SLOTS_BITS = 18
+#: Bytes of a segment that fit two numbers, beside its length.
+_SHORT = 15
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _encoders: dict[str, SegmentEncoder] = {}
 
 
@@ -74,8 +85,11 @@ class SegmentEncoder:
 
     def _reset(self) -> None:
         n = 1 << _SLOTS_BITS
-        self.key, self.start, self.length = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int32)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.low, self.high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.start, self.length = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.long_bytes = 0
 
     def _store(self, ids: np.ndarray) -> int:
         if self.used + len(ids) > len(self.pool):
@@ -101,9 +115,19 @@ class SegmentEncoder:
         base = self._store(np.array([i for x in each for i in x], np.uint32))
         return np.cumsum(length) - length + base, length
 
+    def _encode_new(self, segments: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pool starts and lengths of distinct segments."""
+        texts = [x.decode("utf-8", "replace") for x in segments]
+        start, length = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for which, encode in ((plain, self._encode_plain), (~plain, self._encode_any)):
+            at = np.flatnonzero(which)
+            if len(at):
+                start[at], length[at] = encode([texts[i] for i in at])
+        return start, length
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of the texts; no end ids."""
-        if self.used > POOL_IDS:
+        if self.used > POOL_IDS or self.long_bytes > LONG_BYTES:
             self._reset()
         kind = _KIND[data]
         lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
@@ -131,26 +155,38 @@ class SegmentEncoder:
         start = np.flatnonzero(begin)
         chunk = np.searchsorted(chunk_start, start, side="right") - 1
         end = np.minimum(np.append(start[1:], len(data)), chunk_end[chunk]) if len(start) else start
-        key = SpanHasher(low)(start, end) | np.uint64(1)
-        slot = (key >> np.uint64(64 - _SLOTS_BITS)).astype(np.int64)
-        pool_start, length = self.start[slot], self.length[slot].astype(np.int64)
-        miss = np.flatnonzero(self.key[slot] != key)
+        size = end - start
+        short = size <= _SHORT
+        eight = np.ndarray((len(low) + 9,), "<u8", np.concatenate([low, np.zeros(16, np.uint8)]), strides=(1,))  # from every byte
+        # the bytes and their number: equal numbers are equal segments
+        one = eight[start] & _MASKS[np.minimum(size, 8)]
+        two = (eight[start + np.minimum(size, 8)] & _MASKS[np.clip(size - 8, 0, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+        slot = (mix(one ^ mix(two)) >> np.uint64(64 - _SLOTS_BITS)).astype(np.int64)
+        pool_start, length = self.start[slot].astype(np.int64), self.length[slot].astype(np.int64)
+        miss = np.flatnonzero(short & ((self.low[slot] != one) | (self.high[slot] != two)))
         if len(miss):
-            _, first, inverse = np.unique(key[miss], return_index=True, return_inverse=True)
-            new = miss[first]
-            text = low.tobytes()
-            segments = [text[a:b].decode("utf-8", "replace") for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            plain = ~is_odd[chunk[new]]
-            new_start, new_length = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            for which, encode in ((plain, self._encode_plain), (~plain, self._encode_any)):
-                at = np.flatnonzero(which)
-                if len(at):
-                    new_start[at], new_length[at] = encode([segments[i] for i in at])
-            s = slot[new]
-            self.key[s], self.start[s], self.length[s] = key[new], new_start, new_length
-            again = self.key[s] != key[new]  # two new ones on one slot: none of them is kept wrongly
-            self.key[s[again]] = 0
-            pool_start[miss], length[miss] = new_start[inverse], new_length[inverse]
+            order = np.lexsort((one[miss], two[miss]))
+            a, b = one[miss][order], two[miss][order]
+            fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            new = miss[order[fresh]]
+            new_start, new_length = self._encode_new([low[i:j].tobytes() for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)], ~is_odd[chunk[new]])
+            s, at = np.unique(slot[new], return_index=True)
+            self.low[s], self.high[s], self.start[s], self.length[s] = one[new[at]], two[new[at]], new_start[at], new_length[at]
+            group = np.empty(len(miss), np.int64)
+            group[order] = np.cumsum(fresh) - 1
+            pool_start[miss], length[miss] = new_start[group], new_length[group]
+        long = np.flatnonzero(~short)
+        if len(long):
+            found = [low[i:j].tobytes() for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+            missing: dict[bytes, int] = {}
+            for place, segment in enumerate(found):
+                if segment not in self.long:
+                    missing.setdefault(segment, place)
+            if missing:
+                new_start, new_length = self._encode_new(list(missing), ~is_odd[chunk[long[list(missing.values())]]])
+                self.long.update(zip(missing, zip(new_start.tolist(), new_length.tolist(), strict=True), strict=True))
+                self.long_bytes += sum(len(x) + 128 for x in missing)
+            pool_start[long], length[long] = np.array([self.long[x] for x in found], np.int64).T
         out_end = np.cumsum(length)
         ids = self.pool[np.repeat(pool_start - (out_end - length), length) + np.arange(out_end[-1] if len(out_end) else 0)]
         return ids, np.concatenate([[0], out_end])[np.searchsorted(start, offs)]
@@ -174,8 +210,8 @@ def pack_shard(keys: np.ndarray, null: np.ndarray, offsets: np.ndarray, ids: np.
     mark[slot], row_of[slot] = perfect_hash.fingerprint(distinct), row
     width = ids.dtype.itemsize
     counts = np.array([width, len(keys), len(row), len(ids), len(levels), *order, 0], np.int64)
-    bits = [np.packbits(b, bitorder="little").tobytes() for b in levels]
-    parts = [MAGIC, counts.tobytes(), np.array([len(b) for b in levels], np.int64).tobytes(), *bits, mark.tobytes(), row_of.tobytes(), offsets.astype(np.int64).tobytes(), keys.tobytes(), null.astype(np.uint8).tobytes(), ids.tobytes()]
+    bits = [x.tobytes() for level in levels for x in level]
+    parts = [MAGIC, counts.tobytes(), np.array([len(x.words) for x in levels], np.int64).tobytes(), *bits, mark.tobytes(), row_of.tobytes(), offsets.astype(np.int64).tobytes(), keys.tobytes(), null.astype(np.uint8).tobytes(), ids.tobytes()]
     body = b"".join(parts)
     return body + zlib.crc32(body).to_bytes(4, "little")
 
@@ -195,7 +231,7 @@ class Shard:
 
         width, self.rows, n, n_ids, n_levels, part, number, _ = take(np.int64, 8).tolist()
         self.order = (part, number)
-        self.levels = [np.unpackbits(take(np.uint8, size // 8), bitorder="little").astype(bool) for size in take(np.int64, n_levels).tolist()]
+        self.levels = [perfect_hash.Level(take(np.uint64, size), take(np.uint32, size)) for size in take(np.int64, n_levels).tolist()]
         self.mark, self.row_of = take(np.uint32, n), take(np.uint32, n)
         self.offsets, self.keys = take(np.int64, self.rows + 1), take(np.int64, self.rows)
         self.null = take(np.uint8, self.rows).astype(bool)
@@ -214,6 +250,18 @@ class Shard:
         out[known] = self.row_of[slot[known]]
         return out
 
+    def rows_by_key(self) -> np.ndarray:
+        """Row of each document, found through the index: the first of its key, and those with the same key after it."""
+        full = np.flatnonzero(~self.null)
+        keys, row = self.keys[full], np.arange(self.rows)
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+        first = self.find(keys[new])
+        if (first < 0).any() or (self.keys[first] != keys[new]).any():
+            raise ValueError("the index misses a key")
+        at = np.arange(len(keys))
+        row[full] = first[np.cumsum(new) - 1] + at - np.maximum.accumulate(np.where(new, at, 0))
+        return row
+
     def ids_of(self, key: int) -> list[np.ndarray]:
         """The ids of every row with this key."""
         row = int(self.find(np.array([key], np.int64))[0])
@@ -280,8 +328,45 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str | None = None,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     default = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(max(default, -(-size // PARTITION_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return write_raw(dealt.mapInArrow(run, "block binary"), "token-shards", SEPARATOR, path)
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, DEAL_CHARS), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(max(default, -(-size // PARTITION_BYTES)), *order, F.monotonically_increasing_id()).sortWithinPartitions(*order, "text")
+    return write_raw(dealt.mapInArrow(releasing(run), "block binary"), "token-shards", SEPARATOR, path)
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """Write the table that leads from keys to files: file, shard, first_key, last_key, rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+                for shard in shards_of(content.as_buffer()):
+                    keys = shard.keys[~shard.null]
+                    ends = (int(keys[0]), int(keys[-1])) if len(keys) else (None, None)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((file, shard.order[1], *ends, shard.rows), (pa.string(), *[pa.int64()] * 4), strict=True)], ["file", "shard", "first_key", "last_key", "rows"])
+
+    read_raw(spark, path, file="file").mapInArrow(releasing(run), "file string, shard long, first_key long, last_key long, rows long").write.parquet(f"{path}/{INDEX}")
+
+
+def lookup(spark: SparkSession, path: str, keys: Sequence[int]) -> DataFrame:
+    """doc_id, ids of the rows with one of some keys; only the files whose key range holds a key are read."""
+    wanted = sorted(set(keys))
+    index = spark.read.parquet(f"{path}/{INDEX}")
+    fits = F.lit(False)
+    for key in wanted:
+        fits = fits | ((F.col("first_key") <= key) & (F.col("last_key") >= key))
+    files = [r["file"] for r in index.filter(fits).select("file").distinct().collect()]  # those that may hold the keys asked for
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                for shard in shards_of(content.as_buffer()):
+                    found = [(k, ids.astype(np.int64)) for k in wanted for ids in shard.ids_of(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    schema = "doc_id long, ids array<long>"
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(releasing(run), schema)
 
 
 def read_shards(docs_path: str, spark) -> DataFrame:
@@ -291,20 +376,16 @@ def read_shards(docs_path: str, spark) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 for shard in shards_of(content.as_buffer()):
-                    full = ~shard.null
-                    row = shard.find(shard.keys)
-                    if (row[full] < 0).any() or (shard.keys[row[full]] != shard.keys[full]).any():
-                        raise ValueError("the index misses a key")
-                    ids, cut = shard.ids.astype("<u4"), shard.offsets
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                    n = shard.rows
+                    row, ids, n = shard.rows_by_key(), shard.ids.astype("<u4"), shard.rows
+                    first, last = shard.offsets[row], shard.offsets[row + 1]
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(shard.keys, mask=shard.null), pa.array(cut[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64()),
+                        pa.array(shard.keys, mask=shard.null), pa.array(first), pa.array(last - first), pa.array(crc, pa.int64()),
                         pa.array(np.full(n, shard.order[0])), pa.array(np.full(n, shard.order[1])), pa.array(np.full(n, len(ids))),
                     ], ["doc_id", "at", "n_tokens", "ids_crc32", "part", "number", "shard_ids"])
 
     schema = "doc_id long, at long, n_tokens long, ids_crc32 long, part long, number long, shard_ids long"
-    rows = stage_table(read_raw(spark, docs_path).mapInArrow(run, schema), "token-rows")
+    rows = stage_table(read_raw(spark, docs_path).mapInArrow(releasing(run), schema), "token-rows")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     shards = rows.groupBy("part", "number").agg(F.max("shard_ids").alias("n")).select("part", "number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return rows.join(shards, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
