@@ -5,20 +5,22 @@ none, is one shingle); the similarity of two texts is the weighted Jaccard index
 of their multisets, and texts of ``SIMILARITY`` or more are linked.  Classes are
 the connected components of the links.
 
-Signatures: a shingle of weight w owns the weight cells 0 to w - 1.  Darts fall
-on the plane of cells and ranks, as a Poisson process of unit density that only
-hashes decide.  A text keeps the darts under its own cells whose rank is below
-t / (total weight), about t = k ln k + 2 k of them whatever its length, and the
-earliest dart of each of k coordinates is its signature.  Ranks are cut into
-regions that double in height, so a text only looks at the regions it needs.
+Signatures: darts fall on the plane of weights and ranks of each shingle, as a
+Poisson process of unit density that only hashes decide.  A text keeps the darts
+below its shingles' weights whose rank is below t / (total weight), about
+t = k ln k + 2 k of them whatever its length, and the earliest dart of each of k
+coordinates is its signature.  Weights and ranks are both cut into regions that
+double in size, so a text only looks at the regions it needs: a shingle that
+occurs a thousand times takes ten regions of weight, not a thousand cells.
 
 Candidates: the signature is cut into bands; texts that share a band form a
 bucket.  A bucket is never expanded into all pairs: its members are compared
 with the one that shares most buckets with others, and the links are merged to
-components.  Where a bucket then holds several, the members outside its largest
-one are compared with those of all others, if their signatures, of which a
-sketch of 4 bits a coordinate is kept, differ no more than those of similar texts
-do (but for four standard deviations).  A comparison counts shared cells exactly.
+components.  Where a bucket then holds several, its members are joined on the
+rarest of their shingles: two texts of this similarity share one of the first
+(1 - similarity) of their shingles in any common order, rarest first.  Pairs
+whose lengths and places in that order rule the similarity out go, and of texts
+of one component none is compared.  A comparison counts shared cells exactly.
 
 Defined results: a null text is a class of its own; texts without words are in
 a class with equal texts only; copies and repeated rows share their class; null
@@ -33,18 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import discard, free_name, row_chunks, stage_table, text_buffers
+from sourceloom.llm.common import discard, free_name, releasing, row_chunks, stage_table, text_buffers
 from sourceloom.llm.components import connected_components
 from sourceloom.llm.words import mix, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-#: 64-bit words of a sketch.
-SKETCH = -(-BANDS * ROWS // 16)
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -53,10 +53,10 @@ _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 _LOWEST = 2.0**-3
 
 
-def cells(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of every weight cell, by text."""
+def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every shingle occurrence, by text."""
     w = words(data, offs)
-    text_of, n = w.text_of, len(offs) - 1
+    text_of = w.text_of
     count = np.diff(w.first)
     h = w.hashes
     if len(h) >= SHINGLE:
@@ -76,19 +76,32 @@ def cells(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value, owner = np.concatenate([value, extra + count[short].astype(np.uint64)]), np.concatenate([owner, short])
         order = np.argsort(owner, kind="stable")
         value, owner = value[order], owner[order]
-    value = mix(value)
-    # the j-th repeat of a shingle in its text is cell j of its weight
+    return owner, mix(value)
+
+
+def _grouped(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts equal shingles of a text together, and where each one begins in it."""
     salted = value ^ mix(owner.astype(np.uint64) + U64(1))
     order = np.argsort(salted, kind="stable")
     ordered = salted[order]
-    fresh = np.ones(len(ordered), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    if not fresh.all():
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(ordered)), 0))
-        repeat = np.empty(len(ordered), np.uint64)
-        repeat[order] = (np.arange(len(ordered)) - start).astype(np.uint64)
-        value = value + repeat * _STEP
-    return owner, value
+    return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+
+
+def weighted(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and weight of the distinct shingles of each text."""
+    order, first = _grouped(owner, value)
+    return owner[order[first]], value[order[first]], np.diff(np.append(first, len(order))).astype(float)
+
+
+def cells(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hashes that are distinct in each text: the j-th repeat of a shingle is cell j of its weight."""
+    order, first = _grouped(owner, value)
+    if len(first) == len(order):
+        return value
+    size = np.diff(np.append(first, len(order)))
+    repeat = np.empty(len(order), np.uint64)
+    repeat[order] = (np.arange(len(order)) - np.repeat(first, size)).astype(np.uint64)
+    return value + repeat * _STEP
 
 
 def _poisson_table(area: float) -> np.ndarray:
@@ -98,45 +111,60 @@ def _poisson_table(area: float) -> np.ndarray:
     return np.cumsum(np.exp(logs))
 
 
-_tables: dict[int, tuple[float, float, np.ndarray]] = {}
+_tables: dict[float, np.ndarray] = {}
+
+
+def _poisson(area: float) -> np.ndarray:
+    if area not in _tables:
+        _tables[area] = _poisson_table(area)
+    return _tables[area]
+
+
+def _part(x: np.ndarray) -> np.ndarray:
+    """Hashes as numbers from 0 to 1."""
+    return (x >> U64(11)) * 2.0**-53
 
 
-def _region(m: int) -> tuple[float, float, np.ndarray]:
-    """Lowest rank, height and dart table of rank region m."""
-    if m not in _tables:
-        low = 0.0 if m == 0 else _LOWEST * 2.0 ** (m - 1)
-        height = _LOWEST if m == 0 else low
-        _tables[m] = (low, height, _poisson_table(height))
-    return _tables[m]
+def _region(m: int, least: float) -> tuple[float, float]:
+    """Lower end and size of region m."""
+    return (0.0, least) if m == 0 else (least * 2.0 ** (m - 1), least * 2.0 ** (m - 1))
 
 
-def dart_signatures(owner: np.ndarray, cell: np.ndarray, n: int, k: int = BANDS * ROWS) -> np.ndarray:
-    """n x k signatures; rows of texts without cells are all _EMPTY."""
+def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, k: int = BANDS * ROWS) -> np.ndarray:
+    """n x k signatures of the texts' distinct elements and their weights; rows of texts without any are all _EMPTY."""
     signature = np.full(n * k, _EMPTY, np.uint64)
-    weight = np.bincount(owner, minlength=n)
+    total = np.bincount(owner, weight, minlength=n)
+    filled = total > 0
     darts = k * math.log(k) + 2 * k
-    while len(cell):
-        limit = darts / weight[owner]
-        m = 0
+    while len(element):
+        limit = darts / total[owner]
+        v = 0
         while True:
-            low, height, table = _region(m)
-            at = np.flatnonzero(limit > low) if m else np.arange(len(cell))
-            if not len(at):
+            left, width = _region(v, 1.0)
+            heavy = np.flatnonzero(weight > left)
+            if not len(heavy):
                 break
-            region = mix(cell[at] + U64((m + 1) * int(_STEP) % (1 << 64)))
-            number = np.searchsorted(table, (region >> U64(11)) * 2.0**-53, side="right")
-            which = np.repeat(np.arange(len(at)), number)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
-            dart = mix(region[which] + (nth + 1).astype(np.uint64) * U64(0xD1342543DE82EF95))
-            source = at[which]
-            under = low + height * ((dart >> U64(11)) * 2.0**-53) < limit[source]
-            dart, source = dart[under], source[under]
-            coordinate = ((dart & U64(0xFFFFFFFF)) * U64(k)) >> U64(32)
-            np.minimum.at(signature, owner[source] * k + coordinate.astype(np.int64), (U64(m) << U64(58)) | (dart >> U64(6)))
-            m += 1
-        open_rows = (signature.reshape(n, k) == _EMPTY).any(axis=1) & (weight > 0)
+            m = 0
+            while True:
+                low, height = _region(m, _LOWEST)
+                at = heavy[limit[heavy] > low]
+                if not len(at):
+                    break
+                region = mix(element[at] + U64(((m + 1) * int(_STEP) + v * 0xD6E8FEB86659FD93) % (1 << 64)))
+                number = np.searchsorted(_poisson(width * height), _part(region), side="right")
+                which = np.repeat(np.arange(len(at)), number)
+                nth = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
+                dart = mix(region[which] + (nth + 1).astype(np.uint64) * U64(0xD1342543DE82EF95))
+                source = at[which]
+                under = (low + height * _part(dart) < limit[source]) & (left + width * _part(mix(dart + _STEP)) < weight[source])
+                dart, source = dart[under], source[under]
+                coordinate = ((dart & U64(0xFFFFFFFF)) * U64(k)) >> U64(32)
+                np.minimum.at(signature, owner[source] * k + coordinate.astype(np.int64), (U64(m) << U64(58)) | (dart >> U64(6)))
+                m += 1
+            v += 1
+        open_rows = (signature.reshape(n, k) == _EMPTY).any(axis=1) & filled
         again = open_rows[owner]
-        owner, cell, darts = owner[again], cell[again], darts * 2
+        owner, element, weight, darts = owner[again], element[again], weight[again], darts * 2
     return signature.reshape(n, k)
 
 
@@ -150,32 +178,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """n x SKETCH words with the low 4 bits of every coordinate."""
-    n = len(signature)
-    low = np.zeros((n, SKETCH * 16), np.uint64)
-    low[:, : signature.shape[1]] = signature & U64(15)
-    return np.bitwise_or.reduce(low.reshape(n, SKETCH, 16) << (np.arange(16, dtype=np.uint64) * U64(4)), axis=2)
-
-
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (null for a null text), bands (empty without words), sketch."""
+    """doc_id, text_key (null for a null text), bands (empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             for i, j in row_chunks(offs):
-                owner, cell = cells(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                signature = dart_signatures(owner, cell, j - i)
-                keys, sketch = band_keys(signature).view(np.int64), sketches(signature).view(np.int64)
+                owner, value = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                keys = band_keys(dart_signatures(*weighted(owner, value), j - i)).view(np.int64)
                 full = np.bincount(owner, minlength=j - i) > 0
                 cut = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(cut), pa.array(keys[full].ravel()))
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * SKETCH), pa.array(sketch.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), bands, sketch], ["doc_id", "text_key", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), bands], ["doc_id", "text_key", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5("text")).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(releasing(run), "doc_id long, text_key binary, bands array<long>")
 
 
 def _cell_lists(texts: DataFrame) -> DataFrame:
@@ -185,12 +203,13 @@ def _cell_lists(texts: DataFrame) -> DataFrame:
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             for i, j in row_chunks(offs):
-                owner, cell = cells(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                owner, value = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                cell = cells(owner, value)
                 cut = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
                 cell = cell[np.lexsort((cell, owner))].view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("item").slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(cell))], ["item", "cells"])
 
-    return texts.mapInArrow(run, "item long, cells array<long>")
+    return texts.mapInArrow(releasing(run), "item long, cells array<long>")
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -210,7 +229,13 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
                 keep.append(shared >= similarity * (len(p) + len(q) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(releasing(run), "a long, b long")
+
+
+def _compared(pairs: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of items that are similar enough, by their (item, cells)."""
+    first, second = (lists.select(F.col("item").alias(x), F.col("cells").alias(f"c{x}")) for x in "ab")
+    return _verified(pairs.join(first, "a").join(second, "b"), similarity)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -220,7 +245,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     that id (all repeated rows of it alike).
     """
     signed = stage_table(_signed(docs), "darts")
-    items = signed.filter("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    items = signed.filter("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands"))
     items = stage_table(items.withColumn("item", F.monotonically_increasing_id()), "items")
     labels = _class_labels(docs, items, similarity)
     named = items.select("text_key", "item", "first_doc")
@@ -235,26 +260,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return out.select("doc_id", "text_key", F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(own).alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _differing(a: Column, b: Column) -> Column:
-    """Signature coordinates that differ, by the sketches."""
-    total = F.lit(0)
-    for k in range(SKETCH):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        spread = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        total = total + F.bit_count(spread.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
-
+def _rarest(members: DataFrame, similarity: float) -> DataFrame:
+    """cell, item, label, size, place: the cells of (item, label, cells) by which texts of this similarity meet.
 
-def sketch_limit(similarity: float) -> int:
-    """Differing coordinates that texts of this similarity stay under, but for four standard deviations."""
-    k = BANDS * ROWS
-    differ = (1 - similarity) * 15 / 16
-    return math.ceil(k * differ + 4 * math.sqrt(k * differ * (1 - differ)))
+    In the order of their frequency, of a text's ``size`` cells the first
+    size - similarity * size + 1 are enough.  Cells of one text alone come first
+    and meet nothing, so they are left out.
+    """
+    spread = members.select("item", "label", F.size("cells").alias("size"), F.explode("cells").alias("cell"))
+    shared = spread.groupBy("cell").agg(F.count("*").alias("frequency")).filter("frequency > 1")
+    own = Window.partitionBy("item")
+    met = spread.join(shared, "cell").withColumn("place", F.row_number().over(own.orderBy("frequency", "cell")) + F.col("size") - F.count("*").over(own))
+    return met.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).drop("frequency")
 
 
 def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame | None:
     """(item, label) of the items that have links; None if no two items share a bucket."""
-    spread = items.select("item", "sketch", F.explode("bands").alias("key"))
+    spread = items.select("item", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     buckets = stage_table(spread.join(shared, "key"), "buckets")
     if buckets.isEmpty():
@@ -270,30 +292,25 @@ def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataF
     # all members of a bucket against the one that shares most with others
     centre = buckets.join(degree, "item").groupBy("key").agg(F.max_by("item", F.struct("degree", -F.col("item"))).alias("lead"))
     pairs = buckets.join(centre, "key").filter("item <> lead").select(F.least("item", "lead").alias("a"), F.greatest("item", "lead").alias("b")).distinct()
-    first, second = (lists.select(F.col("item").alias(x), F.col("cells").alias(f"c{x}")) for x in "ab")
-    links = stage_table(_verified(pairs.join(first, "a").join(second, "b"), similarity), "links")
+    links = stage_table(_compared(pairs, lists, similarity), "links")
     parts_of = connected_components(links)
-    labelled = buckets.join(parts_of, "item", "left").select("key", "item", "sketch", F.coalesce("label", "item").alias("label"))
-    labelled = stage_table(labelled, "labelled-buckets")
-    discard(buckets, parts_of)
-
-    # in buckets of several components: those outside the largest one against all other components
-    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("parts > 1")
-    rows = labelled.join(mixed, "key").join(items.select("item", "bands"), "item").join(lists, "item")
-    rows = stage_table(rows.select("key", "item", "label", "main", "sketch", "bands", "cells"), "mixed-buckets")
-    discard(labelled, all_lists)
+    labelled = buckets.join(parts_of, "item", "left").select("key", "item", F.coalesce("label", "item").alias("label"))
+
+    # members of buckets with several components, where they share one of their rarest cells
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    again = stage_table(labelled.join(mixed, "key").select("item", "label").distinct().join(lists, "item"), "mixed-items")
+    discard(buckets, parts_of, all_lists)
+    rarest = stage_table(_rarest(again, similarity), "rarest-cells")
+    parts = rarest.groupBy("cell", "label").agg(F.count("*").alias("n"))
+    several = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("parts > 1").drop("parts")
+    rows = rarest.join(several, "cell")
     outside = rows.filter("label <> main").select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
-    shared = F.size(F.array_intersect("cells", "o_cells"))
-    similar = shared >= similarity * (F.size("cells") + F.size("o_cells") - shared)
-    pair = (
-        (rows.key == outside.o_key) & (F.col("label") != F.col("o_label"))
-        & (_differing(F.col("sketch"), F.col("o_sketch")) <= sketch_limit(similarity))
-        & (F.array_min(F.array_intersect("bands", "o_bands")) == F.col("key"))  # once for all buckets that they share
-        & similar
-    )
-    more = stage_table(rows.join(outside, pair).select(F.col("item").alias("a"), F.col("o_item").alias("b")), "links")
-    discard(rows)
+    rest = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place")) + 1  # cells that can be shared from here on
+    fits = rest >= (F.col("size") + F.col("o_size")) * (similarity / (1 + similarity)) - 1e-9
+    met = rows.join(outside, (rows.cell == outside.o_cell) & (F.col("label") != F.col("o_label")) & fits)
+    pairs = met.select(F.least("item", "o_item").alias("a"), F.greatest("item", "o_item").alias("b")).distinct()
+    more = stage_table(_compared(pairs, again, similarity), "links")
+    discard(rarest, again)
     labels = connected_components(links.union(more))
     discard(links, more)
     return labels
