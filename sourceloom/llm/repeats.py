@@ -19,8 +19,10 @@ Spark's shuffle is the disk-backed queue between them.
 
 Hot groups: of runs with one hash in a batch, those of the smallest and of the
 largest document go to the shared bucket, so that it sees several owners wherever
-there are any, and the rest are settled as repeated on the spot; of equal runs in a batch, only
-that of the smallest document goes to a shard.
+there are any, and the rest are settled as repeated on the spot (a task remembers
+hashes that it has sent so, and need not send them again); of equal runs in a
+batch, only that of the smallest document goes to a shard.  Hashes only bring
+strings together: that they are equal is told by their bytes everywhere.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes lose
 nothing; exact copies of ``LENGTH`` bytes or more lose all in all but the
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import discard, equal_runs, row_chunks, stage_table, text_buffers
+from sourceloom.llm.common import discard, equal_runs, releasing, releasing_group, row_chunks, stage_table, text_buffers
 from sourceloom.llm.induced_sort import PackedText, equal_groups, suffix_order
 from sourceloom.llm.words import SpanHasher, mix
 
@@ -51,6 +53,8 @@ SHARD_BYTES = 3 << 20
 #: Bytes of runs with one hash beyond which their windows are compared one by one.
 HOT_BYTES = SHARD_BYTES
 _LONGEST_RUN = 4096
+#: Hashes that a task remembers as sent with two owners.
+_TOLD = 1 << 16
 _NULL_ID = (1 << 63) - 1
 
 _RUN = np.dtype([("hash", "<u8"), ("row", "<u4"), ("start", "<u4"), ("size", "<u2")])
@@ -130,13 +134,14 @@ def _gathered(packed: DataFrame, key: str, name: str, kind: np.dtype) -> DataFra
         groups = equal_runs(keys)
         return pa.table({key: pa.array(keys[np.array([a for a, _ in groups], np.int64)], pa.int64()), name: pa.array([raw[a * size : b * size] for a, b in groups], pa.binary())})
 
-    return packed.groupBy("part").applyInArrow(gather, f"{key} long, {name} binary")
+    return packed.groupBy("part").applyInArrow(releasing_group(gather), f"{key} long, {name} binary")
 
 
 def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """doc, runs (packed) of runs whose hash several documents have; (doc, text) come in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent_before = np.zeros(_TOLD, np.uint64)
         for number, batch in enumerate(batches):
             data, offs = text_buffers(batch.column("text"))
             doc = batch.column("doc").to_numpy()
@@ -147,8 +152,12 @@ def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
                 parts.append(part)
             runs = np.concatenate(parts) if parts else np.zeros(0, _RUN)
             known, two = _shared(runs["hash"], doc[runs["row"]])
+            slot = (mix(runs["hash"]) % np.uint64(_TOLD)).astype(np.int64)
+            told = sent_before[slot] == runs["hash"]
+            two, known = two[~told[two]], known | told
             sent = ~known
             sent[two] = True
+            sent_before[slot[two]] = runs["hash"][two]
             bucket = (runs["hash"] >> np.uint64(32)).astype(np.int64) % buckets
             rows, names = [], []
             for flags, base in ((sent, 0), (known, buckets)):  # known to repeat: passed through, dealt by row
@@ -175,8 +184,8 @@ def _repeated_runs(docs: DataFrame, buckets: int) -> DataFrame:
             doc, run = doc[keep], run[keep]
         return _packed(doc, run, buckets)
 
-    found = docs.mapInArrow(run, "bucket long, docs binary, runs binary")
-    return _gathered(found.groupBy("bucket").applyInArrow(shared, _PACKED), "doc", "runs", _RUN)
+    found = docs.mapInArrow(releasing(run), "bucket long, docs binary, runs binary")
+    return _gathered(found.groupBy("bucket").applyInArrow(releasing_group(shared), _PACKED), "doc", "runs", _RUN)
 
 
 def _hot_slots(texts: DataFrame, slots: int) -> np.ndarray:
@@ -191,7 +200,7 @@ def _hot_slots(texts: DataFrame, slots: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], ["slot", "bytes"])
 
-    sums = texts.select("runs").mapInArrow(run, "slot long, bytes long").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+    sums = texts.select("runs").mapInArrow(releasing(run), "slot long, bytes long").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
     return np.array(sorted(r["slot"] for r in sums.filter(F.col("bytes") > HOT_BYTES).collect()), np.int64)  # at most one for each HOT_BYTES
 
 
@@ -241,6 +250,12 @@ def _hot_windows(texts: DataFrame, slots: int, hot: np.ndarray) -> DataFrame:
                 order = np.lexsort((doc[row], content))
                 at, row, content = at[order], row[order], content[order]
                 new = np.concatenate([[True], content[1:] != content[:-1]])
+                first = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+                eight = np.ndarray((len(chunk) - 7,), "<u8", np.ascontiguousarray(chunk), strides=(1,))  # from every byte
+                same = np.logical_and.reduce([eight[at + k] == eight[first + k] for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]])
+                if not same.all():  # other windows with one hash: each is a group of its own
+                    by = np.argsort(~same, kind="stable")
+                    at, row, new = at[by], row[by], new[by] | ~same[by]
                 lead = np.flatnonzero(new)
                 later = doc[row] > doc[row[lead]][np.cumsum(new) - 1]
                 entries = np.stack([rid[row], at - (offs[row] - offs[i])], axis=1).astype(np.int64)
@@ -259,7 +274,7 @@ def _hot_windows(texts: DataFrame, slots: int, hot: np.ndarray) -> DataFrame:
                         pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(_blob(entries[low : end[own.stop - 1]]))]),
                     ], ["key", "doc", "entries"])
 
-    return texts.mapInArrow(run, "key binary, doc long, entries binary")
+    return texts.mapInArrow(releasing(run), "key binary, doc long, entries binary")
 
 
 def _hot_flagged(found: DataFrame, shards: int) -> DataFrame:
@@ -277,7 +292,7 @@ def _hot_flagged(found: DataFrame, shards: int) -> DataFrame:
 
     least = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
     later = found.join(least, "key").filter("doc > least").select("entries")  # null keys don't meet
-    return later.union(found.filter("key IS NULL").select("entries")).mapInArrow(run, _PACKED)
+    return later.union(found.filter("key IS NULL").select("entries")).mapInArrow(releasing(run), _PACKED)
 
 
 def _flagged(texts: DataFrame, shards: int, slots: int, hot: np.ndarray) -> DataFrame:
@@ -300,6 +315,10 @@ def _flagged(texts: DataFrame, shards: int, slots: int, hot: np.ndarray) -> Data
                 order = np.lexsort((doc[row], content))
                 same = np.concatenate([[False], content[order][1:] == content[order][:-1]]) if len(order) else np.zeros(0, bool)
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+                alike = np.flatnonzero(same)  # by hash so far
+                raw, stop = chunk.tobytes(), first + runs["size"] + (LENGTH - 1)
+                pairs = (x[order[k]].tolist() for k in (alike, lead[alike]) for x in (first, stop))
+                same[alike] = [raw[a:b] == raw[c:d] for a, b, c, d in zip(*pairs, strict=True)]
                 later = same & (doc[row[order]] > doc[row[order[lead]]])  # the whole run starts in a smaller document
                 settled = order[later]
                 sent = order[~same]
@@ -330,8 +349,8 @@ def _flagged(texts: DataFrame, shards: int, slots: int, hot: np.ndarray) -> Data
         rid, start, count = judge_runs(meta, body)
         return _packed(rid, _spans(start, count), shards)
 
-    dealt = texts.mapInArrow(run, "shard long, meta binary, body binary")
-    return dealt.groupBy("shard").applyInArrow(judge, _PACKED)
+    dealt = texts.mapInArrow(releasing(run), "shard long, meta binary, body binary")
+    return dealt.groupBy("shard").applyInArrow(releasing_group(judge), _PACKED)
 
 
 def judge_runs(meta: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -416,7 +435,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 kept.append(left if keep_text else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["doc", "key", "n_removed", "n_spans", "kept_sha", "kept"])
 
-    partly = texts.select("rid", "doc", "key", "text").join(spans, "rid").select("doc", "key", "text", "spans").mapInArrow(cut, "doc long, key binary, n_removed long, n_spans long, kept_sha string, kept binary")
+    partly = texts.select("rid", "doc", "key", "text").join(spans, "rid").select("doc", "key", "text", "spans").mapInArrow(releasing(cut), "doc long, key binary, n_removed long, n_spans long, kept_sha string, kept binary")
     partly = stage_table(partly, "repeat-cut")
     discard(texts, spans)
     copy = F.col("first").isNotNull() & (F.col("doc") > F.col("first"))
