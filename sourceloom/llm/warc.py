@@ -27,14 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceloom.llm.common import discard, releasing, stage_table
 from sourceloom.llm.raw_files import read_raw, write_raw
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An empty skippable frame, in ASCII.
 SEPARATOR = "\x50\x2a\x4d\x18\x00\x00\x00\x00"
 MIN_REVISIT_BYTES = 1000
-#: Bounds of the dictionary: pages it is trained on, and its bytes.
-DICTIONARY_PAGES = 200
+#: Payload bytes of an archive, about.
+ARCHIVE_BYTES = 64 << 20
+#: Bounds of the dictionary: pages it is trained on, their leading characters, and its bytes.
+DICTIONARY_PAGES, DICTIONARY_CHARS = 200, 1 << 15
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 _END = b"\r\n\r\n"
@@ -96,9 +99,10 @@ def decode_record(record: bytes) -> tuple[int | None, int, str, str, int | None]
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded number of pages; empty if there are too few."""
-    sample = [r[0].encode() for r in pages.select("html").filter("html IS NOT NULL").limit(DICTIONARY_PAGES).collect()]
+    head = F.substring(F.col("html").cast("string"), 1, DICTIONARY_CHARS)
+    sample = [r[0].encode() for r in pages.select(head).filter("html IS NOT NULL").limit(DICTIONARY_PAGES).collect()]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [encode_record(0, None, x[: 1 << 17], "00" * 20, len(x), None) for x in sample]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [encode_record(0, None, x, "00" * 20, len(x), None) for x in sample]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -107,18 +111,23 @@ def _skippable(magic: int, content: bytes) -> bytes:
     return struct.pack("<II", magic, len(content)) + content
 
 
-def write_archives(pages: DataFrame, path: str | None = None) -> str:
-    """Write all pages; the folder of the archives."""
+def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> str:
+    """Write all pages; the folder of the archives.
+
+    Which pages refer to which is decided on ids and digests alone; the payloads
+    then move once, to archives of about ``archive_bytes``, by page and digest.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
     ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    key = ["digest", "size"]
-    shared = (
-        rows.filter((F.col("size") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull())
-        .groupBy(*key).agg(F.max("page_id").alias("response_id"), F.min("page_id").alias("other"))
-        .filter("other < response_id").drop("other")
-    )
-    decided = rows.join(shared, key, "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("response_id"), F.col("response_id")))
+    narrow = stage_table(rows.select("page_id", "digest", "size"), "page-digests")
+    long = narrow.filter((F.col("size") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull())
+    top = long.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("other")).filter("other < refers_to").drop("other")
+    revisits = long.join(top, ["digest", "size"]).filter("page_id < refers_to").select(F.col("page_id").alias("deal"), "digest", "refers_to").distinct()
+    archives = max(pages.sparkSession.sparkContext.defaultParallelism, -(-(narrow.agg(F.sum("size")).first()[0] or 0) // archive_bytes))
+    dealt = rows.withColumn("deal", F.coalesce("page_id", F.xxhash64("url", "digest"))).repartition(archives, "deal", "digest")
+    decided = dealt.join(revisits.repartition(archives, "deal", "digest").hint("shuffle_hash"), ["deal", "digest"], "left")
+    decided = decided.withColumn("refers_to", F.when(F.col("page_id").isNotNull(), F.col("refers_to")))
     decided = decided.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "digest", "size", "refers_to")
     dictionary = train_dictionary(pages)
 
@@ -133,7 +142,9 @@ def write_archives(pages: DataFrame, path: str | None = None) -> str:
             first = False
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
-    return write_raw(decided.mapInArrow(run, "frame binary"), "warc", SEPARATOR, path)
+    path = write_raw(decided.mapInArrow(releasing(run), "frame binary"), "warc", SEPARATOR, path)
+    discard(narrow)
+    return path
 
 
 def frame_end(raw: memoryview, at: int) -> int:
@@ -182,4 +193,4 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return read_raw(spark, path).mapInArrow(run, SCHEMA)
+    return read_raw(spark, path).mapInArrow(releasing(run), SCHEMA)
