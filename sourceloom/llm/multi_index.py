@@ -9,30 +9,32 @@ Euclidean distance of the original vectors in double precision.
 
 The radius is the smallest that keeps ``SAMPLE_RECALL`` of the sample's own
 neighbours (neighbours in the whole table are nearer than those in a sample).
-Where fewer than the wanted number are within it, it grows.
+Queries that find fewer than the wanted number within it search all codes.
 
 Equal vectors are one class, and a class only needs its ``k + 1`` smallest ids.
-Classes are dealt to index blocks and queries to query blocks of bounded size;
-each pair of blocks is one group, and only its best few candidates go on.
+The index holds a class once for each substring, dealt by the substring and its
+leading bits to groups of bounded size (frequent leading bits to several).  A
+query goes to the groups that it may probe; a code that several substrings bring
+is reranked for the first one only, and only a group's best few go on.
 
 Defined results: null ids, and vectors that are null, empty, zero or hold null
 or non-finite components take no part; repeated rows of an id and vector count
 once, and all rows of the query's own id are left out; vectors of another length
-than the query's are no candidates; an empty table gives no rows; only the id
+than the query's are no candidates; distances of very large or small finite
+numbers are scaled, so that they don't overflow or vanish; an empty table gives no rows; only the id
 and vector columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import stage_table
+from sourceloom.llm.common import discard, releasing, releasing_groups, stage_table
 
 K = 10
 EVERY = 100
@@ -41,21 +43,23 @@ SAMPLE_QUERIES = 256
 SAMPLE_RECALL = 0.98
 MAX_BITS = 64
 SUBSTRING = 16
-INDEX_BLOCK = 16384
-QUERY_BLOCK = 2048
+#: Classes in a group of the index, about.
+GROUP_ROWS = 16384
 
 _POP = np.array([bin(i).count("1") for i in range(1 << SUBSTRING)], np.uint8)
 
 
 class Codes:
-    """Learned rotation; ``radius`` is the Hamming radius to search."""
+    """Learned rotation of scaled vectors; ``radius`` is the Hamming radius to search."""
 
-    def __init__(self, mean: np.ndarray, rotation: np.ndarray, radius: int) -> None:
-        self.mean, self.rotation, self.radius = mean, rotation, radius
+    def __init__(self, scale: float, mean: np.ndarray, rotation: np.ndarray, radius: int) -> None:
+        self.scale, self.mean, self.rotation, self.radius = scale, mean, rotation, radius
+        self.count = -(-rotation.shape[1] // SUBSTRING)  # of substrings
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         """Codes as rows of 16-bit numbers."""
-        bits = (x - self.mean) @ self.rotation > 0
+        with np.errstate(all="ignore"):  # vectors far larger than those of the sample
+            bits = (x / self.scale - self.mean) @ self.rotation > 0
         pad = -bits.shape[1] % SUBSTRING
         return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(np.uint16)
 
@@ -63,6 +67,8 @@ class Codes:
 def fit_codes(x: np.ndarray, k: int = K, rounds: int = 30, seed: int = 3) -> Codes:
     """Iterative quantisation of a sample, and its radius."""
     n, dim = x.shape
+    scale = float(np.abs(x).max(initial=0.0)) or 1.0
+    x = x / scale
     mean, bits = x.mean(axis=0), min(dim, MAX_BITS)
     _, vectors = np.linalg.eigh((x - mean).T @ (x - mean))
     axes = vectors[:, ::-1][:, :bits]
@@ -71,9 +77,9 @@ def fit_codes(x: np.ndarray, k: int = K, rounds: int = 30, seed: int = 3) -> Cod
     for _ in range(rounds):
         u, _, vt = np.linalg.svd(np.sign(z @ r).T @ z)
         r = (u @ vt).T
-    codes = Codes(mean, axes @ r, bits)
+    codes = Codes(scale, mean, axes @ r, bits)
     if n > k + 1:
-        own = codes.substrings(x)
+        own = codes.substrings(x * scale)
         near = []
         for i in range(0, n, max(1, n // SAMPLE_QUERIES)):
             d = ((x - x[i]) ** 2).sum(axis=1)
@@ -84,62 +90,75 @@ def fit_codes(x: np.ndarray, k: int = K, rounds: int = 30, seed: int = 3) -> Cod
     return codes
 
 
-class MultiIndex:
-    """Buckets of every substring of a block of codes."""
+def distances(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; scaled where squares would overflow or vanish."""
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((vectors - q) ** 2).sum(axis=1))
+        odd = np.flatnonzero(~(d > 1e-140) | ~(d < 1e140))
+        if len(odd):
+            diff = np.abs(vectors[odd] - q)
+            top = diff.max(axis=1)
+            plain = (top == 0) | ~np.isfinite(top)
+            scale = np.where(plain, 1.0, top)
+            d[odd] = np.where(plain, top, scale * np.sqrt(((diff / scale[:, None]) ** 2).sum(axis=1)))
+    return d
 
-    def __init__(self, subs: np.ndarray) -> None:
-        self.subs, self.tables = subs, []
-        for j in range(subs.shape[1]):
-            order = np.argsort(subs[:, j], kind="stable")
-            values, bucket_of = np.unique(subs[:, j], return_inverse=True)
-            first = np.searchsorted(subs[order, j], values)
-            self.tables.append((values, np.append(first, len(subs)), order, bucket_of))
+
+class Layout:
+    """Groups of the index: substrings by their leading ``bits``, each in as many pieces as its size asks for."""
+
+    def __init__(self, counts: np.ndarray, bits: int, group_rows: int) -> None:
+        self.bits, self.pieces = bits, -(-counts // group_rows)  # substrings x leading bits
+        self.first = (np.cumsum(self.pieces) - self.pieces.ravel()).reshape(self.pieces.shape)
+
+    def lead(self, values: np.ndarray) -> np.ndarray:
+        return values.astype(np.int64) >> (SUBSTRING - self.bits)
+
+    def group(self, j: int, values: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The group of each substring number ``j``."""
+        lead = self.lead(values)
+        return self.first[j, lead] + salt % self.pieces[j, lead]
+
+    def substring_of(self, group: int) -> int:
+        return int(np.searchsorted(self.first[:, 0], group, side="right")) - 1
+
+    def probed(self, code: np.ndarray, reach: int) -> np.ndarray:
+        """The groups that may hold a substring within ``reach`` bits of that of ``code``."""
+        parts = []
+        for j, value in enumerate(code):
+            near = np.flatnonzero((_POP[np.arange(self.pieces.shape[1]) ^ self.lead(value)] <= reach) & (self.pieces[j] > 0))
+            size = self.pieces[j, near]
+            parts.append(np.repeat(self.first[j, near] - (np.cumsum(size) - size), size) + np.arange(size.sum()))
+        return np.concatenate(parts)
+
+
+class Buckets:
+    """The codes of a group by their substring ``j``."""
+
+    def __init__(self, subs: np.ndarray, j: int) -> None:
+        self.subs, self.j = subs, j
+        self.order = np.argsort(subs[:, j], kind="stable")
+        self.values, first = np.unique(subs[self.order, j], return_index=True)
+        self.first = np.append(first, len(subs))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows of all codes within the radius."""
-        found = np.zeros(len(self.subs), bool)
+        """Rows within the radius whose first substring within the pigeonhole's reach is that of this group."""
         reach = radius // len(code)
-        for j, (values, first, order, bucket_of) in enumerate(self.tables):
-            buckets = _buckets(values, int(code[j]), reach)
-            if len(buckets) > 64:  # a row's bucket is found faster than so many buckets' rows
-                chosen = np.zeros(len(values), bool)
-                chosen[buckets] = True
-                found |= chosen[bucket_of]
-            else:
-                for b in buckets:
-                    found[order[first[b] : first[b + 1]]] = True
-        rows = np.flatnonzero(found)
-        return rows[_POP[self.subs[rows] ^ code].sum(axis=1, dtype=np.int64) <= radius]
-
-
-def _buckets(values: np.ndarray, code: int, reach: int) -> np.ndarray:
-    """Indexes of the buckets whose value is within ``reach`` bits of ``code``."""
-    if reach <= 1:
-        masks = [0] + [1 << i for i in range(SUBSTRING)] * (reach == 1)
-        probe = np.array([code ^ m for m in masks], np.uint16)
-    elif reach == 2 and len(values) > 512:
-        masks = [0] + [1 << i for i in range(SUBSTRING)] + [1 << a | 1 << b for a, b in combinations(range(SUBSTRING), 2)]
-        probe = np.array([code ^ m for m in masks], np.uint16)
-    else:  # more probes than buckets: look through the bucket directory
-        return np.flatnonzero(_POP[values ^ np.uint16(code)] <= reach)
-    at = np.searchsorted(values, probe)
-    return at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == probe)]
-
-
-def search_block(queries: np.ndarray, vectors: np.ndarray, codes: Codes, wanted: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query, rows and distances of its ``wanted`` nearest found, nearest first."""
-    index, coded = MultiIndex(codes.substrings(vectors)), codes.substrings(queries)
-    bits = coded.shape[1] * SUBSTRING
-    for q, code in zip(queries, coded, strict=True):
-        radius = codes.radius
-        rows = index.within(code, radius)
-        while len(rows) < min(wanted, len(vectors)) and radius < bits:
-            radius += 4
-            rows = index.within(code, radius)
-        d = np.sqrt(((vectors[rows] - q) ** 2).sum(axis=1))
+        near = np.flatnonzero(_POP[self.values ^ code[self.j]] <= reach)  # the group's buckets are few
+        size = self.first[near + 1] - self.first[near]
+        rows = self.order[np.repeat(self.first[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        apart = _POP[self.subs[rows] ^ code]
+        return rows[(apart.sum(axis=1, dtype=np.int64) <= radius) & (apart[:, : self.j] > reach).all(axis=1)]
+
+
+def search_group(queries: np.ndarray, vectors: np.ndarray, codes: Codes, j: int, radius: int, wanted: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query, rows and distances of the ``wanted`` nearest that substring ``j`` brings, and ties of the last."""
+    buckets = Buckets(codes.substrings(vectors), j)
+    for q, code in zip(queries, codes.substrings(queries), strict=True):
+        rows = buckets.within(code, radius)
+        d = distances(vectors[rows], q)
         if len(rows) > wanted:  # all that tie with the last one stay: ids decide later
-            limit = np.partition(d, wanted - 1)[wanted - 1]
-            near = d <= limit
+            near = d <= np.partition(d, wanted - 1)[wanted - 1]
             rows, d = rows[near], d[near]
         yield rows, d
 
@@ -166,47 +185,96 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     classes = stage_table(classes.withColumns({"class": F.monotonically_increasing_id(), "dim": F.size("x")}), "vector-classes")
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "h1", "h2")
     queries = stage_table(queries.join(classes.select("h1", "h2", "class"), ["h1", "h2"]).select("query_id", "class"), "queries")
-    asked = classes.join(queries.select("class").distinct(), "class").select("class", "x", "dim")
+    asked = stage_table(classes.join(queries.select("class").distinct(), "class").select(F.col("class").alias("asked"), F.col("x").alias("qx"), "dim"), "asked")
 
-    found = []
+    found, held = [], [rows, asked]
     for dim in [r["dim"] for r in classes.select("dim").distinct().collect()]:  # vector lengths: one, as a rule
         own, ask = classes.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim)
         sample = own.orderBy("h1", "h2").select("x").limit(SAMPLE).toArrow().column("x").combine_chunks()
         codes = fit_codes(sample.values.to_numpy().reshape(-1, dim), k)
-        blocks = -(-own.count() // INDEX_BLOCK)
-        groups = -(-max(1, ask.count()) // QUERY_BLOCK)
-        found.append(_search(spark, own, ask, codes, blocks, groups, k))
+        n = own.count()
+        layout = _layout(own, codes, n)
+        near = stage_table(_search(own, ask, codes, layout, codes.radius, k), "near-classes")
+        enough = near.groupBy("asked").count().filter(F.col("count") >= min(k + 1, n)).select("asked")
+        lacking = ask.join(enough, "asked", "left_anti")
+        if lacking.isEmpty():
+            found.append(near)
+        else:
+            found += [near.join(enough, "asked"), _search(own, lacking, codes, layout, MAX_BITS, k)]
+        held.append(near)
     if not found:
+        discard(*held)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = found[0]
     for more in found[1:]:
         best = best.union(more)
     best = best.withColumn("vec_id", F.explode("ids")).drop("ids")
-    order = Window.partitionBy("class").orderBy("score", "vec_id")
+    order = Window.partitionBy("asked").orderBy("score", "vec_id")
     best = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
-    lists = best.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("list"))
-    answers = queries.join(lists, "class").select("query_id", F.slice(F.filter("list", lambda c: c["vec_id"] != F.col("query_id")), 1, k).alias("list"))
+    lists = best.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("list"))
+    answers = queries.join(lists, F.col("class") == F.col("asked")).select("query_id", F.slice(F.filter("list", lambda c: c["vec_id"] != F.col("query_id")), 1, k).alias("list"))
     return answers.select("query_id", F.posexplode("list").alias("pos", "c")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
 
 
-def _search(spark, own: DataFrame, ask: DataFrame, codes: Codes, blocks: int, groups: int, k: int) -> DataFrame:
-    """(class asked, ids found, score): the nearest classes of every pair of blocks."""
-    held = spark.sparkContext.broadcast(codes)
-
-    def matrix(table: pa.Table, name: str) -> np.ndarray:
-        flat = table.column(name).combine_chunks().values.to_numpy()
-        return flat.reshape(table.num_rows, -1)
+def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy().reshape(rows, -1)
+
+
+def _layout(own: DataFrame, codes: Codes, n: int) -> Layout:
+    """Count the classes of each substring's leading bits: at most 4 x 65536 numbers, whatever the table."""
+    bits = min(SUBSTRING, max(0, (n // GROUP_ROWS).bit_length()))
+    held = own.sparkSession.sparkContext.broadcast(codes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((held.value.count, 1 << bits), np.int64)
+        for batch in batches:
+            subs = held.value.substrings(_matrix(batch.column("x"), batch.num_rows)).astype(np.int64) >> (SUBSTRING - bits)
+            for j in range(held.value.count):
+                total[j] += np.bincount(subs[:, j], minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["slot", "n"])
+
+    counts = np.zeros(codes.count << bits, np.int64)
+    for slot, size in own.select("x").mapInArrow(releasing(run), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        counts[slot] = size
+    return Layout(counts.reshape(codes.count, -1), bits, GROUP_ROWS)
+
+
+def _search(own: DataFrame, ask: DataFrame, codes: Codes, layout: Layout, radius: int, k: int) -> DataFrame:
+    """(class asked, ids found, score): the nearest classes of every group that a query probes."""
+    held = own.sparkSession.sparkContext.broadcast((codes, layout))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, layout = held.value
+        for batch in batches:
+            subs, salt = codes.substrings(_matrix(batch.column("x"), batch.num_rows)), batch.column("class").to_numpy()
+            for j in range(codes.count):
+                yield pa.RecordBatch.from_arrays([pa.array(layout.group(j, subs[:, j], salt)), batch.column("ids"), batch.column("x")], ["group", "ids", "x"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, layout = held.value
+        for batch in batches:
+            subs = codes.substrings(_matrix(batch.column("qx"), batch.num_rows))
+            for i, code in enumerate(subs):
+                groups = layout.probed(code, radius // codes.count)
+                row = pa.array(np.full(len(groups), i))
+                yield pa.RecordBatch.from_arrays([pa.array(groups), batch.column("asked").take(row), batch.column("qx").take(row)], ["qgroup", "asked", "qx"])
 
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("class", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+        schema = pa.schema([("asked", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
         if not index.num_rows or not asked.num_rows:
             return schema.empty_table()
+        codes, layout = held.value
+        j = layout.substring_of(index.column("group")[0].as_py())
         ids, name = index.column("ids").combine_chunks(), asked.column("asked").to_numpy()
+        queries, vectors = _matrix(asked.column("qx"), asked.num_rows), _matrix(index.column("x"), index.num_rows)
         parts = []
-        for q, (rows, d) in zip(name, search_block(matrix(asked, "qx"), matrix(index, "x"), held.value, k + 1), strict=True):
+        for q, (rows, d) in zip(name, search_group(queries, vectors, codes, j, radius, k + 1), strict=True):
             parts.append(pa.record_batch([pa.array(np.full(len(rows), q)), ids.take(pa.array(rows)), pa.array(d)], schema=schema))
         return pa.Table.from_batches(parts, schema)
 
-    index = own.select("ids", "x", F.pmod("h1", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    asked = ask.select(F.col("class").alias("asked"), F.col("x").alias("qx"), F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int").alias("qgroup"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qblock"))
-    return index.groupBy("block", "group").cogroup(asked.groupBy("qblock", "qgroup")).applyInArrow(run, "class long, ids array<long>, score double")
+    index = own.select("class", "ids", "x").mapInArrow(releasing(dealt), "group long, ids array<long>, x array<double>")
+    asked = ask.select("asked", "qx").mapInArrow(releasing(sent), "qgroup long, asked long, qx array<double>")
+    return index.groupBy("group").cogroup(asked.groupBy("qgroup")).applyInArrow(releasing_groups(run), "asked long, ids array<long>, score double")
