@@ -17,13 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourceloom.llm.common import discard, stage_table
+
 TOKEN = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
 SEED = 17
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Digits of the hash that cut a source's stream into pieces for the prefix sums.
-BUCKET_DIGITS = 3
+#: Fewest and most digits of the hash that cut a source's stream into pieces for the
+#: prefix sums, and the words from which a further digit is taken.
+BUCKET_DIGITS, MOST_DIGITS = 3, 5
+PIECE_WORDS = 4 << 20
 
 
 def cyclic_weights(order: Column, weights: tuple[int, ...] = WEIGHTS) -> Column:
@@ -95,38 +99,40 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[in
     """
     extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
-    sized = docs.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"),
-        key.alias("key"), *extra,
-    ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-
-    pieces = sized.groupBy("source", "bucket").agg(F.sum("size").alias("piece_size"))
-    along = Window.partitionBy("source").orderBy("bucket")
-    pieces = pieces.select("source", "bucket", (F.sum("piece_size").over(along) - F.col("piece_size")).alias("piece_start"), F.sum("piece_size").over(Window.partitionBy("source")).alias("source_size"))
-
-    sources = pieces.groupBy("source").agg(F.max("source_size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    sources = sources.withColumn("place", place).withColumn("weight", cyclic_weights(F.col("place"), weights))
-    quotas = sainte_lague(targets(sources, max_epochs), block).select("source", "target", "quota")
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # a null source has a name too
+    size = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")
+    columns = ["doc_id", "source", name.alias("name"), size.alias("size"), key.alias("key")]
+    narrow = stage_table(docs.select(*columns), "mix-sizes")
+    sized = docs.select(*columns, *extra) if carry else narrow
+    words = narrow.agg(F.sum("size")).first()[0] or 0
+    digits = next((d for d in range(BUCKET_DIGITS, MOST_DIGITS) if words <= PIECE_WORDS << 4 * d), MOST_DIGITS)
+    bucket = F.substring("key", 1, digits).alias("bucket")
+
+    # small tables, written so that none is computed again
+    along = Window.partitionBy("name").orderBy("bucket")
+    pieces = narrow.groupBy("name", bucket).agg(F.sum("size").alias("piece_size"))
+    pieces = pieces.select("name", "bucket", (F.sum("piece_size").over(along) - F.col("piece_size")).alias("piece_start"), F.sum("piece_size").over(Window.partitionBy("name")).alias("source_size"))
+    pieces = stage_table(pieces, "mix-pieces")
+    place = F.row_number().over(Window.orderBy(F.col("name") == "", "name"))
+    sources = pieces.groupBy("name").agg(F.max("source_size").alias("source_size"))
+    sources = stage_table(sources.withColumn("place", place).withColumn("weight", cyclic_weights(F.col("place"), weights)), "mix-sources")
+    wanted = stage_table(targets(sources, max_epochs), "mix-targets")
+    quotas = stage_table(sainte_lague(wanted, block).select("name", "target", "quota"), "mix-quotas")
+    discard(sources, wanted)
 
     # Blocks of a source: whole passes first, then a seeded run of blocks.
     blocks = F.ceil(F.col("source_size") / block)
     plan = (
-        pieces.alias("p").join(quotas.alias("q"), F.col("p.source").eqNullSafe(F.col("q.source")))
-        .select("p.*", "target", "quota", F.greatest(blocks, F.lit(1)).cast("long").alias("blocks"))
+        pieces.join(quotas, "name")
+        .select("name", "bucket", "piece_start", "source_size", "target", "quota", F.greatest(blocks, F.lit(1)).cast("long").alias("blocks"))
         .withColumn("passes", F.least(F.floor(F.col("quota") / F.col("blocks")), F.lit(max_epochs)).cast("long"))
         .withColumn("run", F.when(F.col("passes") < max_epochs, F.col("quota") % F.col("blocks")).otherwise(0))
-        .withColumn("run_start", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("long"), F.col("blocks")))
+        .withColumn("run_start", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.substring("name", 2, 1 << 30))), 1, 8), 16, 10).cast("long"), F.col("blocks")))
     )
 
-    within = Window.partitionBy("source", "bucket").orderBy("key", "size")
-    placed = (
-        sized.alias("d")
-        .join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
-        .select("d.doc_id", "d.source", "d.bucket", "d.key", "d.size", "piece_start", "source_size", "target", "quota", "passes", "run", "run_start", *(["d.row"] if carry else []))
-        .withColumn("lo", F.col("piece_start") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    )
+    within = Window.partitionBy("name", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.withColumn("bucket", bucket).join(plan, ["name", "bucket"])  # one shuffle for this and the sums
+    placed = placed.withColumn("lo", F.col("piece_start") + F.sum("size").over(within) - F.col("size"))
     hi = F.col("lo") + F.col("size")
 
     def overlap(a: Column, b: Column) -> Column:
