@@ -80,29 +80,28 @@ class FlowNetwork:
 
     def _augment(self, source: int, sink: int, potential: list[int]) -> int:
         """Blocking flow over the edges of reduced cost 0, depth first without recursion."""
-        total, place, n = 0, [0] * len(self.edges), len(self.edges)
+        total, place = 0, [0] * len(self.edges)
         while True:
             path: list[int] = []
-            on = [False] * n
             a = source
-            on[a] = True
+            on = {a}
             while a != sink:
                 while place[a] < len(self.edges[a]):
                     e = self.edges[a][place[a]]
                     b = self.to[e]
-                    if self.left[e] and not on[b] and self.cost[e] + potential[a] - potential[b] == 0:
+                    if self.left[e] and b not in on and self.cost[e] + potential[a] - potential[b] == 0:
                         break
                     place[a] += 1
                 if place[a] == len(self.edges[a]):
                     if not path:
                         return total
-                    on[a] = False
+                    on.discard(a)
                     a = self.to[path.pop() ^ 1]
                     place[a] += 1
                     continue
                 path.append(e)
                 a = b
-                on[a] = True
+                on.add(a)
             amount = min(self.left[e] for e in path)
             for e in path:
                 self.left[e] -= amount
@@ -162,8 +161,9 @@ def crc_of(text: Column) -> Column:
     return F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
 
 
-def _piece() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int")
+def _piece(row_id: Column | None = None) -> Column:
+    """By what tells rows apart, so that one id, or the null id, fills no piece alone."""
+    return F.pmod(F.xxhash64("doc_id", crc_of(F.col("text")), *([] if row_id is None else [row_id.cast("long")])), F.lit(PIECES)).cast("int")
 
 
 #: The order of documents in an old shard, and in a new one (there by old shard before the row).
@@ -179,7 +179,7 @@ def reshard(docs: DataFrame, shards: int, old_shard: Column, row_id: Column | No
     spark = docs.sparkSession
     meta = docs.select(
         "doc_id", size_of(F.col("text")).alias("size"), crc_of(F.col("text")).alias("text_crc32"),
-        old_shard.cast("string").alias("old_name"), _piece().alias("piece"),
+        old_shard.cast("string").alias("old_name"), _piece(row_id).alias("piece"),
         (F.monotonically_increasing_id() if row_id is None else row_id.cast("long")).alias("row_id"),
     )
     meta = stage_table(meta, "reshard-meta")
@@ -243,7 +243,7 @@ def rewrite(docs: DataFrame, placed: DataFrame, names: Sequence[str | None], pat
     moves = placed.join(F.broadcast(order), F.col("old_shard").eqNullSafe(F.col("name")), "left").groupBy("shard", "old_number").count().filter("NOT shard <=> old_number").collect()  # one row per transfer
     affected = sorted({r["shard"] for r in moves} | {r["old_number"] for r in moves if r["old_number"] is not None})
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    key = [_piece().alias("piece"), F.col("doc_id"), crc_of(F.col("text")).alias("text_crc32"), size_of(F.col("text")).alias("size")]
+    key = [_piece(row_id).alias("piece"), F.col("doc_id"), crc_of(F.col("text")).alias("text_crc32"), size_of(F.col("text")).alias("size")]
     if old_shard is None or row_id is None:
         nth = Window.partitionBy("doc_id", "text_crc32", "size")
         own = docs.select(whole, *key).withColumn("nth", F.row_number().over(nth.orderBy(F.xxhash64(F.to_json("whole")))))
