@@ -6,7 +6,10 @@ hashed to ``2 ** BITS`` places; a term counts once per text.  The score is
 weigh more than its parts.
 
 The model is fitted on the driver to at most ``SAMPLE`` labelled rows (a
-documented bound); its size is fixed by ``TERMS`` and ``RANK``.
+documented bound); its size is fixed by ``TERMS`` and ``RANK``.  Its terms are
+those that tell the classes apart by themselves, and, of the ``PAIR_TERMS`` most
+frequent ones, those of which two together do so by more than the sum of both,
+however little each one tells alone.
 
 Defined results: null, empty and wordless texts get sigmoid(w0); without
 labelled rows of both classes the score is the share of ones (0.5 without rows);
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sourceloom.llm.common import free_name, row_chunks, text_buffers
+from sourceloom.llm.common import free_name, releasing, row_chunks, text_buffers
 from sourceloom.llm.labelled import held_out, labelled_sample
 from sourceloom.llm.words import words
 
@@ -35,6 +38,10 @@ PREFIXES = (4, 5)
 THRESHOLD = 0.3
 MIN_COUNT = 5
 MIN_CHI2 = 20.0
+#: Frequent terms whose pairs are tested, rows that each part of a test needs, and its limit in standard deviations.
+PAIR_TERMS = 2048
+PAIR_ROWS = 5
+MIN_PAIR = 7.0
 
 
 def terms(data: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +83,34 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def pair_terms(row: np.ndarray, term: np.ndarray, y: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """The candidates that have a pair whose rate of ones isn't near the sum of what its parts add.
+
+    For each pair the rates of rows with both, either one and none of the terms
+    are compared; ``row`` and ``term`` are the distinct terms of the rows.
+    """
+    place = np.full(int(max(term.max(initial=0), candidates.max(initial=0))) + 1, -1, np.int64)
+    place[candidates] = np.arange(len(candidates))
+    known = place[term] >= 0
+    x = np.zeros((len(y), len(candidates)), np.float32)
+    x[row[known], place[term[known]]] = 1
+    n, ones = x.sum(0), x[y == 1].sum(0)
+    found = np.zeros(len(candidates), bool)
+    for a in range(0, len(candidates), 256):
+        part = x[:, a : a + 256]
+        both, both_ones = part.T @ x, part[y == 1].T @ x[y == 1]
+        na, oa = n[a : a + 256, None], ones[a : a + 256, None]
+        counts = (both, na - both, n - both, len(y) - na - n + both)
+        hits = (both_ones, oa - both_ones, ones - both_ones, y.sum() - oa - ones + both_ones)
+        rates = [(h + 1) / (c + 2) for c, h in zip(counts, hits, strict=True)]
+        spread = np.sqrt(sum(r * (1 - r) / (c + 2) for r, c in zip(rates, counts, strict=True)))
+        strange = np.abs(rates[0] - rates[1] - rates[2] + rates[3]) >= MIN_PAIR * spread
+        strange &= np.minimum.reduce(counts) >= PAIR_ROWS
+        found[a : a + 256] |= strange.any(1)
+        found |= strange.any(0)
+    return candidates[found]
+
+
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, steps: int = 600, seed: int = 5) -> FactorizationMachine:
     """Adam over all rows; rows holds each text's distinct terms."""
     n, size = len(rows), 1 << BITS
@@ -93,7 +128,10 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, steps:
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num(n * det.astype(float) ** 2 / (n1 * n0 * total * (n - total).astype(float)))
     chosen = np.flatnonzero((total >= MIN_COUNT) & (chi2 >= MIN_CHI2))
-    chosen = np.sort(chosen[np.argsort(-chi2[chosen], kind="stable")[:TERMS]])
+    chosen = chosen[np.argsort(-chi2[chosen], kind="stable")[:TERMS]]
+    frequent = np.flatnonzero(total >= MIN_COUNT)
+    frequent = frequent[np.argsort(-total[frequent], kind="stable")[:PAIR_TERMS]]
+    chosen = np.union1d(chosen, pair_terms(row, term, y, frequent))
     place[chosen] = np.arange(len(chosen))
     keep = place[term] >= 0
     row, term = row[keep], place[term[keep]].astype(np.int64)
@@ -141,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Factorizatio
                 each = pa.ListArray.from_arrays(pa.array(cut), pa.array((both & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([each, batch.column("y").slice(i, j - i)], ["terms", "y"])
 
-    table = labelled_sample(docs, labels, "toxic", bound).mapInArrow(run, "terms array<int>, y int").toArrow()
+    table = labelled_sample(docs, labels, "toxic", bound).mapInArrow(releasing(run), "terms array<int>, y int").toArrow()
     y = table.column("y").to_numpy().astype(np.int64)
     rows = [x.values.to_numpy() for x in table.column("terms").combine_chunks()] if len(y) else []
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), int(rows[i].sum()), int(y[i])))  # the same whatever order tasks end in
@@ -159,7 +197,7 @@ def with_score(docs: DataFrame, model: FactorizationMachine) -> tuple[DataFrame,
             value = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
+    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
