@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import row_chunks, text_buffers
+from sourceloom.llm.common import releasing, row_chunks, text_buffers
 from sourceloom.llm.words import Words, words
 
 WINDOW = 10
@@ -160,13 +160,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("digest", "copies", "copy")
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int | None, str | None]]]:
-    """The items in blocks of about ``block_bytes`` of text; all items without an id are one item."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items in blocks of about ``block_bytes`` of text, one after the other, one at least; all items without an id are one item."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("size")).first()["size"]
     blocks = max(1, -(-size // block_bytes))
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [[(r[0], r[1]) for r in own.filter(part == k).collect()] for k in range(blocks)]
+    for (k,) in own.select(part).distinct().collect() or [(0,)]:
+        yield [(r[0], r[1]) for r in own.filter(part == k).collect()]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -183,7 +184,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     clean[[i + r for r in spans]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(releasing(run), docs.schema)
     return docs
 
 
@@ -204,7 +205,7 @@ def _block_hits(docs: DataFrame, items: list[tuple[int, str | None]], window: in
                 ], ["doc_id", "digest", "n_words", "spans", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(releasing(run), SCHEMA)
 
 
 def digest(hits: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import row_chunks, text_buffers
+from sourceloom.llm.common import releasing, row_chunks, text_buffers
 from sourceloom.llm.labelled import held_out, labelled_sample
 from sourceloom.llm.words import LOWER, SpanHasher, mix, runs
 
@@ -180,7 +180,7 @@ def _map(docs: DataFrame, per_batch, columns: list[str], schema: str) -> DataFra
             parts = [per_batch(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in row_chunks(offs)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.concat_arrays(parts) if parts else per_batch(data[:0], offs[:1] * 0)], [*columns, "out"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Trees:

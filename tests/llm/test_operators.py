@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -118,6 +119,22 @@ def test_files_that_fit_stay_where_they_are(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["shard=2"]
 
 
+def test_the_planner_is_linear_in_files():
+    r = random.Random(8)
+    sizes = [r.randint(0, 1000) for _ in range(20_000)]
+    caps = reshard.capacities(sum(sizes), 19_000)
+    plan = reshard.plan_transfers(sizes, caps)  # minutes if it were quadratic
+    assert sum(b for i, j, b in plan if i != j) == sum(sizes) - sum(min(s, c) for s, c in zip(sizes, caps, strict=False))
+
+
+def test_rows_without_an_id_fill_many_pieces(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(200)] + [(5, "same")] * 100, "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
+    rows = reshard.reshard(docs, 3, F.lit("f"), F.col("row")).collect()
+    assert len({r.piece for r in rows if r.doc_id is None}) > 100 and len({r.piece for r in rows if r.doc_id == 5}) > 50
+
+
 def test_resharding_an_empty_table(spark):
     from pyspark.sql import functions as F
 
@@ -187,16 +204,92 @@ def test_a_large_near_group_and_outsiders(spark):
     assert sum(expected[(x.doc_id, data[x.doc_id][1])] != x.class_id for x in found) == 0
 
 
-def test_dart_signatures_estimate_weighted_similarity():
+def packed(*texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_dart_signatures_estimate_weighted_similarity(heavy):
     a, b = D.prose(5, 400).split(), D.prose(5, 400).split()
     b[100:140] = D.prose(6, 40).split()
-    raw = [" ".join(x).encode() for x in (a, b)]
-    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])])
-    owner, cell = near_dup.cells(data, offs)
-    s = near_dup.dart_signatures(owner, cell, 2, 2000)
+    if heavy:  # shingles of weights up to 90
+        a, b = a[:50] + ["x", "y", "z"] * 90 + a[50:], b[:50] + ["x", "y", "z"] * 60 + b[50:]
+    owner, value = near_dup.shingles(*packed(" ".join(a), " ".join(b)))
+    text, element, weight = near_dup.weighted(owner, value)
+    s = near_dup.dart_signatures(text, element, weight, 2, 2000)
     p, q = cells_of(" ".join(a)), cells_of(" ".join(b))
+    assert sorted(weight[text == 0]) == sorted(p.values()) and weight.max() == max(p.values())
     true = sum((p & q).values()) / sum((p | q).values())
     assert abs((s[0] == s[1]).mean() - true) < 0.05
+    cell = near_dup.cells(owner, value)
+    assert len(np.intersect1d(cell[owner == 0], cell[owner == 1])) == sum((p & q).values())
+    assert (near_dup.dart_signatures(text, element, weight / 4, 2, 2000)[0] == s[0]).mean() < 1  # any positive weights
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+def test_long_words_with_one_polynomial_hash_differ():
+    from sourceloom.llm import words as W
+
+    for n in (1024, 2048):
+        data, offs = packed(thue_morse(n), thue_morse(n, True))
+        h = W.SpanHasher(data)(offs[:-1], offs[1:])
+        assert h[0] == h[1]  # the weakness
+        assert len(set(W.words(data, offs).hashes.tolist())) == 2
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    """Classes of sf0.01 against all pairs that share a shingle."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(path).select("doc_id", "text").collect()]
+    found = {(r.doc_id): r.class_id for r in near_dup.near_duplicates(spark.read.parquet(path)).collect()}
+    texts = sorted({t for _, t in rows if t is not None})
+    cells = [cells_of(t) for t in texts]
+    size = [sum(c.values()) for c in cells]
+    at = defaultdict(list)
+    for i, c in enumerate(cells):
+        for k in c:
+            at[k].append(i)
+    shared = Counter()
+    for own in at.values():
+        shared.update((i, j) for n, i in enumerate(own) for j in own[n + 1 :])
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in shared:
+        both = sum((cells[i] & cells[j]).values())
+        if both >= 0.8 * (size[i] + size[j] - both):
+            parent[find(i)] = find(j)
+    first = {}
+    place = {t: i for i, t in enumerate(texts)}
+    for d, t in rows:
+        if t is not None:
+            first[find(place[t])] = min(d, first.get(find(place[t]), d))
+    assert found == {d: d if t is None else first[find(place[t])] for d, t in rows}
+
+
+def test_near_groups_in_one_bucket(spark):
+    """Groups of near copies around one passage, whose members share bands with other groups."""
+    r = random.Random(11)
+    base = D.prose(70, 120).split()
+    data = []
+    for g in range(12):
+        own = base[:84] + D.prose(100 + g, 36).split()  # groups are 0.55 alike
+        for _ in range(8):
+            w = list(own)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"v{r.random()}"
+            data.append((len(data), " ".join(w)))
+    found = near_dup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    expected = brute_classes(data)
+    assert {x.doc_id: x.class_id for x in found} == {d: expected[(d, t)] for d, t in data}
 
 
 def test_near_duplicates_of_an_empty_table(spark):
@@ -294,6 +387,27 @@ def test_a_hot_string_spreads_over_many_groups(spark, monkeypatch):
     assert Counter(tuple(x) for x in repeats.remove_repeats(D.frame(spark)).collect()) == brute_repeats([(r[0], r[1]) for r in D.rows()])
 
 
+def test_repeats_don_t_trust_hashes(spark, monkeypatch):
+    """With hashes that only tell lengths, and a long text, results are the same."""
+
+    class Weak:
+        def __init__(self, data):
+            pass
+
+        def __call__(self, starts, ends):
+            return (ends - starts).astype(np.uint64)
+
+    a, b = D.prose(40, 60), D.prose(41, 60)
+    rows = [(1, a), (2, b), (3, f"{a} {b}"), (4, a[:150] + b[:150]), (5, thue_morse(2048)), (6, thue_morse(2048, True)), (7, D.prose(42, 190_000)), (8, D.prose(42, 40) + a)]
+    assert len(rows[6][1]) > 1 << 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_repeats(rows)
+    monkeypatch.setattr(repeats, "SpanHasher", Weak)
+    assert Counter(tuple(x) for x in repeats.remove_repeats(docs).collect()) == want
+    monkeypatch.setattr(repeats, "HOT_BYTES", 0)
+    assert Counter(tuple(x) for x in repeats.remove_repeats(docs).collect()) == want
+
+
 def brute_hits(rows, items):
     windows = defaultdict(set)
     for item, t in items:
@@ -365,6 +479,14 @@ def test_archives_come_back(spark, tmp_path):
     assert Counter(tuple(r) for r in warc.read_archives(spark, path).collect()) == brute_warc(rows)
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i % 50, f"http://x/{i}", D.prose(i % 40, 300)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=20_000)
+    assert Counter(tuple(r) for r in warc.read_archives(spark, path).collect()) == brute_warc(rows)
+    assert len([p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]) > 10
+
+
 def test_empty_archives(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(pages, str(tmp_path / "w"))).count() == 0
@@ -399,6 +521,33 @@ def test_token_shards_come_back(spark, tmp_path):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_words_with_one_hash_and_long_texts_get_their_own_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    text = queries.tokenizer_json()
+    tokenizer = Tokenizer.from_str(text)
+    rows = [(i, t) for i, t in enumerate([thue_morse(1024), thue_morse(1024, True), thue_morse(2048), thue_morse(2048, True), D.prose(43, 190_000), "a" * 15 + " " + "a" * 16, "ab" * 7 + "\u00e9"])]
+    path = token_ids.write_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), text, str(tmp_path / "t"))
+    got = {r.doc_id: r.ids_crc32 for r in token_ids.read_shards(path, spark).collect()}
+    assert got == {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows}
+
+
+def test_lookup_through_the_index(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    text = queries.tokenizer_json()
+    tokenizer = Tokenizer.from_str(text)
+    rows = [(i // 2 if i < 400 else None, f"{D.prose(i, 6)} {i}") for i in range(600)]
+    path = token_ids.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), text, str(tmp_path / "t"))
+    token_ids.write_index(spark, path)
+    index = spark.read.parquet(f"{path}/{token_ids.INDEX}").collect()
+    assert sum(r.rows for r in index) == 600
+    assert len({r.file for r in index}) > 1
+    got = Counter((r.doc_id, tuple(r.ids)) for r in token_ids.lookup(spark, path, [0, 77, 199, 5000]).collect())
+    assert got == Counter((d, (*tokenizer.encode(t, add_special_tokens=False).ids, 2)) for d, t in rows if d in (0, 77, 199))
+    assert token_ids.lookup(spark, path, [9999]).count() == 0
+
+
 def test_shard_lookup_by_key():
     keys = np.array([0, 3, 3, 9, 12], np.int64)
     null = np.array([True, False, False, False, False])
@@ -462,13 +611,43 @@ def test_recall_on_the_whole_small_table(spark, sf):
     assert hits / total >= 0.9
 
 
-def test_within_finds_every_code(spark):
+def test_probing_finds_every_code_once():
     subs = np.random.default_rng(5).integers(0, 1 << 16, (400, 4)).astype(np.uint16)
-    index = multi_index.MultiIndex(subs)
-    for radius in (0, 3, 9, 20, 30):
+    buckets = [multi_index.Buckets(subs, j) for j in range(4)]
+    counts = np.stack([np.bincount(subs[:, j] >> 13, minlength=8) for j in range(4)])
+    layout = multi_index.Layout(counts, 3, 20)
+    groups = [layout.group(j, subs[:, j], np.arange(400)) for j in range(4)]
+    assert all(layout.substring_of(g) == j for j in range(4) for g in groups[j].tolist())
+    assert max(np.unique(np.concatenate(groups), return_counts=True)[1]) <= 40
+    for radius in (0, 3, 9, 20, 30, 64):
         code = subs[7] ^ np.uint16(5)
         want = [i for i in range(400) if sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(subs[i], code, strict=True)) <= radius]
-        assert index.within(code, radius).tolist() == want
+        found = [b.within(code, radius) for b in buckets]
+        assert sorted(np.concatenate(found).tolist()) == want
+        probed = set(layout.probed(code, radius // 4).tolist())
+        assert all(groups[j][i] in probed for j in range(4) for i in found[j])
+
+
+def test_neighbours_in_many_groups_and_of_large_numbers(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "GROUP_ROWS", 16)
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(6, 16))
+    x = centres[r.integers(0, 6, 500)] + 0.1 * r.normal(size=(500, 16))
+    x[450:480] *= 1e200
+    x[480:] *= 1e-200
+    rows = [(i, x[i].tolist()) for i in range(500)] + [(600, (x[470] * 1.5).tolist()), (700, (x[490] * 1.5).tolist())]
+    got = defaultdict(list)
+    for row in multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[row.query_id].append((row["rank"], row.score, row.vec_id))
+    assert set(got) == {0, 100, 200, 300, 400, 600, 700}
+    hits = 0
+    for q, found in got.items():
+        own = np.array(dict(rows)[q])
+        true = sorted((float(np.hypot.reduce(np.array(v) - own)), i) for i, v in rows if i != q)[:10]
+        assert [f[0] for f in sorted(found)] == list(range(1, 11))
+        assert all(np.isclose(s, np.hypot.reduce(np.array(dict(rows)[v]) - own), rtol=1e-9, atol=0) for _, s, v in found)
+        hits += len({i for _, i in true} & {f[2] for f in found})
+    assert hits >= 0.9 * 10 * len(got)
 
 
 def test_neighbours_of_an_empty_table(spark):
@@ -501,6 +680,53 @@ def test_toxicity_learns_a_pair_of_terms(spark):
     assert z[0] < 0 and z[1] < 0 and z[2] > 0
 
 
+def test_toxicity_learns_exactly_one_of_two_terms():
+    """Neither term tells anything alone."""
+    r = random.Random(1)
+    rows, y = [], []
+    for _ in range(800):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(np.unique(np.array([*(10 + r.randrange(60) for _ in range(8)), *([1] if a else []), *([2] if b else [])])))
+        y.append(int(a != b))
+    model = toxicity.fit_machine(rows, np.array(y))
+    assert len(model.w) < 10
+    z = [model.raw(*model.pairs(np.zeros(len(t), np.int64), np.array(t)), 1)[0] for t in ([20], [1], [2], [1, 2])]
+    assert z[0] < 0 and z[1] > 0 and z[2] > 0 and z[3] < 0
+
+
+def test_toxicity_scores_match_a_plain_loop(spark, sf):
+    """The query's scores, from the fitted weights term by term and pair by pair."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op4_toxicity(spark, sf).collect()}
+    for r in docs.select("doc_id", "text").limit(60).collect():
+        _, term = toxicity.terms(*packed(r.text or ""))
+        active = sorted({int(model.place[t]) for t in term.tolist()} - {-1})
+        z = model.w0 + sum(float(model.w[i]) for i in active)
+        for n, i in enumerate(active):
+            for j in active[n + 1 :]:
+                z += sum(float(a) * float(b) for a, b in zip(model.v[i], model.v[j], strict=True))
+        score = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert abs(got[r.doc_id][0] - score) < 1e-9 and got[r.doc_id][1] == int(got[r.doc_id][0] >= 0.3)
+
+
+def test_quality_scores_match_a_plain_walk(spark, sf):
+    """The query's scores, from the fitted trees node by node."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op9_quality(spark, sf).collect()}
+    for r in docs.select("doc_id", "text").limit(60).collect():
+        x = quality.statistics(*packed(r.text or ""))[0]
+        z = model.base
+        for feature, cut, leaf in zip(model.feature.tolist(), model.cut.tolist(), model.leaf.tolist(), strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+            z += leaf[node - len(feature)]
+        score = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert abs(got[r.doc_id][0] - score) < 1e-9 and got[r.doc_id][1] == int(got[r.doc_id][0] >= 0.7)
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op4_toxicity", "toxic", 0.9), ("op9_quality", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
