@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sourceloom.llm import decontaminate, mixing, near_dup, token_ids, toxicity
-from sourceloom.llm.common import read_table, stage_table
+from sourceloom.llm.common import prepare, read_table, stage_table
 from sourceloom.llm.queries import tokenizer_json
-from sourceloom.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id."""
-    ship_package(spark)
+    prepare(spark)
     return near_dup.one_of_each(docs)
 
 
@@ -38,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token shards and read them back: doc_id, start, n_tokens, ids_crc32."""
-    ship_package(spark)
+    prepare(spark)
     return token_ids.read_shards(token_ids.write_shards(docs, tokenizer_json()), spark)
 
 
