@@ -1,7 +1,8 @@
 """Registered queries of the code graph, over source files that Spark writes out of the ``part`` table.
 
-Each part is a Python file of one fixed shape with the part's own names and
-values in it, so that the graph's work grows with the table.
+Each part is a source file of one of four shapes with the part's own names and
+values in it, so that the graph's work grows with the table.  The SQL makes the
+expected rows from the shapes and the same parameters.
 """
 
 from __future__ import annotations
@@ -15,82 +16,282 @@ from sourceloom.queries import query, table
 from sourceloom.sources import captures
 from sourceloom.sources.rule_packs import Registry
 
-_TEXT = """
-format_string('import m%d as s, os\\nfrom pkg.x%d import a as b, c\\n\\nclass C%d:\\n    def f(self, a, b: int):\\n        if a:\\n            return g%d(a)\\n        return b\\n\\n@router.get("/parts/{id}/%d/")\\ndef u%d(x):\\n    base_url = "%s"\\n    session.execute("SELECT * FROM t%d")\\n    return x\\n',
-  p_size, p_size, p_partkey, p_size, p_size, p_partkey, p_brand, p_size)
-"""
+#: Source texts by p_partkey % 4; @k is p_partkey, @z p_size, @b p_brand.
+SHAPES = (
+    '''import m@z as s, os
+from pkg.x@z import a as b, c
+
+class C@k:
+    def f(self, a, b: int):
+        if a:
+            return g@z(a)
+        return b
+
+@router.get("/parts/{id}/@z/")
+def u@k(x):
+    base_url = "@b"
+    session.execute("SELECT * FROM t@z")
+    return x
+''',
+    '''import os
+def a@k(x, y=g(1)):
+    """doc: if x: return h(2)
+while é text
+    """
+    p = f@z(1) + f@z(2) // g(x)
+    return h@z(
+        p, [1, (2, 3)],
+        "(if",
+    )
+# if call(3)
+class K@k(Base):
+    async def m(self, *xs, **kw):
+        for i in xs:
+            a@k(2)
+            yield i.j(1).l(2)
+''',
+    '''import D, { a as b@z } from "m@z"; // c(1)
+/* if (x) { call(1) } */
+export class K@k extends mix(B) {
+  foo(a, b = (c) => d(c)) {
+    return `t ${x(1)} if`;
+  }
+}
+function f@k(x, y) {
+  if (x) { return g@z(x); }
+}
+app.post("/p@k//{id}/", h)
+''',
+    '''from m@z import *
+from a import (
+    n@k as q,  # a (
+    r,
+)
+def u@k():
+    path = os.path.join("@b", 'c+d', name)
+    url = "h" + x
+    t = build()
+    table_t = load()
+    open(path)
+    fetch@z(url)
+    return path
+''',
+)
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    return parts.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.expr(_TEXT).alias("text"), F.lit("").alias("blob_sha256"))
+    shape = F.element_at(F.array(*[F.lit(x) for x in SHAPES]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    for mark, column in (("@k", "p_partkey"), ("@z", "p_size"), ("@b", "p_brand")):
+        shape = F.replace(shape, F.lit(mark), F.col(column).cast("string"))
+    script = F.col("p_partkey") % 4 == 2
+    path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.when(script, ".js").otherwise(".py"))
+    return parts.select(path.alias("path"), F.when(script, "javascript").otherwise("python").alias("language"), shape.alias("text"), F.lit("").alias("blob_sha256"))
+
+
+_built: dict[tuple[str, str], graph.Graph] = {}
 
 
 def built(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    registry = Registry()
-    registry.load_folder()
-    return graph.build(source_files(spark, sf_dir), registry.table(spark))
+    """The graph of the files, made once in an application: its stage tables serve all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        registry = Registry()
+        registry.load_folder()
+        _built[key] = graph.build(source_files(spark, sf_dir), registry.table(spark), ["fastapi@0.115", "none"])
+    return _built[key]
 
 
-_P = "p AS (SELECT *, 'src/p' || p_partkey || '.py' AS path FROM part)"
+_P = "p AS (SELECT *, 'src/p' || p_partkey || CASE WHEN p_partkey % 4 = 2 THEN '.js' ELSE '.py' END AS path, p_partkey::VARCHAR AS k, p_size::VARCHAR AS z, p_brand AS b FROM part)"
 
 
-@query(
-    f"""WITH {_P}
-SELECT path, 'Module' AS semantic_type, path AS name, path AS qualified_name FROM p
-UNION ALL SELECT path, 'Class', 'C' || p_partkey, path || '::C' || p_partkey FROM p
-UNION ALL SELECT path, 'Method', 'f', path || '::C' || p_partkey || '::f' FROM p
-UNION ALL SELECT path, 'Function', 'u' || p_partkey, path || '::u' || p_partkey FROM p
-UNION ALL SELECT path, 'Import', NULL, NULL FROM p UNION ALL SELECT path, 'Import', NULL, NULL FROM p
-UNION ALL SELECT path, 'Call', 'g' || p_size, NULL FROM p UNION ALL SELECT path, 'Call', 'router.get', NULL FROM p UNION ALL SELECT path, 'Call', 'session.execute', NULL FROM p"""
-)
+def _by_shape(columns: str, rows: list[tuple]) -> str:
+    """SQL of rows (shape, one expression for each column)."""
+    names = columns.split()
+    parts = [f"SELECT path, {', '.join(f'{v} AS {n}' for n, v in zip(names, row[1:], strict=True))} FROM p WHERE p_partkey % 4 = {row[0]}" for row in rows]
+    return f"WITH {_P} " + " UNION ALL ".join(parts)
+
+
+def _q(text: str) -> str:
+    """A text with @k, @z and @b as an SQL expression."""
+    out = "'" + text.replace("'", "''") + "'"
+    for mark, column in (("@k", "k"), ("@z", "z"), ("@b", "b")):
+        out = out.replace(mark, f"' || {column} || '")
+    return out
+
+
+def _many(shape: int, kind: str, *names: str | None) -> list[tuple]:
+    return [(shape, _q(kind), "NULL" if n is None else _q(n), f"{names.count(n)}::BIGINT") for n in dict.fromkeys(names)]
+
+
+_NODES = [
+    *_many(0, "Class", "C@k"), *_many(0, "Method", "f"), *_many(0, "Function", "u@k"), *_many(0, "Import", None, None), *_many(0, "Call", "g@z", "router.get", "session.execute"), *_many(0, "Literal", None, None, None),
+    *_many(1, "Function", "a@k"), *_many(1, "Class", "K@k"), *_many(1, "Method", "m"), *_many(1, "Import", None), *_many(1, "Call", "g", "f@z", "f@z", "g", "h@z", "a@k", "i.j"), *_many(1, "Literal", None, None),
+    *_many(2, "Class", "K@k"), *_many(2, "Method", "foo"), *_many(2, "Function", "f@k"), *_many(2, "Import", None), *_many(2, "Export", None), *_many(2, "Call", "mix", "d", "g@z", "app.post"), *_many(2, "Literal", None, None), *_many(2, "TemplatePart", None),
+    *_many(3, "Function", "u@k"), *_many(3, "Import", None, None), *_many(3, "Call", "os.path.join", "build", "load", "open", "fetch@z"), *_many(3, "Literal", None, None, None),
+]
+_NODES += [(shape, kind, name, "1::BIGINT") for shape in range(4) for kind, name in (("'Module'", "path"), ("'File'", "substr(path, 5)"))]
+
+
+@query(_by_shape("semantic_type name n", _NODES))
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark, sf_dir).nodes.select("path", "semantic_type", "name", "qualified_name")
+    return built(spark, sf_dir).nodes.groupBy("path", "semantic_type", "name").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"""WITH {_P}
-SELECT path, 'm' || p_size AS module, NULL AS imported, 's' AS alias, 'module' AS kind FROM p
-UNION ALL SELECT path, 'os', NULL, 'os', 'module' FROM p
-UNION ALL SELECT path, 'pkg.x' || p_size, 'a', 'b', 'named' FROM p
-UNION ALL SELECT path, 'pkg.x' || p_size, 'c', 'c', 'named' FROM p"""
-)
+_SCOPES = [(0, "C@k", ""), (0, "C@k::f", "C@k"), (0, "u@k", ""), (1, "a@k", ""), (1, "K@k", ""), (1, "K@k::m", "K@k"), (2, "K@k", ""), (2, "K@k::foo", "K@k"), (2, "f@k", ""), (3, "u@k", "")]
+
+
+@query(_by_shape("qualified_name parent", [(s, f"path || {_q('::' + q)}", f"path || {_q('::' + p)}" if p else "path") for s, q, p in _SCOPES] + [(s, "path", "NULL") for s in range(4)]))
+def graph_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes and the scopes around them."""
+    frames = built(spark, sf_dir).frames
+    outer = frames.select(F.col("node_id").alias("parent_id"), F.col("qualified_name").alias("parent"))
+    return frames.join(outer, "parent_id", "left").select("path", "qualified_name", "parent")
+
+
+_CALLS = [
+    (0, "g@z", "g@z(a)", "a"), (0, "router.get", 'router.get("/parts/{id}/@z/")', '"/parts/{id}/@z/"'), (0, "session.execute", 'session.execute("SELECT * FROM t@z")', '"SELECT * FROM t@z"'),
+    (1, "g", "g(1)", "1"), (1, "f@z", "f@z(1)", "1"), (1, "f@z", "f@z(2)", "2"), (1, "g", "g(x)", "x"), (1, "h@z", 'h@z(\n        p, [1, (2, 3)],\n        "(if",\n    )', 'p|[1, (2, 3)]|"(if"'),
+    (1, "a@k", "a@k(2)", "2"), (1, "i.j", "i.j(1).l(2)", "1"),
+    (2, "mix", "mix(B)", "B"), (2, "d", "d(c)", "c"), (2, "g@z", "g@z(x)", "x"), (2, "app.post", 'app.post("/p@k//{id}/", h)', '"/p@k//{id}/"|h'),
+    (3, "os.path.join", "os.path.join(\"@b\", 'c+d', name)", "\"@b\"|'c+d'|name"), (3, "build", "build()", ""), (3, "load", "load()", ""), (3, "open", "open(path)", "path"), (3, "fetch@z", "fetch@z(url)", "url"),
+]
+
+
+@query(_by_shape("callee preview args", [(row[0], *[_q(x) for x in row[1:]]) for row in _CALLS]))
+def capture_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with their texts, cut out of the files by their byte spans, and their arguments."""
+    files = source_files(spark, sf_dir)
+    groups = captures.call_groups(captures.lines(files))
+    text = F.decode(F.substr(F.encode("text", "UTF-8"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
+    return groups.join(files.select("path", "text"), "path").select("path", "callee", text.alias("preview"), F.array_join("args", "|").alias("args"))
+
+
+_TEXTS = [(0, '"/parts/{id}/@z/"'), (0, '"@b"'), (0, '"SELECT * FROM t@z"'), (1, '"""doc: if x: return h(2)\nwhile é text\n    """'), (1, '"(if"'), (2, '"m@z"'), (2, "`t ${x(1)} if`"), (2, '"/p@k//{id}/"'), (3, '"@b"'), (3, "'c+d'"), (3, '"h"')]
+
+
+@query(_by_shape("kind text size", [(s, "'lit.template'" if t[0] == "`" else "'lit.string'", _q(t), f"octet_length(encode({_q(t)}))::BIGINT") for s, t in _TEXTS]))
+def capture_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.literals(captures.lines(source_files(spark, sf_dir))).select("path", "kind", "text", (F.col("end") - F.col("start")).alias("size"))
+
+
+_BINDINGS = [(0, "m@z", None, "s", "module"), (0, "os", None, "os", "module"), (0, "pkg.x@z", "a", "b", "named"), (0, "pkg.x@z", "c", "c", "named"), (1, "os", None, "os", "module"), (2, "m@z", "default", "D", "default"), (2, "m@z", "a", "b@z", "named"), (3, "m@z", "*", "*", "star"), (3, "a", "n@k", "q", "named"), (3, "a", "r", "r", "named")]
+
+
+@query(_by_shape("module imported alias kind", [(row[0], *["NULL" if x is None else _q(x) for x in row[1:]]) for row in _BINDINGS]))
 def graph_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).bindings.select("path", "module", "imported", "alias", "kind")
 
 
-@query(f"WITH {_P} SELECT path, kind, n FROM p, (VALUES ('defines', 6), ('calls', 5), ('aliases', 4)) v(kind, n)")
+#: By shape: defined nodes and symbols, bindings, calls with an owner, calls, references.
+_EDGES = {0: (15, 4, 2, 3, 0), 1: (17, 1, 7, 7, 1), 2: (16, 2, 2, 4, 0), 3: (13, 3, 5, 5, 0)}
+_EDGE_ROWS = [
+    (shape, _q(kind), _q(flag), f"{n}::BIGINT")
+    for shape, (defined, bound, owned, called, referred) in _EDGES.items()
+    for kind, flag, n in (("defines", "RESOLVED", defined), ("imports", "UNRESOLVED", bound), ("imports", "RESOLVED", bound), ("aliases", "RESOLVED", bound), ("calls", "RESOLVED", owned), ("calls", "UNRESOLVED", called), ("references", "RESOLVED", referred))
+    if n
+]
+
+
+@query(_by_shape("kind flags n", _EDGE_ROWS))
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Module, class and definitions to their symbols; owners to calls to callees; imports to aliases."""
-    return built(spark, sf_dir).edges.groupBy("path", "kind").agg(F.count("*").cast("int").alias("n"))
+    """Files to modules to what they hold to symbols; imports to names and sources; owners to calls to callees to definitions."""
+    return built(spark, sf_dir).edges.groupBy("path", "kind", F.array_join("flags", ",").alias("flags")).agg(F.count("*").alias("n"))
+
+
+@query(_by_shape("name target", [(1, _q("a@k"), f"path || {_q('::a@k')}")]))
+def graph_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Called names and the definitions that they mean."""
+    g = built(spark, sf_dir)
+    found = g.edges.filter("kind = 'references'").select("path", F.col("src_id").alias("symbol_id"), F.col("dst_id").alias("node_id"))
+    return found.join(g.symbols.select("symbol_id", "name"), "symbol_id").join(g.nodes.select("node_id", F.col("qualified_name").alias("target")), "node_id").select("path", "name", "target")
 
 
 @query(
     f"""WITH {_P}
-SELECT path, 'fastapi.router.get' AS rule_id, 'http.route' AS kind, 'GET' AS method, '/parts/:id/' || p_size AS route, NULL AS op, NULL AS table_name FROM p
-UNION ALL SELECT path, 'fastapi.raw_sql', 'db.sql', NULL, NULL, 'SELECT', 't' || p_size FROM p"""
+SELECT path, 'fastapi.router.get' AS rule_id, 'http.route' AS kind, 'GET' AS method, '/parts/:id/' || p_size AS route, NULL AS op, NULL AS table_name FROM p WHERE p_partkey % 4 = 0
+UNION ALL SELECT path, 'fastapi.raw_sql', 'db.sql', NULL, NULL, 'SELECT', 't' || p_size FROM p WHERE p_partkey % 4 = 0
+UNION ALL SELECT path, 'express.app.method', 'http.route', 'POST', '/p' || k || '/:id', NULL, NULL FROM p WHERE p_partkey % 4 = 2"""
 )
 def graph_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("normalized_values")
     return built(spark, sf_dir).effects.select("path", "rule_id", "kind", v["method"].alias("method"), v["path"].alias("route"), v["op"].alias("op"), v["table"].alias("table_name"))
 
 
-@query(f"WITH {_P} SELECT path, 'base_url' AS dst, p_brand AS src, 'FOLDED' AS flags FROM p")
+_FACTS = [
+    (0, "ASSIGN", "base_url", "lit:@b", "FOLDED", 0), (3, "CALL_NORM", "path", "lit:@b/c+d/{x}", "NON_LITERAL_PATH", 0), (3, "ASSIGN", "url", "lit:h{x}", "FOLDED,NON_LITERAL_PART", 1),
+    (3, "ASSIGN", "table_t", "dyn:{x}", "DYNAMIC", 2), (3, "USE", "path", "var:path", "", 3),
+]
+
+
+@query(_by_shape("op_kind name src flags seq", [(row[0], *[_q(x) for x in row[1:-1]], str(row[-1])) for row in _FACTS]))
 def graph_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark, sf_dir).facts.select("path", "dst", "src", F.array_join("flags", ",").alias("flags"))
+    return built(spark, sf_dir).facts.select("path", "op_kind", "name", "src", F.array_join("flags", ",").alias("flags"), "seq")
+
+
+#: By shape: control words of each function.
+_WORDS = [(0, "if return return"), (0, "return"), (1, "return"), (1, "async for yield"), (2, "return"), (2, "if return"), (3, "return")]
+_LABELLED, _JUMPS = ("if",), ("return",)
+_FLOW = [(s, w.split()) for s, w in _WORDS]
+_FLOW = [(s, len(w), len(w) + sum(x in _LABELLED for x in w) + sum(x in _JUMPS for x in w) + 1) for s, w in _FLOW]
 
 
-@query("SELECT 3 AS edges, count(*) AS functions FROM part UNION ALL SELECT 7, count(*) FROM part")
+@query(f"WITH {_P} SELECT blocks, edges, count(*) AS functions FROM (" + " UNION ALL ".join(f"SELECT {n + 2}::BIGINT AS blocks, {e}::BIGINT AS edges FROM p WHERE p_partkey % 4 = {s}" for s, n, e in _FLOW) + ") GROUP BY blocks, edges")
 def graph_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges per function: if, return, return give 3 + 1 + 2 + 1; one return gives 1 + 1 + 1."""
-    per = built(spark, sf_dir).cfg_edges.groupBy("fn_id").agg(F.count("*").cast("int").alias("edges"))
-    return per.groupBy("edges").agg(F.count("*").alias("functions"))
+    """Blocks and edges per function: with n control words 2 + n, and n + labelled + jumps + 1."""
+    g = built(spark, sf_dir)
+    edges = g.cfg_edges.groupBy("fn_id").agg(F.count("*").alias("edges"))
+    per = g.cfg_blocks.groupBy("fn_id").agg(F.count("*").alias("blocks")).join(edges, "fn_id")
+    return per.groupBy("blocks", "edges").agg(F.count("*").alias("functions"))
 
 
-@query("SELECT count(*) * 3 AS definitions, count(DISTINCT 'g' || p_size) + 2 AS callees FROM part")
+_REFS = {0: ("g@z", "router", "session"), 1: ("g", "f@z", "h@z", "i", "a@k"), 2: ("mix", "d", "g@z", "app"), 3: ("os", "build", "load", "open", "fetch@z")}
+
+
+@query(
+    f"WITH {_P}, r AS ({' UNION ALL '.join(f'SELECT {int(s == 2)} AS script, {_q(n)} AS name FROM p WHERE p_partkey % 4 = {s}' for s, names in _REFS.items() for n in names)}) "
+    "SELECT (SELECT sum(CASE p_partkey % 4 WHEN 3 THEN 1 ELSE 3 END) FROM p)::BIGINT AS definitions, (SELECT count(*) FROM (SELECT DISTINCT script, name FROM r)) AS callees, (SELECT sum(CASE p_partkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) FROM p)::BIGINT AS imported"
+)
 def graph_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = built(spark, sf_dir).symbols
-    return symbols.agg(F.count_if(F.col("kind") != "callee").alias("definitions"), F.count_if(F.col("kind") == "callee").alias("callees"))
+    kind = F.col("kind")
+    counts = {"definitions": ~kind.isin("symbol.ref", "import.symbol"), "callees": kind == "symbol.ref", "imported": kind == "import.symbol"}
+    return built(spark, sf_dir).symbols.agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+@query(f"WITH {_P} SELECT path, 'UNCERTAIN_BINDING' AS anomaly_type, 'WARN' AS severity, 'from ... import *' AS reason_detail FROM p WHERE p_partkey % 4 = 3 UNION ALL SELECT NULL, 'PARSE_ERROR', 'WARN', 'Rule pack not loaded: none'")
+def graph_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).anomalies
+
+
+def _metric_rows(*rows: tuple[int, ...]) -> list[tuple]:
+    return [(s, *[f"{n}::BIGINT" for n in row]) for s, row in enumerate(rows)]
+
+
+@query(_by_shape("defs calls imports exports literals", _metric_rows((3, 3, 2, 0, 3), (3, 8, 1, 0, 2), (3, 4, 1, 1, 3), (1, 5, 2, 0, 3))))
+def lift_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of each file; chained calls count one by one."""
+    return built(spark, sf_dir).metrics.select("path", "defs", "calls", "imports", "exports", "literals")
+
+
+@query(_by_shape("imports_seen imports_resolved alias_edges local_refs", _metric_rows((2, 4, 4, 0), (1, 1, 1, 1), (1, 2, 2, 0), (2, 3, 3, 0))))
+def bind_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).metrics.select("path", "imports_seen", "imports_resolved", "alias_edges", "local_refs")
+
+
+@query(_by_shape("blocks flow_edges facts", _metric_rows(*[(sum(n + 2 for s, n, _ in _FLOW if s == k), sum(e for s, _, e in _FLOW if s == k), sum(r[0] == k for r in _FACTS)) for k in range(4)])))
+def flow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).metrics.select("path", "blocks", "flow_edges", "facts")
+
+
+@query(_by_shape("candidate_calls matched fields_missing", _metric_rows((3, 2, 0), (7, 0, 0), (4, 1, 0), (5, 0, 0))))
+def detect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).metrics.select("path", "candidate_calls", "matched", "fields_missing")
+
+
+@query("SELECT 'fastapi' AS tag, count(*) * 2 AS matched, count(DISTINCT p_partkey) AS files FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'express', count(*), count(*) FROM part WHERE p_partkey % 4 = 2")
+def detect_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects and files of each telemetry tag."""
+    return built(spark, sf_dir).effects.groupBy("tag").agg(F.count("*").alias("matched"), F.countDistinct("path").alias("files"))
 
 
 # ----------------------------------------------- expressions over derived code
@@ -134,7 +335,7 @@ def string_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.string_literals(code), "|").alias("literals"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'f' || p_size || '(2)|?,int|' WHEN 1 THEN 'm' || p_size || '(1)|?|' ELSE 'K' || p_size || '(0)||' END AS signature FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'f' || p_size || '(2)|?,int|' WHEN 1 THEN 'm' || p_size || '(1)|*|async' ELSE 'K' || p_size || '(0)||class' END AS signature FROM part")
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('def f', p_size, '(a, b: int = g(1, 2)):') WHEN 1 THEN concat('async def m', p_size, '(self, *xs):') ELSE concat('class K', p_size, ':') END")
     return table(spark, sf_dir, "part").select("p_partkey", graph.signature(header, F.lit("python")).alias("signature"))
@@ -150,17 +351,3 @@ def split_args(spark: SparkSession, sf_dir: str) -> DataFrame:
 def script_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.format_string("import D, { a as b, c } from 'm%d'", "p_size")
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(graph.script_imports(line)).alias("b")).select("p_partkey", "b.*")
-
-
-@query("SELECT 'src/p' || p_partkey || '.py' AS path, 3 AS defs, 3 AS calls, 2 AS imports FROM part")
-def lift_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions, calls and imports of each file."""
-    kind = F.col("semantic_type")
-    counts = {"defs": kind.isin("Class", "Function", "Method"), "calls": kind == "Call", "imports": kind == "Import"}
-    return built(spark, sf_dir).nodes.groupBy("path").agg(*[F.count_if(c).cast("int").alias(n) for n, c in counts.items()])
-
-
-@query("SELECT 'fastapi' AS tag, count(*) * 2 AS matched, count(DISTINCT p_partkey) AS files FROM part")
-def detect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effects and files of each telemetry tag."""
-    return built(spark, sf_dir).effects.groupBy("tag").agg(F.count("*").alias("matched"), F.countDistinct("path").alias("files"))

@@ -22,6 +22,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def latest(pairs: Column) -> Column:
+    """A map of array<struct<key, value>>; of equal keys the last one holds."""
+
+    def last_ones(p: Column) -> Column:
+        return F.map_from_entries(F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["key"] == x["key"])))
+
+    return let(F.filter(pairs, lambda x: x["key"].isNotNull()), last_ones)
+
+
 def mask_pattern(text: Column, pattern: str) -> Column:
     """Replace every match by *** and, if it is longer than 8, its last four characters."""
 
@@ -216,20 +225,27 @@ def python_imports(statement: Column) -> Column:
     return F.when(flat.rlike(r"^\s*(from\s+[.\w]+\s+import\s|import\s)"), F.transform(items, binding)).otherwise(empty)
 
 
+_LITERAL = r"(?s)^(['\"`])((?:(?!\1)[^\\]|\\.)*)\1$"
+
+
 def fold_concat(expression: Column) -> Column:
-    """struct<value, flags>: a literal, or literals joined by + with {x} for what isn't one."""
-    literal = r"^(['\"`])([^'\"`]*)\1$"
-    parts = F.transform(F.split(F.trim(expression), r"\s*\+\s*"), lambda p: F.trim(p))
-    folded = F.transform(parts, lambda p: F.when(p.rlike(literal), F.regexp_extract(p, literal, 2)).otherwise(F.lit("{x}")))
-    any_literal, all_literal = F.exists(parts, lambda p: p.rlike(literal)), F.forall(parts, lambda p: p.rlike(literal))
-    value = F.when(F.size(parts) > fixed.FOLD_DEPTH, F.lit("dyn:{x}")).when(any_literal, F.array_join(folded, "")).otherwise(F.lit("dyn:{x}"))
-    flags = (
-        F.when(F.size(parts) > fixed.FOLD_DEPTH, F.array(F.lit("DYNAMIC"), F.lit("FOLD_DEPTH")))
-        .when(all_literal, F.array(F.lit("FOLDED")))
-        .when(any_literal, F.array(F.lit("FOLDED"), F.lit("NON_LITERAL_PART")))
-        .otherwise(F.array(F.lit("DYNAMIC")))
-    )
-    return F.struct(value.alias("value"), flags.alias("flags"))
+    """struct<value, flags>: a literal, or literals joined by + with {x} for what isn't one; a + in quotes is text."""
+
+    def folded(parts: Column) -> Column:
+        literal = F.exists(parts, lambda p: p.rlike(_LITERAL))
+        whole = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(_LITERAL), F.regexp_extract(p, _LITERAL, 2)).otherwise(F.lit("{x}"))), "")
+        deep = F.size(parts) > fixed.FOLD_DEPTH
+        flags = (
+            F.when(deep, F.array(F.lit("DYNAMIC"), F.lit("FOLD_DEPTH")))
+            .when(F.forall(parts, lambda p: p.rlike(_LITERAL)), F.array(F.lit("FOLDED")))
+            .when(literal, F.array(F.lit("FOLDED"), F.lit("NON_LITERAL_PART")))
+            .otherwise(F.array(F.lit("DYNAMIC")))
+        )
+        return F.struct(F.when(deep, F.lit("dyn:{x}")).when(literal, whole).otherwise(F.lit("dyn:{x}")).alias("value"), flags.alias("flags"))
+
+    part = r"(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|[^+'\"`])+"
+    parts = F.filter(F.transform(F.regexp_extract_all(expression, F.lit(part), F.lit(0)), lambda p: F.trim(p)), lambda p: p != "")
+    return let(parts, folded)
 
 
 def string_literals(code: Column) -> Column:
@@ -242,6 +258,8 @@ def normalize_call(expression: Column) -> Column:
     """One path of the arguments of os.path.join, path.join and URL, {x} for what isn't literal; null for other calls."""
     inside = F.regexp_extract(expression, r"^\s*(?:os\.path\.join|path\.join|(?:new\s+)?URL)\s*\((.*)\)\s*$", 1)
     is_url = expression.rlike(r"^\s*(?:new\s+)?URL\s*\(")
-    parts = F.transform(F.split(inside, r"\s*,\s*"), lambda a: F.when(a.rlike(r"^\s*(['\"]).*\1\s*$"), strip_quotes(a)).otherwise(F.lit("{x}")))
+    comma_part = r"(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|\((?:[^()]|\([^()]*\))*\)|[^,'\"`(])+"
+    items = F.transform(F.regexp_extract_all(inside, F.lit(comma_part), F.lit(0)), lambda a: F.trim(a))
+    parts = F.transform(items, lambda a: F.when(a.rlike(_LITERAL), strip_quotes(a)).otherwise(F.lit("{x}")))
     joined = F.array_join(F.when(is_url, F.reverse(parts)).otherwise(parts), "/")
-    return F.when(inside != "", F.regexp_replace(joined, r"(?<!:)//+", "/"))
+    return F.when(F.trim(inside) != "", F.regexp_replace(joined, r"(?<!:)//+", "/"))

@@ -1,9 +1,10 @@
 """Effects: calls matched with rule packs, fields extracted and normalised.
 
 ``rules`` has one row per pattern: pack, rule_id, language, kind, provider,
-family, confidence, callee, object_method, arg_min, arg_max, fields.  It is
-configuration, written by hand and bounded by ``MAX_RULE_ROWS``; only that makes
-broadcasting it safe, and a larger one is joined by language without broadcast.
+family, confidence, callee, object_method, arg_min, arg_max, fields, file_regex.
+It is configuration, written by hand and bounded by ``MAX_RULE_ROWS``; only that
+makes broadcasting it safe.  A larger one is shuffled by language: rules for any
+language are listed under each, so that the language is an equality key.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourceloom.functions import fixed
 from sourceloom.functions import text as T
 from sourceloom.functions.ids import content_id, receipt_id
 
 MAX_RULE_ROWS = 10_000
 RULE_SCHEMA = (
     "pack string, tag string, rule_id string, language string, pattern_language string, kind string, provider string, family string, confidence double, pattern_kind string, "
-    "callee string, object_method string, arg_min int, arg_max int, fields array<struct<name:string,source:string,index:int,key:string,value_expr:string>>"
+    "callee string, object_method string, arg_min int, arg_max int, fields array<struct<name:string,source:string,index:int,key:string,value_expr:string>>, file_regex string"
 )
 
 
@@ -31,32 +33,46 @@ def method_matches(preview: Column, method: Column) -> Column:
 
 
 def pattern_matches() -> Column:
-    """A call (preview, language, n_args) against a pattern: every part that is set must hold."""
+    """A call (preview, path, n_args) against a pattern: every part that is set must hold."""
     by_callee = F.col("callee").isNull() | callee_matches(F.col("preview"), F.col("callee"))
     by_method = F.col("object_method").isNull() | method_matches(F.col("preview"), F.col("object_method"))
     some = F.col("callee").isNotNull() | F.col("object_method").isNotNull()
     args = F.col("n_args").between(F.coalesce("arg_min", F.lit(0)), F.coalesce("arg_max", F.lit(2147483647)))
-    return some & by_callee & by_method & args & F.col("pattern_kind").isin("call", "decorator")
+    by_file = F.col("file_regex").isNull() | F.regexp_like("path", "file_regex")
+    return some & by_callee & by_method & args & by_file & F.col("pattern_kind").isin("call", "decorator")
 
 
 def matched(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per call and rule, however many of its patterns match."""
+    languages = F.array(*[F.lit(x) for x in dict.fromkeys(fixed.LANGUAGES.values())])
+    fits = F.filter(languages, lambda x: F.col("language").isin("any") | (F.col("language") == x))
+    fits = F.filter(fits, lambda x: F.col("pattern_language").isin("any") | (F.col("pattern_language") == x))
+    listed = rules.withColumn("call_language", F.explode(fits))
     if rules.limit(MAX_RULE_ROWS + 1).count() <= MAX_RULE_ROWS:
-        rules = F.broadcast(rules)
-    call_language = F.col("call_language")
-    fits = F.col("language").isin("any") | (F.col("language") == call_language)
-    fits = fits & (F.col("pattern_language").isin("any") | (F.col("pattern_language") == call_language))
-    joined = calls.withColumnRenamed("language", "call_language").join(rules, fits & pattern_matches())
-    return joined.dropDuplicates(["call_id", "rule_id"])
+        listed = F.broadcast(listed)
+    left = calls if "path" in calls.columns else calls.withColumn("path", F.lit(None).cast("string"))
+    joined = left.withColumnRenamed("language", "own_language").join(listed, (F.col("own_language") == F.col("call_language")) & pattern_matches())
+    return joined.drop("own_language").dropDuplicates(["call_id", "rule_id"])
+
+
+def expanded(template: Column, args: Column, kwargs: Column) -> Column:
+    """A text with ``${i}`` and ``${kw:name}`` replaced by arguments; a missing one is empty."""
+    hole = r"\$\{(?:\d+|kw:\w+)\}"
+
+    def value(found: Column) -> Column:
+        key = F.regexp_extract(found, r"kw:(\w+)", 1)
+        return F.coalesce(F.when(key != "", F.try_element_at(kwargs, key)).otherwise(F.get(args, F.regexp_extract(found, r"\d+", 0).try_cast("int"))), F.lit(""))
+
+    def whole(found: Column) -> Column:
+        return F.array_join(F.transform(F.split(template, hole, -1), lambda x, i: F.concat(x, F.when(i < F.size(found), value(F.get(found, i))).otherwise(F.lit("")))), "")
+
+    return T.let(F.regexp_extract_all(template, F.lit(hole), F.lit(0)), whole)
 
 
 def field_value(args: Column, kwargs: Column, path: Column, spec: Column) -> Column:
     """The raw value of a field; null if missing."""
-    expanded = F.when(spec["value_expr"].rlike(r"^\$\{\d+\}$"), F.get(args, F.regexp_extract(spec["value_expr"], r"\d+", 0).cast("int")))
-    by_key = F.regexp_extract(spec["value_expr"], r"^\$\{kw:(\w+)\}$", 1)
-    expanded = expanded.when(by_key != "", F.try_element_at(kwargs, by_key)).otherwise(spec["value_expr"])
     value = F.when(spec["source"] == "arg", F.get(args, F.coalesce(spec["index"], F.lit(0)))).when(spec["source"] == "kw", F.try_element_at(kwargs, spec["key"]))
-    value = value.when(spec["source"] == "literal", expanded).when(spec["source"] == "filename", path)
+    value = value.when(spec["source"] == "literal", expanded(spec["value_expr"], args, kwargs)).when(spec["source"] == "filename", path)
     return F.when(value != "", value)
 
 
@@ -82,20 +98,30 @@ def normalised(kind: Column, name: Column, value: Column) -> Column:
     return F.filter(out.otherwise(one(name, plain)), lambda x: x["value"].isNotNull() & (x["value"] != ""))
 
 
+def candidates(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Calls and the rules that match them, with the fields ``found``; ``complete`` if there is one, or the rule has none."""
+    raw = F.transform("fields", lambda f: F.struct(f["name"].alias("key"), T.redact_effect(field_value(F.col("args"), F.col("kwargs"), F.col("path"), f)).alias("value")))
+    rows = matched(calls, rules).withColumn("found", F.filter(raw, lambda f: f["value"].isNotNull()))
+    return rows.withColumn("complete", (F.size("fields") == 0) | (F.size("found") > 0))
+
+
 def detect(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Effects of (call_id, path, language, byte_start, byte_end, preview, n_args, args, kwargs, owner_fn_id).
+    """Effects of (call_id, path, language, byte_start, byte_end, preview, n_args, args, kwargs, owner_fn_id)."""
+    return effects_of(candidates(calls, rules))
+
+
+def effects_of(rows: DataFrame) -> DataFrame:
+    """Effects of ``candidates``.
 
     A rule whose fields are all missing gives no effect; one without fields does.
-    An HTTP method that isn't a verb is taken from the callee.
+    Of fields with one name, and of fields with one normalised key, the last one
+    holds.  An HTTP method that isn't a verb is taken from the callee.
     """
-    rows = matched(calls, rules)
-    raw = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), T.redact_effect(field_value(F.col("args"), F.col("kwargs"), F.col("path"), f)).alias("value")))
-    rows = rows.withColumn("found", F.filter(raw, lambda f: f["value"].isNotNull())).filter((F.size("fields") == 0) | (F.size("found") > 0))
-    pairs = F.flatten(F.transform("found", lambda f: normalised(F.col("kind"), f["name"], f["value"])))
-    latest = F.map_from_entries(F.filter(pairs, lambda x: x["key"].isNotNull()))
-    rows = rows.withColumns({"literals": F.map_from_entries(F.transform("found", lambda f: F.struct(f["name"], f["value"]))), "normalized_values": latest})
+    rows = rows.filter("complete")
+    pairs = F.flatten(F.transform("found", lambda f: normalised(F.col("kind"), f["key"], f["value"])))
+    rows = rows.withColumns({"literals": T.latest(F.col("found")), "normalized_values": T.latest(pairs)})
     verb = F.try_element_at("normalized_values", F.lit("method"))
-    fixed_verb = F.when(~verb.isin("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"), T.default_method(F.regexp_extract("preview", r"^[^(]*", 0)))
+    fixed_verb = F.when(~verb.isin(*fixed.HTTP_VERBS), T.default_method(F.regexp_extract("preview", r"^[^(]*", 0)))
     others = F.map_filter("normalized_values", lambda k, v: k != "method")
     rows = rows.withColumn("normalized_values", F.when(fixed_verb.isNotNull(), F.map_concat(others, F.create_map(F.lit("method"), fixed_verb))).otherwise(F.col("normalized_values")))
     receipt = receipt_id(F.col("path"), F.col("byte_start"), F.col("byte_end"), "group")

@@ -1,14 +1,19 @@
-"""Control-flow blocks and edges from keyword tokens, and folded assignments."""
+"""Control-flow blocks and edges from keyword tokens, and facts about written names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.functions import fixed
+from sourceloom.functions import text as T
 from sourceloom.functions.ids import content_id
 
 
+def _block_id(index: Column | int) -> Column:
+    return content_id("cfg:block", F.col("fn_id"), F.lit(index) if isinstance(index, int) else index)
+
+
 def with_blocks(tokens: DataFrame, cap: int = fixed.BLOCK_CAP) -> DataFrame:
     """Number the tokens (fn_id, pos, keyword) of each function from 2 and name their blocks.
 
@@ -16,30 +21,46 @@ def with_blocks(tokens: DataFrame, cap: int = fixed.BLOCK_CAP) -> DataFrame:
     """
     index = F.row_number().over(Window.partitionBy("fn_id").orderBy("pos", "keyword")) + 1
     out = tokens.withColumn("block_index", index)
-    return out.withColumns({"block_id": content_id("block", F.col("fn_id"), F.col("block_index")), "cut": F.col("block_index") >= cap})
+    return out.withColumns({"block_id": _block_id(F.col("block_index")), "cut": F.col("block_index") >= cap})
 
 
-def entry_id():
-    return content_id("block", F.col("fn_id"), F.lit(0))
+def blocks(tokens: DataFrame, functions: DataFrame | None = None, cap: int = fixed.BLOCK_CAP) -> DataFrame:
+    """fn_id, block_id, kind (entry, exit, normal), keyword of every function that has tokens, and of ``functions`` (fn_id)."""
+    ends = tokens.select("fn_id")
+    ends = (ends if functions is None else ends.union(functions.select("fn_id"))).distinct()
+    none = F.lit(None).cast("string").alias("keyword")
+    kept = with_blocks(tokens, cap).filter(~F.col("cut")).select("fn_id", "block_id", F.lit("normal").alias("kind"), "keyword")
+    for index, kind in ((0, "entry"), (1, "exit")):
+        kept = kept.union(ends.select("fn_id", _block_id(index), F.lit(kind), none))
+    return kept
 
 
-def exit_id():
-    return content_id("block", F.col("fn_id"), F.lit(1))
+def edges(tokens: DataFrame, functions: DataFrame | None = None, cap: int = fixed.BLOCK_CAP) -> DataFrame:
+    """fn_id, kind, src, dst, label: sequence, labelled branches, jumps and the fall through to exit.
 
-
-def edges(tokens: DataFrame, cap: int = fixed.BLOCK_CAP) -> DataFrame:
-    """fn_id, kind, src, dst, label: sequence, labelled branches, jumps and the fall through to exit."""
-    blocks = with_blocks(tokens, cap).filter(~F.col("cut"))
+    A function of ``functions`` without tokens falls through from entry to exit.
+    """
+    kept = with_blocks(tokens, cap).filter(~F.col("cut"))
     order = Window.partitionBy("fn_id").orderBy("block_index")
     last = F.lead("block_id").over(order).isNull()
+
+    def edge(kind: str, src: Column, dst: Column, label: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), (none if label is None else label).alias("label"))
+
+    block, word = F.col("block_id"), F.col("keyword")
     found = F.array(
-        F.struct(F.lit("seq").alias("kind"), F.coalesce(F.lag("block_id").over(order), entry_id()).alias("src"), F.col("block_id").alias("dst"), F.lit(None).cast("string").alias("label")),
-        F.when(F.col("keyword").isin(*fixed.LABEL_KEYWORDS), F.struct(F.lit("branch").alias("kind"), F.col("block_id").alias("src"), exit_id().alias("dst"), F.col("keyword").alias("label"))),
-        F.when(F.col("keyword").isin(*fixed.JUMP_KEYWORDS), F.struct(F.lit("jump").alias("kind"), F.col("block_id").alias("src"), exit_id().alias("dst"), F.lit(None).cast("string").alias("label"))),
-        F.when(last, F.struct(F.lit("fallthrough").alias("kind"), F.col("block_id").alias("src"), exit_id().alias("dst"), F.lit(None).cast("string").alias("label"))),
+        edge("seq", F.coalesce(F.lag("block_id").over(order), _block_id(0)), block),
+        F.when(word.isin(*fixed.LABEL_KEYWORDS), edge("branch", block, _block_id(1), word)),
+        F.when(word.isin(*fixed.JUMP_KEYWORDS), edge("jump", block, _block_id(1), word)),
+        F.when(last, edge("fallthrough", block, _block_id(1))),
     )
-    listed = blocks.withColumn("found", found)  # the windows share one sort
-    return listed.select("fn_id", F.explode(F.filter("found", lambda e: e.isNotNull())).alias("e")).select("fn_id", "e.*").withColumn("edge_id", content_id("edge", F.col("fn_id"), F.col("kind"), F.col("src"), F.col("dst")))
+    listed = kept.withColumn("found", found)  # the windows share one sort
+    out = listed.select("fn_id", F.explode(F.filter("found", lambda e: e.isNotNull())).alias("e")).select("fn_id", "e.*")
+    if functions is not None:
+        empty = functions.select("fn_id").distinct().join(tokens.select("fn_id").distinct(), "fn_id", "left_anti")
+        out = out.union(empty.select("fn_id", edge("fallthrough", _block_id(0), _block_id(1)).alias("e")).select("fn_id", "e.*"))
+    return out.withColumn("edge_id", content_id("cfg:edge", F.col("fn_id"), F.col("src"), F.col("dst"), F.coalesce("label", "kind")))
 
 
 def counts(tokens: DataFrame, cap: int = fixed.BLOCK_CAP) -> DataFrame:
@@ -52,6 +73,42 @@ def counts(tokens: DataFrame, cap: int = fixed.BLOCK_CAP) -> DataFrame:
     )
 
 
+def cut_functions(tokens: DataFrame, cap: int = fixed.BLOCK_CAP) -> DataFrame:
+    """fn_id, dropped of functions with more tokens than blocks are made for."""
+    n = F.count("*") - (cap - 2)
+    return tokens.groupBy("fn_id").agg(n.alias("dropped")).filter("dropped > 0")
+
+
 def last_values(facts: DataFrame) -> DataFrame:
     """fn_id, name, value: the last write of each name in (fn_id, name, value, pos)."""
     return facts.groupBy("fn_id", "name").agg(F.max_by("value", "pos").alias("value"))
+
+
+def written_facts(written: DataFrame) -> DataFrame:
+    """fn_id, name, pos, op_kind, src, dst, flags of assignments (fn_id, name, expression, pos) to names like paths.
+
+    A joined path or URL is normalised (CALL_NORM); else literals are folded (ASSIGN).
+    """
+    rows = written.filter(T.is_pathlike(F.col("name")))
+    rows = rows.withColumns({"normal": T.normalize_call(F.col("expression")), "folded": T.fold_concat(F.col("expression"))})
+    partly = F.when(F.contains("normal", F.lit("{x}")), F.array(F.lit("NON_LITERAL_PATH"))).otherwise(F.array().cast("array<string>"))
+    literal = F.concat(F.lit("lit:"), F.left(F.coalesce("normal", "folded.value"), F.lit(64)))
+    dynamic = F.col("normal").isNull() & (F.col("folded.flags")[0] == "DYNAMIC")
+    return rows.select(
+        "fn_id", "name", "pos", F.when(F.col("normal").isNotNull(), "CALL_NORM").otherwise("ASSIGN").alias("op_kind"), F.when(dynamic, F.lit("dyn:{x}")).otherwise(literal).alias("src"),
+        F.concat(F.lit("var:"), "name").alias("dst"), F.when(F.col("normal").isNotNull(), partly).otherwise(F.col("folded.flags")).alias("flags"),
+    )
+
+
+def used_facts(facts: DataFrame, called: DataFrame) -> DataFrame:
+    """USE facts: names with a known value in calls (fn_id, call, preview, pos) of their function that hold the name."""
+    known = facts.filter("src <> 'dyn:{x}'").select("fn_id", "name").distinct()
+    joined = called.join(known, "fn_id").filter(F.contains("preview", F.col("name")))
+    return joined.select("fn_id", "name", "pos", F.lit("USE").alias("op_kind"), F.concat(F.lit("var:"), "name").alias("src"), F.col("call").alias("dst"), F.array().cast("array<string>").alias("flags"))
+
+
+def numbered_facts(facts: DataFrame, cap: int = fixed.FACT_CAP) -> DataFrame:
+    """Facts with fact_id and ``seq`` from 0: writes in the order of the text, then uses; those beyond the cap are marked ``cut``."""
+    order = Window.partitionBy("fn_id").orderBy(F.col("op_kind") == "USE", "pos", "name", "dst")
+    out = facts.withColumn("seq", F.row_number().over(order) - 1)
+    return out.withColumns({"fact_id": content_id("dfg:fact", F.col("fn_id"), F.col("seq")), "cut": F.col("seq") >= cap})

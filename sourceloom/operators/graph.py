@@ -1,10 +1,11 @@
-"""Lifting captures to nodes, edges and symbols, binding imports, flow facts: one composition by path."""
+"""Lifting captures to nodes, edges and symbols, binding imports and names, flow, effects: one composition by path."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.functions import fixed, ids
@@ -13,108 +14,237 @@ from sourceloom.operators import effects, flow, intervals
 from sourceloom.plans.staging import stage_table
 from sourceloom.sources import captures
 
+#: Bytes of a file that share a key in joins by containment, so that a large file is many keys.
+BIN_BYTES = 1 << 16
+
 
 @dataclass
 class Graph:
     nodes: DataFrame
     edges: DataFrame
     symbols: DataFrame
+    frames: DataFrame
     bindings: DataFrame
+    cfg_blocks: DataFrame
     cfg_edges: DataFrame
     facts: DataFrame
     effects: DataFrame
     anomalies: DataFrame
+    metrics: DataFrame
+
+
+def signature(header: Column, language: Column, constructor: Column | None = None) -> Column:
+    """name(arity)|types|flags of a definition's header; of Python parameters, those that begin with self or cls don't count."""
+    python = language == "python"
+    params = captures.split_arguments(F.regexp_extract(header, r"\(((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*\))*+\))*+\))*+)\)", 1), generics=True)
+    params = F.filter(params, lambda p: ~(python & p.rlike(r"^(self|cls)")))
+
+    def kind(p: Column) -> Column:
+        typed = F.when(F.contains(p, F.lit(":")), F.regexp_replace(F.regexp_extract(p, r"(?s):\s*(.*)$", 1), r"<[^<>]*>", "")).otherwise(F.lit(""))
+        return F.when(python & p.startswith("**"), F.lit("**")).when(python & p.startswith("*"), F.lit("*")).otherwise(F.coalesce(T.first_identifier(typed), F.lit("?")))
+
+    is_class = header.rlike(r"^\s*(?:export\s+)?(?:default\s+)?class\s")
+    arrow = ~python & header.rlike(r"=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]*)?=>")
+    flags = F.array_compact(F.array(
+        F.when(arrow, F.lit("arrow")), F.when(header.rlike(r"^\s*(?:export\s+)?(?:static\s+)?async\b"), F.lit("async")), F.when(is_class, F.lit("class")),
+        F.when(F.coalesce(constructor, F.lit(False)) if constructor is not None else F.lit(False), F.lit("ctor")),
+        F.when(~python & header.rlike(r"^\s*(?:static\s+)?get\s+\w"), F.lit("getter")), F.when(~python & header.rlike(r"^\s*(?:static\s+)?set\s+\w"), F.lit("setter")),
+    ))
+    named = F.regexp_extract(header, r"\b(?:def|class|function\s*\*?|const|let|var)\s+([A-Za-z_$][\w$]*)", 1)
+    name = F.when(named != "", named).otherwise(F.regexp_extract(header, r"^\s*(?:(?:static|async|get|set)\s+)*([A-Za-z_$][\w$]*)", 1))
+    size = F.when(is_class, 0).otherwise(F.size(params))
+    kinds = F.when(is_class, F.lit("")).otherwise(F.array_join(F.transform(F.slice(params, 1, fixed.TYPE_CAP), kind), ","))
+    return F.concat(name, F.lit("("), size.cast("string"), F.lit(")|"), kinds, F.lit("|"), F.array_join(flags, ","))
+
+
+def first_symbols(symbols: DataFrame, *order: str) -> DataFrame:
+    """One row for each symbol_id, the first by ``order``."""
+    rest = [c for c in symbols.columns if c != "symbol_id"]
+    return symbols.groupBy("symbol_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("s")).select("symbol_id", "s.*")
 
 
-def signature(header: Column, language: Column) -> Column:
-    """name(arity)|types| of a definition's header; self, cls and receivers don't count."""
-    params = captures.split_arguments(F.regexp_extract(header, r"\(((?:[^()]|\([^()]*\))*)\)", 1))
-    params = F.filter(params, lambda p: ~((language == "python") & p.rlike(r"^(self|cls)\b")) & ~p.isin("/", "*"))
-    kinds = F.transform(F.slice(params, 1, fixed.TYPE_CAP), lambda p: F.coalesce(T.first_identifier(F.when(F.contains(p, F.lit(":")), F.regexp_extract(p, r":\s*(.*)$", 1)).otherwise(F.lit(""))), F.lit("?")))
-    name = F.regexp_extract(header, r"(?:def|class|function\s*\*?|const|let|var)\s+([A-Za-z_$][\w$]*)", 1)
-    return F.concat(name, F.lit("("), F.size(params).cast("string"), F.lit(")|"), F.array_join(kinds, ","), F.lit("|"))
+def nearest_definitions(used: DataFrame, entries: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """(key, target): of the entries with the name of a use, that of the innermost scope around it, else that of the module.
+
+    ``used`` has keys, name, ``key``, start, end; ``entries`` keys, name, target and
+    the scope's start and end, null for the module.
+    """
+    scopes = entries.select(*[F.col(k).alias(f"s_{k}") for k in (*keys, "name")], F.col("start").alias("s_start"), F.col("end").alias("s_end"), "target")
+    on = [used[k].eqNullSafe(scopes[f"s_{k}"]) for k in (*keys, "name")]
+    around = F.col("s_start").isNull() | ((F.col("s_start") <= F.col("start")) & (F.col("s_end") >= F.col("end")))
+    joined = used.join(scopes, [*on, around])
+    return joined.groupBy(key).agg(F.max_by("target", F.struct(F.coalesce("s_start", F.lit(-(1 << 62))), -F.coalesce("s_end", F.lit(0)))).alias("target"))
+
+
+def _union(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def build(files: DataFrame, rules: DataFrame) -> Graph:
+def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) -> Graph:
     """The graph of (path, language, text, blob_sha256).
 
-    Lines, definitions and calls are stage tables, as several parts read them.
+    What several parts read is a stage table.  ``packs`` are the rule packs asked for.
     """
     rows = stage_table(captures.lines(files), "lines")
-    defs = captures.definitions(rows)
+    found = stage_table(captures.tokens(rows), "tokens")
+    pairs = stage_table(captures.brackets(found), "brackets")
     span = ids.span_key(F.col("path"), F.col("start"), F.col("end"))
-    defs = defs.withColumn("def_key", span)
-    chain = intervals.chains(defs.select("path", "start", "end", "def_key", "name"), ["path"], "def_key", F.col("name"))
-    parent = intervals.parents(defs.select("path", "start", "end", "def_key"), ["path"], "def_key")
-    defs = defs.join(chain, "def_key").join(parent, "def_key").withColumn("qualified_name", F.concat_ws("::", "path", "chain"))
-    in_class = defs.filter("kind = 'def.class'").select(F.col("def_key").alias("parent"), F.lit(True).alias("in_class"))
-    defs = defs.join(in_class, "parent", "left").withColumn("semantic_type", F.when(F.col("kind") == "def.class", "Class").when(F.col("in_class"), "Method").otherwise("Function"))
-    defs = defs.withColumns({
-        "node_id": ids.node_id(F.col("semantic_type"), F.col("language"), F.col("qualified_name"), F.col("def_key")),
-        "symbol_id": ids.symbol_id(F.col("language"), F.col("qualified_name"), F.lower("semantic_type"), signature(F.col("header"), F.col("language"))),
-    })
+    nothing = F.lit(None).cast("string")
+    cuts: list[DataFrame] = []
 
-    defs = stage_table(defs, "definitions")
+    def capped(captured: DataFrame, family: str) -> DataFrame:
+        kept, over = captures.capped(captured, ["path"], "start", "end")
+        cuts.append(over.select("path", F.lit("CAPTURE_TRUNCATED").alias("anomaly_type"), F.lit("WARN").alias("severity"), F.concat(F.lit(f"{family}: "), F.col("dropped").cast("string"), F.lit(" captures dropped")).alias("reason_detail")))
+        return kept.drop("place")
 
-    module = files.select("path", "language", ids.node_id("Module", F.col("language"), F.col("path"), ids.span_key(F.col("path"), F.lit(0), F.lit(0))).alias("node_id"))
-    called = captures.calls(rows)
-    grouped = intervals.islands(called, ["path"], "start", "end", "callee")
-    widest = F.max_by(F.struct("callee", "preview", "args", "kwargs", "n_args"), F.struct(F.col("end") - F.col("start"), -F.col("start")))
-    groups = grouped.groupBy("path", "language", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), widest.alias("w")).select("path", "language", "start", "end", "w.*")
-    groups = groups.withColumn("call_key", span).withColumn("call_id", ids.node_id("Call", F.col("language"), F.col("path"), F.col("call_key")))
+    # definitions and their scopes
+    defs = capped(captures.definitions(rows, found, pairs), "defs").withColumn("def_key", F.concat_ws("#", span, "name"))
+    bare = defs.select("path", "start", "end", "def_key", "name")
+    chain = intervals.chains(bare, ["path"], "def_key", F.col("name"), bins=BIN_BYTES)
+    parent = intervals.parents(bare.drop("name"), ["path"], "def_key", BIN_BYTES)
+    defs = defs.join(chain, "def_key").join(parent, "def_key").withColumn("qualified_name", F.concat_ws("::", "path", "chain"))
+    classes = defs.filter("kind = 'def.class'").select(F.col("def_key").alias("parent"), F.lit(True).alias("in_class"))
+    method = (F.col("kind") == "def.method") | F.coalesce("in_class", F.lit(False))
+    defs = defs.join(classes, "parent", "left").withColumn("semantic_type", F.when(F.col("kind") == "def.class", "Class").when(method, "Method").otherwise("Function"))
+    constructor = (F.col("semantic_type") == "Method") & (F.col("name") == "__init__")
+    defs = defs.withColumns({"span_key": span, "signature": signature(F.col("header"), F.col("language"), constructor)}).withColumns({
+        "node_id": ids.node_id(F.col("semantic_type"), F.col("language"), F.col("qualified_name"), F.col("span_key")),
+        "symbol_id": ids.symbol_id(F.col("language"), F.col("qualified_name"), F.lower("semantic_type"), F.col("signature")),
+    })
+    defs = stage_table(defs.drop("in_class"), "definitions")
     functions = intervals.place_in_order(defs.filter("semantic_type <> 'Class'").select("path", "start", "end", "node_id"), ["path"], "node_id")
-    owner = intervals.smallest_owner(groups.select("path", "start", "end", "call_id"), functions, ["path"], "call_id", "node_id")
-    groups = stage_table(groups.join(owner, "call_id"), "calls")
+    own_key = ids.span_key(F.col("path"), F.lit(0), F.lit(0))
+    modules = files.select("path", "language", ids.node_id("Module", F.col("language"), F.col("path"), own_key).alias("node_id"), ids.node_id("File", F.col("language"), F.col("path"), own_key).alias("file_id"), own_key.alias("span_key"))
+    modules = stage_table(modules, "modules")
 
-    imported = captures.imports(rows).withColumn("key", span)
-    imported = imported.withColumn("import_id", ids.node_id("Import", F.col("language"), F.col("path"), F.col("key")))
-    bindings = imported.filter("language = 'python'").select("path", "import_id", "key", F.explode(T.python_imports(F.col("statement"))).alias("b")).select("path", "import_id", "key", "b.*")
-    scripts = imported.filter("language <> 'python'").select("path", "import_id", "key", F.explode(script_imports(F.col("statement"))).alias("b")).select("path", "import_id", "key", "b.*")
-    bindings = bindings.unionByName(scripts)
+    # calls, imports, exports, literals
+    groups = capped(captures.call_groups(rows, found, pairs), "calls").withColumn("span_key", span)
+    at = F.col("start").cast("string")
+    groups = groups.withColumn("qualified_name", F.concat("path", F.lit("::call@"), at)).withColumn("node_id", ids.node_id("Call", F.col("language"), F.col("qualified_name"), F.col("span_key")))
+    groups = groups.withColumns({"used": T.first_identifier(F.col("callee")), "callee_id": ids.symbol_id(F.col("language"), F.coalesce(T.first_identifier(F.col("callee")), F.lit("")), "symbol.ref", F.lit(""))})
+    owner = intervals.smallest_owner(groups.select("path", "start", "end", F.col("node_id").alias("call_id")), functions, ["path"], "call_id", "node_id", BIN_BYTES)
+    groups = stage_table(groups.join(owner.withColumnRenamed("call_id", "node_id"), "node_id"), "calls")
+    imported = capped(captures.imports(rows, found, pairs), "imports").withColumns({"span_key": span, "qualified_name": F.concat("path", F.lit("::import@"), at)})
+    imported = stage_table(imported.withColumn("node_id", ids.node_id("Import", F.col("language"), F.col("qualified_name"), F.col("span_key"))), "imports")
+    exported = captures.exports(rows).withColumns({"span_key": span, "qualified_name": F.concat("path", F.lit("::export@"), at)})
+    exported = exported.withColumn("node_id", ids.node_id("Export", F.col("language"), F.col("qualified_name"), F.col("span_key")))
+    literals = capped(captures.literals(rows, found), "literals")
+    literals = literals.withColumn("semantic_type", F.when(F.col("kind") == "lit.template", "TemplatePart").otherwise("Literal"))
+    literals = literals.withColumns({"span_key": span, "qualified_name": F.concat("path", F.lit("::"), F.lower("semantic_type"), F.lit("@"), at)})
+    literals = stage_table(literals.withColumn("node_id", ids.node_id(F.col("semantic_type"), F.col("language"), F.col("qualified_name"), F.col("span_key"))).drop("text"), "literals")
 
-    def node(df: DataFrame, identity: str, semantic: Column | str, name: Column, qualified: Column, key: Column) -> DataFrame:
-        return df.select("path", "language", F.col(identity).alias("node_id"), (F.lit(semantic) if isinstance(semantic, str) else semantic).alias("semantic_type"), name.alias("name"), qualified.alias("qualified_name"), key.alias("span_key"))
+    # bindings of imports
+    key = [F.col(c) for c in ("path", "language", "node_id", "span_key", "start")]
+    python = imported.filter("language = 'python'").select(*key, F.lit(False).alias("type_only"), F.posexplode(T.python_imports(F.col("statement"))).alias("nth", "b"))
+    scripts = imported.filter("language <> 'python'").select(*key, F.col("statement").rlike(r"^import\s+type\s").alias("type_only"), F.posexplode(script_imports(F.col("statement"))).alias("nth", "b"))
+    bindings = python.unionByName(scripts).select(*key, "type_only", "nth", "b.*")
+    source = F.when(F.col("module") != "", F.col("module"))
+    canonical = F.concat(F.coalesce(source, F.lit("<external>")), F.lit("::"), F.coalesce("imported", F.lit("*")))
+    bindings = bindings.withColumns({
+        "alias_id": ids.content_id("sym", "alias", F.col("path"), F.col("alias")), "canonical_id": ids.content_id("sym", "canonical", F.col("path"), canonical),
+        "flags": F.array_compact(F.array(F.when(source.isNotNull(), F.lit("RESOLVED")).otherwise(F.lit("PARTIAL")), F.when(F.col("type_only"), F.lit("TYPE_ONLY")))),
+        "confidence": F.when(F.col("type_only"), 0.8).when(source.isNotNull(), 1.0).otherwise(0.6),
+        "placeholder_id": ids.symbol_id(F.col("language"), F.concat_ws("::", "path", "alias"), "import", F.col("alias")),
+    })
+    bindings = stage_table(bindings, "bindings")
 
-    nothing = F.lit(None).cast("string")
-    nodes = (
-        node(module, "node_id", "Module", F.col("path"), F.col("path"), nothing)
-        .unionByName(node(defs, "node_id", F.col("semantic_type"), F.col("name"), F.col("qualified_name"), F.col("def_key")))
-        .unionByName(node(groups, "call_id", "Call", F.col("callee"), nothing, F.col("call_key")))
-        .unionByName(node(imported, "import_id", "Import", nothing, nothing, F.col("key")))
+    # scopes: a module's frame and one for each definition; the first definition of a name in a scope holds
+    parent_ids = defs.select(F.col("def_key").alias("parent"), F.col("node_id").alias("scope_id"), F.col("start").alias("scope_start"), F.col("end").alias("scope_end"))
+    placed = defs.join(parent_ids, "parent", "left").join(modules.select("path", F.col("node_id").alias("module_id")), "path")
+    placed = placed.withColumn("parent_id", F.coalesce("scope_id", "module_id"))
+    frames = modules.select("path", "node_id", nothing.alias("parent_id"), F.col("path").alias("name"), F.lit("Module").alias("semantic_type"), F.col("path").alias("qualified_name")).unionByName(
+        placed.select("path", "node_id", "parent_id", "name", "semantic_type", "qualified_name")
     )
+    first = F.row_number().over(Window.partitionBy("path", "parent_id", "name").orderBy("start", F.col("end").desc(), "node_id"))
+    entries = placed.withColumn("first", first).filter("first = 1").select("path", "name", F.col("scope_start").alias("start"), F.col("scope_end").alias("end"), F.col("node_id").alias("target"))
+    aliases = bindings.groupBy("path", F.col("alias").alias("name")).agg(F.min_by("alias_id", F.struct("start", "nth")).alias("target"))
+    aliases = aliases.join(entries.filter("start IS NULL").select("path", "name"), ["path", "name"], "left_anti")
+    no_span = F.lit(None).cast("bigint")
+    entries = entries.unionByName(aliases.select("path", "name", no_span.alias("start"), no_span.alias("end"), "target"))
+    used = groups.filter("used IS NOT NULL").select("path", F.col("used").alias("name"), F.col("node_id").alias("call_id"), "start", "end")
+    references = nearest_definitions(used, entries, ["path"], "call_id").join(groups.select(F.col("node_id").alias("call_id"), "path", "callee_id", "span_key"), "call_id")
 
-    def edge(df: DataFrame, kind: str, source: Column, target: Column, key: Column, flag: str, confidence: float) -> DataFrame:
-        return df.select("path", ids.edge_id(kind, source, target, key).alias("edge_id"), F.lit(kind).alias("kind"), source.alias("src_id"), target.alias("dst_id"), F.array(F.lit(flag)).alias("flags"), F.lit(confidence).alias("confidence"))
-
-    parents_of = defs.join(defs.select(F.col("def_key").alias("parent"), F.col("node_id").alias("parent_id")), "parent", "left").join(module.select("path", F.col("node_id").alias("module_id")), "path")
-    placeholder = ids.symbol_id(F.col("language"), F.coalesce(T.first_identifier(F.col("callee")), F.lit("")), "callee", F.lit(""))
-    alias = ids.content_id("alias", F.col("path"), F.col("alias"))
-    edges = (
-        edge(parents_of, "defines", F.coalesce("parent_id", "module_id"), F.col("node_id"), F.col("def_key"), "RESOLVED", 1.0)
-        .unionByName(edge(defs, "defines", F.col("node_id"), F.col("symbol_id"), F.col("def_key"), "RESOLVED", 1.0))
-        .unionByName(edge(groups.filter("owner IS NOT NULL"), "calls", F.col("owner"), F.col("call_id"), F.col("call_key"), "RESOLVED", 1.0))
-        .unionByName(edge(groups, "calls", F.col("call_id"), placeholder, F.col("call_key"), "UNRESOLVED", 0.5))
-        .unionByName(edge(bindings, "aliases", F.col("import_id"), alias, F.concat_ws("#", "key", "alias"), "RESOLVED", 1.0))
-    )
-    symbols = defs.select("symbol_id", "name", F.lower("semantic_type").alias("kind"), F.col("qualified_name").alias("scope_qname"), "path").unionByName(
-        groups.select(placeholder.alias("symbol_id"), T.first_identifier(F.col("callee")).alias("name"), F.lit("callee").alias("kind"), nothing.alias("scope_qname"), "path")
-    )
-    first = symbols.groupBy("symbol_id").agg(F.min_by(F.struct("name", "kind", "scope_qname", "path"), "path").alias("s")).select("symbol_id", "s.*")
+    def node(df: DataFrame, semantic: Column | str, raw: Column | str, name: Column, qualified: Column, identity: str = "node_id") -> DataFrame:
+        text = [(F.lit(x) if isinstance(x, str) else x) for x in (semantic, raw)]
+        return df.select("path", "language", F.col(identity).alias("node_id"), text[0].alias("semantic_type"), text[1].alias("raw_type"), name.alias("name"), qualified.alias("qualified_name"), "span_key")
 
-    words = captures.control_words(rows).withColumnRenamed("byte_start", "at").select("path", F.col("at").alias("start"), F.col("at").alias("end"), "pos", "keyword", F.concat_ws(":", "path", "pos").alias("token"))
-    token_owner = intervals.innermost_owner(words, functions, ["path"], "token", "node_id")
-    owned = words.join(token_owner, "token").filter("owner IS NOT NULL").select(F.col("owner").alias("fn_id"), "pos", "keyword")
+    qualified = F.col("qualified_name")
+    nodes = _union(
+        node(modules, "File", "file", F.regexp_extract("path", "[^/]*$", 0), F.col("path"), "file_id"), node(modules, "Module", "module", F.col("path"), F.col("path")),
+        node(defs, F.col("semantic_type"), F.col("kind"), F.col("name"), qualified), node(groups, "Call", "call.expr", F.col("callee"), qualified),
+        node(imported, "Import", F.when(F.col("statement").startswith("from"), "import.from").otherwise("import.stmt"), nothing, qualified),
+        node(exported, "Export", "export.stmt", nothing, qualified), node(literals, F.col("semantic_type"), F.col("kind"), nothing, qualified),
+    )
+
+    def edge(df: DataFrame, kind: str, source: Column | str, target: Column | str, flags: Column | str = "RESOLVED", confidence: Column | float = 1.0) -> DataFrame:
+        source, target = (F.col(x) if isinstance(x, str) else x for x in (source, target))
+        flags = F.array(F.lit(flags)) if isinstance(flags, str) else flags
+        confidence = F.lit(confidence) if isinstance(confidence, float) else confidence
+        return df.select("path", ids.edge_id(kind, source, target, F.col("span_key")).alias("edge_id"), F.lit(kind).alias("kind"), source.alias("src_id"), target.alias("dst_id"), flags.alias("flags"), confidence.alias("confidence"), "span_key")
+
+    owned = _union(*[x.select("path", "node_id", "span_key") for x in (defs, imported, exported, groups, literals)]).join(modules.select("path", F.col("node_id").alias("module_id")), "path")
+    names = bindings.select("path", "node_id", "placeholder_id", "alias", "span_key").distinct()
+    edges = _union(
+        edge(modules, "defines", "file_id", "node_id"), edge(owned, "defines", "module_id", "node_id"), edge(defs, "defines", "node_id", "symbol_id"),
+        edge(names, "imports", "node_id", "placeholder_id", "UNRESOLVED", 0.4), edge(bindings, "imports", "node_id", "canonical_id", F.col("flags"), F.col("confidence")),
+        edge(bindings, "aliases", "alias_id", "canonical_id", F.col("flags"), F.col("confidence")),
+        edge(groups.filter("owner IS NOT NULL"), "calls", "owner", "node_id"), edge(groups.filter("used IS NOT NULL"), "calls", "node_id", "callee_id", "UNRESOLVED", 0.5),
+        edge(references, "references", "callee_id", "target", "RESOLVED", 0.9),
+    )
+    symbols = _union(
+        defs.select("symbol_id", "name", F.lower("semantic_type").alias("kind"), F.col("qualified_name").alias("scope_qname"), "path", "start"),
+        groups.filter("used IS NOT NULL").select(F.col("callee_id").alias("symbol_id"), F.col("used").alias("name"), F.lit("symbol.ref").alias("kind"), F.col("used").alias("scope_qname"), "path", "start"),
+        bindings.select(F.col("placeholder_id").alias("symbol_id"), F.col("alias").alias("name"), F.lit("import.symbol").alias("kind"), F.concat_ws("::", "path", "alias").alias("scope_qname"), "path", "start"),
+    )
+
+    # flow: a function's text holds that of the functions in it
+    def within(points: DataFrame) -> DataFrame:
+        return intervals.containing(points, functions, ["path"], bins=BIN_BYTES).withColumnRenamed("o_node_id", "fn_id")
+
+    words = captures.control_words(found).select("path", F.col("byte").alias("start"), F.col("byte").alias("end"), "pos", "keyword")
+    tokens = stage_table(within(words).select("fn_id", "pos", "keyword"), "flow-tokens")
+    fns = functions.select(F.col("node_id").alias("fn_id"), "path")
+    written = within(captures.assignments(rows).select("path", "name", "expression", "start", F.col("start").alias("end"), F.col("start").alias("pos")))
+    facts = flow.written_facts(written.select("fn_id", "name", "expression", "pos"))
+    called = groups.filter(T.is_effect_call(F.col("preview"), F.col("language"))).select("path", "preview", F.concat(F.lit("call@"), at).alias("call"), "start", F.col("start").alias("end"), F.col("start").alias("pos"))
+    facts = flow.numbered_facts(facts.unionByName(flow.used_facts(facts, within(called).select("fn_id", "call", "preview", "pos"))))
+    facts = stage_table(facts.join(fns, "fn_id"), "facts")
+
+    matched = stage_table(effects.candidates(groups.select(F.col("node_id").alias("call_id"), "path", "language", F.col("start").alias("byte_start"), F.col("end").alias("byte_end"), "preview", "n_args", "args", "kwargs", F.col("owner").alias("owner_fn_id")), rules), "matched")
+
+    def anomaly(df: DataFrame, kind: str, detail: Column | str, severity: str = "WARN") -> DataFrame:
+        return df.select("path", F.lit(kind).alias("anomaly_type"), F.lit(severity).alias("severity"), (F.lit(detail) if isinstance(detail, str) else detail).alias("reason_detail"))
+
+    captured = _union(*[x.select("path") for x in (defs, groups, imported, exported, literals)]).distinct()
+    empty = files.filter(F.col("text").rlike(r"\S")).select("path").join(captured, "path", "left_anti")
+    unbound = imported.join(bindings.select("node_id").distinct(), "node_id", "left_anti")
+    anomalies = _union(
+        anomaly(bindings.filter("kind = 'star' AND language = 'python'"), "UNCERTAIN_BINDING", "from ... import *"),
+        anomaly(unbound, "UNCERTAIN_BINDING", F.concat(F.lit("Unparsed import preview for "), "language")), anomaly(captures.dynamic_imports(found), "DYNAMIC_IMPORT", "dynamic import()"),
+        anomaly(flow.cut_functions(tokens).join(fns, "fn_id"), "PARTIAL_PARSE", "CFG_BLOCK_CUTOFF"),
+        anomaly(facts.filter("cut").select("fn_id", "path").distinct(), "CONST_FOLD_CUTOFF", f"facts>{fixed.FACT_CAP}"), anomaly(empty, "PARTIAL_PARSE", "AST present but no captures; check queries/grammar pin."), *cuts,
+    )
+    if packs is not None:
+        asked = files.sparkSession.createDataFrame([(x,) for x in packs], "pack string")
+        missing = effects.missing_packs(asked, rules).select(nothing.alias("path"), F.lit("PARSE_ERROR").alias("anomaly_type"), "severity", F.concat("reason_detail", F.lit(": "), "pack").alias("reason_detail"))
+        anomalies = anomalies.unionByName(missing)
+    facts = facts.filter(~F.col("cut"))
+    counted = {
+        "defs": defs, "calls": groups.select("path", F.col("members").alias("n")), "imports": imported, "exports": exported, "literals": literals, "imports_seen": imported, "imports_resolved": bindings,
+        "alias_edges": bindings, "local_refs": references, "blocks": flow.blocks(tokens, fns).join(fns, "fn_id"), "flow_edges": flow.edges(tokens, fns).join(fns, "fn_id"), "facts": facts,
+        "candidate_calls": groups, "matched": matched.filter("complete"), "fields_missing": matched.filter("NOT complete"),
+    }
+    return Graph(
+        nodes, edges, first_symbols(symbols, "path", "start"), frames, bindings, flow.blocks(tokens, fns), flow.edges(tokens, fns), facts, effects.effects_of(matched), anomalies,
+        _counted(modules.select("path"), counted),
+    )
 
-    written = captures.assignments(rows).withColumn("end", F.col("byte_end")).withColumn("fact_key", F.concat_ws(":", "path", "start"))
-    fact_owner = intervals.innermost_owner(written.select("path", "start", "end", "fact_key"), functions, ["path"], "fact_key", "node_id")
-    folded = T.fold_concat(F.col("expression"))
-    facts = written.filter(T.is_pathlike(F.col("name"))).join(fact_owner, "fact_key").select(
-        "path", F.col("owner").alias("fn_id"), ids.content_id("fact", F.col("path"), F.col("start"), F.col("name")).alias("fact_id"), F.lit("ASSIGN").alias("op_kind"), folded["value"].alias("src"), F.col("name").alias("dst"), folded["flags"].alias("flags"), "start"
-    )
 
-    found = effects.detect(groups.select("call_id", "path", "language", F.col("start").alias("byte_start"), F.col("end").alias("byte_end"), "preview", "n_args", "args", "kwargs", F.col("owner").alias("owner_fn_id")), rules)
-    stars = bindings.filter("kind = 'star'").select("path", F.lit("WILDCARD_IMPORT").alias("anomaly_type"), F.lit("INFO").alias("severity"), F.concat(F.lit("star import of "), "module").alias("reason_detail"))
-    return Graph(nodes, edges, first, bindings, flow.edges(owned), facts, found, stars)
+def _counted(paths: DataFrame, counted: dict[str, DataFrame]) -> DataFrame:
+    """One row for each path: how many rows (or the sum of their ``n``) each table has of it."""
+    parts = [df.select("path", F.lit(name).alias("what"), F.col("n").cast("bigint") if "n" in df.columns else F.lit(1).cast("bigint").alias("n")) for name, df in counted.items()]
+    total = _union(*parts).groupBy("path").agg(*[F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0)).alias(name) for name in counted])
+    return paths.join(total, "path", "left").select("path", *[F.coalesce(name, F.lit(0)).alias(name) for name in counted])
 
 
 def script_imports(statement: Column) -> Column:
@@ -122,7 +252,7 @@ def script_imports(statement: Column) -> Column:
     module = F.regexp_extract(statement, r"(?:from\s*|require\s*\(\s*|^import\s*)['\"]([^'\"]+)['\"]", 1)
     kind = "array<struct<module:string,imported:string,alias:string,kind:string>>"
     body = F.regexp_extract(statement, r"\{([^}]*)\}", 1)
-    items = F.filter(F.transform(F.split(body, ","), lambda x: F.trim(F.regexp_replace(x, r"^\s*type\s+", ""))), lambda x: x != "")
+    items = F.filter(F.transform(F.split(body, ","), lambda x: F.regexp_replace(x, r"^\s*(?:type\s+)?|\s+$", "")), lambda x: x != "")
 
     def binding(item: Column) -> Column:
         pair = F.split(item, r"\s+as\s+|\s*:\s*")

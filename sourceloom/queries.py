@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.functions import fixed, ids
 from sourceloom.functions import text as T
-from sourceloom.operators import discovery, effects, flow, intervals
+from sourceloom.operators import discovery, effects, flow, graph, intervals
 from sourceloom.plans import report, store
 from sourceloom.session import ship_package
+from sourceloom.sources import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -417,7 +418,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_block(index: str) -> str:
-    return _sql_id("'block'", "fn_id", f"{index}::VARCHAR")
+    return _sql_id("'cfg:block'", "fn_id", f"{index}::VARCHAR")
 
 
 _EDGES = (
@@ -429,7 +430,7 @@ n AS (SELECT *, {_sql_block("bi")} AS bid, {_sql_block("0")} AS entry, {_sql_blo
 ed AS (
   SELECT fn_id, 'seq' AS kind, coalesce(prev, entry) AS src, bid AS dst, NULL AS label FROM n
   UNION ALL SELECT fn_id, 'branch', bid, ex, keyword FROM n WHERE keyword IN ('if', 'elif', 'else', 'case', 'default', 'except', 'catch')
-  UNION ALL SELECT fn_id, 'jump', bid, ex, NULL FROM n WHERE keyword IN ('return', 'break', 'continue')
+  UNION ALL SELECT fn_id, 'jump', bid, ex, keyword FROM n WHERE keyword IN ('return', 'break', 'continue')
   UNION ALL SELECT fn_id, 'fallthrough', bid, ex, NULL FROM n WHERE is_last)
 """
 )
@@ -440,7 +441,7 @@ def cfg_seq_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.edges(tokens(spark, sf_dir)).filter(F.col("kind") == "seq").select("fn_id", "src", "dst")
 
 
-@query(_EDGES + f"SELECT fn_id, kind, src, dst, label, {_sql_id(chr(39) + 'edge' + chr(39), 'fn_id', 'kind', 'src', 'dst')} AS edge_id FROM ed")
+@query(_EDGES + f"SELECT fn_id, kind, src, dst, label, {_sql_id(chr(39) + 'cfg:edge' + chr(39), 'fn_id', 'src', 'dst', 'coalesce(label, kind)')} AS edge_id FROM ed")
 def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.edges(tokens(spark, sf_dir))
 
@@ -471,10 +472,10 @@ def dfg_pathlike(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT e.event_id, n.n_name AS name FROM events e JOIN nation n ON contains(lower(e.props), lower(substr(n.n_name, length(n.n_name) - 1, 2))) WHERE e.user_id % 25 = n.n_nationkey")
 def use_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name is used in a call of its function if the call's text contains it."""
-    names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lower(F.expr("substr(n_name, length(n_name) - 1, 2)")).alias("token"))
-    events = table(spark, sf_dir, "events").withColumn("fn", (F.col("user_id") % 25).cast("int"))
-    joined = events.join(names, (events.fn == names.n_nationkey) & F.contains(F.lower("props"), F.col("token")))
-    return joined.select("event_id", F.col("n_name").alias("name"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("fn_id"), "n_name", F.lower(F.expr("substr(n_name, length(n_name) - 1, 2)")).alias("name"), F.lit("lit:").alias("src"))
+    called = table(spark, sf_dir, "events").select((F.col("user_id") % 25).cast("int").alias("fn_id"), F.col("event_id").alias("call"), F.lower("props").alias("preview"), F.col("event_id").alias("pos"))
+    used = flow.used_facts(nation, called).join(nation.select("fn_id", "n_name"), "fn_id")
+    return used.select(F.col("dst").alias("event_id"), F.col("n_name").alias("name"))
 
 
 # -------------------------------------------------------------------- effects
@@ -490,7 +491,7 @@ _PATTERN_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if
 
 
 def _rules(spark: SparkSession) -> DataFrame:
-    rows = [(pack, pack, rule, language, language, kind, "p", "f", 0.9, "call", callee, method, least, None, []) for pack, rule, language, kind, callee, method, least in _PATTERNS]
+    rows = [(pack, pack, rule, language, language, kind, "p", "f", 0.9, "call", callee, method, least, None, [], None) for pack, rule, language, kind, callee, method, least in _PATTERNS]
     return spark.createDataFrame(rows, effects.RULE_SCHEMA)
 
 
@@ -525,10 +526,9 @@ def rule_match_missing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def capture_kind_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(v) for k, kind in (("click", "call.expr"), ("view", "call.callee"), ("purchase", "import.stmt")) for v in (k, kind)])
-    known = F.create_map(*[x for k, (sem, raw) in fixed.CAPTURE_KINDS.items() for x in (F.lit(k), F.struct(F.lit(sem).alias("sem"), F.lit(raw).alias("raw")))])
-    hit = F.try_element_at(known, F.try_element_at(kinds, F.col("event_type")))
+    hit = captures.kind_of(F.try_element_at(kinds, F.col("event_type")))
     return table(spark, sf_dir, "events").select(
-        "event_id", F.col("event_type").alias("kind"), F.coalesce(hit["sem"], F.lit("Unknown")).alias("semantic_type"), F.coalesce(hit["raw"], "event_type").alias("raw_kind"), hit.isNull().alias("is_unknown")
+        "event_id", F.col("event_type").alias("kind"), F.coalesce(hit["semantic"], F.lit("Unknown")).alias("semantic_type"), F.coalesce(hit["raw"], "event_type").alias("raw_kind"), hit.isNull().alias("is_unknown")
     )
 
 
@@ -539,14 +539,14 @@ def unknown_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, event_id) AS rn FROM events) WHERE rn <= 10")
 def capture_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_type", "event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", rank.alias("rn")).filter("rn <= 10")
+    kept, _ = captures.capped(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_type", "event_id", cap=10)
+    return kept.select("user_id", "event_id", F.col("place").alias("rn"))
 
 
 @query("SELECT user_id, count(*) - 10 AS dropped, 'CAPTURE_TRUNCATED' AS anomaly_type FROM events GROUP BY user_id HAVING count(*) > 10")
 def capture_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 10")
-    return counts.select("user_id", (F.col("n") - 10).alias("dropped"), F.lit("CAPTURE_TRUNCATED").alias("anomaly_type"))
+    _, over = captures.capped(table(spark, sf_dir, "events"), ["user_id"], "event_id", cap=10)
+    return over.select("user_id", "dropped", F.lit("CAPTURE_TRUNCATED").alias("anomaly_type"))
 
 
 # ------------------------------------------------------------ report and store
@@ -626,7 +626,9 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
 def effects_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    prefix = [F.lit("r").alias(c) for c in ("repo_id", "run_id", "language", "provider", "family", "path", "blob_sha256", "owner_fn_id", "normalized_values", "receipt_id")]
+    found = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), *prefix)
+    return report.effects_by_kind(found).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id::VARCHAR AS src_id, user_id::VARCHAR AS dst_id FROM events WHERE event_type IN ('click', 'view')")
@@ -660,7 +662,9 @@ def edges_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_pk_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callee placeholders: one symbol per name, that of the first use."""
     symbol = ids.symbol_id(F.lit("python"), F.col("l_partkey"), "callee", F.lit(""))
-    return table(spark, sf_dir, "lineitem").groupBy(symbol.alias("symbol_id")).agg(F.min_by("l_orderkey", F.struct("l_orderkey", "l_linenumber")).alias("first_use"), F.count("*").alias("uses"))
+    rows = table(spark, sf_dir, "lineitem").select(symbol.alias("symbol_id"), F.col("l_orderkey").alias("first_use"), "l_linenumber")
+    uses = rows.groupBy("symbol_id").agg(F.count("*").alias("uses"))
+    return graph.first_symbols(rows, "first_use", "l_linenumber").join(uses, "symbol_id").select("symbol_id", "first_use", "uses")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

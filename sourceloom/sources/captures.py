@@ -1,8 +1,11 @@
-"""Captures of source text: definitions, imports, calls, assignments and control words, line by line.
+"""Captures of source text: definitions, calls, imports, exports, literals, assignments and control words.
 
-There is no grammar here: each language has a few patterns over lines, and the
-extent of a definition follows from indentation (Python) or brace depth
-(scripts).  All of it is native expressions, windows and joins by path.
+There is no grammar here.  A text is cut into comments, strings and the rest by
+one pattern of its language; ``code`` is the text with comments blanked and
+strings filled up, character by character, so that places in it are places in the
+text.  Brackets are paired by windows over their depth, so calls, parameters and
+import lists may nest and run over lines to any extent.  All of it is native
+expressions, windows and joins by path and line.
 """
 
 from __future__ import annotations
@@ -11,126 +14,317 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.functions import fixed
+from sourceloom.functions.text import latest
+from sourceloom.operators.intervals import islands
 
-_NOT_CALLS = ("if", "elif", "for", "while", "return", "def", "class", "and", "or", "not", "in", "with", "except", "switch", "catch", "function", "import", "print_", "lambda", "assert", "await", "yield", "new", "typeof")
+#: Stand for the characters of a string: the first one of a line that continues a string, and all others.
+_CONTINUED, _FILLED = "\u0003", "\u0002"
+_QUOTED = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?"""
+#: Comments, strings and what stands between them; every character belongs to one.
+_PY_PIECES = r"""#[^\n]*|(?s:\"{3}.*?(?:(?<!\\)\"{3}|\z)|'{3}.*?(?:(?<!\\)'{3}|\z))|""" + _QUOTED + r"""|[^#"']+"""
+_JS_PIECES = r"""//[^\n]*|(?s:/\*.*?(?:\*/|\z)|`.*?(?:(?<!\\)`|\z))|""" + _QUOTED + r"""|[^/"'`]+|/"""
 
+_NAME = r"[A-Za-z_$][\w$]*+"
+#: The name of a call, or the methods called on a value: what stands before an opening parenthesis.
+_CALLEE = rf"(?<![\w$.\u0002\u0003])(?<!\b(?:def|class|function)\s{{1,8}})(?<!\bfunction\s{{0,8}}\*\s{{0,8}}){_NAME}(?:\s*\.\s*{_NAME})*+(?=\s*\()|(?<=[)\]\u0002\u0003])(?:\s*\.\s*{_NAME})++(?=\s*\()"
+_WORDS = tuple(dict.fromkeys((*fixed.PY_KEYWORDS, *fixed.JS_KEYWORDS)))
+_TOKEN = _CALLEE + rf"|(?<![\w$])(?:{'|'.join(_WORDS)})(?![\w$])|[()\[\]{{}},]|[\u0002\u0003]+"
+_NOT_CALLS = (
+    "and", "as", "assert", "class", "const", "def", "del", "delete", "extends", "from", "function", "global", "import", "in", "instanceof", "is", "lambda", "let", "new",
+    "nonlocal", "not", "of", "or", "raise", "static", "super", "throw", "typeof", "var", "void", "with",
+)
 
-def bare(line: Column) -> Column:
-    """A line without string contents and comments, of the same number of characters at its start."""
-    no_strings = F.regexp_replace(line, r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "''")
-    return F.regexp_replace(no_strings, r"(#|//).*$", "")
+
+def _pieces(text: Column, pattern: str, comment: str, string: str | None) -> Column:
+    """The text with its comments blanked and, if asked, its strings filled up."""
+
+    def one(piece: Column) -> Column:
+        out = F.when(piece.rlike(comment), F.regexp_replace(piece, r"[^\n]", " "))
+        if string is not None:
+            filled = F.regexp_replace(piece, r"[^\n]", _FILLED)
+            out = out.when(piece.rlike(string), F.replace(filled, F.lit("\n" + _FILLED), F.lit("\n" + _CONTINUED)))
+        return out.otherwise(piece)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one), "")
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """path, language, line_no (from 0), line, byte_start, byte_end, indent, depth, code of (path, language, text)."""
-    rows = files.select("path", "language", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """The lines of (path, language, text).
+
+    line_no (from 0), line, code, plain (without comments), char_start,
+    byte_start, byte_end, indent (null where no statement can begin), depth (open
+    braces before, in Python brackets of all kinds), opened.
+    """
+    python = F.col("language") == "python"
+
+    def both(string_py: str | None, string_js: str | None) -> Column:
+        return F.when(python, _pieces(F.col("text"), _PY_PIECES, "^#", string_py)).otherwise(_pieces(F.col("text"), _JS_PIECES, r"^(?://|/\*)", string_js))
+
+    split = {"line": F.col("text"), "code": both("^[\"']", "^[\"'`]"), "plain": both(None, None)}
+    rows = files.select("path", "language", *[F.split(c, "\n").alias(n) for n, c in split.items()])
+    rows = rows.select("path", "language", F.posexplode(F.arrays_zip(*split)).alias("line_no", "z")).select("path", "language", "line_no", "z.*")
     order = Window.partitionBy("path").orderBy("line_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("line") + 1
-    rows = rows.withColumns({"code": bare(F.col("line")), "byte_start": F.coalesce(F.sum(size).over(before), F.lit(0))})
-    opened = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
+
+    def balance(left: str, right: str) -> Column:
+        return F.regexp_count("code", F.lit(left)) - F.regexp_count("code", F.lit(right))
+
+    opened = F.when(python, balance(r"[(\[{]", r"[)\]}]")).otherwise(balance(r"\{", r"\}"))
+    rows = rows.withColumn("opened", opened).withColumns({
+        "char_start": F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)),
+        "byte_start": F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)),
+        "depth": F.coalesce(F.sum("opened").over(before), F.lit(0)),
+    })
+    apart = ~python | (F.col("depth") <= 0) | F.col("code").rlike(r"^\s*(?:(?:async\s+)?def|class)\s")  # a bracket may be left open
+    begins = (F.trim("code") != "") & ~F.col("code").startswith(_CONTINUED) & apart
     return rows.withColumns({
         "byte_end": F.col("byte_start") + F.octet_length("line"),
-        "indent": F.when(F.trim("line") != "", F.length(F.regexp_extract("line", r"^[ \t]*", 0))),
-        "depth": F.coalesce(F.sum(opened).over(before), F.lit(0)), "opened": opened,
+        "indent": F.when(begins, F.length(F.regexp_extract("code", r"^[ \t]*", 0))),
     })
 
 
+def tokens(table: DataFrame) -> DataFrame:
+    """Callees, control words, brackets, commas and strings of the code, with their places.
+
+    path, language, line_no, token, start (character), byte, paren (an opening
+    parenthesis follows), open (its place), next (the character after the token
+    and white space), base (it follows ``extends``).
+    """
+    zipped = F.arrays_zip(F.regexp_extract_all("code", F.lit(_TOKEN), F.lit(0)).alias("token"), F.split("code", _TOKEN, -1).alias("before"))
+    parts = table.select("path", "language", "line_no", "line", "code", "char_start", "byte_start", F.posexplode(zipped).alias("nth", "z")).filter("z.token IS NOT NULL")
+    along = Window.partitionBy("path", "line_no").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("z.token")
+    parts = parts.withColumn("offset", (F.sum(F.length("z.before") + size).over(along) - size).cast("int"))
+    rest = F.substr("code", F.col("offset") + size + 1)
+    spaces = F.length(F.regexp_extract(rest, r"^\s*", 0))
+    return parts.select(
+        "path", "language", "line_no", F.col("z.token").alias("token"), (F.col("char_start") + F.col("offset")).alias("start"),
+        (F.col("byte_start") + F.octet_length(F.left("line", F.col("offset")))).alias("byte"), rest.rlike(r"^\s*\(").alias("paren"),
+        (F.col("char_start") + F.col("offset") + size + spaces).alias("open"), F.left(F.substr(rest, spaces + 1), F.lit(1)).alias("next"),
+        F.left("code", F.col("offset")).rlike(r"\bextends\s+$").alias("base"),
+    )
+
+
+def brackets(found: DataFrame) -> DataFrame:
+    """path, kind, open, open_line, close, close_line, next, next_at, commas of each pair of brackets, from their tokens.
+
+    A bracket's depth and its kind of place make the pairs: at one depth, opening
+    and closing ones alternate, and the commas between them are those of the pair.
+    """
+    marks = found.filter(F.col("token").isin(*"()[]{},"))
+    opens, closes = F.col("token").isin(*"([{"), F.col("token").isin(*")]}")
+    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(Window.partitionBy("path").orderBy("start"))
+    marks = marks.withColumn("level", F.when(closes, depth).otherwise(depth - 1))
+    pair = F.sum(F.when(opens, 1).otherwise(0)).over(Window.partitionBy("path", "level").orderBy("start"))
+    pairs = marks.withColumn("pair", pair).groupBy("path", "level", "pair").agg(
+        F.min(F.when(opens, F.struct("start", "line_no", "token"))).alias("a"), F.min(F.when(closes, F.struct("start", "line_no", "next", F.col("open").alias("next_at")))).alias("b"),
+        F.sort_array(F.collect_list(F.when(F.col("token") == ",", F.col("start")))).alias("commas"),
+    )
+    return pairs.filter("a IS NOT NULL AND b IS NOT NULL").select(
+        "path", F.col("a.token").alias("kind"), F.col("a.start").alias("open"), F.col("a.line_no").alias("open_line"), F.col("b.start").alias("close"), F.col("b.line_no").alias("close_line"),
+        F.col("b.next").alias("next"), F.col("b.next_at").alias("next_at"), "commas",
+    )
+
+
+def slices(spans: DataFrame, table: DataFrame, key: str, column: str = "line") -> DataFrame:
+    """Add ``text`` to (path, ``key``, first_line, last_line, from, to): characters ``from`` to ``to`` of the file.
+
+    A null ``to`` is the end of the last line.  ``column`` is what the text is taken from.
+    """
+    spread = spans.select("path", key, "from", "to", F.explode(F.sequence("first_line", "last_line")).alias("_line"))
+    parts = spread.join(table.select("path", F.col("line_no").alias("_line"), "char_start", F.col(column).alias("part")), ["path", "_line"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "part"))), lambda x: x["part"]), "\n")
+    texts = parts.groupBy("path", key).agg(F.any_value("from").alias("f"), F.any_value("to").alias("t"), F.min("char_start").alias("c"), whole.alias("w"))
+    size = F.coalesce(F.col("t") - F.col("f"), F.length("w")).cast("int")
+    return spans.join(texts.select("path", key, F.substr("w", (F.col("f") - F.col("c") + 1).cast("int"), size).alias("text")), ["path", key])
+
+
 _PY_DEF = r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)"
 _PY_CLASS = r"^[ \t]*class[ \t]+(\w+)"
-_JS_DEF = r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)|^[ \t]*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>)"
+_JS_DEF = r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)|^[ \t]*(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>)"
 _JS_CLASS = r"\bclass\s+([A-Za-z_$][\w$]*)"
 
 
-def definitions(table: DataFrame) -> DataFrame:
-    """path, language, kind, name, header, start, end (bytes), line_no of every definition."""
+def definitions(table: DataFrame, found: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """path, language, kind, name, header, start, end (bytes), line_no of every definition.
+
+    A definition of Python ends before the next statement that isn't indented
+    more; one of a script with the line at which the braces are back where they
+    were, a method of a class with its closing brace.  The header runs to the end
+    of the line that closes the parameters.
+    """
+    found = tokens(table) if found is None else found
+    pairs = brackets(found) if pairs is None else pairs
     python = F.col("language") == "python"
     code = F.col("code")
     def_name = F.when(python, F.regexp_extract(code, _PY_DEF, 1)).otherwise(F.concat(F.regexp_extract(code, _JS_DEF, 1), F.regexp_extract(code, _JS_DEF, 2)))
     class_name = F.when(python, F.regexp_extract(code, _PY_CLASS, 1)).otherwise(F.regexp_extract(code, _JS_CLASS, 1))
     name = F.when(def_name != "", def_name).otherwise(class_name)
-    heads = table.withColumns({"name": name, "capture": F.when(def_name != "", "def.func").otherwise("def.class")}).filter("name <> ''")
-    later = table.select(F.col("path").alias("p"), F.col("line_no").alias("n"), F.col("indent").alias("i"), (F.col("depth") + F.col("opened")).alias("d"), F.col("byte_start").alias("bs"), F.col("byte_end").alias("be"))
-    ends_python = (F.col("n") > F.col("line_no")) & (F.col("i") <= F.col("indent"))
-    ends_script = (F.col("n") >= F.col("line_no")) & (F.col("d") <= F.col("depth"))
-    stop = F.when(python, F.col("bs") - 1).otherwise(F.col("be"))
-    joined = heads.join(later, (F.col("path") == F.col("p")) & F.when(python, ends_python).otherwise(ends_script), "left")
-    keys = ["path", "language", "capture", "name", "line_no", "byte_start", "indent", "line"]
-    found = joined.groupBy(*keys).agg(F.min(stop).alias("stop"))
+    heads = table.withColumns({"name": name, "kind": F.when(def_name != "", "def.func").otherwise("def.class")}).filter((F.col("name") != "") & F.col("indent").isNotNull())
+    level = F.when(python, F.col("indent")).otherwise(F.col("depth"))
+    heads = heads.withColumn("level", level)
+
+    # the next line that ends a definition of each level: a running value from the end of the file
+    levels = heads.groupBy("path").agg(F.collect_set("level").alias("levels"))
+    reached = F.when(python, F.col("indent")).otherwise(F.col("depth") + F.col("opened"))
+    stop = F.when(python, F.col("byte_start") - 1).otherwise(F.col("byte_end"))
+    marks = table.join(levels, "path").select("path", "line_no", F.explode(F.filter("levels", lambda x: x >= reached)).alias("level"), stop.alias("stop"), F.when(python, 1).otherwise(0).alias("tie"), F.lit(None).cast("string").alias("head"))
+    own = heads.select("path", "line_no", "level", F.lit(None).cast("bigint").alias("stop"), F.when(python, 0).otherwise(1).alias("tie"), F.col("name").alias("head"))
+    back = Window.partitionBy("path", "level").orderBy(F.col("line_no").desc(), "tie").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.unionByName(marks).withColumn("stop", F.last("stop", ignorenulls=True).over(back)).filter("head IS NOT NULL").select("path", "line_no", "stop")
     sizes = table.groupBy("path").agg(F.max("byte_end").alias("file_end"))
-    found = found.join(sizes, "path")
-    return found.select(
-        "path", "language", F.col("capture").alias("kind"), "name", F.trim("line").alias("header"), (F.col("byte_start") + F.when(python, F.col("indent")).otherwise(0)).alias("start"),
-        F.coalesce("stop", "file_end").alias("end"), "line_no",
+    heads = heads.join(ends, ["path", "line_no"]).join(sizes, "path")
+
+    # parameters: the parenthesis after the name, or the first one of an assigned function
+    at = F.regexp_extract(code, r"^.*?(?:\b(?:def|class|function)\b|=)[^()]*", 0)
+    heads = heads.withColumn("open", F.when(F.substr(code, F.length(at) + 1, F.lit(1)) == "(", F.col("char_start") + F.length(at)))
+    closes = pairs.filter("kind = '('").select("path", "open", "close_line")
+    spans = heads.join(closes, ["path", "open"], "left").select(
+        "path", "language", "kind", "name", "line_no", (F.col("byte_start") + F.when(python, F.col("indent")).otherwise(0)).alias("start"), F.coalesce("stop", "file_end").alias("end"),
+        F.col("char_start").alias("from"), F.lit(None).cast("bigint").alias("to"), F.col("line_no").alias("first_line"), F.coalesce("close_line", "line_no").alias("last_line"),
+    )
+
+    # methods of script classes: what looks like a call, before a brace
+    methods = found.filter(~python & F.col("paren") & ~F.col("base") & F.col("token").rlike(r"^[A-Za-z_$][\w$]*$") & ~F.col("token").isin(*_WORDS, *_NOT_CALLS))
+    methods = methods.join(pairs.filter("kind = '(' AND next = '{'").select("path", "open", "close_line", F.col("next_at").alias("brace")), ["path", "open"])
+    bodies = pairs.filter("kind = '{'").select("path", F.col("open").alias("brace"), F.col("close").alias("body"), F.col("close_line").alias("body_line"))
+    last = table.select("path", F.col("line_no").alias("body_line"), F.col("line").alias("body_text"), F.col("char_start").alias("c"), F.col("byte_start").alias("b"))
+    methods = methods.join(bodies, ["path", "brace"]).join(last, ["path", "body_line"]).select(
+        "path", "language", F.lit("def.method").alias("kind"), F.col("token").alias("name"), "line_no", F.col("byte").alias("start"),
+        (F.col("b") + F.octet_length(F.left("body_text", (F.col("body") - F.col("c") + 1).cast("int")))).alias("end"),
+        F.col("start").alias("from"), F.lit(None).cast("bigint").alias("to"), F.col("line_no").alias("first_line"), F.col("close_line").alias("last_line"),
+    )
+    texts = slices(spans.unionByName(methods), table, "start", "plain")
+    return texts.select("path", "language", "kind", "name", F.trim("text").alias("header"), "start", "end", "line_no")
+
+
+def calls(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """path, language, line_no, callee, start, open, close, stop (characters), byte, close_line, commas of every call."""
+    python = F.col("language") == "python"
+    word = F.when(python, F.col("token").isin(*fixed.PY_KEYWORDS)).otherwise(F.col("token").isin(*fixed.JS_KEYWORDS))
+    heads = found.filter(F.col("paren") & F.col("token").rlike(r"[A-Za-z_$]") & ~word & ~F.col("token").isin(*_NOT_CALLS)).drop("next")
+    joined = heads.join(pairs.filter("kind = '('").select("path", "open", "close", "close_line", "next", "commas"), ["path", "open"])
+    method = ~python & ~F.col("base") & (F.col("next") == "{") & F.col("token").rlike(r"^[\w$]+$")
+    callee = F.regexp_replace("token", r"^\.|\s+", "")
+    return joined.filter(~method).select("path", "language", "line_no", callee.alias("callee"), "start", "open", "close", (F.col("close") + 1).alias("stop"), "byte", "close_line", "commas")
+
+
+def call_groups(table: DataFrame, found: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Nested and chained calls as one: path, language, callee, preview, args, kwargs, n_args, start, end (bytes), members, line_no.
+
+    Callee and arguments are those of the first call, the preview is the whole text.
+    """
+    found = tokens(table) if found is None else found
+    pairs = brackets(found) if pairs is None else pairs
+    marked = islands(calls(found, pairs), ["path"], "start", "stop", "open")
+    first = F.min_by(F.struct("callee", "open", "close", "commas"), F.struct("start", -F.col("stop")))
+    groups = marked.groupBy("path", "language", "island").agg(
+        F.min("start").alias("from"), F.max("stop").alias("to"), F.min("line_no").alias("first_line"), F.max("close_line").alias("last_line"), F.min("byte").alias("start"),
+        F.count("*").alias("members"), first.alias("first"),
     )
+    texts = slices(groups, table, "island")
+    bounds = F.concat(F.array("first.open"), F.col("first.commas"), F.array("first.close"))
+    texts = texts.withColumn("bounds", bounds)
 
+    def argument(x: Column, i: Column) -> Column:
+        return F.regexp_replace(F.substr("text", (x - F.col("from") + 2).cast("int"), (F.get("bounds", i + 1) - x - 1).cast("int")), r"^\s+|\s+$", "")
 
-def _matches(table: DataFrame, pattern: str, group: int = 1) -> DataFrame:
-    """Every match in ``code`` with the byte offset of the first match of its text in the line."""
-    hit = F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(pattern), F.lit(group)))).alias("name")
-    rows = table.select("path", "language", "line_no", "line", "code", "byte_start", hit)
-    before = F.substr(F.col("line"), F.lit(1), F.position(F.col("name"), F.col("line")) - 1)
-    return rows.withColumn("start", F.col("byte_start") + F.octet_length(before))
+    args = F.filter(F.transform(F.slice("bounds", 1, F.size("bounds") - 1), argument), lambda a: a != "")
+    texts = texts.withColumn("args", args)
+    named = F.transform(F.filter("args", lambda a: a.rlike(r"^\w+\s*=(?![=>])")), lambda a: F.struct(F.regexp_extract(a, r"^(\w+)", 1).alias("key"), F.regexp_extract(a, r"(?s)^\w+\s*=\s*(.*)$", 1).alias("value")))
+    return texts.select(
+        "path", "language", F.col("first.callee").alias("callee"), F.col("text").alias("preview"), "args", latest(named).alias("kwargs"), F.size("args").alias("n_args"),
+        "start", (F.col("start") + F.octet_length("text")).alias("end"), "members", F.col("first_line").alias("line_no"),
+    )
 
 
-def calls(table: DataFrame) -> DataFrame:
-    """path, language, callee, preview, args, kwargs, n_args, start, end of the calls of each line."""
-    found = _matches(table, r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(").filter(~F.col("name").isin(*_NOT_CALLS))
-    found = found.filter(~F.col("code").rlike(r"^\s*(async\s+)?(def|class)\s") & ~F.col("code").rlike(r"\bfunction\b[^(]*\("))
-    found = found.withColumn("at", F.position(F.concat("name", F.lit("(")), F.col("line"))).filter("at > 0")
-    tail = F.substr(F.col("line"), F.col("at") + F.length("name") + 1)
-    found = found.withColumn("inside", F.regexp_extract(tail, r"^((?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|\((?:[^()]|\([^()]*\))*\)|[^()])*)\)", 1))
-    found = found.withColumn("args", split_arguments(F.col("inside")))
-    named = F.filter("args", lambda a: a.rlike(r"^\w+\s*=(?![=>])"))
-    kwargs = F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda a: F.regexp_extract(a, r"^(\w+)", 1))), lambda k: F.struct(k, F.regexp_extract(F.element_at(F.filter(named, lambda a: F.regexp_extract(a, r"^(\w+)", 1) == k), 1), r"^\w+\s*=\s*(.*)$", 1))))
-    preview = F.concat("name", F.lit("("), "inside", F.lit(")"))
-    return found.select("path", "language", F.col("name").alias("callee"), preview.alias("preview"), "args", kwargs.alias("kwargs"), F.size("args").alias("n_args"), "start", (F.col("start") + F.octet_length(preview)).alias("end"), "line_no")
+def _nested(depth: int) -> str:
+    """A pattern of a bracket with others in it, ``depth`` deep."""
+    inner = r"[^()\[\]{}]++"
+    out = rf"[(\[{{](?:{inner})*+[)\]}}]"
+    for _ in range(depth - 1):
+        out = rf"[(\[{{](?:{inner}|{out})*+[)\]}}]"
+    return out
 
 
-def split_arguments(inside: Column) -> Column:
-    """Arguments at commas outside quotes and brackets (two levels)."""
-    part = r"((?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|[\(\[\{](?:[^()\[\]{}]|[\(\[\{][^()\[\]{}]*[\)\]\}])*[\)\]\}]|[^,'\"`(\[{])+)"
+def split_arguments(inside: Column, depth: int = 5, generics: bool = False) -> Column:
+    """Arguments at commas outside quotes and brackets (``<>`` too, if asked), of a short text that has no places of its own."""
+    angle = r"<(?:[^<>]++|<[^<>]*>)*+>|" if generics else ""
+    part = rf"((?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|{_nested(depth)}|{angle}[^,'\"`(\[{{{'<' if generics else ''}]++{'|<' if generics else ''})+)"
     return F.filter(F.transform(F.regexp_extract_all(inside, F.lit(part), F.lit(1)), lambda a: F.trim(a)), lambda a: a != "")
 
 
-def imports(table: DataFrame) -> DataFrame:
-    """path, language, statement, start, end; a list in parentheses or braces may run over any number of lines.
+def imports(table: DataFrame, found: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """path, language, statement (without comments), start, end; a list in brackets may run over any number of lines.
 
-    It ends at the first line at which the running depth is back at that before
-    its head; a list that is never closed is its head line only.
+    A list that is never closed is its head line only.
     """
+    pairs = brackets(tokens(table) if found is None else found) if pairs is None else pairs
     python = F.col("language") == "python"
-    head = F.when(python, F.col("line").rlike(r"^\s*(import\s|from\s+\S+\s+import\b)")).otherwise(F.col("line").rlike(r"^\s*import\b|\brequire\s*\("))
-    opens = F.when(python, F.col("code").rlike(r"^\s*from\s+\S+\s+import\b[^()]*\([^)]*$")).otherwise(F.col("code").rlike(r"^\s*import\s[^'\"({]*\{[^}]*$"))
-    parens = F.regexp_count("code", F.lit(r"\(")) - F.regexp_count("code", F.lit(r"\)"))
-    until = F.sum(parens).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    level = F.when(python, until).otherwise(F.col("depth") + F.col("opened"))
-    rows = table.withColumns({"is_import": head, "opens": opens, "level": level, "before": F.when(python, until - parens).otherwise(F.col("depth"))})
-    # the statement's end within its last line, and the line without comments
-    stop = F.when(python, F.col("byte_start") + F.octet_length(F.regexp_extract("line", r"^[^)]*\)", 0))).otherwise(F.col("byte_end"))
-    bare_line = F.when(python, F.regexp_replace("line", r"\s*#.*$", "")).otherwise(F.trim(F.regexp_replace(F.regexp_replace("line", r"/\*.*?\*/|(^|[\s,{])//.*$", "$1"), r"^\s+|\s+$", "")))
-    later = rows.select(F.col("path").alias("p"), F.col("line_no").alias("n"), F.col("level").alias("l"), stop.alias("stop"), bare_line.alias("part"))
-    long = rows.filter("is_import AND opens").select("path", "line_no", "before")
-    after = (F.col("path") == F.col("p")) & (F.col("n") > F.col("line_no")) & (F.col("l") <= F.col("before"))
-    ends = long.join(later, after).groupBy("path", "line_no").agg(F.min(F.struct("n", "stop")).alias("last"))
-    inside = (F.col("path") == F.col("p")) & F.col("n").between(F.col("line_no"), F.col("last.n"))
-    parts = ends.join(later.drop("stop"), inside).groupBy("path", "line_no", "last").agg(F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))
-    joined = parts.select("path", "line_no", F.col("last.stop").alias("stop"), F.col("parts.part").alias("parts"))
-    rows = rows.filter("is_import").join(joined, ["path", "line_no"], "left")
-    whole = F.when(python, F.regexp_extract(F.array_join("parts", "\n"), r"^([^)]*\))", 1)).otherwise(F.array_join("parts", " "))
-    statement = F.coalesce(whole, F.col("line"))
-    return rows.select("path", "language", F.trim(statement).alias("statement"), F.col("byte_start").alias("start"), F.coalesce("stop", "byte_end").alias("end"), "line_no")
+    head = F.when(python, F.col("code").rlike(r"^\s*(import\s|from\s+\S+\s+import\b)")).otherwise(F.col("code").rlike(r"^\s*import\b(?!\s*\()|\brequire\s*\("))
+    before = F.when(python, F.regexp_extract("code", r"^\s*from\s+\S+\s+import\b[^()]*(?=\()", 0)).otherwise(F.regexp_extract("code", r"^\s*import\s[^({]*(?=\{)", 0))
+    heads = table.filter(head).withColumn("open", F.when(before != "", F.col("char_start") + F.length(before)))
+    closes = pairs.filter("kind IN ('(', '{')").select("path", "open", "close", "close_line")
+    spans = heads.join(closes, ["path", "open"], "left").select(
+        "path", "language", "line_no", "byte_start", F.col("char_start").alias("from"), F.when(python, F.col("close") + 1).alias("to"),
+        F.col("line_no").alias("first_line"), F.coalesce("close_line", "line_no").alias("last_line"),
+    )
+    raw = slices(spans, table, "line_no").withColumnRenamed("text", "raw")
+    whole = slices(raw, table, "line_no", "plain")
+    return whole.select("path", "language", F.regexp_replace("text", r"^\s+|\s+$", "").alias("statement"), F.col("byte_start").alias("start"), (F.col("byte_start") + F.octet_length("raw")).alias("end"), "line_no")
+
+
+def dynamic_imports(found: DataFrame) -> DataFrame:
+    """path, byte of the calls of ``import`` in scripts."""
+    return found.filter((F.col("language") != "python") & (F.col("token") == "import") & F.col("paren")).select("path", "byte")
+
+
+def exports(table: DataFrame) -> DataFrame:
+    """path, language, start, end of the first line of each export statement of a script."""
+    rows = table.filter((F.col("language") != "python") & F.col("code").rlike(r"^\s*export\b"))
+    return rows.select("path", "language", (F.col("byte_start") + F.octet_length(F.regexp_extract("line", r"^\s*", 0))).alias("start"), F.col("byte_end").alias("end"), "line_no")
+
+
+def literals(table: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """path, language, kind (lit.string or lit.template), text, start, end of the strings; one may run over lines."""
+    found = tokens(table) if found is None else found
+    parts = found.filter(F.col("token").rlike(f"^[{_FILLED}{_CONTINUED}]"))
+    nth = F.sum(F.when(F.col("token").startswith(_CONTINUED), 0).otherwise(1)).over(Window.partitionBy("path").orderBy("start"))
+    spans = parts.withColumn("nth", nth).groupBy("path", "language", "nth").agg(
+        F.min("start").alias("from"), F.max(F.col("start") + F.length("token")).alias("to"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.min("byte").alias("start"),
+    )
+    texts = slices(spans, table, "nth")
+    kind = F.when(F.col("text").startswith("`"), "lit.template").otherwise("lit.string")
+    return texts.select("path", "language", kind.alias("kind"), "text", "start", (F.col("start") + F.octet_length("text")).alias("end"), F.col("first_line").alias("line_no"))
 
 
 def assignments(table: DataFrame) -> DataFrame:
-    """path, language, name, expression, start of ``x = ...`` lines."""
-    pattern = r"^\s*(?:(?:const|let|var)\s+)?([A-Za-z_$][\w$]*)\s*=(?![=>])\s*(.+?);?\s*$"
-    rows = table.select("path", "language", "line_no", F.regexp_extract("line", pattern, 1).alias("name"), F.regexp_extract("line", pattern, 2).alias("expression"), (F.col("byte_start") + F.octet_length(F.regexp_extract("line", r"^\s*", 0))).alias("start"), "byte_end")
+    """path, language, name, expression (without comments), start, byte_end of ``x = ...`` lines; in scripts with const, let or var."""
+    python = F.col("language") == "python"
+
+    def part(group: int) -> Column:
+        tail = r"\s*=(?![=>])\s*(.+?)\s*;?\s*$"
+        return F.when(python, F.regexp_extract("plain", r"^\s*([A-Za-z_]\w*)" + tail, group)).otherwise(F.regexp_extract("plain", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)" + tail, group))
+
+    before = F.regexp_extract("plain", r"^\s*(?:(?:export\s+)?(?:const|let|var)\s+)?", 0)
+    rows = table.filter("indent IS NOT NULL AND code LIKE '%=%'").select("path", "language", "line_no", part(1).alias("name"), part(2).alias("expression"), (F.col("byte_start") + F.octet_length(before)).alias("start"), "byte_end")
     return rows.filter("name <> ''")
 
 
-def control_words(table: DataFrame) -> DataFrame:
-    """path, keyword, start of control words outside strings and comments, in the order of the text."""
-    words = F.when(F.col("language") == "python", F.array(*[F.lit(k) for k in fixed.PY_KEYWORDS])).otherwise(F.array(*[F.lit(k) for k in fixed.JS_KEYWORDS]))
-    rows = table.select("path", "line_no", "byte_start", F.posexplode(F.regexp_extract_all("code", F.lit(r"\b([a-z]+)\b"), F.lit(1))).alias("nth", "keyword"), words.alias("words"))
-    return rows.filter(F.array_contains("words", F.col("keyword"))).select("path", "line_no", "nth", "keyword", (F.col("byte_start") * 1000 + F.col("nth")).alias("pos"), "byte_start")
+def control_words(found: DataFrame) -> DataFrame:
+    """path, line_no, keyword, pos (character), byte of control words outside strings and comments."""
+    own = F.when(F.col("language") == "python", F.col("token").isin(*fixed.PY_KEYWORDS)).otherwise(F.col("token").isin(*fixed.JS_KEYWORDS))
+    return found.filter(own).select("path", "line_no", F.col("token").alias("keyword"), F.col("start").alias("pos"), "byte")
+
+
+def kind_of(kind: Column) -> Column:
+    """struct<semantic, raw> of a capture kind; null for unknown ones."""
+    known = F.create_map(*[x for k, (semantic, raw) in fixed.CAPTURE_KINDS.items() for x in (F.lit(k), F.struct(F.lit(semantic).alias("semantic"), F.lit(raw).alias("raw")))])
+    return F.try_element_at(known, kind)
+
+
+def capped(rows: DataFrame, keys: list[str], *order: str | Column, cap: int = fixed.CAPTURE_CAP) -> tuple[DataFrame, DataFrame]:
+    """The first rows of each key with their ``place``; and the keys that have more, with the number of rows ``dropped``."""
+    kept = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= cap)
+    over = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > cap)
+    return kept, over.select(*keys, (F.col("n") - cap).alias("dropped"))

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sourceloom.functions.text import glob_regex
 from sourceloom.operators.effects import RULE_SCHEMA
 
 # Fixed values.
@@ -46,15 +47,18 @@ def errors_of(pack: dict) -> list[str]:
     ids = [rule.get("id") for rule in pack["rules"]]
     found += [f"duplicate rule {i}" for i in sorted({i for i in ids if ids.count(i) > 1}, key=str)]
     for rule in pack["rules"]:
-        if not 0 < rule["confidence"] <= 1:
-            found.append(f"{rule['id']}: confidence {rule['confidence']}")
+        name = rule.get("id")
+        if not name:
+            found.append("a rule without an id")
+        if not isinstance(rule["confidence"], (int, float)) or not 0 < rule["confidence"] <= 1:
+            found.append(f"{name}: confidence {rule['confidence']}")
         if rule.get("effect_kind") not in EFFECT_KINDS:
-            found.append(f"{rule['id']}: unknown effect kind {rule.get('effect_kind')}")
+            found.append(f"{name}: unknown effect kind {rule.get('effect_kind')}")
         if not rule["patterns"]:
-            found.append(f"{rule['id']}: no patterns")
-        found += [f"{rule['id']}: unknown pattern kind {p.get('kind')}" for p in rule["patterns"] if p.get("kind") not in PATTERN_KINDS]
-        found += [f"{rule['id']}: unknown pattern language {p.get('language')}" for p in rule["patterns"] if p.get("language", "any") not in PACK_LANGUAGES]
-        found += [f"{rule['id']}: unknown field source {f.get('source')}" for f in rule["fields"] if f.get("source") not in FIELD_SOURCES]
+            found.append(f"{name}: no patterns")
+        found += [f"{name}: unknown pattern kind {p.get('kind')}" for p in rule["patterns"] if p.get("kind") not in PATTERN_KINDS]
+        found += [f"{name}: unknown pattern language {p.get('language')}" for p in rule["patterns"] if p.get("language", "any") not in PACK_LANGUAGES]
+        found += [f"{name}: unknown field source {f.get('source')}" for f in rule["fields"] if f.get("source") not in FIELD_SOURCES]
     return found
 
 
@@ -91,5 +95,5 @@ class Registry:
             for rule in pack["rules"]:
                 fields = [(f["name"], f["source"], f.get("index"), f.get("key"), f.get("value_expr")) for f in rule["fields"]]
                 for p in rule["patterns"]:
-                    rows.append((name, pack["telemetry_tag"], rule["id"], pack["language"], p.get("language", "any"), rule["effect_kind"], rule["provider"], rule["family"], float(rule["confidence"]), p["kind"], p.get("callee"), p.get("object_method"), p.get("arg_count_min"), p.get("arg_count_max"), fields))
+                    rows.append((name, pack["telemetry_tag"], rule["id"], pack["language"], p.get("language", "any"), rule["effect_kind"], rule["provider"], rule["family"], float(rule["confidence"]), p["kind"], p.get("callee"), p.get("object_method"), p.get("arg_count_min"), p.get("arg_count_max"), fields, glob_regex(p["filename_glob"]) if p.get("filename_glob") else None))
         return spark.createDataFrame(rows, RULE_SCHEMA)
