@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.functions import fixed
+from sourceloom.operators.discovery import tallies
 
 
 def latest_by(rows: DataFrame, keys: list[str], *newest: Column) -> DataFrame:
@@ -42,6 +43,13 @@ def run_report(files: DataFrame, metrics: DataFrame, effects: DataFrame, anomali
     return listed.crossJoin(one).crossJoin(kinds).crossJoin(histogram)  # one row each
 
 
+def discovery_report(decided: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: the time, the tallies of ``discovery.tallies`` as a struct, and the anomalies by type and severity."""
+    histogram = anomaly_histogram(found).agg(F.sort_array(F.collect_list(F.struct("anomaly_type", "severity", "n"))).alias("anomalies"))
+    counted = tallies(decided)
+    return counted.select(F.current_timestamp().alias("finished_at"), F.struct(*counted.columns).alias("tallies")).crossJoin(histogram)  # one row each
+
+
 def effects_by_kind(effects: DataFrame) -> DataFrame:
     return effects.select("repo_id", "run_id", "language", "kind", "provider", "family", "path", "blob_sha256", "owner_fn_id", "normalized_values", "receipt_id")
 

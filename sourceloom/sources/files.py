@@ -9,54 +9,75 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import fixed
 from sourceloom.functions.text import extension
+from sourceloom.operators.discovery import PRINTABLE, printable_share
 
-LISTING = "rel_path string, abs_path string, link string"
+LISTING = "rel_path string, abs_path string, link string, size long"
 
 
-def list_tree(root: str) -> tuple[list[tuple[str, str, str | None]], list[tuple[str, str]]]:
-    """(rel_path, abs_path, link) of all files in sorted order, and (path, error) of folders that can't be read.
+def list_tree(root: str) -> tuple[list[tuple[str, str, str | None, int | None]], list[tuple[str, str]]]:
+    """(rel_path, abs_path, link, size) of all files in sorted order, and (path, error) of folders that can't be read.
 
-    Only names and links are looked at here: links aren't told by Spark's readers.
+    Only names, links and sizes are looked at here: links aren't told by Spark's
+    readers.  ``link`` is error for a file that can't be looked at.
     """
     if not os.path.isdir(root):
         raise ValueError(f"not a folder: {root}")
     top, files, errors = os.path.realpath(root), [], []
-    for folder, folders, names in os.walk(top, onerror=lambda e: errors.append((os.path.relpath(e.filename, top), str(e)))):
+    for folder, folders, names in os.walk(top, onerror=lambda e: errors.append((os.path.relpath(e.filename, top).replace(os.sep, "/"), str(e)))):
         folders.sort()
         for name in sorted(names):
             path = os.path.join(folder, name)
-            link = None
-            if os.path.islink(path):
-                real = os.path.realpath(path)
-                link = "broken" if not os.path.exists(real) else "inside" if real.startswith(top + os.sep) else "outside"
-            files.append((os.path.relpath(path, top).replace(os.sep, "/"), path, link))
+            link, size = None, None
+            try:
+                size = os.lstat(path).st_size
+                if os.path.islink(path):
+                    real = os.path.realpath(path)
+                    link = "broken" if not os.path.exists(real) else "inside" if real.startswith(top + os.sep) else "outside"
+                    size = os.stat(real).st_size if link == "inside" else None
+            except OSError:
+                link = "error"
+            files.append((os.path.relpath(path, top).replace(os.sep, "/"), path, link, size))
     return files, errors
 
 
+def walk_anomalies(spark: SparkSession, root: str) -> DataFrame:
+    """path, anomaly_type, severity, reason_detail of the folders of a tree that can't be read."""
+    rows = [(path, "PERMISSION_DENIED", "ERROR", error) for path, error in list_tree(root)[1]]
+    return spark.createDataFrame(rows, "path string, anomaly_type string, severity string, reason_detail string")
+
+
 def scan_tree(spark: SparkSession, root: str, max_bytes: int = fixed.MAX_PARSE_BYTES) -> DataFrame:
-    """rel_path, abs_path, link, content, blob_sha256, text of a tree that the driver can list.
+    """rel_path, abs_path, link, blob_sha256, text, size, read_error of a tree that the driver can list.
 
-    ``text`` is null for binary content, and for files that are too large; links
-    that lead out of the tree aren't read.
+    Files over ``max_bytes`` aren't read, nor are links that lead out of the tree;
+    ``text`` is null for them and for binary content.  ``read_error`` marks files
+    that should have been read and weren't.
     """
     files, _ = list_tree(root)
     listing = spark.createDataFrame(files, LISTING)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("abs_path"), "content", "length")
-    read = listing.join(content, "abs_path", "left")
-    read = read.withColumn("content", F.when(F.col("link").isNull() | (F.col("link") == "inside"), F.col("content")))
-    text = F.when(~is_binary(F.col("rel_path"), F.col("content")) & (F.col("length") <= max_bytes), decoded(F.col("content")))
-    return read.select("rel_path", "abs_path", "link", F.sha2("content", 256).alias("blob_sha256"), text.alias("text"), F.col("length").alias("size"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    content = reader.filter(F.col("length") <= max_bytes).select(F.regexp_replace("path", "^file:/*", "/").alias("abs_path"), "content")
+    wanted = (F.col("link").isNull() | (F.col("link") == "inside")) & (F.col("size") <= max_bytes)
+    read = listing.join(content, "abs_path", "left").withColumn("content", F.when(wanted, F.col("content")))
+    text = F.when(~is_binary(F.col("rel_path"), F.col("content")), decoded(F.col("content")))
+    return read.select("rel_path", "abs_path", "link", F.sha2("content", 256).alias("blob_sha256"), text.alias("text"), "size", F.coalesce(wanted & F.col("content").isNull(), F.lit(False)).alias("read_error"))
+
+
+def read_anomalies(scanned: DataFrame) -> DataFrame:
+    """path, anomaly_type, severity, reason_detail of files that couldn't be read."""
+    return scanned.filter("read_error").select(F.col("rel_path").alias("path"), F.lit("READ_ERROR").alias("anomaly_type"), F.lit("ERROR").alias("severity"), F.lit("file can't be read").alias("reason_detail"))
 
 
 def is_binary(path, content):
-    """By extension, by a leading signature, or by a NUL outside UTF-16 and UTF-32."""
+    """By extension, by a leading signature, by a NUL outside UTF-16 and UTF-32, or by few printable bytes."""
     head = F.hex(F.substring(content, 1, 32768))
     wide = F.startswith(head, F.lit("FFFE")) | F.startswith(head, F.lit("FEFF")) | F.startswith(head, F.lit("0000FEFF"))
     signature = F.lit(False)
     for magic in ("7F454C46", "4D5A", "504B0304", "89504E47", "FFD8FF", "47494638", "25504446"):
         signature = signature | F.startswith(head, F.lit(magic))
     nul = head.rlike("^(?:..)*?00")
-    return extension(path).isin(*fixed.BINARY_EXTENSIONS) | F.coalesce(signature | (nul & ~wide), F.lit(False))
+    by_content = F.when(nul, ~wide).otherwise(signature | (printable_share(content) < PRINTABLE))
+    return extension(path).isin(*fixed.BINARY_EXTENSIONS) | F.coalesce(by_content, F.lit(False))
 
 
 def decoded(content):
@@ -64,6 +85,7 @@ def decoded(content):
     head = F.hex(F.substring(content, 1, 4))
     return (
         F.when(F.startswith(head, F.lit("EFBBBF")), F.decode(F.substr(content, F.lit(4)), "UTF-8"))
+        .when(head.isin("FFFE0000", "0000FEFF"), F.decode(content, "UTF-32"))
         .when(F.startswith(head, F.lit("FFFE")) | F.startswith(head, F.lit("FEFF")), F.decode(content, "UTF-16"))
         .when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
         .otherwise(F.decode(content, "ISO-8859-1"))

@@ -23,11 +23,11 @@ def follow(files: DataFrame, store: Store, analyse: Callable[[DataFrame], dict[s
     """Analyse each micro-batch of changed files and put its tables into the store.
 
     A batch that runs again after a failure replaces the same files, so its
-    effect is that of one run.
+    effect is that of one run.  All tables of a batch change together, and only
+    the buckets of the changed files are written.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        for table, result in analyse(rows).items():
-            store.put(table, result)
+        store.put_all(analyse(rows))
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
