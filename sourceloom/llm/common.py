@@ -19,8 +19,8 @@ CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
-def _release() -> None:
-    """Give the memory that this worker's allocators hold but don't use back to the system."""
+def release() -> None:
+    """Give the memory that this process's allocators hold but don't use back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
@@ -37,7 +37,7 @@ def releasing(run: Callable) -> Callable:
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        _release()
+        release()
 
     return wrapped
 
@@ -47,7 +47,7 @@ def releasing_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table],
 
     def wrapped(table: pa.Table) -> pa.Table:
         out = run(table)
-        _release()
+        release()
         return out
 
     return wrapped
@@ -58,7 +58,7 @@ def releasing_groups(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[
 
     def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
         out = run(left, right)
-        _release()
+        release()
         return out
 
     return wrapped

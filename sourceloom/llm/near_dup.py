@@ -286,8 +286,7 @@ def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataF
     members = items.join(degree, "item").select("item", "text_key", "first_doc")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5("text")).alias("text_key"))
     found = texts.join(members, (texts.text_key == members.text_key) & texts.doc_id.eqNullSafe(members.first_doc)).select("item", "text")
-    all_lists = stage_table(_cell_lists(found), "cells")
-    lists = all_lists.dropDuplicates(["item"])  # repeated rows give equal lists
+    lists = stage_table(_cell_lists(found).dropDuplicates(["item"]), "cells")  # repeated rows give equal lists
 
     # all members of a bucket against the one that shares most with others
     centre = buckets.join(degree, "item").groupBy("key").agg(F.max_by("item", F.struct("degree", -F.col("item"))).alias("lead"))
@@ -299,7 +298,7 @@ def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataF
     # members of buckets with several components, where they share one of their rarest cells
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     again = stage_table(labelled.join(mixed, "key").select("item", "label").distinct().join(lists, "item"), "mixed-items")
-    discard(buckets, parts_of, all_lists)
+    discard(buckets, parts_of, lists)
     rarest = stage_table(_rarest(again, similarity), "rarest-cells")
     parts = rarest.groupBy("cell", "label").agg(F.count("*").alias("n"))
     several = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("parts > 1").drop("parts")

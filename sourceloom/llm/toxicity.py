@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sourceloom.llm.common import free_name, releasing, row_chunks, text_buffers
+from sourceloom.llm.common import free_name, release, releasing, row_chunks, text_buffers
 from sourceloom.llm.labelled import held_out, labelled_sample
 from sourceloom.llm.words import words
 
@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 MIN_COUNT = 5
 MIN_CHI2 = 20.0
 #: Frequent terms whose pairs are tested, rows that each part of a test needs, and its limit in standard deviations.
-PAIR_TERMS = 2048
+PAIR_TERMS = 1024
 PAIR_ROWS = 5
 MIN_PAIR = 7.0
 
@@ -94,20 +94,21 @@ def pair_terms(row: np.ndarray, term: np.ndarray, y: np.ndarray, candidates: np.
     known = place[term] >= 0
     x = np.zeros((len(y), len(candidates)), np.float32)
     x[row[known], place[term[known]]] = 1
-    n, ones = x.sum(0), x[y == 1].sum(0)
+    positive = x[y == 1]
+    n, ones = x.sum(0), positive.sum(0)
     found = np.zeros(len(candidates), bool)
-    for a in range(0, len(candidates), 256):
-        part = x[:, a : a + 256]
-        both, both_ones = part.T @ x, part[y == 1].T @ x[y == 1]
-        na, oa = n[a : a + 256, None], ones[a : a + 256, None]
-        counts = (both, na - both, n - both, len(y) - na - n + both)
-        hits = (both_ones, oa - both_ones, ones - both_ones, y.sum() - oa - ones + both_ones)
+    for a in range(0, len(candidates), 128):
+        part = slice(a, a + 128)
+        both, both_ones = x[:, part].T @ x[:, a:], positive[:, part].T @ positive[:, a:]  # those before are done
+        na, oa, nb, ob = n[part, None], ones[part, None], n[a:], ones[a:]
+        counts = (both, na - both, nb - both, len(y) - na - nb + both)
+        hits = (both_ones, oa - both_ones, ob - both_ones, y.sum() - oa - ob + both_ones)
         rates = [(h + 1) / (c + 2) for c, h in zip(counts, hits, strict=True)]
         spread = np.sqrt(sum(r * (1 - r) / (c + 2) for r, c in zip(rates, counts, strict=True)))
         strange = np.abs(rates[0] - rates[1] - rates[2] + rates[3]) >= MIN_PAIR * spread
         strange &= np.minimum.reduce(counts) >= PAIR_ROWS
-        found[a : a + 256] |= strange.any(1)
-        found |= strange.any(0)
+        found[part] |= strange.any(1)
+        found[a:] |= strange.any(0)
     return candidates[found]
 
 
@@ -120,7 +121,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, steps:
     if n == 0 or y.min() == y.max():
         return FactorizationMachine(place, w0, np.zeros(0), np.zeros((0, rank)))
     row = np.repeat(np.arange(n), [len(r) for r in rows])
-    term = np.concatenate(rows)
+    term = np.concatenate(rows).astype(np.int64)
     ones, zeros = np.bincount(term[y[row] == 1], minlength=size), np.bincount(term[y[row] == 0], minlength=size)
     n1, n0 = y.sum(), n - y.sum()
     total = ones + zeros
@@ -183,7 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Factorizatio
     y = table.column("y").to_numpy().astype(np.int64)
     rows = [x.values.to_numpy() for x in table.column("terms").combine_chunks()] if len(y) else []
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), int(rows[i].sum()), int(y[i])))  # the same whatever order tasks end in
-    return fit_machine([rows[i].astype(np.int64) for i in order], y[order] if len(y) else y)
+    model = fit_machine([rows[i] for i in order], y[order] if len(y) else y)
+    release()
+    return model
 
 
 def with_score(docs: DataFrame, model: FactorizationMachine) -> tuple[DataFrame, str]:
