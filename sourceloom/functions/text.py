@@ -191,7 +191,9 @@ def pathological(text: Column) -> Column:
     minified = F.exists(lines, lambda x: F.length(x) >= fixed.LONG_LINE) | dense
     array_head = F.left(text, F.lit(fixed.ARRAY_CHARS))
     massive = F.contains(array_head, F.lit("[")) & (F.regexp_count(array_head, F.lit(",")) > fixed.ARRAY_COMMAS)
-    return F.concat_ws(",", F.when(minified, "minified"), F.when(max_nesting(text) >= fixed.NESTING_DEPTH, "nesting"), F.when(massive, "array"))
+    opening = F.regexp_count(F.left(text, F.lit(fixed.NESTING_CHARS)), F.lit(r"[\[({]"))
+    nested = F.when(opening >= fixed.NESTING_DEPTH, max_nesting(text) >= fixed.NESTING_DEPTH)  # fewer brackets can't be so deep
+    return F.concat_ws(",", F.when(minified, "minified"), F.when(nested, "nesting"), F.when(massive, "array"))
 
 
 def max_nesting(text: Column) -> Column:
