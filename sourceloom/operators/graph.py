@@ -93,7 +93,7 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
     cuts: list[DataFrame] = []
 
     def capped(captured: DataFrame, family: str) -> DataFrame:
-        kept, over = captures.capped(captured, ["path"], "start", "end")
+        kept, over = captures.capped(captures.sane(captured), ["path"], "start", "end")
         cuts.append(over.select("path", F.lit("CAPTURE_TRUNCATED").alias("anomaly_type"), F.lit("WARN").alias("severity"), F.concat(F.lit(f"{family}: "), F.col("dropped").cast("string"), F.lit(" captures dropped")).alias("reason_detail")))
         return kept.drop("place")
 

@@ -10,6 +10,8 @@ expressions, windows and joins by path and line.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,12 @@ _NOT_CALLS = (
 )
 
 
+def fingerprint() -> str:
+    """A hash of the patterns: results that are kept by it are made anew when they change."""
+    parts = (_PY_PIECES, _JS_PIECES, _TOKEN, _PY_DEF, _PY_CLASS, _JS_DEF, _JS_CLASS, *_NOT_CALLS)
+    return hashlib.sha256("".join(f"{p}\0" for p in parts).encode()).hexdigest()
+
+
 def _pieces(text: Column, pattern: str, comment: str, string: str | None) -> Column:
     """The text with its comments blanked and, if asked, its strings filled up."""
 
@@ -323,6 +331,11 @@ def kind_of(kind: Column) -> Column:
     return F.try_element_at(known, kind)
 
 
+def sane(rows: DataFrame) -> DataFrame:
+    """The rows whose span is one."""
+    return rows.filter((F.col("start") >= 0) & (F.col("end") >= F.col("start")))
+
+
 def capped(rows: DataFrame, keys: list[str], *order: str | Column, cap: int = fixed.CAPTURE_CAP) -> tuple[DataFrame, DataFrame]:
     """The first rows of each key with their ``place``; and the keys that have more, with the number of rows ``dropped``."""
     kept = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= cap)

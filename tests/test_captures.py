@@ -146,3 +146,15 @@ def test_folding_of_quoted_signs(spark, code, want):
 
 def test_joined_paths_with_commas_in_quotes(spark):
     assert one(spark, T.normalize_call(F.lit("os.path.join('a,b', f(x, y), \"c\")"))) == "a,b/{x}/c"
+
+
+def test_fingerprint_follows_the_patterns(monkeypatch):
+    before = captures.fingerprint()
+    assert before == captures.fingerprint() and len(before) == 64
+    monkeypatch.setattr(captures, "_JS_CLASS", "other")
+    assert captures.fingerprint() != before
+
+
+def test_spans_that_are_none(spark):
+    rows = spark.createDataFrame([(0, 0), (-1, 2), (3, 1), (2, 5)], "start long, end long")
+    assert [tuple(r) for r in captures.sane(rows).collect()] == [(0, 0), (2, 5)]
