@@ -124,7 +124,8 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
     long = narrow.filter((F.col("size") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull())
     top = long.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("other")).filter("other < refers_to").drop("other")
     revisits = long.join(top, ["digest", "size"]).filter("page_id < refers_to").select(F.col("page_id").alias("deal"), "digest", "refers_to").distinct()
-    archives = max(pages.sparkSession.sparkContext.defaultParallelism, -(-(narrow.agg(F.sum("size")).first()[0] or 0) // archive_bytes))
+    default = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # with fewer, the join would deal all payloads again
+    archives = max(default, -(-(narrow.agg(F.sum("size")).first()[0] or 0) // archive_bytes))
     dealt = rows.withColumn("deal", F.coalesce("page_id", F.xxhash64("url", "digest"))).repartition(archives, "deal", "digest")
     decided = dealt.join(revisits.repartition(archives, "deal", "digest").hint("shuffle_hash"), ["deal", "digest"], "left")
     decided = decided.withColumn("refers_to", F.when(F.col("page_id").isNotNull(), F.col("refers_to")))
