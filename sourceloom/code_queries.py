@@ -283,9 +283,9 @@ def flow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).metrics.select("path", "blocks", "flow_edges", "facts")
 
 
-@query(_by_shape("candidate_calls matched fields_missing", _metric_rows((3, 2, 0), (7, 0, 0), (4, 1, 0), (5, 0, 0))))
+@query(_by_shape("candidate_calls matched fields_missing pack_errors", _metric_rows((3, 2, 0, 1), (7, 0, 0, 1), (4, 1, 0, 1), (5, 0, 0, 1))))
 def detect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark, sf_dir).metrics.select("path", "candidate_calls", "matched", "fields_missing")
+    return built(spark, sf_dir).metrics.select("path", "candidate_calls", "matched", "fields_missing", "pack_errors")
 
 
 @query("SELECT 'fastapi' AS tag, count(*) * 2 AS matched, count(DISTINCT p_partkey) AS files FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'express', count(*), count(*) FROM part WHERE p_partkey % 4 = 2")
@@ -341,6 +341,13 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", graph.signature(header, F.lit("python")).alias("signature"))
 
 
+@query("SELECT p_partkey, 'f' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '(2)|?,int|' ELSE '(1)|?|async' END AS signature FROM part")
+def decorated_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of headers with decorators, some over several lines."""
+    header = F.expr("CASE p_partkey % 2 WHEN 0 THEN concat('@d(1, (2))\n\n  @e.f\ndef f', p_size, '(a,\n  b: int):') ELSE concat('@r.get(\n  \"/x\",\n)\nasync def f', p_size, '(x):') END")
+    return table(spark, sf_dir, "part").select("p_partkey", graph.signature(header, F.lit("python")).alias("signature"))
+
+
 @query("SELECT p_partkey, 'a' || p_size || ';g(1, 2);[x, {y, z}];k=' || p_partkey || ';\"p, q\"' AS args FROM part")
 def split_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.format_string('a%d, g(1, 2), [x, {y, z}], k=%d, "p, q"', "p_size", "p_partkey")

@@ -167,6 +167,11 @@ def matches_any(path: Column, globs: tuple[str, ...] | list[str]) -> Column:
     return out
 
 
+def without_decorators(header: Column) -> Column:
+    """A Python header without the decorators and blank lines before it."""
+    return F.regexp_replace(header, r"^(?:\s*+@[\w.]++(?:\((?:[^()]++|\([^()]*+\))*+\))?+[^\n]*+\n)++\s*+", "")
+
+
 def module_name(path: Column, root: str | None = None) -> Column:
     return F.regexp_replace(path, "^" + re.escape(root.rstrip("/")) + "/", "") if root else path
 

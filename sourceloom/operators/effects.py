@@ -42,12 +42,17 @@ def pattern_matches() -> Column:
     return some & by_callee & by_method & args & by_file & F.col("pattern_kind").isin("call", "decorator")
 
 
-def matched(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per call and rule, however many of its patterns match."""
+def by_language(rules: DataFrame) -> DataFrame:
+    """Each pattern once for every ``call_language`` that it and its rule fit."""
     languages = F.array(*[F.lit(x) for x in dict.fromkeys(fixed.LANGUAGES.values())])
     fits = F.filter(languages, lambda x: F.col("language").isin("any") | (F.col("language") == x))
     fits = F.filter(fits, lambda x: F.col("pattern_language").isin("any") | (F.col("pattern_language") == x))
-    listed = rules.withColumn("call_language", F.explode(fits))
+    return rules.withColumn("call_language", F.explode(fits))
+
+
+def matched(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per call and rule, however many of its patterns match."""
+    listed = by_language(rules)
     if rules.limit(MAX_RULE_ROWS + 1).count() <= MAX_RULE_ROWS:
         listed = F.broadcast(listed)
     left = calls if "path" in calls.columns else calls.withColumn("path", F.lit(None).cast("string"))

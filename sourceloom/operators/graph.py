@@ -36,6 +36,7 @@ class Graph:
 def signature(header: Column, language: Column, constructor: Column | None = None) -> Column:
     """name(arity)|types|flags of a definition's header; of Python parameters, those that begin with self or cls don't count."""
     python = language == "python"
+    header = F.when(python, T.without_decorators(header)).otherwise(header)
     params = captures.split_arguments(F.regexp_extract(header, r"\(((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*\))*+\))*+\))*+)\)", 1), generics=True)
     params = F.filter(params, lambda p: ~(python & p.rlike(r"^(self|cls)")))
 
@@ -224,10 +225,11 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
         anomaly(flow.cut_functions(tokens).join(fns, "fn_id"), "PARTIAL_PARSE", "CFG_BLOCK_CUTOFF"),
         anomaly(facts.filter("cut").select("fn_id", "path").distinct(), "CONST_FOLD_CUTOFF", f"facts>{fixed.FACT_CAP}"), anomaly(empty, "PARTIAL_PARSE", "AST present but no captures; check queries/grammar pin."), *cuts,
     )
+    pack_errors = 0
     if packs is not None:
         asked = files.sparkSession.createDataFrame([(x,) for x in packs], "pack string")
         missing = effects.missing_packs(asked, rules).select(nothing.alias("path"), F.lit("PARSE_ERROR").alias("anomaly_type"), "severity", F.concat("reason_detail", F.lit(": "), "pack").alias("reason_detail"))
-        anomalies = anomalies.unionByName(missing)
+        anomalies, pack_errors = anomalies.unionByName(missing), missing.count()  # of the few packs named in the call
     facts = facts.filter(~F.col("cut"))
     counted = {
         "defs": defs, "calls": groups.select("path", F.col("members").alias("n")), "imports": imported, "exports": exported, "literals": literals, "imports_seen": imported, "imports_resolved": bindings,
@@ -236,7 +238,7 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
     }
     return Graph(
         nodes, edges, first_symbols(symbols, "path", "start"), frames, bindings, flow.blocks(tokens, fns), flow.edges(tokens, fns), facts, effects.effects_of(matched), anomalies,
-        _counted(modules.select("path"), counted),
+        _counted(modules.select("path"), counted).withColumn("pack_errors", F.lit(pack_errors).cast("bigint")),
     )
 
 
@@ -247,6 +249,13 @@ def _counted(paths: DataFrame, counted: dict[str, DataFrame]) -> DataFrame:
     return paths.join(total, "path", "left").select("path", *[F.coalesce(name, F.lit(0)).alias(name) for name in counted])
 
 
+def import_aliases(statement: Column, language: Column) -> Column:
+    """The names that an import binds, each once, in order; a dotted module binds its first part, a star nothing."""
+    bound = F.when(language == "python", T.python_imports(statement)).otherwise(script_imports(statement))
+    names = F.transform(bound, lambda b: T.first_identifier(b["alias"]))
+    return F.array_distinct(F.filter(names, lambda n: n.isNotNull()))
+
+
 def script_imports(statement: Column) -> Column:
     """array<struct<module, imported, alias, kind>> of one ES import or require line."""
     module = F.regexp_extract(statement, r"(?:from\s*|require\s*\(\s*|^import\s*)['\"]([^'\"]+)['\"]", 1)

@@ -290,6 +290,18 @@ def py_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "b.*")
 
 
+_ALIASES = (
+    "CASE p_partkey % 4 WHEN 0 THEN 'from m import a' || p_partkey || ' as b, c as b, d' || p_size WHEN 1 THEN 'import os' || p_size || '.path, sys as s' "
+    "WHEN 2 THEN 'import D, { a as b' || p_size || ', D } from \"m\"' ELSE 'from m' || p_size || ' import *' END"
+)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'b,d' || p_size WHEN 1 THEN 'os' || p_size || ',s' WHEN 2 THEN 'D,b' || p_size ELSE '' END AS aliases FROM part")
+def import_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    language = F.when(F.col("p_partkey") % 4 == 2, "javascript").otherwise("python")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(graph.import_aliases(F.expr(_ALIASES), language), ",").alias("aliases"))
+
+
 @query(
     r"""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || '/x' WHEN 1 THEN '{x}/' || event_type WHEN 2 THEN event_type || 'tail' ELSE 'dyn:{x}' END AS value,
@@ -514,6 +526,19 @@ def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effects.matched(_calls(spark, sf_dir), _rules(spark)).select("call_id", "rule_id")
 
 
+@query(
+    f"""
+WITH p(pack, rule_id, language, kind, callee, object_method, arg_min) AS (VALUES {_PATTERN_VALUES}),
+c AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'python' ELSE 'javascript' END AS language FROM events)
+SELECT c.language, rule_id, count(*) AS n FROM c JOIN (SELECT DISTINCT rule_id, language FROM p) r ON r.language IN ('any', c.language) GROUP BY c.language, rule_id"""
+)
+def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that a rule is tried on, by language."""
+    calls = _calls(spark, sf_dir).groupBy(F.col("language").alias("call_language")).agg(F.count("*").alias("n"))
+    tried = effects.by_language(_rules(spark)).select("rule_id", "call_language").distinct()
+    return calls.join(tried, "call_language").select(F.col("call_language").alias("language"), "rule_id", "n")
+
+
 @query("SELECT DISTINCT event_type AS pack, 'WARN' AS severity, 'Rule pack not loaded' AS reason_detail FROM events WHERE event_type NOT IN ('web', 'sql', 'click')")
 def rule_match_missing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = _rules(spark).select("pack").union(spark.createDataFrame([("click",)], "pack string"))
