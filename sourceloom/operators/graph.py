@@ -250,9 +250,9 @@ def _counted(paths: DataFrame, counted: dict[str, DataFrame]) -> DataFrame:
 
 
 def import_aliases(statement: Column, language: Column) -> Column:
-    """The names that an import binds, each once, in order; a dotted module binds its first part, a star nothing."""
+    """The names that an import binds, each once, in order; a dotted module binds its first part, a star or a bare script import nothing."""
     bound = F.when(language == "python", T.python_imports(statement)).otherwise(script_imports(statement))
-    names = F.transform(bound, lambda b: T.first_identifier(b["alias"]))
+    names = F.transform(F.filter(bound, lambda b: b["kind"] != "star"), lambda b: T.first_identifier(b["alias"]))
     return F.array_distinct(F.filter(names, lambda n: n.isNotNull()))
 
 

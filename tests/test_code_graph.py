@@ -30,6 +30,30 @@ def decide(spark, root, **options):
     return {r.rel_path: r.decision for r in discovery.decide(files.scan_tree(spark, root), discovery.Options(**options)).collect()}
 
 
+def test_import_aliases(spark):
+    rows = [
+        (1, "python", "import os.path, sys as s, os"), (2, "python", "from a import (b as c,\n  c,\n  d)"), (3, "python", "from m import *"), (4, "python", None), (5, "python", "x = 1"),
+        (6, "javascript", 'import D, { a as b, type C, D } from "m"'), (7, "typescript", 'import * as n from "m"'), (8, "javascript", 'import "m"'),
+    ]
+    df = spark.createDataFrame(rows, "id int, language string, statement string")
+    got = {r.id: r.v for r in df.select("id", graph.import_aliases(F.col("statement"), F.col("language")).alias("v")).collect()}
+    assert got == {1: ["os", "s"], 2: ["c", "d"], 3: [], 4: [], 5: [], 6: ["D", "b", "C"], 7: ["n"], 8: []}
+
+
+def test_headers_without_decorators(spark):
+    cases = {"@a\n@b.c(1, (2))\n\n  def f(x):": "def f(x):", '@r(\n "/x",\n)\ndef g():': "def g():", "def h(a=m @ n):": "def h(a=m @ n):", "@a": "@a", "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r.h: r.v for r in df.select("h", T.without_decorators(F.col("h")).alias("v")).collect()} == cases
+
+
+def test_rules_by_language(spark):
+    rule = ("p", "p", None, None, None, "io.file", "p", "f", 0.9, "call", "open", None, 0, None, [], None)
+    rows = [(*rule[:2], name, language, pattern, *rule[5:]) for name, language, pattern in (("a", "any", "any"), ("b", "python", "any"), ("c", "any", "python"), ("d", "python", "javascript"))]
+    listed = effects.by_language(spark.createDataFrame(rows, effects.RULE_SCHEMA)).groupBy("rule_id").agg(F.sort_array(F.collect_list("call_language")).alias("v"))
+    got = {r.rule_id: r.v for r in listed.collect()}
+    assert got["b"] == got["c"] == ["python"] and "d" not in got and {"javascript", "python", "typescript"} <= set(got["a"])
+
+
 # ------------------------------------------------------------------- discovery
 
 
