@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import decontaminate, mixing, multi_index, near_dup, quality, repeats, reshard, token_ids, toxicity, warc
+from sourceloom.llm import clusters, decontaminate, divergence, language_id, mixing, multi_index, near_dup, quality, repeats, reshard, token_ids, toxicity, warc
 from sourceloom.llm.common import read_table, stage_path
 
 SHARDS = 40
@@ -69,6 +69,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def _centroid_sql(rounds: int = clusters.ROUNDS, k: int = clusters.CENTROIDS) -> str:
+    """The rounds one after the other, each as two tables."""
+    d = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    parts = [
+        "e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings "
+        "WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))))",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM e ORDER BY h, v LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT e.rid, c.j, {d} AS d FROM e, c{r} c) GROUP BY rid)")
+        if r < rounds:
+            parts.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS v FROM "
+                f"(SELECT j, pos, sum(x) AS s, count(*) AS n FROM (SELECT a.j, unnest(range(1, 65)) AS pos, unnest(e.v) AS x FROM a{r} a JOIN e USING (rid)) GROUP BY j, pos) GROUP BY j) n USING (j))"
+            )
+    return (
+        "WITH " + ", ".join(parts) + f" SELECT e.vec_id, a.j::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, "
+        f"sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN e USING (rid) JOIN c{rounds} c USING (j)"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_near_duplicates": op2_near_duplicates,
@@ -80,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_divergence": op11_divergence,
+    "op12_centroids": op12_centroids,
+    "op13_language": op13_language,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,4 +186,29 @@ SELECT doc_id, size, source_size, target,
        (passes * size + greatest(least(hi, b) - greatest(lo, a), 0) + greatest(least(hi, c) - greatest(lo, 0), 0))::BIGINT AS taken
 FROM t
 """,
+    "op11_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+t AS (SELECT rid, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS cl FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+nl AS (SELECT lang, sum(cl) AS n, count(*) AS v FROM k GROUP BY lang),
+ng AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(ng.n, 0)::HUGEINT + 2 * nl.v) AS p, 1 + (1000000000::HUGEINT * (k.cl + 2)) // (nl.n::HUGEINT + 2 * nl.v) AS q
+  FROM g JOIN k USING (lang) JOIN nl USING (lang) LEFT JOIN ng ON ng.lang = g.lang AND ng.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pr AS (SELECT g.lang, g.source, h.source AS item, coalesce(ps.value, 0)::BIGINT AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN ps ON ps.lang = g.lang AND ps.source = g.source AND ps.item = h.source),
+tr AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // (p + q) DESC, term) AS rank
+  FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pr
+UNION ALL SELECT lang, source, 'term', item, value, rank::INTEGER FROM tr WHERE rank <= 10
+""",
+    "op12_centroids": _centroid_sql(),
 }
