@@ -127,7 +127,7 @@ def _many(shape: int, kind: str, *names: str | None) -> list[tuple]:
 _NODES = [
     *_many(0, "Class", "C@k"), *_many(0, "Method", "f"), *_many(0, "Function", "u@k"), *_many(0, "Import", None, None), *_many(0, "Call", "g@z", "router.get", "session.execute"), *_many(0, "Literal", None, None, None),
     *_many(1, "Function", "a@k"), *_many(1, "Class", "K@k"), *_many(1, "Method", "m"), *_many(1, "Import", None), *_many(1, "Call", "g", "f@z", "f@z", "g", "h@z", "a@k", "i.j"), *_many(1, "Literal", None, None),
-    *_many(2, "Class", "K@k"), *_many(2, "Method", "foo"), *_many(2, "Function", "f@k"), *_many(2, "Import", None), *_many(2, "Export", None), *_many(2, "Call", "mix", "d", "g@z", "app.post"), *_many(2, "Literal", None, None), *_many(2, "TemplatePart", None),
+    *_many(2, "Class", "K@k"), *_many(2, "Method", "foo"), *_many(2, "Function", "f@k"), *_many(2, "Import", None), *_many(2, "Export", None), *_many(2, "Call", "mix", "d", "x", "g@z", "app.post"), *_many(2, "Literal", None, None), *_many(2, "TemplatePart", None),
     *_many(3, "Function", "u@k"), *_many(3, "Import", None, None), *_many(3, "Call", "os.path.join", "build", "load", "open", "fetch@z"), *_many(3, "Literal", None, None, None),
 ]
 _NODES += [(shape, kind, name, "1::BIGINT") for shape in range(4) for kind, name in (("'Module'", "path"), ("'File'", "substr(path, 5)"))]
@@ -153,7 +153,7 @@ _CALLS = [
     (0, "g@z", "g@z(a)", "a"), (0, "router.get", 'router.get("/parts/{id}/@z/")', '"/parts/{id}/@z/"'), (0, "session.execute", 'session.execute("SELECT * FROM t@z")', '"SELECT * FROM t@z"'),
     (1, "g", "g(1)", "1"), (1, "f@z", "f@z(1)", "1"), (1, "f@z", "f@z(2)", "2"), (1, "g", "g(x)", "x"), (1, "h@z", 'h@z(\n        p, [1, (2, 3)],\n        "(if",\n    )', 'p|[1, (2, 3)]|"(if"'),
     (1, "a@k", "a@k(2)", "2"), (1, "i.j", "i.j(1).l(2)", "1"),
-    (2, "mix", "mix(B)", "B"), (2, "d", "d(c)", "c"), (2, "g@z", "g@z(x)", "x"), (2, "app.post", 'app.post("/p@k//{id}/", h)', '"/p@k//{id}/"|h'),
+    (2, "mix", "mix(B)", "B"), (2, "d", "d(c)", "c"), (2, "x", "x(1)", "1"), (2, "g@z", "g@z(x)", "x"), (2, "app.post", 'app.post("/p@k//{id}/", h)', '"/p@k//{id}/"|h'),
     (3, "os.path.join", "os.path.join(\"@b\", 'c+d', name)", "\"@b\"|'c+d'|name"), (3, "build", "build()", ""), (3, "load", "load()", ""), (3, "open", "open(path)", "path"), (3, "fetch@z", "fetch@z(url)", "url"),
 ]
 
@@ -184,7 +184,7 @@ def graph_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By shape: defined nodes and symbols, bindings, calls with an owner, calls, references.
-_EDGES = {0: (15, 4, 2, 3, 0), 1: (17, 1, 7, 7, 1), 2: (16, 2, 2, 4, 0), 3: (13, 3, 5, 5, 0)}
+_EDGES = {0: (15, 4, 2, 3, 0), 1: (17, 1, 7, 7, 1), 2: (17, 2, 3, 5, 0), 3: (13, 3, 5, 5, 0)}
 _EDGE_ROWS = [
     (shape, _q(kind), _q(flag), f"{n}::BIGINT")
     for shape, (defined, bound, owned, called, referred) in _EDGES.items()
@@ -245,7 +245,7 @@ def graph_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("blocks", "edges").agg(F.count("*").alias("functions"))
 
 
-_REFS = {0: ("g@z", "router", "session"), 1: ("g", "f@z", "h@z", "i", "a@k"), 2: ("mix", "d", "g@z", "app"), 3: ("os", "build", "load", "open", "fetch@z")}
+_REFS = {0: ("g@z", "router", "session"), 1: ("g", "f@z", "h@z", "i", "a@k"), 2: ("mix", "d", "x", "g@z", "app"), 3: ("os", "build", "load", "open", "fetch@z")}
 
 
 @query(
@@ -267,7 +267,7 @@ def _metric_rows(*rows: tuple[int, ...]) -> list[tuple]:
     return [(s, *[f"{n}::BIGINT" for n in row]) for s, row in enumerate(rows)]
 
 
-@query(_by_shape("defs calls imports exports literals", _metric_rows((3, 3, 2, 0, 3), (3, 8, 1, 0, 2), (3, 4, 1, 1, 3), (1, 5, 2, 0, 3))))
+@query(_by_shape("defs calls imports exports literals", _metric_rows((3, 3, 2, 0, 3), (3, 8, 1, 0, 2), (3, 5, 1, 1, 3), (1, 5, 2, 0, 3))))
 def lift_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of each file; chained calls count one by one."""
     return built(spark, sf_dir).metrics.select("path", "defs", "calls", "imports", "exports", "literals")
@@ -283,7 +283,7 @@ def flow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).metrics.select("path", "blocks", "flow_edges", "facts")
 
 
-@query(_by_shape("candidate_calls matched fields_missing pack_errors", _metric_rows((3, 2, 0, 1), (7, 0, 0, 1), (4, 1, 0, 1), (5, 0, 0, 1))))
+@query(_by_shape("candidate_calls matched fields_missing pack_errors", _metric_rows((3, 2, 0, 1), (7, 0, 0, 1), (5, 1, 0, 1), (5, 0, 0, 1))))
 def detect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).metrics.select("path", "candidate_calls", "matched", "fields_missing", "pack_errors")
 
@@ -294,6 +294,111 @@ def detect_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).effects.groupBy("tag").agg(F.count("*").alias("matched"), F.countDistinct("path").alias("files"))
 
 
+# ------------------------------------------------ sources that need the machine
+
+#: Source texts by p_partkey % 3: TypeScript, Python, JSX.
+HARD = (
+    r'''abstract class A@k<T> extends B {
+  constructor(private a: string, b?: Map<string, Array<T>>) { init@z(a) }
+  public static async q(x: string): Promise<void> {
+    return g(`a ${h@z(x)} ${`n ${i(2)}`}`)
+  }
+  get y() { return 1 }
+  abstract p(x: number): { a: string };
+  protected r(a = s(1, [2, {b: (3)}])): { b: number } | null {
+    const re = /"[/]'/g.test(t@k(a)) ? u / v / w(4) : 1;
+    return k("a\
+b") + l(`C:\\`)
+  }
+}
+interface I {
+  m(a: string): void;
+  n(): string
+}
+const z = y ? f(@z) : { a: 1 };
+''',
+    r'''x = """a@z\\"""
+f@k(1)
+s = 'it\'s' + g(r"\\", 2)  # "h(3)
+def m(a, b=(1, (2, (3, (4, (5, 6)))))):
+    return i(@z)
+''',
+    """function App@k() {
+  const s = a /b/ c(1);
+  return <div title="it's {x(1)" onClick={() => f@z(2)}>don't call(3) {g(4)}<b>it's</b><br/></div>;
+}
+h@k(5)
+""",
+)
+
+
+def hard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, which = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    text = F.element_at(F.array(*[F.lit(x) for x in HARD]), (which + 1).cast("int"))
+    for mark, column in (("@k", "p_partkey"), ("@z", "p_size")):
+        text = F.replace(text, F.lit(mark), F.col(column).cast("string"))
+    ending = F.when(which == 0, ".ts").when(which == 1, ".py").otherwise(".jsx")
+    language = F.when(which == 0, "typescript").when(which == 1, "python").otherwise("javascript")
+    return parts.select(F.concat(F.lit("hard/p"), F.col("p_partkey").cast("string"), ending).alias("path"), language.alias("language"), text.alias("text"))
+
+
+def _hard(columns: str, rows: list[tuple]) -> str:
+    """SQL of rows (shape, one text for each column)."""
+    p = "p AS (SELECT *, 'hard/p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.jsx' END AS path, p_partkey::VARCHAR AS k, p_size::VARCHAR AS z, p_brand AS b FROM part)"
+    names = columns.split()
+    return f"WITH {p} " + " UNION ALL ".join(f"SELECT path, {', '.join(f'{_q(v)} AS {n}' for n, v in zip(names, row[1:], strict=True))} FROM p WHERE p_partkey % 3 = {row[0]}" for row in rows)
+
+
+def _cut(files: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """``column``: the bytes of the rows' spans."""
+    text = F.decode(F.substr(F.encode("text", "UTF-8"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
+    return rows.join(files.select("path", "text"), "path").withColumn(column, text)
+
+
+_HARD_CALLS = [
+    (0, "init@z", "init@z(a)", "a"), (0, "g", "g(`a ${h@z(x)} ${`n ${i(2)}`}`)", "`a ${h@z(x)} ${`n ${i(2)}`}`"), (0, "s", "s(1, [2, {b: (3)}])", "1|[2, {b: (3)}]"), (0, "test", ".test(t@k(a))", "t@k(a)"), (0, "w", "w(4)", "4"),
+    (0, "k", 'k("a\\\nb")', '"a\\\nb"'), (0, "l", "l(`C:\\\\`)", "`C:\\\\`"), (0, "f", "f(@z)", "@z"),
+    (1, "f@k", "f@k(1)", "1"), (1, "g", 'g(r"\\\\", 2)', 'r"\\\\"|2'), (1, "i", "i(@z)", "@z"),
+    (2, "c", "c(1)", "1"), (2, "f@z", "f@z(2)", "2"), (2, "g", "g(4)", "4"), (2, "h@k", "h@k(5)", "5"),
+]
+
+
+@query(_hard("callee preview args", _HARD_CALLS))
+def lexer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in holes of templates, after regular expressions, escapes and strings over lines, and between elements' texts."""
+    files = hard_files(spark, sf_dir)
+    return _cut(files, captures.call_groups(captures.lines(files)), "preview").select("path", "callee", "preview", F.array_join("args", "|").alias("args"))
+
+
+_HARD_TEXTS = [
+    (0, "lit.template", "`a ${h@z(x)} ${`n ${i(2)}`}`"), (0, "lit.template", "`n ${i(2)}`"), (0, "lit.string", '"a\\\nb"'), (0, "lit.template", "`C:\\\\`"),
+    (1, "lit.string", '"""a@z\\\\"""'), (1, "lit.string", "'it\\'s'"), (1, "lit.string", '"\\\\"'), (2, "lit.string", '"it\'s {x(1)"'),
+]
+
+
+@query(_hard("kind text", _HARD_TEXTS))
+def lexer_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = hard_files(spark, sf_dir)
+    return _cut(files, captures.literals(captures.lines(files)).drop("text"), "text").select("path", "kind", "text")
+
+
+_HARD_DEFS = [
+    (0, "A@k", "A@k(0)||class", "abstract class", "\n}"), (0, "constructor", "constructor(2)|string,Map|", "constructor(pr", " }"), (0, "q", "q(1)|string|async", "public static ", " }"), (0, "y", "y(0)||getter", "get y() { retu", " }"),
+    (0, "p", "p(1)|number|", "abstract p(x: ", " }"), (0, "r", "r(1)|?|", "protected r(a ", " }"), (0, "m", "m(1)|string|", "m(a: string): ", "id"), (0, "n", "n(0)||", "n(): string", "ng"),
+    (1, "m", "m(2)|?,?|", "def m(a, b=(1,", ")\n"), (2, "App@k", "App@k(0)||", "function App@k()", "\n}"),
+]
+
+
+@query(_hard("name signature begins ends", _HARD_DEFS))
+def lexer_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods with types, signatures of interfaces and abstract methods, and where they begin and end."""
+    files = hard_files(spark, sf_dir)
+    found = _cut(files, captures.definitions(captures.lines(files)), "whole")
+    signature = graph.signature(F.col("header"), F.col("language"), None, F.col("params"))
+    begins = F.when(F.col("language") == "javascript", F.regexp_extract("whole", r"^[^)]*\)", 0)).otherwise(F.left("whole", F.lit(14)))
+    return found.select("path", "name", signature.alias("signature"), begins.alias("begins"), F.right("whole", F.lit(2)).alias("ends"))
+
+
 # ----------------------------------------------- expressions over derived code
 
 

@@ -33,26 +33,34 @@ class Graph:
     metrics: DataFrame
 
 
-def signature(header: Column, language: Column, constructor: Column | None = None) -> Column:
-    """name(arity)|types|flags of a definition's header; of Python parameters, those that begin with self or cls don't count."""
+_LEADING = r"(?:(?:export|default|public|private|protected|static|override|abstract|declare|readonly)\s+)*"
+
+
+def signature(header: Column, language: Column, constructor: Column | None = None, params: Column | None = None) -> Column:
+    """name(arity)|types|flags of a definition's header; of Python parameters, those that begin with self or cls don't count.
+
+    ``params`` are the parameters as ``captures.definitions`` cuts them by their
+    brackets; without them they are read from the header, with brackets four deep.
+    """
     python = language == "python"
     header = F.when(python, T.without_decorators(header)).otherwise(header)
-    params = captures.split_arguments(F.regexp_extract(header, r"\(((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*\))*+\))*+\))*+)\)", 1), generics=True)
+    read = captures.split_arguments(F.regexp_extract(header, r"\(((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*\))*+\))*+\))*+)\)", 1), generics=True)
+    params = read if params is None else F.coalesce(params, F.array().cast("array<string>"))
     params = F.filter(params, lambda p: ~(python & p.rlike(r"^(self|cls)")))
 
     def kind(p: Column) -> Column:
         typed = F.when(F.contains(p, F.lit(":")), F.regexp_replace(F.regexp_extract(p, r"(?s):\s*(.*)$", 1), r"<[^<>]*>", "")).otherwise(F.lit(""))
         return F.when(python & p.startswith("**"), F.lit("**")).when(python & p.startswith("*"), F.lit("*")).otherwise(F.coalesce(T.first_identifier(typed), F.lit("?")))
 
-    is_class = header.rlike(r"^\s*(?:export\s+)?(?:default\s+)?class\s")
+    is_class = header.rlike(rf"^\s*{_LEADING}class\s")
     arrow = ~python & header.rlike(r"=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]*)?=>")
     flags = F.array_compact(F.array(
-        F.when(arrow, F.lit("arrow")), F.when(header.rlike(r"^\s*(?:export\s+)?(?:static\s+)?async\b"), F.lit("async")), F.when(is_class, F.lit("class")),
+        F.when(arrow, F.lit("arrow")), F.when(header.rlike(rf"^\s*{_LEADING}async\s+[\w$*]"), F.lit("async")), F.when(is_class, F.lit("class")),
         F.when(F.coalesce(constructor, F.lit(False)) if constructor is not None else F.lit(False), F.lit("ctor")),
-        F.when(~python & header.rlike(r"^\s*(?:static\s+)?get\s+\w"), F.lit("getter")), F.when(~python & header.rlike(r"^\s*(?:static\s+)?set\s+\w"), F.lit("setter")),
+        F.when(~python & header.rlike(rf"^\s*{_LEADING}get\s+[\w$]"), F.lit("getter")), F.when(~python & header.rlike(rf"^\s*{_LEADING}set\s+[\w$]"), F.lit("setter")),
     ))
     named = F.regexp_extract(header, r"\b(?:def|class|function\s*\*?|const|let|var)\s+([A-Za-z_$][\w$]*)", 1)
-    name = F.when(named != "", named).otherwise(F.regexp_extract(header, r"^\s*(?:(?:static|async|get|set)\s+)*([A-Za-z_$][\w$]*)", 1))
+    name = F.when(named != "", named).otherwise(F.regexp_extract(header, rf"^\s*{_LEADING}(?:(?:async|get|set)\s+)*\*?\s*([A-Za-z_$][\w$]*)", 1))
     size = F.when(is_class, 0).otherwise(F.size(params))
     kinds = F.when(is_class, F.lit("")).otherwise(F.array_join(F.transform(F.slice(params, 1, fixed.TYPE_CAP), kind), ","))
     return F.concat(name, F.lit("("), size.cast("string"), F.lit(")|"), kinds, F.lit("|"), F.array_join(flags, ","))
@@ -89,17 +97,19 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
     rows = stage_table(captures.lines(files), "lines")
     found = stage_table(captures.tokens(rows), "tokens")
     pairs = stage_table(captures.brackets(found), "brackets")
+    own = stage_table(captures.members(found, pairs), "members")
+    sizes = rows.groupBy("path").agg(F.max("byte_end").alias("file_end"))
     span = ids.span_key(F.col("path"), F.col("start"), F.col("end"))
     nothing = F.lit(None).cast("string")
     cuts: list[DataFrame] = []
 
     def capped(captured: DataFrame, family: str) -> DataFrame:
-        kept, over = captures.capped(captures.sane(captured), ["path"], "start", "end")
+        kept, over = captures.capped(captures.sane(captured, sizes), ["path"], "start", "end")
         cuts.append(over.select("path", F.lit("CAPTURE_TRUNCATED").alias("anomaly_type"), F.lit("WARN").alias("severity"), F.concat(F.lit(f"{family}: "), F.col("dropped").cast("string"), F.lit(" captures dropped")).alias("reason_detail")))
         return kept.drop("place")
 
     # definitions and their scopes
-    defs = capped(captures.definitions(rows, found, pairs), "defs").withColumn("def_key", F.concat_ws("#", span, "name"))
+    defs = capped(captures.definitions(rows, found, pairs, own), "defs").withColumn("def_key", F.concat_ws("#", span, "name"))
     bare = defs.select("path", "start", "end", "def_key", "name")
     chain = intervals.chains(bare, ["path"], "def_key", F.col("name"), bins=BIN_BYTES)
     parent = intervals.parents(bare.drop("name"), ["path"], "def_key", BIN_BYTES)
@@ -108,7 +118,7 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
     method = (F.col("kind") == "def.method") | F.coalesce("in_class", F.lit(False))
     defs = defs.join(classes, "parent", "left").withColumn("semantic_type", F.when(F.col("kind") == "def.class", "Class").when(method, "Method").otherwise("Function"))
     constructor = (F.col("semantic_type") == "Method") & (F.col("name") == "__init__")
-    defs = defs.withColumns({"span_key": span, "signature": signature(F.col("header"), F.col("language"), constructor)}).withColumns({
+    defs = defs.withColumns({"span_key": span, "signature": signature(F.col("header"), F.col("language"), constructor, F.col("params"))}).withColumns({
         "node_id": ids.node_id(F.col("semantic_type"), F.col("language"), F.col("qualified_name"), F.col("span_key")),
         "symbol_id": ids.symbol_id(F.col("language"), F.col("qualified_name"), F.lower("semantic_type"), F.col("signature")),
     })
@@ -119,7 +129,7 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
     modules = stage_table(modules, "modules")
 
     # calls, imports, exports, literals
-    groups = capped(captures.call_groups(rows, found, pairs), "calls").withColumn("span_key", span)
+    groups = capped(captures.call_groups(rows, found, pairs, own), "calls").withColumn("span_key", span)
     at = F.col("start").cast("string")
     groups = groups.withColumn("qualified_name", F.concat("path", F.lit("::call@"), at)).withColumn("node_id", ids.node_id("Call", F.col("language"), F.col("qualified_name"), F.col("span_key")))
     groups = groups.withColumns({"used": T.first_identifier(F.col("callee")), "callee_id": ids.symbol_id(F.col("language"), F.coalesce(T.first_identifier(F.col("callee")), F.lit("")), "symbol.ref", F.lit(""))})

@@ -27,6 +27,13 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound Arrow batches by bytes, as rows may be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= size:
+        spark.conf.set(key, str(size))
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, as tests and the bench use it."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("sourceloom")

@@ -1,11 +1,11 @@
 """Captures of source text: definitions, calls, imports, exports, literals, assignments and control words.
 
-There is no grammar here.  A text is cut into comments, strings and the rest by
-one pattern of its language; ``code`` is the text with comments blanked and
-strings filled up, character by character, so that places in it are places in the
-text.  Brackets are paired by windows over their depth, so calls, parameters and
-import lists may nest and run over lines to any extent.  All of it is native
-expressions, windows and joins by path and line.
+There is no grammar here.  A machine with a stack of modes tells comments and strings
+from code (``lexer``): ``code`` is the text with comments blanked and strings filled
+up, character by character, so that places in it are places in the text.  Brackets are
+paired by windows over their depth, so calls, parameters and import lists may nest and
+run over lines to any extent.  All but the machine is native expressions, windows and
+joins by path and line.
 """
 
 from __future__ import annotations
@@ -18,44 +18,34 @@ from pyspark.sql import functions as F
 from sourceloom.functions import fixed
 from sourceloom.functions.text import latest
 from sourceloom.operators.intervals import islands
+from sourceloom.sources import lexer
 
-#: Stand for the characters of a string: the first one of a line that continues a string, and all others.
-_CONTINUED, _FILLED = "\u0003", "\u0002"
-_QUOTED = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?"""
-#: Comments, strings and what stands between them; every character belongs to one.
-_PY_PIECES = r"""#[^\n]*|(?s:\"{3}.*?(?:(?<!\\)\"{3}|\z)|'{3}.*?(?:(?<!\\)'{3}|\z))|""" + _QUOTED + r"""|[^#"']+"""
-_JS_PIECES = r"""//[^\n]*|(?s:/\*.*?(?:\*/|\z)|`.*?(?:(?<!\\)`|\z))|""" + _QUOTED + r"""|[^/"'`]+|/"""
+#: A line that begins with one of these goes on with a string.
+_WITHIN = f"^[{lexer.CONTINUED}{lexer.HOLE_END}]"
+#: The marks of a string, or of its part before, between or after holes.
+_MARKS = f"{lexer.HOLE_END}[{lexer.FILLED}{lexer.CONTINUED}]*+{lexer.HOLE}?|[{lexer.FILLED}{lexer.CONTINUED}]++{lexer.HOLE}?"
 
 _NAME = r"[A-Za-z_$][\w$]*+"
 #: The name of a call, or the methods called on a value: what stands before an opening parenthesis.
-_CALLEE = rf"(?<![\w$.\u0002\u0003])(?<!\b(?:def|class|function)\s{{1,8}})(?<!\bfunction\s{{0,8}}\*\s{{0,8}}){_NAME}(?:\s*\.\s*{_NAME})*+(?=\s*\()|(?<=[)\]\u0002\u0003])(?:\s*\.\s*{_NAME})++(?=\s*\()"
+_CALLEE = rf"(?<![\w$.\u0002\u0003])(?<!\b(?:def|class|function)\s{{1,8}})(?<!\bfunction\s{{0,8}}\*\s{{0,8}}){_NAME}(?:\s*\.\s*{_NAME})*+(?=\s*\()|(?<=[)\]\u0002\u0003\u0006])(?:\s*\.\s*{_NAME})++(?=\s*\()"
 _WORDS = tuple(dict.fromkeys((*fixed.PY_KEYWORDS, *fixed.JS_KEYWORDS)))
-_TOKEN = _CALLEE + rf"|(?<![\w$])(?:{'|'.join(_WORDS)})(?![\w$])|[()\[\]{{}},]|[\u0002\u0003]+"
+_HEADS = ("class", "interface")
+_TOKEN = _CALLEE + rf"|(?<![\w$.])(?:{'|'.join((*_WORDS, *_HEADS))})(?![\w$])|[()\[\]{{}},;]|{_MARKS}"
+#: What may stand before the name of a member of a class or an interface.
+_MODIFIERS = ("public", "private", "protected", "static", "async", "readonly", "abstract", "override", "declare", "get", "set")
+_LEAD = rf"(?:(?<![\w$.])(?:{'|'.join(_MODIFIERS)})\s++)*+(?:\*\s*+)?$"
 _NOT_CALLS = (
-    "and", "as", "assert", "class", "const", "def", "del", "delete", "extends", "from", "function", "global", "import", "in", "instanceof", "is", "lambda", "let", "new",
+    "and", "as", "assert", "class", "const", "def", "del", "delete", "extends", "from", "function", "global", "import", "in", "instanceof", "interface", "is", "lambda", "let", "new",
     "nonlocal", "not", "of", "or", "raise", "static", "super", "throw", "typeof", "var", "void", "with",
 )
 
 
 def fingerprint() -> str:
     """A hash of the patterns: results that are kept by it are made anew when they change."""
-    parts = (_PY_PIECES, _JS_PIECES, _TOKEN, _PY_DEF, _PY_CLASS, _JS_DEF, _JS_CLASS, *_NOT_CALLS)
+    parts = (lexer.VERSION, _TOKEN, _LEAD, _PY_DEF, _PY_CLASS, _JS_DEF, _JS_CLASS, *_NOT_CALLS)
     return hashlib.sha256("".join(f"{p}\0" for p in parts).encode()).hexdigest()
 
 
-def _pieces(text: Column, pattern: str, comment: str, string: str | None) -> Column:
-    """The text with its comments blanked and, if asked, its strings filled up."""
-
-    def one(piece: Column) -> Column:
-        out = F.when(piece.rlike(comment), F.regexp_replace(piece, r"[^\n]", " "))
-        if string is not None:
-            filled = F.regexp_replace(piece, r"[^\n]", _FILLED)
-            out = out.when(piece.rlike(string), F.replace(filled, F.lit("\n" + _FILLED), F.lit("\n" + _CONTINUED)))
-        return out.otherwise(piece)
-
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one), "")
-
-
 def lines(files: DataFrame) -> DataFrame:
     """The lines of (path, language, text).
 
@@ -64,12 +54,8 @@ def lines(files: DataFrame) -> DataFrame:
     braces before, in Python brackets of all kinds), opened.
     """
     python = F.col("language") == "python"
-
-    def both(string_py: str | None, string_js: str | None) -> Column:
-        return F.when(python, _pieces(F.col("text"), _PY_PIECES, "^#", string_py)).otherwise(_pieces(F.col("text"), _JS_PIECES, r"^(?://|/\*)", string_js))
-
-    split = {"line": F.col("text"), "code": both("^[\"']", "^[\"'`]"), "plain": both(None, None)}
-    rows = files.select("path", "language", *[F.split(c, "\n").alias(n) for n, c in split.items()])
+    split = {"line": "text", "code": "code", "plain": "plain"}
+    rows = lexer.lexed(files).select("path", "language", *[F.split(c, "\n").alias(n) for n, c in split.items()])
     rows = rows.select("path", "language", F.posexplode(F.arrays_zip(*split)).alias("line_no", "z")).select("path", "language", "line_no", "z.*")
     order = Window.partitionBy("path").orderBy("line_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +70,7 @@ def lines(files: DataFrame) -> DataFrame:
         "depth": F.coalesce(F.sum("opened").over(before), F.lit(0)),
     })
     apart = ~python | (F.col("depth") <= 0) | F.col("code").rlike(r"^\s*(?:(?:async\s+)?def|class)\s")  # a bracket may be left open
-    begins = (F.trim("code") != "") & ~F.col("code").startswith(_CONTINUED) & apart
+    begins = (F.trim("code") != "") & ~F.col("code").rlike(_WITHIN) & apart
     return rows.withColumns({
         "byte_end": F.col("byte_start") + F.octet_length("line"),
         "indent": F.when(begins, F.length(F.regexp_extract("code", r"^[ \t]*", 0))),
@@ -96,7 +82,9 @@ def tokens(table: DataFrame) -> DataFrame:
 
     path, language, line_no, token, start (character), byte, paren (an opening
     parenthesis follows), open (its place), next (the character after the token
-    and white space), base (it follows ``extends``).
+    and white space), prior (the visible one before it on its line), base (it follows
+    ``extends``), lead (size of the modifiers before it), begins (a member may begin
+    there), abstract (one of the modifiers says so).
     """
     zipped = F.arrays_zip(F.regexp_extract_all("code", F.lit(_TOKEN), F.lit(0)).alias("token"), F.split("code", _TOKEN, -1).alias("before"))
     parts = table.select("path", "language", "line_no", "line", "code", "char_start", "byte_start", F.posexplode(zipped).alias("nth", "z")).filter("z.token IS NOT NULL")
@@ -105,11 +93,13 @@ def tokens(table: DataFrame) -> DataFrame:
     parts = parts.withColumn("offset", (F.sum(F.length("z.before") + size).over(along) - size).cast("int"))
     rest = F.substr("code", F.col("offset") + size + 1)
     spaces = F.length(F.regexp_extract(rest, r"^\s*", 0))
+    left, script = F.left("code", F.col("offset")), (F.col("language") != "python") & rest.rlike(r"^\s*\(")
     return parts.select(
         "path", "language", "line_no", F.col("z.token").alias("token"), (F.col("char_start") + F.col("offset")).alias("start"),
         (F.col("byte_start") + F.octet_length(F.left("line", F.col("offset")))).alias("byte"), rest.rlike(r"^\s*\(").alias("paren"),
         (F.col("char_start") + F.col("offset") + size + spaces).alias("open"), F.left(F.substr(rest, spaces + 1), F.lit(1)).alias("next"),
-        F.left("code", F.col("offset")).rlike(r"\bextends\s+$").alias("base"),
+        F.right(F.rtrim(left), F.lit(1)).alias("prior"), left.rlike(r"\bextends\s+$").alias("base"), F.when(script, F.length(F.regexp_extract(left, _LEAD, 0))).otherwise(0).alias("lead"),
+        (script & left.rlike(r"(?:^|[{};,])\s*+" + _LEAD)).alias("begins"), (script & left.rlike(r"\b(?:abstract|declare)\s[\w\s]*+$")).alias("abstract"),
     )
 
 
@@ -153,13 +143,14 @@ _JS_DEF = r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)|^[ \t]*(?:export\s+)?(?:defaul
 _JS_CLASS = r"\bclass\s+([A-Za-z_$][\w$]*)"
 
 
-def definitions(table: DataFrame, found: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """path, language, kind, name, header, start, end (bytes), line_no of every definition.
+def definitions(table: DataFrame, found: DataFrame | None = None, pairs: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+    """path, language, kind, name, header, params, start, end (bytes), line_no of every definition.
 
     A definition of Python ends before the next statement that isn't indented
     more; one of a script with the line at which the braces are back where they
-    were, a method of a class with its closing brace.  The header runs to the end
-    of the line that closes the parameters.
+    were, a method of a class with its closing brace; it begins with its first
+    modifier.  The header runs to the end of the line that closes the parameters,
+    which are null if there are none to close.
     """
     found = tokens(table) if found is None else found
     pairs = brackets(found) if pairs is None else pairs
@@ -177,54 +168,106 @@ def definitions(table: DataFrame, found: DataFrame | None = None, pairs: DataFra
     reached = F.when(python, F.col("indent")).otherwise(F.col("depth") + F.col("opened"))
     stop = F.when(python, F.col("byte_start") - 1).otherwise(F.col("byte_end"))
     marks = table.join(levels, "path").select("path", "line_no", F.explode(F.filter("levels", lambda x: x >= reached)).alias("level"), stop.alias("stop"), F.when(python, 1).otherwise(0).alias("tie"), F.lit(None).cast("string").alias("head"))
-    own = heads.select("path", "line_no", "level", F.lit(None).cast("bigint").alias("stop"), F.when(python, 0).otherwise(1).alias("tie"), F.col("name").alias("head"))
+    begun = heads.select("path", "line_no", "level", F.lit(None).cast("bigint").alias("stop"), F.when(python, 0).otherwise(1).alias("tie"), F.col("name").alias("head"))
     back = Window.partitionBy("path", "level").orderBy(F.col("line_no").desc(), "tie").rowsBetween(Window.unboundedPreceding, -1)
-    ends = own.unionByName(marks).withColumn("stop", F.last("stop", ignorenulls=True).over(back)).filter("head IS NOT NULL").select("path", "line_no", "stop")
+    ends = begun.unionByName(marks).withColumn("stop", F.last("stop", ignorenulls=True).over(back)).filter("head IS NOT NULL").select("path", "line_no", "stop")
     sizes = table.groupBy("path").agg(F.max("byte_end").alias("file_end"))
     heads = heads.join(ends, ["path", "line_no"]).join(sizes, "path")
 
     # parameters: the parenthesis after the name, or the first one of an assigned function
     at = F.regexp_extract(code, r"^.*?(?:\b(?:def|class|function)\b|=)[^()]*", 0)
     heads = heads.withColumn("open", F.when(F.substr(code, F.length(at) + 1, F.lit(1)) == "(", F.col("char_start") + F.length(at)))
-    closes = pairs.filter("kind = '('").select("path", "open", "close_line")
+    closes = pairs.filter("kind = '('").select("path", "open", "close", "close_line", "commas")
     spans = heads.join(closes, ["path", "open"], "left").select(
         "path", "language", "kind", "name", "line_no", (F.col("byte_start") + F.when(python, F.col("indent")).otherwise(0)).alias("start"), F.coalesce("stop", "file_end").alias("end"),
-        F.col("char_start").alias("from"), F.lit(None).cast("bigint").alias("to"), F.col("line_no").alias("first_line"), F.coalesce("close_line", "line_no").alias("last_line"),
+        F.col("char_start").alias("from"), F.lit(None).cast("bigint").alias("to"), F.col("line_no").alias("first_line"), F.coalesce("close_line", "line_no").alias("last_line"), "open", "close", "commas",
     )
 
-    # methods of script classes: what looks like a call, before a brace
-    methods = found.filter(~python & F.col("paren") & ~F.col("base") & F.col("token").rlike(r"^[A-Za-z_$][\w$]*$") & ~F.col("token").isin(*_WORDS, *_NOT_CALLS))
-    methods = methods.join(pairs.filter("kind = '(' AND next = '{'").select("path", "open", "close_line", F.col("next_at").alias("brace")), ["path", "open"])
-    bodies = pairs.filter("kind = '{'").select("path", F.col("open").alias("brace"), F.col("close").alias("body"), F.col("close_line").alias("body_line"))
-    last = table.select("path", F.col("line_no").alias("body_line"), F.col("line").alias("body_text"), F.col("char_start").alias("c"), F.col("byte_start").alias("b"))
-    methods = methods.join(bodies, ["path", "brace"]).join(last, ["path", "body_line"]).select(
-        "path", "language", F.lit("def.method").alias("kind"), F.col("token").alias("name"), "line_no", F.col("byte").alias("start"),
-        (F.col("b") + F.octet_length(F.left("body_text", (F.col("body") - F.col("c") + 1).cast("int")))).alias("end"),
-        F.col("start").alias("from"), F.lit(None).cast("bigint").alias("to"), F.col("line_no").alias("first_line"), F.col("close_line").alias("last_line"),
+    # methods and signatures of scripts
+    own = members(found, pairs) if own is None else own
+    last = table.select("path", F.col("line_no").alias("last_line"), F.col("line").alias("last_text"), F.col("code").alias("last_code"), F.col("char_start").alias("c"), F.col("byte_start").alias("b"))
+    size = F.coalesce(F.col("last") - F.col("c") + 1, F.length(F.regexp_replace("last_code", r"[\s,;]+$", ""))).cast("int")
+    methods = own.join(last, ["path", "last_line"]).select(
+        "path", "language", F.lit("def.method").alias("kind"), "name", "line_no", (F.col("byte") - F.col("lead")).alias("start"), (F.col("b") + F.octet_length(F.left("last_text", size))).alias("end"),
+        (F.col("start") - F.col("lead")).alias("from"), F.lit(None).cast("bigint").alias("to"), F.col("line_no").alias("first_line"), F.col("close_line").alias("last_line"), "open", "close", "commas",
     )
     texts = slices(spans.unionByName(methods), table, "start", "plain")
-    return texts.select("path", "language", "kind", "name", F.trim("text").alias("header"), "start", "end", "line_no")
+    params = F.when(F.col("close").isNotNull(), parameters(F.concat(F.array("open"), "commas", F.array("close"))))
+    return texts.select("path", "language", "kind", "name", F.trim("text").alias("header"), params.alias("params"), "start", "end", "line_no")
+
+
+def parameters(bounds: Column) -> Column:
+    """The parts of ``text`` (from ``from``) between the places of ``bounds``; in scripts, a comma within ``<>`` parts nothing."""
+    cut = F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda x, i: F.regexp_replace(F.substr("text", (x - F.col("from") + 2).cast("int"), (F.get(bounds, i + 1) - x - 1).cast("int")), r"^\s+|\s+$", ""))
+
+    def joined(done: Column, part: Column) -> Column:
+        last = F.element_at(done, -1)
+        within = F.regexp_count(last, F.lit("<")) > F.regexp_count(last, F.lit("(?<!=)>"))
+        return F.when((F.size(done) > 0) & (F.col("language") != "python") & within, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(", "), part)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.filter(F.aggregate(cut, F.array().cast("array<string>"), joined), lambda p: p != "")
+
+
+def members(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Methods of scripts, and signatures of interfaces and of abstract methods.
+
+    path, language, line_no, name, start, byte, lead, open, close, close_line, commas,
+    last (the place of the last character, null for the end of its line), last_line.
+
+    A name with a parenthesis is a method if a brace follows it.  Where a member of
+    the body of a class or an interface may begin, a type may stand between: what
+    comes next at the same depth, a brace that begins no type, a semicolon or another
+    member, tells whether there is a body.
+    """
+    token, script = F.col("token"), F.col("language") != "python"
+    marks = found.filter(script & token.isin(*"()[]{};", *_HEADS))
+    opens, closes = token.isin(*"([{"), token.isin(*")]}")
+    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(Window.partitionBy("path").orderBy("start"))
+    marks = marks.select("path", "token", "start", "line_no", "prior", F.when(opens, depth - 1).otherwise(depth).alias("level"))
+    along = Window.partitionBy("path", "level").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("path", "level").orderBy(F.col("start").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    head = F.last(F.when(token.isin("{", "}", ";", *_HEADS), token), ignorenulls=True).over(along)
+    stops = ((token == "{") & ~F.col("prior").isin(*":|&<,=")) | (token == ";") | ((token == "(") & F.col("prior").rlike(r"[\w$>]"))
+    then = F.last(F.when(stops, F.struct("token", "start", "line_no")), ignorenulls=True).over(back)
+    marks = marks.withColumns({"head": F.when(token == "{", head), "then": then})
+    none = F.lit(None).cast("bigint")
+    asked = marks.filter("token = '('").select("path", (F.col("level") - 1).alias("key"), "start", F.lit(None).cast("struct<token:string,head:string>").alias("box"), F.col("start").alias("open"), "then")
+    boxes = marks.filter(opens).select("path", F.col("level").alias("key"), "start", F.struct("token", "head").alias("box"), none.alias("open"), F.lit(None).cast("struct<token:string,start:bigint,line_no:int>").alias("then"))
+    around = F.last("box", ignorenulls=True).over(Window.partitionBy("path", "key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = boxes.union(asked).withColumn("around", around).filter("open IS NOT NULL").select("path", "open", F.when(F.col("around.head").isin(*_HEADS), F.col("around.head")).alias("body"), "then")
+
+    names = found.filter(script & F.col("paren") & ~F.col("base") & token.rlike(r"^[A-Za-z_$][\w$]*$") & ~token.isin(*_WORDS, *_NOT_CALLS)).drop("next")
+    names = names.join(pairs.filter("kind = '('").select("path", "open", "close", "close_line", "commas", "next", "next_at"), ["path", "open"]).join(placed, ["path", "open"])
+    member, next_ = F.col("body").isNotNull() & F.col("begins"), F.col("next")
+    typed, bare = member & (next_ == ":"), member & ((F.col("body") == "interface") | F.col("abstract")) & ~next_.isin(":", "{")
+    names = names.filter((next_ == "{") | typed | bare).withColumn("brace", F.when(next_ == "{", F.col("next_at")).when(typed & (F.col("then.token") == "{"), F.col("then.start")))
+    bodies = pairs.filter("kind = '{'").select("path", F.col("open").alias("brace"), F.col("close").alias("b_close"), F.col("close_line").alias("b_line"))
+    ends = F.when(F.col("brace").isNull() & (F.col("then.token") == ";"), F.col("then"))
+    return names.join(bodies, ["path", "brace"], "left").filter("brace IS NULL OR b_close IS NOT NULL").select(
+        "path", "language", "line_no", token.alias("name"), "start", "byte", "lead", "open", "close", "close_line", "commas",
+        F.coalesce("b_close", ends["start"] - 1).alias("last"), F.coalesce("b_line", ends["line_no"], "close_line").alias("last_line"),
+    )
 
 
-def calls(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """path, language, line_no, callee, start, open, close, stop (characters), byte, close_line, commas of every call."""
+def calls(found: DataFrame, pairs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """path, language, line_no, callee, start, open, close, stop (characters), byte, close_line, commas of every call; not of ``own`` members."""
     python = F.col("language") == "python"
     word = F.when(python, F.col("token").isin(*fixed.PY_KEYWORDS)).otherwise(F.col("token").isin(*fixed.JS_KEYWORDS))
     heads = found.filter(F.col("paren") & F.col("token").rlike(r"[A-Za-z_$]") & ~word & ~F.col("token").isin(*_NOT_CALLS)).drop("next")
-    joined = heads.join(pairs.filter("kind = '('").select("path", "open", "close", "close_line", "next", "commas"), ["path", "open"])
-    method = ~python & ~F.col("base") & (F.col("next") == "{") & F.col("token").rlike(r"^[\w$]+$")
+    joined = heads.join(pairs.filter("kind = '('").select("path", "open", "close", "close_line", "commas"), ["path", "open"])
+    own = members(found, pairs) if own is None else own
     callee = F.regexp_replace("token", r"^\.|\s+", "")
-    return joined.filter(~method).select("path", "language", "line_no", callee.alias("callee"), "start", "open", "close", (F.col("close") + 1).alias("stop"), "byte", "close_line", "commas")
+    return joined.join(own.select("path", "open"), ["path", "open"], "left_anti").select("path", "language", "line_no", callee.alias("callee"), "start", "open", "close", (F.col("close") + 1).alias("stop"), "byte", "close_line", "commas")
 
 
-def call_groups(table: DataFrame, found: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def call_groups(table: DataFrame, found: DataFrame | None = None, pairs: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """Nested and chained calls as one: path, language, callee, preview, args, kwargs, n_args, start, end (bytes), members, line_no.
 
     Callee and arguments are those of the first call, the preview is the whole text.
     """
     found = tokens(table) if found is None else found
     pairs = brackets(found) if pairs is None else pairs
-    marked = islands(calls(found, pairs), ["path"], "start", "stop", "open")
+    marked = islands(calls(found, pairs, own), ["path"], "start", "stop", "open")
     first = F.min_by(F.struct("callee", "open", "close", "commas"), F.struct("start", -F.col("stop")))
     groups = marked.groupBy("path", "language", "island").agg(
         F.min("start").alias("from"), F.max("stop").alias("to"), F.min("line_no").alias("first_line"), F.max("close_line").alias("last_line"), F.min("byte").alias("start"),
@@ -296,12 +339,17 @@ def exports(table: DataFrame) -> DataFrame:
 def literals(table: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """path, language, kind (lit.string or lit.template), text, start, end of the strings; one may run over lines."""
     found = tokens(table) if found is None else found
-    parts = found.filter(F.col("token").rlike(f"^[{_FILLED}{_CONTINUED}]"))
-    nth = F.sum(F.when(F.col("token").startswith(_CONTINUED), 0).otherwise(1)).over(Window.partitionBy("path").orderBy("start"))
-    spans = parts.withColumn("nth", nth).groupBy("path", "language", "nth").agg(
+    parts = found.filter(F.col("token").rlike(f"^[{lexer.FILLED}-{lexer.HOLE_END}]"))
+    opens, closes = F.col("token").endswith(lexer.HOLE).cast("int"), F.col("token").startswith(lexer.HOLE_END).cast("int")
+    along = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.coalesce(F.sum(opens - closes).over(along), F.lit(0)) - closes  # of templates around
+    begins = F.when(F.col("token").rlike(_WITHIN), 0).otherwise(1)
+    nth = F.sum(begins).over(Window.partitionBy("path", "level").orderBy("start"))
+    parts = parts.withColumn("level", level)
+    spans = parts.withColumn("nth", nth).groupBy("path", "language", "level", "nth").agg(
         F.min("start").alias("from"), F.max(F.col("start") + F.length("token")).alias("to"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.min("byte").alias("start"),
     )
-    texts = slices(spans, table, "nth")
+    texts = slices(spans.withColumn("key", F.concat_ws(":", "level", "nth")), table, "key")
     kind = F.when(F.col("text").startswith("`"), "lit.template").otherwise("lit.string")
     return texts.select("path", "language", kind.alias("kind"), "text", "start", (F.col("start") + F.octet_length("text")).alias("end"), F.col("first_line").alias("line_no"))
 
@@ -331,9 +379,10 @@ def kind_of(kind: Column) -> Column:
     return F.try_element_at(known, kind)
 
 
-def sane(rows: DataFrame) -> DataFrame:
-    """The rows whose span is one."""
-    return rows.filter((F.col("start") >= 0) & (F.col("end") >= F.col("start")))
+def sane(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The rows whose span is one, and ends within its file if ``sizes`` (path, file_end) are given."""
+    kept = rows.filter((F.col("start") >= 0) & (F.col("end") >= F.col("start")))
+    return kept if sizes is None else kept.join(sizes, "path").filter(F.col("end") <= F.col("file_end")).drop("file_end")
 
 
 def capped(rows: DataFrame, keys: list[str], *order: str | Column, cap: int = fixed.CAPTURE_CAP) -> tuple[DataFrame, DataFrame]:

@@ -70,7 +70,7 @@ def test_calls_are_byte_exact(spark):
 
 def test_comments_and_strings_by_language(spark):
     table = lined(spark, SCRIPT, "javascript")
-    assert [c[0] for c in called(table, SCRIPT)] == ["c", "i"]
+    assert [c[0] for c in called(table, SCRIPT)] == ["c", "f", "i"]
     assert captures.control_words(captures.tokens(table)).count() == 0
     table = lined(spark, DOC + "\nx = 1\n")
     assert [r.keyword for r in captures.control_words(captures.tokens(table)).collect()] == ["return"]
