@@ -8,11 +8,12 @@ and then of the words' own bytes confirms an occurrence.  The scan runs in lanes
 that advance together, so numpy does the work of the inner loop.
 
 The benchmark is a stated query set.  It is sent to the tasks in blocks of at
-most ``block_bytes`` of text each; the hits of several blocks are merged.
+most ``block_bytes`` of text (or of one item) each; the hits of several blocks are
+merged.
 
 Defined results: null and empty texts have no words and are clean; items
 without words match nothing; repeated rows are separate documents; equal items
-all count; items without an id are one item, whose words count as hits and which
+count as often as they have ids; items without an id are one item, whose words count as hits and which
 counts as one in ``n_items``, but not in ``items_sha256``; an empty benchmark
 leaves every document clean; only the id and text
 columns of both tables are read, so other columns can't clash.
@@ -161,13 +162,38 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in blocks of about ``block_bytes`` of text, one after the other, one at least; all items without an id are one item."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("size")).first()["size"]
-    blocks = max(1, -(-size // block_bytes))
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for (k,) in own.select(part).distinct().collect() or [(0,)]:
-        yield [(r[0], r[1]) for r in own.filter(part == k).collect()]
+    """The items in blocks of at most ``block_bytes`` of text, or of one item; one block at least.
+
+    Repeated items count once.  Items are dealt by a hash to buckets much smaller
+    than a block, whose sizes are added up to blocks; a bucket over that size is
+    dealt again.  All items without an id are one item.
+    """
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    own = own.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)
+    total, items = own.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+
+    def dealt(rows: DataFrame, size: int, number: int, seed: int) -> Iterator[list[tuple[int | None, str | None]]]:
+        if size <= block_bytes or number <= 1:
+            yield [(r[0], r[1]) for r in rows.select("item_id", "text").collect()]
+            return
+        count = min(2 * number, 16 * -(-size // block_bytes))
+        bucket = F.pmod(F.xxhash64(F.lit(seed), "item_id", "text"), F.lit(count))
+        sizes = rows.groupBy(bucket.alias("bucket")).agg(F.sum("bytes"), F.count("*")).orderBy("bucket").collect()  # ``count`` rows at most
+        together: list[int] = []
+        held = 0
+        for k, bytes_, n in sizes:
+            if bytes_ > block_bytes:
+                yield from dealt(rows.filter(bucket == k), bytes_, n, seed + 1)
+                continue
+            if held + bytes_ > block_bytes:
+                yield from dealt(rows.filter(bucket.isin(together)), held, 1, seed)
+                together, held = [], 0
+            together.append(k)
+            held += bytes_
+        if together:
+            yield from dealt(rows.filter(bucket.isin(together)), held, 1, seed)
+
+    yield from dealt(own, total, items, 0)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -7,7 +7,9 @@ tokens; a quota of whole passes takes every block, and what is left of it is a
 run of blocks that starts at a seeded block and wraps around.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is
-a source of its own, after all others; repeated rows are separate documents; an
+a source of its own, after all others; repeated rows are separate documents, and as
+places come from a hash of id and text, only rows equal in both share one (so rows
+without an id spread, and a mix takes the same texts in every run); an
 empty table gives no rows; columns that clash with the working columns are kept
 out, as only the id, text and source columns are read.
 """
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[in
     With ``carry``, a struct ``row`` of all the document's columns comes along.
     """
     extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # a null source has a name too
     size = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")
     columns = ["doc_id", "source", name.alias("name"), size.alias("size"), key.alias("key")]

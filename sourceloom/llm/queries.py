@@ -151,7 +151,7 @@ FROM m
 """,
     "op10_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '-')) AS k
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')) AS k
   FROM documents),
 placed AS (
   SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS lo,

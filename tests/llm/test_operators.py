@@ -773,3 +773,33 @@ def test_mixture_repeats_whole_documents(spark):
     out = mixing.mixture(D.frame(spark))
     assert out.columns == D.frame(spark).columns and max(Counter(r.doc_id for r in out.collect() if r.doc_id not in (None, 3, 4)).values()) <= 3
     assert mixing.mixture(D.frame(spark, [])).count() == 0 and mixing.mix(D.frame(spark, [])).count() == 0
+
+
+def test_rows_without_an_id_spread_over_pieces_and_runs_agree(spark):
+    rows = [(None, D.prose(k % 700, 3), "en", "s", 0, *D.EXTRA) for k in range(900)] + [(k, D.prose(k, 5), "en", "t", 0, *D.EXTRA) for k in range(60)]
+    taken = []
+    for parts in (1, 5):
+        mixed = mixing.mix(D.frame(spark, rows).repartition(parts), block=4, carry=True)
+        taken.append(Counter((r.row.text, r.taken) for r in mixed.collect()))
+    assert taken[0] == taken[1] and sum(taken[0].values()) == len(rows)
+    texts = sorted(r.text for r in mixing.mixture(D.frame(spark, rows), block=4).collect())
+    assert texts == sorted(r.text for r in mixing.mixture(D.frame(spark, rows[::-1]).repartition(4), block=4).collect())
+
+
+def test_blocks_of_repeated_and_long_items(spark):
+    items = [(7, "one two three " * 8)] * 2000 + [(k, f"item {k} " * 5) for k in range(300)] + [(None, None), (999, "x y " * 900)]
+    blocks = list(decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string"), 1000))
+    assert sorted((r for b in blocks for r in b), key=str) == sorted(set(items), key=str)
+    assert all(len(b) == 1 or sum(len(t or "") + 16 for _, t in b) <= 1000 for b in blocks) and len(blocks) > 10
+    assert list(decontaminate._blocks(spark.createDataFrame([], "item_id long, text string"), 10)) == [[]]
+
+
+def test_labelled_rows_are_bounded_with_repeated_ids(spark):
+    from sourceloom.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(3000)] + [(k, "other") for k in range(3, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(k, k % 2) for k in range(3, 40)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", 10).count() <= 10
+    whole = labelled_sample(docs, labels, "toxic", 1000)
+    assert whole.count() == len({k for k in (1, *range(3, 40)) if zlib.crc32(str(k).encode()) % 4 != 2})
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in labelled_sample(docs.repartition(7), labels, "toxic", 1000).collect()}
