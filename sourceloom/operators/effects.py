@@ -132,7 +132,7 @@ def effects_of(rows: DataFrame) -> DataFrame:
     receipt = receipt_id(F.col("path"), F.col("byte_start"), F.col("byte_end"), "group")
     return rows.select(
         content_id(receipt, F.col("rule_id")).alias("effect_id"), "kind", "provider", "family", "owner_fn_id", "literals", "normalized_values", receipt.alias("receipt_id"),
-        "path", F.col("call_language").alias("language"), "call_id", "rule_id", F.coalesce("tag", "pack").alias("tag"), "confidence",
+        "path", F.col("call_language").alias("language"), "call_id", "rule_id", F.coalesce("tag", "pack").alias("tag"), "confidence", "byte_start", "byte_end",
     )
 
 

@@ -14,6 +14,11 @@ def _block_id(index: Column | int) -> Column:
     return content_id("cfg:block", F.col("fn_id"), F.lit(index) if isinstance(index, int) else index)
 
 
+def _places(tokens: DataFrame) -> list[str]:
+    """path, start and end, if the tokens have them."""
+    return [c for c in ("path", "start", "end") if c in tokens.columns]
+
+
 def with_blocks(tokens: DataFrame, cap: int = fixed.BLOCK_CAP) -> DataFrame:
     """Number the tokens (fn_id, pos, keyword) of each function from 2 and name their blocks.
 
@@ -25,13 +30,16 @@ def with_blocks(tokens: DataFrame, cap: int = fixed.BLOCK_CAP) -> DataFrame:
 
 
 def blocks(tokens: DataFrame, functions: DataFrame | None = None, cap: int = fixed.BLOCK_CAP) -> DataFrame:
-    """fn_id, block_id, kind (entry, exit, normal), keyword of every function that has tokens, and of ``functions`` (fn_id)."""
-    ends = tokens.select("fn_id")
-    ends = (ends if functions is None else ends.union(functions.select("fn_id"))).distinct()
+    """fn_id, block_id, kind (entry, exit, normal), keyword of every function that has tokens, and of ``functions`` (fn_id).
+
+    If both have path, start and end, so have the blocks: a token's place, or the function's.
+    """
+    place = _places(tokens)
+    ends = tokens.select("fn_id").distinct() if functions is None else functions.select("fn_id", *place).distinct() if place else tokens.select("fn_id").union(functions.select("fn_id")).distinct()
     none = F.lit(None).cast("string").alias("keyword")
-    kept = with_blocks(tokens, cap).filter(~F.col("cut")).select("fn_id", "block_id", F.lit("normal").alias("kind"), "keyword")
+    kept = with_blocks(tokens, cap).filter(~F.col("cut")).select("fn_id", "block_id", F.lit("normal").alias("kind"), "keyword", *place)
     for index, kind in ((0, "entry"), (1, "exit")):
-        kept = kept.union(ends.select("fn_id", _block_id(index), F.lit(kind), none))
+        kept = kept.union(ends.select("fn_id", _block_id(index), F.lit(kind), none, *place))
     return kept
 
 
@@ -39,7 +47,9 @@ def edges(tokens: DataFrame, functions: DataFrame | None = None, cap: int = fixe
     """fn_id, kind, src, dst, label: sequence, labelled branches, jumps and the fall through to exit.
 
     A function of ``functions`` without tokens falls through from entry to exit.
+    Edges have the places of their tokens, or functions, if these have any.
     """
+    place = _places(tokens)
     kept = with_blocks(tokens, cap).filter(~F.col("cut"))
     order = Window.partitionBy("fn_id").orderBy("block_index")
     last = F.lead("block_id").over(order).isNull()
@@ -56,10 +66,10 @@ def edges(tokens: DataFrame, functions: DataFrame | None = None, cap: int = fixe
         F.when(last, edge("fallthrough", block, _block_id(1))),
     )
     listed = kept.withColumn("found", found)  # the windows share one sort
-    out = listed.select("fn_id", F.explode(F.filter("found", lambda e: e.isNotNull())).alias("e")).select("fn_id", "e.*")
+    out = listed.select("fn_id", *place, F.explode(F.filter("found", lambda e: e.isNotNull())).alias("e")).select("fn_id", "e.*", *place)
     if functions is not None:
-        empty = functions.select("fn_id").distinct().join(tokens.select("fn_id").distinct(), "fn_id", "left_anti")
-        out = out.union(empty.select("fn_id", edge("fallthrough", _block_id(0), _block_id(1)).alias("e")).select("fn_id", "e.*"))
+        empty = functions.select("fn_id", *place).distinct().join(tokens.select("fn_id").distinct(), "fn_id", "left_anti")
+        out = out.union(empty.select("fn_id", *place, edge("fallthrough", _block_id(0), _block_id(1)).alias("e")).select("fn_id", "e.*", *place))
     return out.withColumn("edge_id", content_id("cfg:edge", F.col("fn_id"), F.col("src"), F.col("dst"), F.coalesce("label", "kind")))
 
 
@@ -84,6 +94,10 @@ def last_values(facts: DataFrame) -> DataFrame:
     return facts.groupBy("fn_id", "name").agg(F.max_by("value", "pos").alias("value"))
 
 
+def _ends(rows: DataFrame) -> list[str]:
+    return ["end"] if "end" in rows.columns else []
+
+
 def written_facts(written: DataFrame) -> DataFrame:
     """fn_id, name, pos, op_kind, src, dst, flags of assignments (fn_id, name, expression, pos) to names like paths.
 
@@ -96,7 +110,7 @@ def written_facts(written: DataFrame) -> DataFrame:
     dynamic = F.col("normal").isNull() & (F.col("folded.flags")[0] == "DYNAMIC")
     return rows.select(
         "fn_id", "name", "pos", F.when(F.col("normal").isNotNull(), "CALL_NORM").otherwise("ASSIGN").alias("op_kind"), F.when(dynamic, F.lit("dyn:{x}")).otherwise(literal).alias("src"),
-        F.concat(F.lit("var:"), "name").alias("dst"), F.when(F.col("normal").isNotNull(), partly).otherwise(F.col("folded.flags")).alias("flags"),
+        F.concat(F.lit("var:"), "name").alias("dst"), F.when(F.col("normal").isNotNull(), partly).otherwise(F.col("folded.flags")).alias("flags"), *_ends(written),
     )
 
 
@@ -104,7 +118,7 @@ def used_facts(facts: DataFrame, called: DataFrame) -> DataFrame:
     """USE facts: names with a known value in calls (fn_id, call, preview, pos) of their function that hold the name."""
     known = facts.filter("src <> 'dyn:{x}'").select("fn_id", "name").distinct()
     joined = called.join(known, "fn_id").filter(F.contains("preview", F.col("name")))
-    return joined.select("fn_id", "name", "pos", F.lit("USE").alias("op_kind"), F.concat(F.lit("var:"), "name").alias("src"), F.col("call").alias("dst"), F.array().cast("array<string>").alias("flags"))
+    return joined.select("fn_id", "name", "pos", F.lit("USE").alias("op_kind"), F.concat(F.lit("var:"), "name").alias("src"), F.col("call").alias("dst"), F.array().cast("array<string>").alias("flags"), *_ends(called))
 
 
 def numbered_facts(facts: DataFrame, cap: int = fixed.FACT_CAP) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions import fixed, ids
 from sourceloom.functions import text as T
 from sourceloom.operators import effects, flow, intervals
-from sourceloom.plans.staging import stage_table
+from sourceloom.plans.staging import discard, stage_table
 from sourceloom.sources import captures
 
 #: Bytes of a file that share a key in joins by containment, so that a large file is many keys.
@@ -31,6 +31,12 @@ class Graph:
     effects: DataFrame
     anomalies: DataFrame
     metrics: DataFrame
+    lines: DataFrame
+    stages: list[DataFrame]
+
+    def discard(self) -> None:
+        """Delete the stage tables; none of the tables can be read after that."""
+        discard(*self.stages)
 
 
 _LEADING = r"(?:(?:export|default|public|private|protected|static|override|abstract|declare|readonly)\s+)*"
@@ -92,12 +98,20 @@ def _union(*parts: DataFrame) -> DataFrame:
 def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) -> Graph:
     """The graph of (path, language, text, blob_sha256).
 
-    What several parts read is a stage table.  ``packs`` are the rule packs asked for.
+    Nodes, edges, symbols, blocks, facts and effects have their places in bytes and
+    what they come from.  What several parts read is a stage table; ``discard`` them
+    when the graph has been read.  ``packs`` are the rule packs asked for.
     """
-    rows = stage_table(captures.lines(files), "lines")
-    found = stage_table(captures.tokens(rows), "tokens")
-    pairs = stage_table(captures.brackets(found), "brackets")
-    own = stage_table(captures.members(found, pairs), "members")
+    stages: list[DataFrame] = []
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        stages.append(stage_table(df, name))
+        return stages[-1]
+
+    rows = staged(captures.lines(files), "lines")
+    found = staged(captures.tokens(rows), "tokens")
+    pairs = staged(captures.brackets(found), "brackets")
+    own = staged(captures.members(found, pairs), "members")
     sizes = rows.groupBy("path").agg(F.max("byte_end").alias("file_end"))
     span = ids.span_key(F.col("path"), F.col("start"), F.col("end"))
     nothing = F.lit(None).cast("string")
@@ -122,11 +136,11 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
         "node_id": ids.node_id(F.col("semantic_type"), F.col("language"), F.col("qualified_name"), F.col("span_key")),
         "symbol_id": ids.symbol_id(F.col("language"), F.col("qualified_name"), F.lower("semantic_type"), F.col("signature")),
     })
-    defs = stage_table(defs.drop("in_class"), "definitions")
+    defs = staged(defs.drop("in_class"), "definitions")
     functions = intervals.place_in_order(defs.filter("semantic_type <> 'Class'").select("path", "start", "end", "node_id"), ["path"], "node_id")
     own_key = ids.span_key(F.col("path"), F.lit(0), F.lit(0))
-    modules = files.select("path", "language", ids.node_id("Module", F.col("language"), F.col("path"), own_key).alias("node_id"), ids.node_id("File", F.col("language"), F.col("path"), own_key).alias("file_id"), own_key.alias("span_key"))
-    modules = stage_table(modules, "modules")
+    modules = files.select("path", "language", ids.node_id("Module", F.col("language"), F.col("path"), own_key).alias("node_id"), ids.node_id("File", F.col("language"), F.col("path"), own_key).alias("file_id"), own_key.alias("span_key"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+    modules = staged(modules, "modules")
 
     # calls, imports, exports, literals
     groups = capped(captures.call_groups(rows, found, pairs, own), "calls").withColumn("span_key", span)
@@ -134,18 +148,18 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
     groups = groups.withColumn("qualified_name", F.concat("path", F.lit("::call@"), at)).withColumn("node_id", ids.node_id("Call", F.col("language"), F.col("qualified_name"), F.col("span_key")))
     groups = groups.withColumns({"used": T.first_identifier(F.col("callee")), "callee_id": ids.symbol_id(F.col("language"), F.coalesce(T.first_identifier(F.col("callee")), F.lit("")), "symbol.ref", F.lit(""))})
     owner = intervals.smallest_owner(groups.select("path", "start", "end", F.col("node_id").alias("call_id")), functions, ["path"], "call_id", "node_id", BIN_BYTES)
-    groups = stage_table(groups.join(owner.withColumnRenamed("call_id", "node_id"), "node_id"), "calls")
+    groups = staged(groups.join(owner.withColumnRenamed("call_id", "node_id"), "node_id"), "calls")
     imported = capped(captures.imports(rows, found, pairs), "imports").withColumns({"span_key": span, "qualified_name": F.concat("path", F.lit("::import@"), at)})
-    imported = stage_table(imported.withColumn("node_id", ids.node_id("Import", F.col("language"), F.col("qualified_name"), F.col("span_key"))), "imports")
-    exported = captures.exports(rows).withColumns({"span_key": span, "qualified_name": F.concat("path", F.lit("::export@"), at)})
+    imported = staged(imported.withColumn("node_id", ids.node_id("Import", F.col("language"), F.col("qualified_name"), F.col("span_key"))), "imports")
+    exported = captures.exports(rows).withColumns({"preview": nothing, "span_key": span, "qualified_name": F.concat("path", F.lit("::export@"), at)})
     exported = exported.withColumn("node_id", ids.node_id("Export", F.col("language"), F.col("qualified_name"), F.col("span_key")))
     literals = capped(captures.literals(rows, found), "literals")
     literals = literals.withColumn("semantic_type", F.when(F.col("kind") == "lit.template", "TemplatePart").otherwise("Literal"))
     literals = literals.withColumns({"span_key": span, "qualified_name": F.concat("path", F.lit("::"), F.lower("semantic_type"), F.lit("@"), at)})
-    literals = stage_table(literals.withColumn("node_id", ids.node_id(F.col("semantic_type"), F.col("language"), F.col("qualified_name"), F.col("span_key"))).drop("text"), "literals")
+    literals = staged(literals.withColumn("node_id", ids.node_id(F.col("semantic_type"), F.col("language"), F.col("qualified_name"), F.col("span_key"))).withColumnRenamed("text", "preview"), "literals")
 
     # bindings of imports
-    key = [F.col(c) for c in ("path", "language", "node_id", "span_key", "start")]
+    key = [F.col(c) for c in ("path", "language", "node_id", "span_key", "start", "end")]
     python = imported.filter("language = 'python'").select(*key, F.lit(False).alias("type_only"), F.posexplode(T.python_imports(F.col("statement"))).alias("nth", "b"))
     scripts = imported.filter("language <> 'python'").select(*key, F.col("statement").rlike(r"^import\s+type\s").alias("type_only"), F.posexplode(script_imports(F.col("statement"))).alias("nth", "b"))
     bindings = python.unionByName(scripts).select(*key, "type_only", "nth", "b.*")
@@ -157,7 +171,7 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
         "confidence": F.when(F.col("type_only"), 0.8).when(source.isNotNull(), 1.0).otherwise(0.6),
         "placeholder_id": ids.symbol_id(F.col("language"), F.concat_ws("::", "path", "alias"), "import", F.col("alias")),
     })
-    bindings = stage_table(bindings, "bindings")
+    bindings = staged(bindings, "bindings")
 
     # scopes: a module's frame and one for each definition; the first definition of a name in a scope holds
     parent_ids = defs.select(F.col("def_key").alias("parent"), F.col("node_id").alias("scope_id"), F.col("start").alias("scope_start"), F.col("end").alias("scope_end"))
@@ -173,39 +187,44 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
     no_span = F.lit(None).cast("bigint")
     entries = entries.unionByName(aliases.select("path", "name", no_span.alias("start"), no_span.alias("end"), "target"))
     used = groups.filter("used IS NOT NULL").select("path", F.col("used").alias("name"), F.col("node_id").alias("call_id"), "start", "end")
-    references = nearest_definitions(used, entries, ["path"], "call_id").join(groups.select(F.col("node_id").alias("call_id"), "path", "callee_id", "span_key"), "call_id")
+    references = nearest_definitions(used, entries, ["path"], "call_id").join(groups.select(F.col("node_id").alias("call_id"), "path", "callee_id", "span_key", "start", "end"), "call_id")
 
-    def node(df: DataFrame, semantic: Column | str, raw: Column | str, name: Column, qualified: Column, identity: str = "node_id") -> DataFrame:
+    def node(df: DataFrame, semantic: Column | str, raw: Column | str, name: Column, qualified: Column, identity: str = "node_id", preview: Column = nothing) -> DataFrame:
         text = [(F.lit(x) if isinstance(x, str) else x) for x in (semantic, raw)]
-        return df.select("path", "language", F.col(identity).alias("node_id"), text[0].alias("semantic_type"), text[1].alias("raw_type"), name.alias("name"), qualified.alias("qualified_name"), "span_key")
+        return df.select(
+            "path", "language", F.col(identity).alias("node_id"), text[0].alias("semantic_type"), text[1].alias("raw_type"), name.alias("name"), qualified.alias("qualified_name"), "span_key", "start", "end",
+            F.concat(F.lit("capture:"), text[1]).alias("reason_label"), preview.alias("preview"),
+        )
 
     qualified = F.col("qualified_name")
     nodes = _union(
         node(modules, "File", "file", F.regexp_extract("path", "[^/]*$", 0), F.col("path"), "file_id"), node(modules, "Module", "module", F.col("path"), F.col("path")),
-        node(defs, F.col("semantic_type"), F.col("kind"), F.col("name"), qualified), node(groups, "Call", "call.expr", F.col("callee"), qualified),
-        node(imported, "Import", F.when(F.col("statement").startswith("from"), "import.from").otherwise("import.stmt"), nothing, qualified),
-        node(exported, "Export", "export.stmt", nothing, qualified), node(literals, F.col("semantic_type"), F.col("kind"), nothing, qualified),
+        node(defs, F.col("semantic_type"), F.col("kind"), F.col("name"), qualified), node(groups, "Call", "call.expr", F.col("callee"), qualified, preview=F.col("preview")),
+        node(imported, "Import", F.when(F.col("statement").startswith("from"), "import.from").otherwise("import.stmt"), nothing, qualified, preview=F.col("statement")),
+        node(exported, "Export", "export.stmt", nothing, qualified, preview=F.col("preview")), node(literals, F.col("semantic_type"), F.col("kind"), nothing, qualified, preview=F.col("preview")),
     )
 
-    def edge(df: DataFrame, kind: str, source: Column | str, target: Column | str, flags: Column | str = "RESOLVED", confidence: Column | float = 1.0) -> DataFrame:
+    def edge(df: DataFrame, kind: str, source: Column | str, target: Column | str, flags: Column | str = "RESOLVED", confidence: Column | float = 1.0, reason: Column | str = "normalize:defines") -> DataFrame:
+        reason = F.lit(reason) if isinstance(reason, str) else reason
         source, target = (F.col(x) if isinstance(x, str) else x for x in (source, target))
         flags = F.array(F.lit(flags)) if isinstance(flags, str) else flags
         confidence = F.lit(confidence) if isinstance(confidence, float) else confidence
-        return df.select("path", ids.edge_id(kind, source, target, F.col("span_key")).alias("edge_id"), F.lit(kind).alias("kind"), source.alias("src_id"), target.alias("dst_id"), flags.alias("flags"), confidence.alias("confidence"), "span_key")
+        return df.select("path", ids.edge_id(kind, source, target, F.col("span_key")).alias("edge_id"), F.lit(kind).alias("kind"), source.alias("src_id"), target.alias("dst_id"), flags.alias("flags"), confidence.alias("confidence"), "span_key", "start", "end", reason.alias("reason_label"))
 
-    owned = _union(*[x.select("path", "node_id", "span_key") for x in (defs, imported, exported, groups, literals)]).join(modules.select("path", F.col("node_id").alias("module_id")), "path")
-    names = bindings.select("path", "node_id", "placeholder_id", "alias", "span_key").distinct()
+    owned = _union(*[x.select("path", "node_id", "span_key", "start", "end") for x in (defs, imported, exported, groups, literals)]).join(modules.select("path", F.col("node_id").alias("module_id")), "path")
+    names = bindings.select("path", "node_id", "placeholder_id", "alias", "span_key", "start", "end").distinct()
+    bound = F.concat(F.lit("bind:import."), "kind")
     edges = _union(
         edge(modules, "defines", "file_id", "node_id"), edge(owned, "defines", "module_id", "node_id"), edge(defs, "defines", "node_id", "symbol_id"),
-        edge(names, "imports", "node_id", "placeholder_id", "UNRESOLVED", 0.4), edge(bindings, "imports", "node_id", "canonical_id", F.col("flags"), F.col("confidence")),
-        edge(bindings, "aliases", "alias_id", "canonical_id", F.col("flags"), F.col("confidence")),
-        edge(groups.filter("owner IS NOT NULL"), "calls", "owner", "node_id"), edge(groups.filter("used IS NOT NULL"), "calls", "node_id", "callee_id", "UNRESOLVED", 0.5),
-        edge(references, "references", "callee_id", "target", "RESOLVED", 0.9),
+        edge(names, "imports", "node_id", "placeholder_id", "UNRESOLVED", 0.4, "normalize:import.binds"), edge(bindings, "imports", "node_id", "canonical_id", F.col("flags"), F.col("confidence"), bound),
+        edge(bindings, "aliases", "alias_id", "canonical_id", F.col("flags"), F.col("confidence"), bound),
+        edge(groups.filter("owner IS NOT NULL"), "calls", "owner", "node_id", reason="normalize:callsite"), edge(groups.filter("used IS NOT NULL"), "calls", "node_id", "callee_id", "UNRESOLVED", 0.5, "normalize:callee"),
+        edge(references, "references", "callee_id", "target", "RESOLVED", 0.9, "scope:nearest_def"),
     )
     symbols = _union(
-        defs.select("symbol_id", "name", F.lower("semantic_type").alias("kind"), F.col("qualified_name").alias("scope_qname"), "path", "start"),
-        groups.filter("used IS NOT NULL").select(F.col("callee_id").alias("symbol_id"), F.col("used").alias("name"), F.lit("symbol.ref").alias("kind"), F.col("used").alias("scope_qname"), "path", "start"),
-        bindings.select(F.col("placeholder_id").alias("symbol_id"), F.col("alias").alias("name"), F.lit("import.symbol").alias("kind"), F.concat_ws("::", "path", "alias").alias("scope_qname"), "path", "start"),
+        defs.select("symbol_id", "name", F.lower("semantic_type").alias("kind"), F.col("qualified_name").alias("scope_qname"), "path", "start", "end"),
+        groups.filter("used IS NOT NULL").select(F.col("callee_id").alias("symbol_id"), F.col("used").alias("name"), F.lit("symbol.ref").alias("kind"), F.col("used").alias("scope_qname"), "path", "start", "end"),
+        bindings.select(F.col("placeholder_id").alias("symbol_id"), F.col("alias").alias("name"), F.lit("import.symbol").alias("kind"), F.concat_ws("::", "path", "alias").alias("scope_qname"), "path", "start", "end"),
     )
 
     # flow: a function's text holds that of the functions in it
@@ -213,15 +232,15 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
         return intervals.containing(points, functions, ["path"], bins=BIN_BYTES).withColumnRenamed("o_node_id", "fn_id")
 
     words = captures.control_words(found).select("path", F.col("byte").alias("start"), F.col("byte").alias("end"), "pos", "keyword")
-    tokens = stage_table(within(words).select("fn_id", "pos", "keyword"), "flow-tokens")
-    fns = functions.select(F.col("node_id").alias("fn_id"), "path")
-    written = within(captures.assignments(rows).select("path", "name", "expression", "start", F.col("start").alias("end"), F.col("start").alias("pos")))
-    facts = flow.written_facts(written.select("fn_id", "name", "expression", "pos"))
-    called = groups.filter(T.is_effect_call(F.col("preview"), F.col("language"))).select("path", "preview", F.concat(F.lit("call@"), at).alias("call"), "start", F.col("start").alias("end"), F.col("start").alias("pos"))
-    facts = flow.numbered_facts(facts.unionByName(flow.used_facts(facts, within(called).select("fn_id", "call", "preview", "pos"))))
-    facts = stage_table(facts.join(fns, "fn_id"), "facts")
+    tokens = staged(within(words).select("fn_id", "pos", "keyword", "path", "start", (F.col("start") + F.length("keyword")).alias("end")), "flow-tokens")
+    fns = functions.select(F.col("node_id").alias("fn_id"), "path", "start", "end")
+    written = within(captures.assignments(rows).select("path", "name", "expression", "start", F.col("start").alias("end"), F.col("start").alias("pos"), "byte_end"))
+    facts = flow.written_facts(written.select("fn_id", "name", "expression", "pos", F.col("byte_end").alias("end")))
+    called = groups.filter(T.is_effect_call(F.col("preview"), F.col("language"))).select("path", "preview", F.concat(F.lit("call@"), at).alias("call"), "start", F.col("start").alias("end"), F.col("start").alias("pos"), F.col("end").alias("call_end"))
+    facts = flow.numbered_facts(facts.unionByName(flow.used_facts(facts, within(called).select("fn_id", "call", "preview", "pos", F.col("call_end").alias("end")))))
+    facts = staged(facts.join(fns.select("fn_id", "path"), "fn_id"), "facts")
 
-    matched = stage_table(effects.candidates(groups.select(F.col("node_id").alias("call_id"), "path", "language", F.col("start").alias("byte_start"), F.col("end").alias("byte_end"), "preview", "n_args", "args", "kwargs", F.col("owner").alias("owner_fn_id")), rules), "matched")
+    matched = staged(effects.candidates(groups.select(F.col("node_id").alias("call_id"), "path", "language", F.col("start").alias("byte_start"), F.col("end").alias("byte_end"), "preview", "n_args", "args", "kwargs", F.col("owner").alias("owner_fn_id")), rules), "matched")
 
     def anomaly(df: DataFrame, kind: str, detail: Column | str, severity: str = "WARN") -> DataFrame:
         return df.select("path", F.lit(kind).alias("anomaly_type"), F.lit(severity).alias("severity"), (F.lit(detail) if isinstance(detail, str) else detail).alias("reason_detail"))
@@ -237,18 +256,21 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
     )
     pack_errors = 0
     if packs is not None:
+        loaded = {r.pack for r in rules.select("pack").distinct().collect()}  # of the configuration
+        pack_errors = len(set(packs) - loaded)
         asked = files.sparkSession.createDataFrame([(x,) for x in packs], "pack string")
         missing = effects.missing_packs(asked, rules).select(nothing.alias("path"), F.lit("PARSE_ERROR").alias("anomaly_type"), "severity", F.concat("reason_detail", F.lit(": "), "pack").alias("reason_detail"))
-        anomalies, pack_errors = anomalies.unionByName(missing), missing.count()  # of the few packs named in the call
+        anomalies = anomalies.unionByName(missing)
     facts = facts.filter(~F.col("cut"))
     counted = {
         "defs": defs, "calls": groups.select("path", F.col("members").alias("n")), "imports": imported, "exports": exported, "literals": literals, "imports_seen": imported, "imports_resolved": bindings,
-        "alias_edges": bindings, "local_refs": references, "blocks": flow.blocks(tokens, fns).join(fns, "fn_id"), "flow_edges": flow.edges(tokens, fns).join(fns, "fn_id"), "facts": facts,
+        "alias_edges": bindings, "local_refs": references, "blocks": flow.blocks(tokens, fns), "flow_edges": flow.edges(tokens, fns), "facts": facts, "imports_partial": unbound,
         "candidate_calls": groups, "matched": matched.filter("complete"), "fields_missing": matched.filter("NOT complete"),
     }
+    sizes_of = captures.forest(rows, found, pairs)
     return Graph(
         nodes, edges, first_symbols(symbols, "path", "start"), frames, bindings, flow.blocks(tokens, fns), flow.edges(tokens, fns), facts, effects.effects_of(matched), anomalies,
-        _counted(modules.select("path"), counted).withColumn("pack_errors", F.lit(pack_errors).cast("bigint")),
+        _counted(modules.select("path"), counted).join(sizes_of, "path", "left").withColumn("pack_errors", F.lit(pack_errors).cast("bigint")), rows, stages,
     )
 
 

@@ -102,7 +102,7 @@ def discovery_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH {_DECIDED} SELECT count(*) AS files_seen, "
     + ", ".join(f"count(*) FILTER (decision = '{t}') AS {t}" for t in discovery.TALLIES)
-    + " FROM dec"
+    + ", 0::BIGINT AS symlink_traversed, count(*) FILTER (decision = 'supported') AS parse_candidates FROM dec"
 )
 def discovery_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.tallies(decided(spark, sf_dir))

@@ -104,26 +104,44 @@ def tokens(table: DataFrame) -> DataFrame:
 
 
 def brackets(found: DataFrame) -> DataFrame:
-    """path, kind, open, open_line, close, close_line, next, next_at, commas of each pair of brackets, from their tokens.
+    """path, kind, open, open_line, close, close_line, closing, next, next_at, commas of each pair of brackets, from their tokens.
 
     A bracket's depth and its kind of place make the pairs: at one depth, opening
     and closing ones alternate, and the commas between them are those of the pair.
+    ``left`` and ``right`` number the brackets of a file in their order: a pair lies
+    in another one if its numbers do.
     """
     marks = found.filter(F.col("token").isin(*"()[]{},"))
     opens, closes = F.col("token").isin(*"([{"), F.col("token").isin(*")]}")
     depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(Window.partitionBy("path").orderBy("start"))
-    marks = marks.withColumn("level", F.when(closes, depth).otherwise(depth - 1))
+    nth = F.sum(F.when(opens | closes, 1).otherwise(0)).over(Window.partitionBy("path").orderBy("start"))
+    marks = marks.withColumns({"level": F.when(closes, depth).otherwise(depth - 1), "nth": nth})
     pair = F.sum(F.when(opens, 1).otherwise(0)).over(Window.partitionBy("path", "level").orderBy("start"))
     pairs = marks.withColumn("pair", pair).groupBy("path", "level", "pair").agg(
-        F.min(F.when(opens, F.struct("start", "line_no", "token"))).alias("a"), F.min(F.when(closes, F.struct("start", "line_no", "next", F.col("open").alias("next_at")))).alias("b"),
+        F.min(F.when(opens, F.struct("start", "line_no", "token", "nth"))).alias("a"), F.min(F.when(closes, F.struct("start", "line_no", "next", F.col("open").alias("next_at"), "token", "nth"))).alias("b"),
         F.sort_array(F.collect_list(F.when(F.col("token") == ",", F.col("start")))).alias("commas"),
     )
     return pairs.filter("a IS NOT NULL AND b IS NOT NULL").select(
         "path", F.col("a.token").alias("kind"), F.col("a.start").alias("open"), F.col("a.line_no").alias("open_line"), F.col("b.start").alias("close"), F.col("b.line_no").alias("close_line"),
-        F.col("b.next").alias("next"), F.col("b.next_at").alias("next_at"), "commas",
+        F.col("b.token").alias("closing"), F.col("b.next").alias("next"), F.col("b.next_at").alias("next_at"), "commas", F.col("a.nth").alias("left"), F.col("b.nth").alias("right"),
     )
 
 
+def forest(table: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """path, nodes, errors: the size of a file's forest of statements, brackets and words, and the brackets that have no partner of their kind.
+
+    A file is a node, and so are a line where a statement begins, a pair of
+    brackets, and every callee, control word and string.
+    """
+    bracket = F.col("token").isin(*"()[]{}")
+    of_tokens = found.groupBy("path").agg(F.count_if(bracket).alias("brackets"), F.count_if(~bracket & ~F.col("token").isin(",", ";")).alias("words"))
+    fits = F.concat("kind", "closing").isin("()", "[]", "{}")
+    of_pairs = pairs.groupBy("path").agg(F.count("*").alias("pairs"), F.count_if(fits).alias("fitting"))
+    statements = table.groupBy("path").agg(F.count("indent").alias("statements"))
+    joined = statements.join(of_tokens, "path", "left").join(of_pairs, "path", "left").na.fill(0, ["brackets", "words", "pairs", "fitting"])
+    return joined.select("path", (F.col("statements") + F.col("words") + F.col("pairs") + 1).alias("nodes"), (F.col("brackets") - 2 * F.col("fitting")).alias("errors"))
+
+
 def slices(spans: DataFrame, table: DataFrame, key: str, column: str = "line") -> DataFrame:
     """Add ``text`` to (path, ``key``, first_line, last_line, from, to): characters ``from`` to ``to`` of the file.
 
