@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sourceloom.plans.analyse import Analysis
 from sourceloom.plans.store import Store
 
 CACHE_KEY = ("path", "blob_sha256", "grammar_fp", "query_fp")
@@ -19,15 +20,23 @@ def split_cached(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(known, list(CACHE_KEY), "left").withColumn("cache_state", F.when(F.col("_known"), "hit").otherwise("miss")).drop("_known")
 
 
-def follow(files: DataFrame, store: Store, analyse: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, **trigger) -> StreamingQuery:
-    """Analyse each micro-batch of changed files and put its tables into the store.
+def follow(files: DataFrame, store: Store, analyse: Callable[[DataFrame], dict[str, DataFrame] | Analysis], checkpoint: str, **trigger) -> StreamingQuery:
+    """Analyse each micro-batch of changed files (repo_id, run_id, path, ...) and put its tables into the store.
 
-    A batch that runs again after a failure replaces the same files, so its
-    effect is that of one run.  All tables of a batch change together, and only
-    the buckets of the changed files are written.
+    The batch's files replace their old rows in all tables, also where the new
+    analysis finds nothing, and the batch's number is stored with them: a batch that
+    comes again, as after a failure between the store's commit and the stream's,
+    changes nothing.  All tables of a batch change together, and only the buckets of
+    the changed files are written.  An ``Analysis`` is discarded when it is stored.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
-        store.put_all(analyse(rows))
+    def batch(rows: DataFrame, number: int) -> None:
+        if store.holds((checkpoint, number)):
+            return
+        made = analyse(rows)
+        tables, looked = (made.tables, made.files) if isinstance(made, Analysis) else (made, rows)
+        store.put_all(tables, files=looked, batch=(checkpoint, number))
+        if isinstance(made, Analysis):
+            made.discard()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
