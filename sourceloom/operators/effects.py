@@ -2,9 +2,12 @@
 
 ``rules`` has one row per pattern: pack, rule_id, language, kind, provider,
 family, confidence, callee, object_method, arg_min, arg_max, fields, file_regex.
-It is configuration, written by hand and bounded by ``MAX_RULE_ROWS``; only that
-makes broadcasting it safe.  A larger one is shuffled by language: rules for any
-language are listed under each, so that the language is an equality key.
+A few of them are tried on every call of their language.  From ``INDEX_FROM`` on they
+are found by an inverted index: a pattern needs some literal text, so each of its
+three-letter parts must stand in a call; calls are listed under their parts, patterns
+under the one of theirs that the fewest calls have, and only where these are equal
+is the pattern tried.  Patterns that need no such text are tried by language.
+Rules are broadcast only up to ``MAX_RULE_ROWS``.
 """
 
 from __future__ import annotations
@@ -15,8 +18,13 @@ from pyspark.sql import functions as F
 from sourceloom.functions import fixed
 from sourceloom.functions import text as T
 from sourceloom.functions.ids import content_id, receipt_id
+from sourceloom.plans.staging import stage_table
 
 MAX_RULE_ROWS = 10_000
+#: Patterns from which the index is cheaper than trying each of them.
+INDEX_FROM = 256
+#: Letters of a part of the index.
+GRAM = 3
 RULE_SCHEMA = (
     "pack string, tag string, rule_id string, language string, pattern_language string, kind string, provider string, family string, confidence double, pattern_kind string, "
     "callee string, object_method string, arg_min int, arg_max int, fields array<struct<name:string,source:string,index:int,key:string,value_expr:string>>, file_regex string"
@@ -50,14 +58,81 @@ def by_language(rules: DataFrame) -> DataFrame:
     return rules.withColumn("call_language", F.explode(fits))
 
 
-def matched(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per call and rule, however many of its patterns match."""
+_SPECIAL = ".^$*+?()[]{}|/-"
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest text that every match of a regular expression holds; empty if none can be told.
+
+    Told are expressions without alternatives, flags and escapes of codes: classes,
+    groups, and what may be repeated or missing, cut the literal.
+    """
+    hidden = {c: chr(0xE000 + i) for i, c in enumerate(_SPECIAL)}
+    out = F.replace(pattern, F.lit("\\\\"), F.lit("\ue0ff"))
+    for c, mark in hidden.items():  # signs that stand for themselves
+        out = F.replace(out, F.lit("\\" + c), F.lit(mark))
+    gap = "\u0001"
+    out = F.regexp_replace(out, r"\\[A-Za-z]", gap)
+    out = F.regexp_replace(out, r"\[\^?\]?[^\]]*\]", gap)
+    for _ in range(3):
+        out = F.regexp_replace(out, r"\([^()]*\)", gap)
+    out = F.regexp_replace(out, r".(?:[*?]|\{[^}]*\})[+?]?", gap)
+    out = F.regexp_replace(out, r"(.)\+[+?]?", "$1" + gap)
+    out = F.regexp_replace(out, r"[.^$]", gap)
+    told = ~pattern.rlike(r"\||\(\?|\\[0-9xuQEcpPkN]") & ~out.rlike(r"[()\[\]{}*+?]")
+    shown = F.translate(out, "".join([*hidden.values(), "\ue0ff"]), _SPECIAL + "\\")
+    longest = F.array_max(F.transform(F.split(shown, gap), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return F.when(told, longest).otherwise(F.lit(""))
+
+
+def literal_of() -> Column:
+    """The longest text that a call must hold to match a pattern (callee, object_method)."""
+
+    def of(spec: Column, plain: Column) -> Column:
+        return F.when(spec.startswith("re:"), required_literal(F.substr(spec, F.lit(4)))).otherwise(plain)
+
+    callee = F.coalesce(of(F.col("callee"), F.replace("callee", F.lit(" "), F.lit(""))), F.lit(""))
+    method = F.coalesce(of(F.col("object_method"), F.concat("object_method", F.lit("("))), F.lit(""))
+    return F.when(F.length(callee) >= F.length(method), callee).otherwise(method)
+
+
+def grams(text: Column) -> Column:
+    """The distinct parts of ``GRAM`` letters."""
+    last = F.length(text) - GRAM + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def _indexed(listed: DataFrame, left: DataFrame, small: bool) -> DataFrame:
+    """Calls with the patterns of ``listed`` (which need a text of ``GRAM`` letters) that share their rarest part."""
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df  # at most MAX_RULE_ROWS patterns
+
+    numbered = stage_table(listed.withColumn("_pattern", F.monotonically_increasing_id()), "rules")
+    parts = numbered.select("_pattern", F.explode(grams(F.col("_literal"))).alias("_gram"))
+    seen = left.select(F.explode(grams(F.col("preview"))).alias("_gram")).join(sent(parts.select("_gram").distinct()), "_gram").groupBy("_gram").agg(F.count("*").alias("n"))
+    counted = parts.join(seen, "_gram", "left").groupBy("_pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_gram")).alias("r"))
+    chosen = counted.filter("r.n > 0").select("_pattern", F.col("r._gram").alias("_rarest"))  # a part that no call has: no match
+    keyed = numbered.join(chosen, "_pattern")
+    calls = left.withColumn("_gram", F.explode(grams(F.col("preview"))))
+    return calls.join(sent(keyed), (F.col("_gram") == F.col("_rarest")) & (F.col("own_language") == F.col("call_language")) & pattern_matches()).drop("_gram", "_rarest", "_pattern")
+
+
+def matched(calls: DataFrame, rules: DataFrame, index: bool | None = None) -> DataFrame:
+    """One row per call and rule, however many of its patterns match; ``index`` tells whether to use the index, else their number does."""
+    number = rules.limit(MAX_RULE_ROWS + 1).count()
+    small = number <= MAX_RULE_ROWS
     listed = by_language(rules)
-    if rules.limit(MAX_RULE_ROWS + 1).count() <= MAX_RULE_ROWS:
-        listed = F.broadcast(listed)
     left = calls if "path" in calls.columns else calls.withColumn("path", F.lit(None).cast("string"))
-    joined = left.withColumnRenamed("language", "own_language").join(listed, (F.col("own_language") == F.col("call_language")) & pattern_matches())
-    return joined.drop("own_language").dropDuplicates(["call_id", "rule_id"])
+    left = left.withColumnRenamed("language", "own_language")
+    found = None
+    if number >= INDEX_FROM if index is None else index:
+        listed = listed.withColumn("_literal", literal_of())
+        found = _indexed(listed.filter(F.length("_literal") >= GRAM), left, small).drop("_literal")
+        listed = listed.filter(F.length("_literal") < GRAM).drop("_literal")
+    tried = left.join(F.broadcast(listed) if small else listed, (F.col("own_language") == F.col("call_language")) & pattern_matches())
+    found = tried if found is None else found.unionByName(tried)
+    return found.drop("own_language").dropDuplicates(["call_id", "rule_id"])
 
 
 def expanded(template: Column, args: Column, kwargs: Column) -> Column:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from sourceloom.functions import fixed, ids
 from sourceloom.functions import text as T
@@ -526,6 +527,40 @@ def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effects.matched(_calls(spark, sf_dir), _rules(spark)).select("call_id", "rule_id")
 
 
+@query(
+    """WITH c AS (SELECT o_orderkey AS call_id, o_custkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' ELSE 'typescript' END AS language, o_orderkey % 4 AS n_args FROM orders)
+SELECT call_id, 'named.' || k AS rule_id FROM c JOIN customer ON c_custkey = k WHERE k % 3 <> 0 AND (k % 3 = 1 OR language = 'python')
+UNION ALL SELECT call_id, 'method.' || k FROM c JOIN customer ON c_custkey = k WHERE k % 5 = 0 AND n_args >= 2
+UNION ALL SELECT call_id, 'regex.' || k FROM c JOIN customer ON c_custkey = k WHERE k % 7 = 0
+UNION ALL SELECT call_id, 'every' FROM c WHERE language = 'javascript'"""
+)
+def rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rules as there are customers, found by the rarest part of the text that they need."""
+    k = F.col("c_custkey").cast("string")
+    customers = table(spark, sf_dir, "customer")
+
+    def rules(name: str, language: Column | str, callee: Column | None, method: Column | None, least: int, which: Column) -> DataFrame:
+        none = F.lit(None).cast("string")
+        values = {
+            "pack": F.lit("p"), "rule_id": F.concat(F.lit(name), k), "language": F.lit(language) if isinstance(language, str) else language, "pattern_language": F.lit("any"), "kind": F.lit("rpc"), "pattern_kind": F.lit("call"),
+            "callee": none if callee is None else callee, "object_method": none if method is None else method, "arg_min": F.lit(least),
+        }
+        typed = T_.StructType.fromDDL(effects.RULE_SCHEMA)
+        return customers.filter(which).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in typed])
+
+    number = F.col("c_custkey")
+    found = rules("named.", F.when(number % 3 == 1, "any").otherwise("python"), F.concat(F.lit("client c"), k, F.lit(" .run")), None, 0, number % 3 != 0)
+    found = found.union(rules("method.", "any", None, F.concat(F.lit("c"), k, F.lit(".run")), 2, number % 5 == 0))
+    found = found.union(rules("regex.", "any", F.concat(F.lit(r"re:^client\.?c"), k, F.lit(r"\.r[a-z]+\(")), None, 0, number % 7 == 0))
+    found = found.union(rules("every", "javascript", F.lit("re:^c|x"), None, 0, number == 1).withColumn("rule_id", F.lit("every")))
+    key = F.col("o_orderkey")
+    calls = table(spark, sf_dir, "orders").select(
+        key.alias("call_id"), F.when(key % 3 == 0, "python").when(key % 3 == 1, "javascript").otherwise("typescript").alias("language"),
+        F.concat(F.lit("clientc"), F.col("o_custkey").cast("string"), F.lit(".run(1)")).alias("preview"), (key % 4).cast("int").alias("n_args"),
+    )
+    return effects.matched(calls, found).select("call_id", "rule_id")
+
+
 @query(
     f"""
 WITH p(pack, rule_id, language, kind, callee, object_method, arg_min) AS (VALUES {_PATTERN_VALUES}),
