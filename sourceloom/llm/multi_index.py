@@ -14,7 +14,8 @@ Queries that find fewer than the wanted number within it search all codes.
 Equal vectors are one class, and a class only needs its ``k + 1`` smallest ids.
 The index holds a class once for each substring, dealt by the substring and its
 leading bits to groups of bounded size (frequent leading bits to several).  A
-query goes to the groups that it may probe; a code that several substrings bring
+query goes to the groups that it may probe, and a group that many probe is there
+several times, each time for some of the queries; a code that several substrings bring
 is reranked for the first one only, and only a group's best few go on.
 
 Defined results: null ids, and vectors that are null, empty, zero or hold null
@@ -45,6 +46,8 @@ MAX_BITS = 64
 SUBSTRING = 16
 #: Classes in a group of the index, about.
 GROUP_ROWS = 16384
+#: Queries that search a group together, about; where there are more, the group is there once for each lot of them.
+QUERY_ROWS = 4096
 
 _POP = np.array([bin(i).count("1") for i in range(1 << SUBSTRING)], np.uint8)
 
@@ -242,31 +245,58 @@ def _layout(own: DataFrame, codes: Codes, n: int) -> Layout:
     return Layout(counts.reshape(codes.count, -1), bits, GROUP_ROWS)
 
 
+def _lots(ask: DataFrame, codes: Codes, layout: Layout, radius: int) -> np.ndarray:
+    """In how many lots the queries of each group come, by counts of them: a number for each group of the index."""
+    held = ask.sparkSession.sparkContext.broadcast((codes, layout))
+    groups = int(layout.pieces.sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, layout = held.value
+        total = np.zeros(groups, np.int64)
+        for batch in batches:
+            for code in codes.substrings(_matrix(batch.column("qx"), batch.num_rows)):
+                total[layout.probed(code, radius // codes.count)] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    lots = np.ones(groups, np.int64)
+    counts = ask.select("qx").mapInArrow(releasing(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    for at, n in counts.filter(F.col("n") > QUERY_ROWS).collect():  # a row for a group at most
+        lots[at] = -(-n // QUERY_ROWS)
+    return lots
+
+
 def _search(own: DataFrame, ask: DataFrame, codes: Codes, layout: Layout, radius: int, k: int) -> DataFrame:
     """(class asked, ids found, score): the nearest classes of every group that a query probes."""
-    held = own.sparkSession.sparkContext.broadcast((codes, layout))
+    lots = _lots(ask, codes, layout, radius)
+    first = np.cumsum(lots) - lots
+    held = own.sparkSession.sparkContext.broadcast((codes, layout, lots, first))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, layout = held.value
+        codes, layout, lots, first = held.value
         for batch in batches:
             subs, salt = codes.substrings(_matrix(batch.column("x"), batch.num_rows)), batch.column("class").to_numpy()
             for j in range(codes.count):
-                yield pa.RecordBatch.from_arrays([pa.array(layout.group(j, subs[:, j], salt)), batch.column("ids"), batch.column("x")], ["group", "ids", "x"])
+                group = layout.group(j, subs[:, j], salt)
+                for lot in range(int(lots[group].max(initial=0))):
+                    rows = np.flatnonzero(lots[group] > lot)
+                    at, names = pa.array(rows), group[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(first[names] + lot), pa.array(names), batch.column("ids").take(at), batch.column("x").take(at)], ["lot", "group", "ids", "x"])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, layout = held.value
+        codes, layout, lots, first = held.value
         for batch in batches:
-            subs = codes.substrings(_matrix(batch.column("qx"), batch.num_rows))
+            subs, name = codes.substrings(_matrix(batch.column("qx"), batch.num_rows)), batch.column("asked").to_numpy()
             for i, code in enumerate(subs):
                 groups = layout.probed(code, radius // codes.count)
                 row = pa.array(np.full(len(groups), i))
-                yield pa.RecordBatch.from_arrays([pa.array(groups), batch.column("asked").take(row), batch.column("qx").take(row)], ["qgroup", "asked", "qx"])
+                yield pa.RecordBatch.from_arrays([pa.array(first[groups] + (name[i] + groups) % lots[groups]), batch.column("asked").take(row), batch.column("qx").take(row)], ["qlot", "asked", "qx"])
 
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
         schema = pa.schema([("asked", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
         if not index.num_rows or not asked.num_rows:
             return schema.empty_table()
-        codes, layout = held.value
+        codes, layout = held.value[:2]
         j = layout.substring_of(index.column("group")[0].as_py())
         ids, name = index.column("ids").combine_chunks(), asked.column("asked").to_numpy()
         queries, vectors = _matrix(asked.column("qx"), asked.num_rows), _matrix(index.column("x"), index.num_rows)
@@ -275,6 +305,6 @@ def _search(own: DataFrame, ask: DataFrame, codes: Codes, layout: Layout, radius
             parts.append(pa.record_batch([pa.array(np.full(len(rows), q)), ids.take(pa.array(rows)), pa.array(d)], schema=schema))
         return pa.Table.from_batches(parts, schema)
 
-    index = own.select("class", "ids", "x").mapInArrow(releasing(dealt), "group long, ids array<long>, x array<double>")
-    asked = ask.select("asked", "qx").mapInArrow(releasing(sent), "qgroup long, asked long, qx array<double>")
-    return index.groupBy("group").cogroup(asked.groupBy("qgroup")).applyInArrow(releasing_groups(run), "asked long, ids array<long>, score double")
+    index = own.select("class", "ids", "x").mapInArrow(releasing(dealt), "lot long, group long, ids array<long>, x array<double>")
+    asked = ask.select("asked", "qx").mapInArrow(releasing(sent), "qlot long, asked long, qx array<double>")
+    return index.groupBy("lot").cogroup(asked.groupBy("qlot")).applyInArrow(releasing_groups(run), "asked long, ids array<long>, score double")

@@ -44,6 +44,8 @@ from sourceloom.llm.words import mix, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Members of a cell that are compared in one task, about.
+CELL_ROWS = 4096
 BANDS, ROWS = 25, 5
 
 U64 = np.uint64
@@ -301,12 +303,14 @@ def _class_labels(docs: DataFrame, items: DataFrame, similarity: float) -> DataF
     discard(buckets, parts_of, lists)
     rarest = stage_table(_rarest(again, similarity), "rarest-cells")
     parts = rarest.groupBy("cell", "label").agg(F.count("*").alias("n"))
-    several = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("parts > 1").drop("parts")
-    rows = rarest.join(several, "cell")
-    outside = rows.filter("label <> main").select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
+    several = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.ceil(F.sum("n") / CELL_ROWS).alias("blocks")).filter("parts > 1").drop("parts")
+    rows = rarest.join(several, "cell").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")))
+    # a cell of many members is dealt to blocks: each member to one of them, those outside the main component to all
+    outside = rows.filter("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    outside = outside.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
     rest = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place")) + 1  # cells that can be shared from here on
     fits = rest >= (F.col("size") + F.col("o_size")) * (similarity / (1 + similarity)) - 1e-9
-    met = rows.join(outside, (rows.cell == outside.o_cell) & (F.col("label") != F.col("o_label")) & fits)
+    met = rows.join(outside, (rows.cell == outside.o_cell) & (rows.block == outside.o_block) & (F.col("label") != F.col("o_label")) & fits)
     pairs = met.select(F.least("item", "o_item").alias("a"), F.greatest("item", "o_item").alias("b")).distinct()
     more = stage_table(_compared(pairs, again, similarity), "links")
     discard(rarest, again)

@@ -6,10 +6,10 @@ hashed to ``2 ** BITS`` places; a term counts once per text.  The score is
 weigh more than its parts.
 
 The model is fitted on the driver to at most ``SAMPLE`` labelled rows (a
-documented bound); its size is fixed by ``TERMS`` and ``RANK``.  Its terms are
-those that tell the classes apart by themselves, and, of the ``PAIR_TERMS`` most
-frequent ones, those of which two together do so by more than the sum of both,
-however little each one tells alone.
+documented bound), so its size is bounded too, by their terms and ``RANK``.  Its
+terms are those that tell the classes apart by themselves, and those of which two
+together do so by more than the sum of both, however little each one tells alone:
+every pair of terms that enough rows have together is tested.
 
 Defined results: null, empty and wordless texts get sigmoid(w0); without
 labelled rows of both classes the score is the share of ones (0.5 without rows);
@@ -32,16 +32,16 @@ from sourceloom.llm.words import words
 
 SAMPLE = 8000
 BITS = 20
-TERMS = 8192
 RANK = 8
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
 MIN_COUNT = 5
 MIN_CHI2 = 20.0
-#: Frequent terms whose pairs are tested, rows that each part of a test needs, and its limit in standard deviations.
-PAIR_TERMS = 1024
+#: Rows that each part of a test of a pair needs, and its limit in standard deviations.
 PAIR_ROWS = 5
 MIN_PAIR = 7.0
+#: Terms, and pairs of a row's terms, that are counted at a time.
+PAIR_BLOCK, PAIR_COUNTS = 128, 1 << 23
 
 
 def terms(data: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -86,29 +86,45 @@ class FactorizationMachine:
 def pair_terms(row: np.ndarray, term: np.ndarray, y: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """The candidates that have a pair whose rate of ones isn't near the sum of what its parts add.
 
-    For each pair the rates of rows with both, either one and none of the terms
-    are compared; ``row`` and ``term`` are the distinct terms of the rows.
+    For each pair that ``PAIR_ROWS`` rows have, the rates of rows with both, either one
+    and none of the terms are compared; ``row`` and ``term`` are the distinct terms of
+    the rows.  Pairs are counted for some terms at a time, from the rows that have them.
     """
     place = np.full(int(max(term.max(initial=0), candidates.max(initial=0))) + 1, -1, np.int64)
     place[candidates] = np.arange(len(candidates))
     known = place[term] >= 0
-    x = np.zeros((len(y), len(candidates)), np.float32)
-    x[row[known], place[term[known]]] = 1
-    positive = x[y == 1]
-    n, ones = x.sum(0), positive.sum(0)
+    row, term = row[known], place[term[known]]
+    order = np.argsort(row, kind="stable")
+    row, term = row[order], term[order]
+    first = np.searchsorted(row, np.arange(len(y) + 1))  # of each row: its terms
+    by_term = np.argsort(term, kind="stable")
+    rows_of, cut = row[by_term], np.searchsorted(term[by_term], np.arange(len(candidates) + 1))
+    n, ones = np.bincount(term, minlength=len(candidates)), np.bincount(term, y[row], len(candidates))
     found = np.zeros(len(candidates), bool)
-    for a in range(0, len(candidates), 128):
-        part = slice(a, a + 128)
-        both, both_ones = x[:, part].T @ x[:, a:], positive[:, part].T @ positive[:, a:]  # those before are done
-        na, oa, nb, ob = n[part, None], ones[part, None], n[a:], ones[a:]
-        counts = (both, na - both, nb - both, len(y) - na - nb + both)
-        hits = (both_ones, oa - both_ones, ob - both_ones, y.sum() - oa - ob + both_ones)
+    size = np.diff(first)
+    cost = np.concatenate([[0], np.cumsum(size[rows_of])])[cut]  # pairs of the terms before each
+    a = 0
+    while a < len(candidates):
+        b = max(a + 1, min(a + PAIR_BLOCK, int(np.searchsorted(cost, cost[a] + PAIR_COUNTS, side="right")) - 1))
+        own = rows_of[cut[a] : cut[b]]
+        left = np.repeat(np.repeat(np.arange(b - a), np.diff(cut[a : b + 1])), size[own])
+        at = np.repeat(first[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(int(size[own].sum()))
+        key, one = left * len(candidates) + term[at], np.repeat(y[own] == 1, size[own])
+        both = np.bincount(key, minlength=(b - a) * len(candidates))
+        pairs = np.flatnonzero(both >= PAIR_ROWS)
+        i, j = pairs // len(candidates) + a, pairs % len(candidates)
+        later = i < j
+        pairs, i, j = pairs[later], i[later], j[later]
+        both_ones = np.bincount(key[one], minlength=(b - a) * len(candidates))[pairs]
+        both = both[pairs]
+        counts = (both, n[i] - both, n[j] - both, len(y) - n[i] - n[j] + both)
+        hits = (both_ones, ones[i] - both_ones, ones[j] - both_ones, y.sum() - ones[i] - ones[j] + both_ones)
         rates = [(h + 1) / (c + 2) for c, h in zip(counts, hits, strict=True)]
         spread = np.sqrt(sum(r * (1 - r) / (c + 2) for r, c in zip(rates, counts, strict=True)))
         strange = np.abs(rates[0] - rates[1] - rates[2] + rates[3]) >= MIN_PAIR * spread
         strange &= np.minimum.reduce(counts) >= PAIR_ROWS
-        found[part] |= strange.any(1)
-        found[a:] |= strange.any(0)
+        found[i[strange]] = found[j[strange]] = True
+        a = b
     return candidates[found]
 
 
@@ -129,10 +145,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, steps:
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num(n * det.astype(float) ** 2 / (n1 * n0 * total * (n - total).astype(float)))
     chosen = np.flatnonzero((total >= MIN_COUNT) & (chi2 >= MIN_CHI2))
-    chosen = chosen[np.argsort(-chi2[chosen], kind="stable")[:TERMS]]
-    frequent = np.flatnonzero(total >= MIN_COUNT)
-    frequent = frequent[np.argsort(-total[frequent], kind="stable")[:PAIR_TERMS]]
-    chosen = np.union1d(chosen, pair_terms(row, term, y, frequent))
+    chosen = np.union1d(chosen, pair_terms(row, term, y, np.flatnonzero(total >= 2 * PAIR_ROWS)))  # fewer can't fill all parts
     place[chosen] = np.arange(len(chosen))
     keep = place[term] >= 0
     row, term = row[keep], place[term[keep]].astype(np.int64)

@@ -275,8 +275,10 @@ def test_near_duplicates_of_a_whole_table(spark):
     assert found == {d: d if t is None else first[find(place[t])] for d, t in rows}
 
 
-def test_near_groups_in_one_bucket(spark):
-    """Groups of near copies around one passage, whose members share bands with other groups."""
+@pytest.mark.parametrize("cell_rows", [4096, 5])
+def test_near_groups_in_one_bucket(spark, monkeypatch, cell_rows):
+    """Groups of near copies around one passage, whose members share bands with other groups; a cell's members in one block or in several."""
+    monkeypatch.setattr(near_dup, "CELL_ROWS", cell_rows)
     r = random.Random(11)
     base = D.prose(70, 120).split()
     data = []
@@ -596,6 +598,15 @@ def test_neighbours_on_awkward_vectors(spark):
     assert hits / total >= 0.9
 
 
+def test_queries_in_lots_find_the_same(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, r.normal(size=16).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, multi_index.nearest(frame, 5, 4).collect()))
+    monkeypatch.setattr(multi_index, "QUERY_ROWS", 7)
+    monkeypatch.setattr(multi_index, "GROUP_ROWS", 100)
+    assert sorted(map(tuple, multi_index.nearest(frame, 5, 4).collect())) == whole and len(whole) == 750
+
+
 def test_recall_on_the_whole_small_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
     x, ids = np.array([r[1] for r in rows], np.float64), np.array([r[0] for r in rows])
