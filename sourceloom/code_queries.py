@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions import text as T
 from sourceloom.operators import discovery, graph
 from sourceloom.queries import query, table
-from sourceloom.sources import captures
+from sourceloom.sources import captures, encodings
 from sourceloom.sources.rule_packs import Registry
 
 #: Source texts by p_partkey % 4; @k is p_partkey, @z p_size, @b p_brand.
@@ -399,6 +399,35 @@ def lexer_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "name", signature.alias("signature"), begins.alias("begins"), F.right("whole", F.lit(2)).alias("ends"))
 
 
+#: Text under an encoding, and what is told of it, by p_partkey % 6; a number follows each.
+ENCODED = (
+    ("koi8-r", "Привет, это обычный русский текст с несколькими словами, чтобы было что считать. Он длинный: сто двадцать восемь байтов. "),
+    ("windows-1251", "Привет, это обычный русский текст с несколькими словами, чтобы было что считать. Он длинный: сто двадцать восемь байтов. "),
+    ("shift_jis", "これは日本語の文章です。文字コードを判定するために、ひらがなとカタカナと漢字を使っています。もう少し長くします。 "),
+    ("euc_jp", "これは日本語の文章です。文字コードを判定するために、ひらがなとカタカナと漢字を使っています。もう少し長くします。 "),
+    ("iso-8859-1", "Le café d'à côté était fermé, et l'élève préférait déjà être à l'école où il a été reçu; ça ne gêne personne, même à Noël, bien sûr. "),
+    ("utf-8", "Le café d'à côté était fermé. Привет. 日本語 "),
+)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(ENCODED)) + " END AS encoding FROM part")
+def encodings_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    known = F.array(*[F.lit((text * 2).encode(name)) for name, text in ENCODED])
+    content = F.concat(F.element_at(known, (F.col("p_partkey") % 6 + 1).cast("int")), F.encode(F.col("p_partkey").cast("string"), "US-ASCII"))
+    return encodings.with_encoding(parts.select("p_partkey", content.alias("content"))).select("p_partkey", "encoding")
+
+
+@query("SELECT p_partkey, (2 + p_size + least(p_size, p_partkey % 7))::INTEGER AS nodes, abs(p_size - p_partkey % 7)::BIGINT AS errors FROM part")
+def forest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes (a file, a statement, names that are called, pairs of brackets) and brackets without a partner."""
+    opened, closed = F.col("p_size"), (F.col("p_partkey") % 7).cast("int")
+    text = F.concat(F.repeat(F.lit("f("), opened), F.lit("x"), F.repeat(F.lit(")"), closed))
+    rows = captures.lines(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("python").alias("language"), text.alias("text")))
+    found = captures.tokens(rows)
+    return captures.forest(rows, found, captures.brackets(found)).select(F.col("path").cast("long").alias("p_partkey"), F.col("nodes").cast("int").alias("nodes"), F.col("errors").cast("long").alias("errors"))
+
+
 # ----------------------------------------------- expressions over derived code
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
+from pyspark.sql import types
 
 from sourceloom.functions import fixed, ids
 from sourceloom.functions import text as T
@@ -545,7 +545,7 @@ def rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
             "pack": F.lit("p"), "rule_id": F.concat(F.lit(name), k), "language": F.lit(language) if isinstance(language, str) else language, "pattern_language": F.lit("any"), "kind": F.lit("rpc"), "pattern_kind": F.lit("call"),
             "callee": none if callee is None else callee, "object_method": none if method is None else method, "arg_min": F.lit(least),
         }
-        typed = T_.StructType.fromDDL(effects.RULE_SCHEMA)
+        typed = types.StructType.fromDDL(effects.RULE_SCHEMA)
         return customers.filter(which).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in typed])
 
     number = F.col("c_custkey")
@@ -666,12 +666,29 @@ def report_anomaly_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.anomaly_histogram(stored_anomalies(spark, sf_dir))
 
 
-@query(f"WITH {_ANOMALIES} SELECT 'UCG.' || anomaly_type AS \"ruleId\", CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARN' THEN 'warning' ELSE 'note' END AS level, 'doc ' || doc_id AS message, doc_id::VARCHAR AS uri, (n_chars + 1)::INTEGER AS start_line, 4 AS start_column, 10 AS end_column FROM an WHERE severity IN ('ERROR', 'WARN')")
+@query(f"WITH {_ANOMALIES} SELECT 'UCG.' || anomaly_type AS \"ruleId\", CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARN' THEN 'warning' ELSE 'note' END AS level, anomaly_type || ': doc ' || doc_id AS message, doc_id::VARCHAR AS uri, (n_chars + 1)::INTEGER AS start_line, 4 AS start_column, 10 AS end_column FROM an WHERE severity IN ('ERROR', 'WARN')")
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = report.sarif_results(stored_anomalies(spark, sf_dir), ["ERROR", "WARN"])
     return rows.select("ruleId", "level", "message", "uri", F.col("region.startLine").alias("start_line"), F.col("region.startColumn").alias("start_column"), F.col("region.endColumn").alias("end_column"))
 
 
+@query(
+    f"""WITH {_ANOMALIES}, l AS (
+  SELECT doc_id, '{{"ruleId":"UCG.' || anomaly_type || '","level":"' || CASE severity WHEN 'ERROR' THEN 'error' ELSE 'warning' END || '","message":{{"text":"' || anomaly_type || ': doc ' || doc_id ||
+    '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || doc_id || '"}},"region":{{"startLine":' || (n_chars + 1) || ',"startColumn":4,"endLine":' || (n_chars + 1) || ',"endColumn":10}}}}}}],"properties":{{"timestamp":""}}}}' AS j
+  FROM an WHERE severity IN ('ERROR', 'WARN'))
+SELECT CASE WHEN row_number() OVER (ORDER BY doc_id, j) = 1 THEN '' ELSE ',' END || j AS value FROM l
+UNION ALL SELECT '{{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{{"tool":{{"driver":{{"name":"sourceloom","rules":[' ||
+  (SELECT string_agg('{{"id":"UCG.' || anomaly_type || '"}}', ',' ORDER BY anomaly_type) FROM (SELECT DISTINCT anomaly_type FROM an WHERE severity IN ('ERROR', 'WARN'))) || ']}}}},"results":['
+UNION ALL SELECT ']}}]}}'"""
+)
+def sarif_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the document; without the time of day, which depends on the session's zone."""
+    lines = report.sarif_parts(report.sarif_results(stored_anomalies(spark, sf_dir), ["ERROR", "WARN"]))
+    value = F.regexp_replace("value", r'"timestamp":"[^"]*"', '"timestamp":""')
+    return lines.select(value.alias("value"))
+
+
 @query(
     f"WITH {_METRICS} SELECT (SELECT count(*) FROM documents) AS files, (SELECT array_to_string(list_sort(list_distinct(list(lang))), ',') FROM documents) AS languages, "
     "trunc(quantile_cont(parse_time_ms, 0.5))::BIGINT AS parse_ms_p50, trunc(quantile_cont(parse_time_ms, 0.95))::BIGINT AS parse_ms_p95, coalesce(sum(node_count), 0)::BIGINT AS node_count, "

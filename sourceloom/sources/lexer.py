@@ -52,6 +52,7 @@ _LONG = {q: re.compile(rf"[^{q}\\]*(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^{q}\\]*)*\\?")
 _TEMPLATE = re.compile(r"[^`\\$]*(?:(?:\\[\s\S]|\$(?!\{))[^`\\$]*)*\\?")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _ELEMENT = re.compile(r"<(?![\w$]+\s+extends\b)(?:[A-Za-z_$][\w$.:-]*[\s/>{]|>)")
+_TAG_STOP, _TEXT_STOP = re.compile(r"[\"'{>]|/>"), re.compile(r"[<{]")
 _LAST_WORD = re.compile(r"[\w$]+\Z")
 #: Words after which a value begins.
 _BEFORE_VALUES = frozenset("await case delete do else extends in instanceof new of return throw typeof void yield".split())
@@ -176,7 +177,7 @@ class Machine:
                 put(_STRING if begun else _MORE, at, n if end < 0 else end + 1)
                 at, mode, begun = (n, mode, False) if end < 0 else (end + 1, _TAG, False)
             elif mode == _TAG:
-                found = re.compile(r"[\"'{>]|/>").search(text, at)
+                found = _TAG_STOP.search(text, at)
                 end = found.start() if found else n
                 put(_CODE, at, end)
                 at = end
@@ -197,7 +198,7 @@ class Machine:
                     put(_CODE, at, at + 2)
                     at, mode = at + 2, _ELEMENTS[stack.pop()] if stack and stack[-1] in _ELEMENTS else _AFTER
             elif mode == _TEXT:
-                found = re.compile(r"[<{]").search(text, at)
+                found = _TEXT_STOP.search(text, at)
                 end = found.start() if found else n
                 put(_ELEMENT_TEXT, at, end)
                 at = end
@@ -289,7 +290,7 @@ def _machine(path: str | None, language: str | None, text: str) -> Machine:
 
 
 def _each(batches: Iterator[pa.RecordBatch], columns: list[str], schema: pa.Schema, one) -> Iterator[pa.RecordBatch]:
-    """Rows made by ``one`` of each row's columns, a batch for each row that is long."""
+    """The rows that ``one`` makes of each row's columns; batches are bounded by their bytes."""
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
         made = [row for x in rows for row in one(*x)]

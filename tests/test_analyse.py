@@ -84,7 +84,7 @@ def test_anomalies_metrics_report_and_sarif(kept):
     assert metrics["a.py"].effect_count == 2 and metrics["a.py"].node_count > 10 and metrics["empty.py"].node_count == 1
     row = analyse.run_report({t: kept.read(t) for t in store.TABLES}, "repo", "one").first()
     assert (row.files, row.languages, row.node_count) == (4, ["python", "typescript"], sum(m.node_count for m in metrics.values()))
-    doc = json.loads(report.sarif_document(report.sarif_results(kept.read("anomalies"), ["WARN", "ERROR"])).first().sarif)
+    doc = json.loads("".join(r.value for r in report.sarif_parts(report.sarif_results(kept.read("anomalies"), ["WARN", "ERROR"])).orderBy("nth").collect()))
     assert {r["ruleId"] for r in doc["runs"][0]["results"]} == {"UCG.PARSE_ERROR", "UCG.PARTIAL_PARSE"}
 
 
@@ -160,6 +160,30 @@ def test_a_stream_killed_between_the_commits_changes_nothing_twice(spark, tmp_pa
     assert Counter(r.path for r in s.read("anomalies").collect()) == {"a": 2, "b": 1}
 
 
+def test_known_files_are_not_analysed_again(spark, tmp_path):
+    source, s = str(tmp_path / "in"), store.Store(spark, f"file://{tmp_path}/store")
+    schema = "repo_id string, run_id string, path string, blob_sha256 string"
+    analysed = []
+
+    def tables(b):
+        analysed.extend((r.path, r.blob_sha256) for r in b.collect())
+        return {"files": b.withColumn("rel_path", F.col("path")), "metrics": b.withColumns({"cache_state": F.lit("miss"), "node_count": F.lit(5), "ts": F.current_timestamp()})}
+
+    def run(rows, fingerprint=None, **options):
+        analysed.clear()
+        spark.createDataFrame([("r", "1", *r) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        incremental.follow_cached(spark.readStream.schema(schema).parquet(source), s, tables, str(tmp_path / "ck"), fingerprint, **options).awaitTermination(40)
+        return sorted(analysed)
+
+    both = [("a", "s1"), ("b", "s2")]
+    assert run(both) == both
+    assert run(both) == [] and {(r.path, r.cache_state, r.node_count) for r in s.read("metrics").collect()} == {("a", "hit", 5), ("b", "hit", 5)}
+    assert s.read("files").count() == 2
+    assert run([("a", "s3"), ("b", "s2")]) == [("a", "s3")]
+    assert {(r.path, r.blob_sha256, r.cache_state) for r in s.read("metrics").collect()} == {("a", "s1", "hit"), ("a", "s3", "miss"), ("b", "s2", "hit")}
+    assert run([("a", "s3"), ("b", "s2")], "other patterns") == [("a", "s3"), ("b", "s2")]
+
+
 # --------------------------------------------------------------------- status
 
 

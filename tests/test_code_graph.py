@@ -85,8 +85,9 @@ def test_links(spark, tmp_path):
     got = decide(spark, str(root))
     assert got == {"x.py": "symlink_out_of_root", "gone.py": "unreadable", "again.py": "supported", "in.py": "supported"}
     assert files.scan_tree(spark, str(root)).filter("rel_path = 'x.py'").first().text is None
+    assert files.scan_tree(spark, str(root)).filter("rel_path = 'x.py'").first().read_error is False
     with pytest.raises(ValueError):
-        files.list_tree(str(root / "none"))
+        files.list_tree(spark, str(root / "none"))
 
 
 def test_binary_and_encodings(spark, tmp_path):
@@ -94,13 +95,48 @@ def test_binary_and_encodings(spark, tmp_path):
     scanned = files.scan_tree(spark, root, max_bytes=400)
     got = {r.rel_path: r.text for r in scanned.collect()}
     assert got == {"a.py": "x = 1", "b.py": None, "c.py": "é = 1", "d.py": "h = 'é'", "e.png": None, "f.py": None, "g.py": "k = 'é'", "h.py": None, "i.py": "ok " * 40}
-    assert files.read_anomalies(scanned).count() == 0 and files.walk_anomalies(spark, root).count() == 0
+    assert files.read_anomalies(scanned).count() == 0 and files.walk_anomalies(files.list_tree(spark, root)).count() == 0
     small = {r.rel_path: (r.text, r["size"], r.read_error) for r in files.scan_tree(spark, root, max_bytes=10).collect()}
     assert small["i.py"] == (None, 120, False) and small["a.py"][0] == "x = 1"
     made = report.discovery_report(discovery.decide(scanned), discovery.anomalies(discovery.decide(scanned))).first()
     assert made.tallies.files_seen == 9 and made.tallies.supported == 8
 
 
+def closed_folder(path):
+    if path.endswith("/closed"):
+        raise PermissionError(13, "Permission denied", path)
+    import os
+
+    return os.scandir(path)
+
+
+def closed_file(path):
+    if path.endswith("closed.py"):
+        raise PermissionError(13, "Permission denied", path)
+    assert not path.endswith((".md", "skip.py"))  # passed over by their paths: never opened
+    return files.read_bytes(path)
+
+
+def test_what_cannot_be_listed_or_read_is_an_anomaly(spark, tmp_path):
+    root = tree(tmp_path, {"a/b/c/d.py": "x = 1\n", "a/closed.py": "s", "closed/e.py": "e", "z.md": "m", "drop/skip.py": "n", "top.py": "t = 1\n", **{f"many/f{i}.py": "f()\n" for i in range(60)}})
+    (tmp_path / "loop").symlink_to(tmp_path)
+    listing = files.list_tree(spark, root, closed_folder)
+    assert listing.filter("kind = 'folder'").count() == 7 and listing.filter("kind = 'file'").count() == 65
+    assert [(r.path, r.anomaly_type) for r in files.walk_anomalies(listing).collect()] == [("closed", "PERMISSION_DENIED")]
+    options = discovery.Options(deny=("drop/**",))
+    scanned = files.scan_tree(spark, root, options=options, listing=listing, opener=closed_file)
+    got = {r.rel_path: (r.text, r.read_error) for r in scanned.collect()}
+    assert got["a/closed.py"] == (None, True) and got["a/b/c/d.py"] == ("x = 1\n", False) and got["z.md"] == got["drop/skip.py"] == (None, False) and got["many/f7.py"][0] == "f()\n"
+    found = [tuple(r) for r in files.read_anomalies(scanned).collect()]
+    assert [r[:3] for r in found] == [("a/closed.py", "READ_ERROR", "ERROR")] and found[0][3].startswith("Could not read: PermissionError")
+    decided = discovery.decide(scanned, options)
+    made = report.discovery_report(decided, discovery.anomalies(decided).union(files.walk_anomalies(listing)), listing.filter("kind = 'folder'").count()).first()
+    assert (made.tallies.dirs_seen, made.tallies.files_seen, made.tallies.skipped_deny_glob, made.tallies.skipped_unsupported) == (7, 65, 1, 1)
+    report.save_json(report.discovery_report(decided, discovery.anomalies(decided)), f"file://{tmp_path}/report")
+    written = json.loads("".join(p.read_text() for p in (tmp_path / "report").glob("part-*")))
+    assert written["tallies"]["parse_candidates"] == written["tallies"]["supported"] == 63
+
+
 # ------------------------------------------------------------------------ text
 
 
@@ -299,10 +335,24 @@ def test_percentiles_and_report(spark):
     assert states.agg(report.hit_ratio()).first()[0] == 0.5
 
 
-def test_sarif(spark):
+def document(results, folder):
+    """The written parts of a document, joined in the order of their names."""
+    report.save_sarif(results, f"file://{folder}")
+    return json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+
+
+def test_sarif_of_many_ties_and_of_none(spark, tmp_path):
+    rows = spark.range(500).selectExpr("'p' path", "'X' anomaly_type", "'WARN' severity", "IF(id < 400, NULL, 'd') reason_detail", "CAST(id % 3 AS INT) ts", "CAST(NULL AS array<struct<line_start:int,col_start:int,line_end:int,col_end:int>>) spans", "'s' blob_sha256").repartition(7)
+    found = document(report.sarif_results(rows, ["WARN"]), tmp_path / "many")["runs"][0]["results"]
+    assert len(found) == 500 and [r["properties"]["timestamp"] for r in found] == sorted(r["properties"]["timestamp"] for r in found)
+    assert {r["message"]["text"] for r in found} == {"X:", "X: d"} and found[0]["properties"]["blob_sha256"] == "s"
+    assert document(report.sarif_results(rows, ["ERROR"]), tmp_path / "none")["runs"][0]["results"] == []
+
+
+def test_sarif(spark, tmp_path):
     rows = [("p", "X", "WARN", "m", 2, [(0, 4, 1, 2)]), ("q", "Y", "ERROR", "n", 1, None), ("r", "Z", "INFO", "o", 0, None)]
     df = spark.createDataFrame(rows, "path string, anomaly_type string, severity string, reason_detail string, ts long, spans array<struct<line_start:int,col_start:int,line_end:int,col_end:int>>")
-    doc = json.loads(report.sarif_document(report.sarif_results(df, ["WARN", "ERROR"])).first().sarif)
+    doc = document(report.sarif_results(df, ["WARN", "ERROR"]), tmp_path / "two")
     results = doc["runs"][0]["results"]
     assert [r["ruleId"] for r in results] == ["UCG.Y", "UCG.X"] and [r["id"] for r in doc["runs"][0]["tool"]["driver"]["rules"]] == ["UCG.X", "UCG.Y"]
     assert results[1]["locations"][0]["physicalLocation"]["region"] == {"startLine": 1, "startColumn": 5, "endLine": 2, "endColumn": 3}
@@ -367,3 +417,25 @@ def test_imports_over_many_lines(spark):
     assert got[0] == [("a.b", n, f"m_{n}", "named") for n in names] and got[1] == [("os", None, "os", "module")]
     assert got[3] == [("m", "default", "D", "default")] + [("m", n, f"m_{n}", "named") for n in names]
     assert got[4] == [("https://q", "a", "a", "named")] and [x[:3] for x in got[5]] == [("t", "T", "T")]
+
+
+@pytest.mark.parametrize("name", ["koi8-r", "windows-1251", "shift_jis", "euc_jp", "iso-8859-1"])
+def test_encodings_are_told_apart(spark, tmp_path, name):
+    from sourceloom.code_queries import ENCODED
+    from sourceloom.sources import encodings
+
+    sample = dict(ENCODED)[name]
+    assert encodings.detect((sample * 2).encode(name))[0] == name
+    code = "".join(f"def function_number_{i}(argument, other=None):  # {sample[:14]}\n    return argument + {i} * (other or 0)\n" for i in range(12))
+    root = tree(tmp_path, {"a.py": code.encode(name), "b.py": sample[:20].encode(name)})
+    got = {r.rel_path: r.text for r in files.scan_tree(spark, root).collect()}
+    assert got["a.py"] == code and got["b.py"] == sample[:20].encode(name).decode("latin-1")
+
+
+def test_encodings_of_odd_bytes():
+    from sourceloom.sources import encodings
+
+    assert encodings.detect(b"") == ("utf-8", 1.0) and encodings.detect(b"abc\xe9")[0] == "iso-8859-1" and encodings.detect(b"\xff\xfea\x00")[0] == "utf-16-le" and encodings.detect(b"\xef\xbb\xbfa")[0] == "utf-8-sig"
+    assert encodings.detect(bytes(range(256)) * 4)[0] in encodings.ENCODINGS
+    assert encodings.detect("é".encode() * 40_000)[0] == "utf-8"  # a sample that cuts a letter
+    assert encodings.detect(("x='é'\n" * 40).encode("latin-1"))[0] == "iso-8859-1"
