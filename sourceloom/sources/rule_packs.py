@@ -68,6 +68,7 @@ class Registry:
     def __init__(self) -> None:
         self.packs: dict[str, dict] = {}
         self._times: dict[str, float] = {}
+        self._files: dict[str, float] = {}
 
     def load(self, path: str | Path) -> list[str]:
         """Register a valid pack; the errors of an invalid one."""
@@ -86,6 +87,16 @@ class Registry:
             return False
         return not self.load(path)
 
+    def refresh(self, folder: str | Path = BUILT_IN) -> list[str]:
+        """Load the packs of a folder that are new or newer than what is held; their files' names."""
+        found = []
+        for path in sorted(Path(folder).iterdir()):
+            if path.suffix in (".yaml", ".yml", ".json") and path.stat().st_mtime > self._files.get(str(path), float("-inf")):
+                self._files[str(path)] = path.stat().st_mtime
+                if not self.load(path):
+                    found.append(path.name)
+        return found
+
     def table(self, spark: SparkSession, names: list[str] | None = None) -> DataFrame:
         """One row per pattern of the named packs, or of all."""
         rows = []

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,10 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sourceloom.plans.analyse import Analysis
+from sourceloom.operators.discovery import Options
+from sourceloom.plans.analyse import Analysis, analyse
 from sourceloom.plans.staging import discard, stage_table
 from sourceloom.plans.store import Store, conform
 from sourceloom.sources import captures
+from sourceloom.sources.rule_packs import Registry
 
 CACHE_KEY = ("path", "blob_sha256", "grammar_fp", "query_fp")
 
@@ -25,7 +28,20 @@ def split_cached(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(known, list(CACHE_KEY), "left").withColumn("cache_state", F.when(F.col("_known"), "hit").otherwise("miss")).drop("_known")
 
 
-def follow(files: DataFrame, store: Store, analyse: Callable[[DataFrame], dict[str, DataFrame] | Analysis], checkpoint: str, **trigger) -> StreamingQuery:
+def analysing(registry: Registry, folder: str | Path, repo_id: str, run_id: str, packs: Sequence[str] | None = None, options: Options = Options()) -> Callable[[DataFrame], Analysis]:
+    """What ``follow`` needs: the whole analysis of a batch (path, text, ...), with the rule packs as they are then.
+
+    Packs that have been changed, or are new in ``folder``, hold from the next batch on.
+    """
+
+    def run(rows: DataFrame) -> Analysis:
+        registry.refresh(folder)
+        return analyse(rows.drop("repo_id", "run_id").withColumnRenamed("path", "rel_path"), registry.table(rows.sparkSession), repo_id, run_id, packs, options)
+
+    return run
+
+
+def follow(files: DataFrame, store: Store, tables_of: Callable[[DataFrame], dict[str, DataFrame] | Analysis], checkpoint: str, **trigger) -> StreamingQuery:
     """Analyse each micro-batch of changed files (repo_id, run_id, path, ...) and put its tables into the store.
 
     The batch's files replace their old rows in all tables, also where the new
@@ -38,7 +54,7 @@ def follow(files: DataFrame, store: Store, analyse: Callable[[DataFrame], dict[s
     def batch(rows: DataFrame, number: int) -> None:
         if store.holds((checkpoint, number)):
             return
-        made = analyse(rows)
+        made = tables_of(rows)
         tables, looked = (made.tables, made.files) if isinstance(made, Analysis) else (made, rows)
         store.put_all(tables, files=looked, batch=(checkpoint, number))
         if isinstance(made, Analysis):
@@ -78,7 +94,7 @@ def with_cache_state(files: DataFrame, fingerprint: str, keep_ms: int = KEEP_MS)
     return keyed.applyInPandasWithState(look, schema, "blob_sha256 string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def follow_cached(files: DataFrame, store: Store, analyse: Callable[[DataFrame], dict[str, DataFrame] | Analysis], checkpoint: str, fingerprint: str | None = None, keep_ms: int = KEEP_MS, **trigger) -> StreamingQuery:
+def follow_cached(files: DataFrame, store: Store, tables_of: Callable[[DataFrame], dict[str, DataFrame] | Analysis], checkpoint: str, fingerprint: str | None = None, keep_ms: int = KEEP_MS, **trigger) -> StreamingQuery:
     """Like ``follow``, but files whose content is known under the patterns' fingerprint aren't analysed again.
 
     Their newest metrics are marked as a hit instead.  A change of the patterns
@@ -89,7 +105,7 @@ def follow_cached(files: DataFrame, store: Store, analyse: Callable[[DataFrame],
         if store.holds((checkpoint, number)):
             return
         held = stage_table(rows, "changed-files")  # the state is asked once
-        made = analyse(held.filter("cache_state = 'miss'").drop("cache_state"))
+        made = tables_of(held.filter("cache_state = 'miss'").drop("cache_state"))
         tables, looked = (made.tables, made.files) if isinstance(made, Analysis) else (made, held.filter("cache_state = 'miss'"))
         hits = held.filter("cache_state = 'hit'").select("repo_id", "run_id", "path", "blob_sha256").distinct()
         known = store.read("metrics").drop("cache_state", "ts").join(hits, ["repo_id", "run_id", "path", "blob_sha256"])

@@ -184,6 +184,28 @@ def test_known_files_are_not_analysed_again(spark, tmp_path):
     assert run([("a", "s3"), ("b", "s2")], "other patterns") == [("a", "s3"), ("b", "s2")]
 
 
+def test_packs_changed_between_batches_hold_from_the_next_one(spark, tmp_path):
+    import os
+
+    packs, source = tmp_path / "packs", str(tmp_path / "in")
+    packs.mkdir()
+
+    def pack(callee, at):
+        rule = {"id": "r", "effect_kind": "cache", "provider": "x", "patterns": [{"kind": "call", "callee": callee}]}
+        (packs / "p.json").write_text(json.dumps({"name": "p", "rules": [rule]}))
+        os.utime(packs / "p.json", (at, at))
+
+    s, registry = store.Store(spark, f"file://{tmp_path}/store"), rule_packs.Registry()
+    schema = "path string, text string"
+    for n, callee in enumerate(("one", "two")):
+        pack(callee, 1e9 + n)
+        spark.createDataFrame([(f"{n}.py", "one(1)\ntwo(2)\n")], schema).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(schema).parquet(source)
+        incremental.follow(rows, s, incremental.analysing(registry, packs, "r", "1"), str(tmp_path / "ck")).awaitTermination(180)
+    assert {(r.path, r.spans[0].line_start) for r in s.read("effects").collect()} == {("0.py", 0), ("1.py", 1)}
+    assert registry.refresh(packs) == []
+
+
 # --------------------------------------------------------------------- status
 
 
