@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import text as T
 from sourceloom.operators import discovery, graph
+from sourceloom.plans.staging import stage_table
 from sourceloom.queries import query, table
 from sourceloom.sources import captures, encodings
 from sourceloom.sources.rule_packs import Registry
@@ -162,7 +163,7 @@ _CALLS = [
 def capture_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls with their texts, cut out of the files by their byte spans, and their arguments."""
     files = source_files(spark, sf_dir)
-    groups = captures.call_groups(captures.lines(files))
+    groups = captures.call_groups(*captures.read(files).stages)
     text = F.decode(F.substr(F.encode("text", "UTF-8"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
     return groups.join(files.select("path", "text"), "path").select("path", "callee", text.alias("preview"), F.array_join("args", "|").alias("args"))
 
@@ -172,7 +173,7 @@ _TEXTS = [(0, '"/parts/{id}/@z/"'), (0, '"@b"'), (0, '"SELECT * FROM t@z"'), (1,
 
 @query(_by_shape("kind text size", [(s, "'lit.template'" if t[0] == "`" else "'lit.string'", _q(t), f"octet_length(encode({_q(t)}))::BIGINT") for s, t in _TEXTS]))
 def capture_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captures.literals(captures.lines(source_files(spark, sf_dir))).select("path", "kind", "text", (F.col("end") - F.col("start")).alias("size"))
+    return captures.literals(stage_table(captures.lines(source_files(spark, sf_dir)), "lines")).select("path", "kind", "text", (F.col("end") - F.col("start")).alias("size"))
 
 
 _BINDINGS = [(0, "m@z", None, "s", "module"), (0, "os", None, "os", "module"), (0, "pkg.x@z", "a", "b", "named"), (0, "pkg.x@z", "c", "c", "named"), (1, "os", None, "os", "module"), (2, "m@z", "default", "D", "default"), (2, "m@z", "a", "b@z", "named"), (3, "m@z", "*", "*", "star"), (3, "a", "n@k", "q", "named"), (3, "a", "r", "r", "named")]
@@ -367,7 +368,7 @@ _HARD_CALLS = [
 def lexer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls in holes of templates, after regular expressions, escapes and strings over lines, and between elements' texts."""
     files = hard_files(spark, sf_dir)
-    return _cut(files, captures.call_groups(captures.lines(files)), "preview").select("path", "callee", "preview", F.array_join("args", "|").alias("args"))
+    return _cut(files, captures.call_groups(*captures.read(files).stages), "preview").select("path", "callee", "preview", F.array_join("args", "|").alias("args"))
 
 
 _HARD_TEXTS = [
@@ -379,7 +380,7 @@ _HARD_TEXTS = [
 @query(_hard("kind text", _HARD_TEXTS))
 def lexer_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = hard_files(spark, sf_dir)
-    return _cut(files, captures.literals(captures.lines(files)).drop("text"), "text").select("path", "kind", "text")
+    return _cut(files, captures.literals(stage_table(captures.lines(files), "lines")).drop("text"), "text").select("path", "kind", "text")
 
 
 _HARD_DEFS = [
@@ -393,7 +394,7 @@ _HARD_DEFS = [
 def lexer_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods with types, signatures of interfaces and abstract methods, and where they begin and end."""
     files = hard_files(spark, sf_dir)
-    found = _cut(files, captures.definitions(captures.lines(files)), "whole")
+    found = _cut(files, captures.definitions(*captures.read(files).stages), "whole")
     signature = graph.signature(F.col("header"), F.col("language"), None, F.col("params"))
     begins = F.when(F.col("language") == "javascript", F.regexp_extract("whole", r"^[^)]*\)", 0)).otherwise(F.left("whole", F.lit(14)))
     return found.select("path", "name", signature.alias("signature"), begins.alias("begins"), F.right("whole", F.lit(2)).alias("ends"))
@@ -424,7 +425,8 @@ def forest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened, closed = F.col("p_size"), (F.col("p_partkey") % 7).cast("int")
     text = F.concat(F.repeat(F.lit("f("), opened), F.lit("x"), F.repeat(F.lit(")"), closed))
     rows = captures.lines(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("python").alias("language"), text.alias("text")))
-    found = captures.tokens(rows)
+    rows = stage_table(rows, "lines")
+    found = stage_table(captures.tokens(rows), "tokens")
     return captures.forest(rows, found, captures.brackets(found)).select(F.col("path").cast("long").alias("p_partkey"), F.col("nodes").cast("int").alias("nodes"), F.col("errors").cast("long").alias("errors"))
 
 

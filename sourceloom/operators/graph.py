@@ -108,10 +108,9 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
         stages.append(stage_table(df, name))
         return stages[-1]
 
-    rows = staged(captures.lines(files), "lines")
-    found = staged(captures.tokens(rows), "tokens")
-    pairs = staged(captures.brackets(found), "brackets")
-    own = staged(captures.members(found, pairs), "members")
+    made = captures.read(files)
+    stages += made.stages
+    rows, found, pairs, own = made.stages
     sizes = rows.groupBy("path").agg(F.max("byte_end").alias("file_end"))
     span = ids.span_key(F.col("path"), F.col("start"), F.col("end"))
     nothing = F.lit(None).cast("string")
@@ -123,7 +122,7 @@ def build(files: DataFrame, rules: DataFrame, packs: list[str] | None = None) ->
         return kept.drop("place")
 
     # definitions and their scopes
-    defs = capped(captures.definitions(rows, found, pairs, own), "defs").withColumn("def_key", F.concat_ws("#", span, "name"))
+    defs = staged(capped(captures.definitions(rows, found, pairs, own), "defs"), "heads").withColumn("def_key", F.concat_ws("#", span, "name"))
     bare = defs.select("path", "start", "end", "def_key", "name")
     chain = intervals.chains(bare, ["path"], "def_key", F.col("name"), bins=BIN_BYTES)
     parent = intervals.parents(bare.drop("name"), ["path"], "def_key", BIN_BYTES)

@@ -11,6 +11,7 @@ joins by path and line.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions import fixed
 from sourceloom.functions.text import latest
 from sourceloom.operators.intervals import islands
+from sourceloom.plans.staging import stage_table
 from sourceloom.sources import lexer
 
 #: A line that begins with one of these goes on with a string.
@@ -46,6 +48,28 @@ def fingerprint() -> str:
     return hashlib.sha256("".join(f"{p}\0" for p in parts).encode()).hexdigest()
 
 
+@dataclass(frozen=True)
+class Read:
+    """What all captures of some files are made from, each a stage table."""
+
+    lines: DataFrame
+    tokens: DataFrame
+    brackets: DataFrame
+    members: DataFrame
+
+    @property
+    def stages(self) -> list[DataFrame]:
+        return [self.lines, self.tokens, self.brackets, self.members]
+
+
+def read(files: DataFrame) -> Read:
+    """Lines, tokens, brackets and members of (path, language, text), written once: the text is gone through once."""
+    rows = stage_table(lines(files), "lines")
+    found = stage_table(tokens(rows), "tokens")
+    pairs = stage_table(brackets(found), "brackets")
+    return Read(rows, found, pairs, stage_table(members(found, pairs), "members"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """The lines of (path, language, text).
 
