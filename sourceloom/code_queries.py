@@ -317,10 +317,18 @@ interface I {
   n(): string
 }
 const z = y ? f(@z) : { a: 1 };
+const c = items
+  .map<U@k, Array<T>>(one)
+  ?.filter(two, ...rest(@z));
+o?.p?.(5)
 ''',
     r'''x = """a@z\\"""
 f@k(1)
 s = 'it\'s' + g(r"\\", 2)  # "h(3)
+t = (df@k.a
+    .select(1)  # .b(2)
+
+    .where(3))
 def m(a, b=(1, (2, (3, (4, (5, 6)))))):
     return i(@z)
 ''',
@@ -359,6 +367,7 @@ def _cut(files: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 _HARD_CALLS = [
     (0, "init@z", "init@z(a)", "a"), (0, "g", "g(`a ${h@z(x)} ${`n ${i(2)}`}`)", "`a ${h@z(x)} ${`n ${i(2)}`}`"), (0, "s", "s(1, [2, {b: (3)}])", "1|[2, {b: (3)}]"), (0, "test", ".test(t@k(a))", "t@k(a)"), (0, "w", "w(4)", "4"),
     (0, "k", 'k("a\\\nb")', '"a\\\nb"'), (0, "l", "l(`C:\\\\`)", "`C:\\\\`"), (0, "f", "f(@z)", "@z"),
+    (0, "items.map", "items\n  .map<U@k, Array<T>>(one)\n  ?.filter(two, ...rest(@z))", "one"), (0, "o.p", "o?.p?.(5)", "5"), (1, "df@k.a.select", "df@k.a\n    .select(1)  # .b(2)\n\n    .where(3)", "1"),
     (1, "f@k", "f@k(1)", "1"), (1, "g", 'g(r"\\\\", 2)', 'r"\\\\"|2'), (1, "i", "i(@z)", "@z"),
     (2, "c", "c(1)", "1"), (2, "f@z", "f@z(2)", "2"), (2, "g", "g(4)", "4"), (2, "h@k", "h@k(5)", "5"),
 ]
@@ -366,7 +375,7 @@ _HARD_CALLS = [
 
 @query(_hard("callee preview args", _HARD_CALLS))
 def lexer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls in holes of templates, after regular expressions, escapes and strings over lines, and between elements' texts."""
+    """Calls over lines, in holes of templates, after regular expressions, escapes and strings over lines, and between elements' texts."""
     files = hard_files(spark, sf_dir)
     return _cut(files, captures.call_groups(*captures.read(files).stages), "preview").select("path", "callee", "preview", F.array_join("args", "|").alias("args"))
 

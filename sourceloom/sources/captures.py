@@ -28,8 +28,20 @@ _WITHIN = f"^[{lexer.CONTINUED}{lexer.HOLE_END}]"
 _MARKS = f"{lexer.HOLE_END}[{lexer.FILLED}{lexer.CONTINUED}]*+{lexer.HOLE}?|[{lexer.FILLED}{lexer.CONTINUED}]++{lexer.HOLE}?"
 
 _NAME = r"[A-Za-z_$][\w$]*+"
-#: The name of a call, or the methods called on a value: what stands before an opening parenthesis.
-_CALLEE = rf"(?<![\w$.\u0002\u0003])(?<!\b(?:def|class|function)\s{{1,8}})(?<!\bfunction\s{{0,8}}\*\s{{0,8}}){_NAME}(?:\s*\.\s*{_NAME})*+(?=\s*\()|(?<=[)\]\u0002\u0003\u0006])(?:\s*\.\s*{_NAME})++(?=\s*\()"
+_LINK = rf"\s*\??\.\s*{_NAME}"
+#: Type arguments three deep, on one line; function types in them have no brackets in their parameters.
+_TYPE = r"[\w$ .,\[\]{}:?\u0002\u0003]|\|(?!\|)|&(?!&)|\([^()<>]*+\)\s*+=>"
+_TYPES = rf"<(?:{_TYPE}|<(?:{_TYPE}|<(?:{_TYPE})*+>)*+>)*+>"
+#: What may stand between a callee and its parenthesis.
+_TO_PAREN = rf"\s*(?:\?\.\s*)?(?:{_TYPES}\s*)?"
+_CALLED = rf"(?={_TO_PAREN}\()"
+#: The name of a call, or the methods called on a value, maybe of the line before: what stands before an opening parenthesis.
+_CALLEE = (
+    rf"(?<![\w$\u0002\u0003])(?<!(?<!\.\.)\.)(?<!\b(?:def|class|function)\s{{1,8}})(?<!\bfunction\s{{0,8}}\*\s{{0,8}}){_NAME}(?:{_LINK})*+{_CALLED}"
+    rf"|(?<=[)\]\u0002\u0003\u0006])(?:{_LINK})++{_CALLED}|^(?:{_LINK})++{_CALLED}"
+)
+#: Names at the end of a line, on which the next one may call methods.
+_CHAIN = rf"(?<![\w$.\u0002\u0003]){_NAME}(?:{_LINK})*+$"
 _WORDS = tuple(dict.fromkeys((*fixed.PY_KEYWORDS, *fixed.JS_KEYWORDS)))
 _HEADS = ("class", "interface")
 _TOKEN = _CALLEE + rf"|(?<![\w$.])(?:{'|'.join((*_WORDS, *_HEADS))})(?![\w$])|[()\[\]{{}},;]|{_MARKS}"
@@ -44,7 +56,7 @@ _NOT_CALLS = (
 
 def fingerprint() -> str:
     """A hash of the patterns: results that are kept by it are made anew when they change."""
-    parts = (lexer.VERSION, _TOKEN, _LEAD, _PY_DEF, _PY_CLASS, _JS_DEF, _JS_CLASS, *_NOT_CALLS)
+    parts = (lexer.VERSION, _TOKEN, _CHAIN, _LEAD, _PY_DEF, _PY_CLASS, _JS_DEF, _JS_CLASS, *_NOT_CALLS)
     return hashlib.sha256("".join(f"{p}\0" for p in parts).encode()).hexdigest()
 
 
@@ -75,7 +87,8 @@ def lines(files: DataFrame) -> DataFrame:
 
     line_no (from 0), line, code, plain (without comments), char_start,
     byte_start, byte_end, indent (null where no statement can begin), depth (open
-    braces before, in Python brackets of all kinds), opened.
+    braces before, in Python brackets of all kinds), opened, above (where the code
+    before the line ends, and the names that it ends with).
     """
     python = F.col("language") == "python"
     split = {"line": "text", "code": "code", "plain": "plain"}
@@ -95,7 +108,9 @@ def lines(files: DataFrame) -> DataFrame:
     })
     apart = ~python | (F.col("depth") <= 0) | F.col("code").rlike(r"^\s*(?:(?:async\s+)?def|class)\s")  # a bracket may be left open
     begins = (F.trim("code") != "") & ~F.col("code").rlike(_WITHIN) & apart
-    return rows.withColumns({
+    code = F.regexp_replace("code", r"[\s\\]+$", "")
+    ended = F.when(code != "", F.struct((F.col("char_start") + F.length(code)).alias("at"), (F.col("byte_start") + F.octet_length(F.left("line", F.length(code)))).alias("byte"), "line_no", F.regexp_extract(code, _CHAIN, 0).alias("chain")))
+    return rows.withColumn("above", F.last(ended, ignorenulls=True).over(before)).withColumns({
         "byte_end": F.col("byte_start") + F.octet_length("line"),
         "indent": F.when(begins, F.length(F.regexp_extract("code", r"^[ \t]*", 0))),
     })
@@ -108,20 +123,31 @@ def tokens(table: DataFrame) -> DataFrame:
     parenthesis follows), open (its place), next (the character after the token
     and white space), prior (the visible one before it on its line), base (it follows
     ``extends``), lead (size of the modifiers before it), begins (a member may begin
-    there), abstract (one of the modifiers says so).
+    there), abstract (one of the modifiers says so).  Methods that are called at the
+    beginning of a line stand with the names before them, where the code above ends.
     """
     zipped = F.arrays_zip(F.regexp_extract_all("code", F.lit(_TOKEN), F.lit(0)).alias("token"), F.split("code", _TOKEN, -1).alias("before"))
-    parts = table.select("path", "language", "line_no", "line", "code", "char_start", "byte_start", F.posexplode(zipped).alias("nth", "z")).filter("z.token IS NOT NULL")
+    parts = table.select("path", "language", "line_no", "line", "code", "char_start", "byte_start", "above", F.posexplode(zipped).alias("nth", "z")).filter("z.token IS NOT NULL")
     along = Window.partitionBy("path", "line_no").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("z.token")
     parts = parts.withColumn("offset", (F.sum(F.length("z.before") + size).over(along) - size).cast("int"))
     rest = F.substr("code", F.col("offset") + size + 1)
-    spaces = F.length(F.regexp_extract(rest, r"^\s*", 0))
-    left, script = F.left("code", F.col("offset")), (F.col("language") != "python") & rest.rlike(r"^\s*\(")
+    blank = F.regexp_extract(rest, r"^\s*", 0)
+    to_paren = F.when(F.col("language") == "typescript", F.regexp_extract(rest, rf"^{_TO_PAREN}(?=\()", 0)).when(F.col("language") != "python", F.regexp_extract(rest, r"^\s*(?:\?\.\s*)?(?=\()", 0)).otherwise(blank)
+    spaces = F.length(F.when(F.col("z.token").rlike(r"[\w$]$"), F.greatest(to_paren, blank)).otherwise(blank))
+    then = F.left(F.substr(rest, spaces + 1), F.lit(1))
+    left, script = F.left("code", F.col("offset")), (F.col("language") != "python") & (then == "(")
+    hangs = F.col("above").isNotNull() & (F.col("offset") == 0) & F.col("z.token").rlike(r"^\s*\??\.")
+    chain = F.col("above.chain")
+
+    def placed(own: Column, name: str) -> Column:
+        """A place in the file, that of the chain for what hangs on the line above."""
+        return F.when(hangs, F.col(f"above.{name}") - F.octet_length(chain)).otherwise(own)
+
     return parts.select(
-        "path", "language", "line_no", F.col("z.token").alias("token"), (F.col("char_start") + F.col("offset")).alias("start"),
-        (F.col("byte_start") + F.octet_length(F.left("line", F.col("offset")))).alias("byte"), rest.rlike(r"^\s*\(").alias("paren"),
-        (F.col("char_start") + F.col("offset") + size + spaces).alias("open"), F.left(F.substr(rest, spaces + 1), F.lit(1)).alias("next"),
+        "path", "language", F.when(hangs, F.col("above.line_no")).otherwise(F.col("line_no")).alias("line_no"), F.when(hangs, F.concat(chain, F.col("z.token"))).otherwise(F.col("z.token")).alias("token"),
+        placed(F.col("char_start") + F.col("offset"), "at").alias("start"), placed(F.col("byte_start") + F.octet_length(F.left("line", F.col("offset"))), "byte").alias("byte"), (then == "(").alias("paren"),
+        (F.col("char_start") + F.col("offset") + size + spaces).alias("open"), then.alias("next"),
         F.right(F.rtrim(left), F.lit(1)).alias("prior"), left.rlike(r"\bextends\s+$").alias("base"), F.when(script, F.length(F.regexp_extract(left, _LEAD, 0))).otherwise(0).alias("lead"),
         (script & left.rlike(r"(?:^|[{};,])\s*+" + _LEAD)).alias("begins"), (script & left.rlike(r"\b(?:abstract|declare)\s[\w\s]*+$")).alias("abstract"),
     )
@@ -298,7 +324,7 @@ def calls(found: DataFrame, pairs: DataFrame, own: DataFrame | None = None) -> D
     heads = found.filter(F.col("paren") & F.col("token").rlike(r"[A-Za-z_$]") & ~word & ~F.col("token").isin(*_NOT_CALLS)).drop("next")
     joined = heads.join(pairs.filter("kind = '('").select("path", "open", "close", "close_line", "commas"), ["path", "open"])
     own = members(found, pairs) if own is None else own
-    callee = F.regexp_replace("token", r"^\.|\s+", "")
+    callee = F.regexp_replace(F.regexp_replace("token", r"\s+|\?(?=\.)", ""), r"^\.", "")
     return joined.join(own.select("path", "open"), ["path", "open"], "left_anti").select("path", "language", "line_no", callee.alias("callee"), "start", "open", "close", (F.col("close") + 1).alias("stop"), "byte", "close_line", "commas")
 
 

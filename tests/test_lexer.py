@@ -110,3 +110,39 @@ def test_spans_end_within_their_file(spark):
     rows = spark.createDataFrame([("f", 0, 3), ("f", 0, 9), ("g", 1, 2)], "path string, start long, end long")
     sizes = spark.createDataFrame([("f", 5), ("g", 2)], "path string, file_end long")
     assert {tuple(r) for r in captures.sane(rows, sizes).collect()} == {("f", 0, 3), ("g", 1, 2)}
+
+
+CHAINED = {
+    "f.ts": """class A<T> {
+  map<U>(f: (x: T) => U, n?: number): A<U> {
+    return this.items.map<U>(f)
+  }
+}
+p
+  // why
+  .then(r => r.json())
+  .catch((e) => {
+    log<Map<string, (a: T) => U>>(e)
+  })
+if (a<b && c>(d)) e(1)
+const s = [...g(1), ...h.i(2)], q = x ? (y) : z
+a?.b.c?.(3)?.d(4)
+""",
+    "g.js": "a<b>(c)\n",
+    "h.py": 'x = df \\\n  .sel(1)\ny = ("é", a.b\n  .c(2)\n\n  .d( # (\n 3))\nif a<b>(c): pass\n',
+}
+
+
+def test_calls_hang_on_the_line_above_and_have_types(spark):
+    languages = {"ts": "typescript", "js": "javascript", "py": "python"}
+    files = spark.createDataFrame([(p, languages[p[2:]], t) for p, t in CHAINED.items()], "path string, language string, text string")
+    made = captures.read(files)
+    rows = captures.call_groups(*made.stages).orderBy("path", "start").collect()
+    assert all(CHAINED[r.path].encode()[r.start : r.end].decode() == r.preview for r in rows)
+    assert [(r.path, r.line_no, r.callee, r.preview, r.n_args) for r in rows] == [
+        ("f.ts", 2, "this.items.map", "this.items.map<U>(f)", 1), ("f.ts", 5, "p.then", CHAINED["f.ts"][CHAINED["f.ts"].index("p\n  //") : CHAINED["f.ts"].index("\nif")], 1), ("f.ts", 11, "e", "e(1)", 1),
+        ("f.ts", 12, "g", "g(1)", 1), ("f.ts", 12, "h.i", "h.i(2)", 1), ("f.ts", 13, "a.b.c", "a?.b.c?.(3)?.d(4)", 1), ("h.py", 0, "df.sel", "df \\\n  .sel(1)", 1), ("h.py", 2, "a.b.c", "a.b\n  .c(2)\n\n  .d( # (\n 3)", 1),
+    ]
+    heads = captures.definitions(*made.stages).withColumn("signature", graph.signature(F.col("header"), F.col("language"), None, F.col("params")))
+    assert [r.signature for r in heads.orderBy("start").collect()] == ["A(0)||class", "map(2)|x,number|"]
+    assert captures.call_groups(*captures.read(files.limit(0)).stages).count() == 0
