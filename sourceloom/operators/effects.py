@@ -3,15 +3,19 @@
 ``rules`` has one row per pattern: pack, rule_id, language, kind, provider,
 family, confidence, callee, object_method, arg_min, arg_max, fields, file_regex.
 A few of them are tried on every call of their language.  From ``INDEX_FROM`` on they
-are found by an inverted index: a pattern needs some literal text, so each of its
-three-letter parts must stand in a call; calls are listed under their parts, patterns
-under the one of theirs that the fewest calls have, and only where these are equal
-is the pattern tried.  Patterns that need no such text are tried by language.
+are found by an inverted index: a pattern needs some literal text, so each part of it
+must stand in a call; the calls' texts, each once, are listed under their parts of the
+same sizes, patterns under the one of theirs that the fewest texts have, and only where
+these are equal is the pattern tried.  Parts have up to ``LONGEST`` letters: there are
+about as many of them as there are names, so lists stay short however many calls and
+patterns there are.  Patterns that need no such text are tried by language.
 Rules are broadcast only up to ``MAX_RULE_ROWS``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +27,8 @@ from sourceloom.plans.staging import stage_table
 MAX_RULE_ROWS = 10_000
 #: Patterns from which the index is cheaper than trying each of them.
 INDEX_FROM = 256
-#: Letters of a part of the index.
-GRAM = 3
+#: Letters of a part of the index, at least and at most.
+GRAM, LONGEST = 3, 8
 RULE_SCHEMA = (
     "pack string, tag string, rule_id string, language string, pattern_language string, kind string, provider string, family string, confidence double, pattern_kind string, "
     "callee string, object_method string, arg_min int, arg_max int, fields array<struct<name:string,source:string,index:int,key:string,value_expr:string>>, file_regex string"
@@ -40,14 +44,23 @@ def method_matches(preview: Column, method: Column) -> Column:
     return F.when(method.startswith("re:"), F.regexp_like(preview, F.substr(method, F.lit(4)))).otherwise(F.contains(preview, F.concat(method, F.lit("("))))
 
 
-def pattern_matches() -> Column:
-    """A call (preview, path, n_args) against a pattern: every part that is set must hold."""
+def text_matches() -> Column:
+    """A call's text (preview) against a pattern: callee and method must hold if they are set."""
     by_callee = F.col("callee").isNull() | callee_matches(F.col("preview"), F.col("callee"))
     by_method = F.col("object_method").isNull() | method_matches(F.col("preview"), F.col("object_method"))
     some = F.col("callee").isNotNull() | F.col("object_method").isNotNull()
+    return some & by_callee & by_method & F.col("pattern_kind").isin("call", "decorator")
+
+
+def call_matches() -> Column:
+    """What else of a call (path, n_args) a pattern asks for."""
     args = F.col("n_args").between(F.coalesce("arg_min", F.lit(0)), F.coalesce("arg_max", F.lit(2147483647)))
-    by_file = F.col("file_regex").isNull() | F.regexp_like("path", "file_regex")
-    return some & by_callee & by_method & args & by_file & F.col("pattern_kind").isin("call", "decorator")
+    return args & (F.col("file_regex").isNull() | F.regexp_like("path", "file_regex"))
+
+
+def pattern_matches() -> Column:
+    """A call (preview, path, n_args) against a pattern: every part that is set must hold."""
+    return text_matches() & call_matches()
 
 
 def by_language(rules: DataFrame) -> DataFrame:
@@ -61,8 +74,8 @@ def by_language(rules: DataFrame) -> DataFrame:
 _SPECIAL = ".^$*+?()[]{}|/-"
 
 
-def required_literal(pattern: Column) -> Column:
-    """The longest text that every match of a regular expression holds; empty if none can be told.
+def required_literals(pattern: Column) -> Column:
+    """The texts that every match of a regular expression holds; one empty text if none can be told.
 
     Told are expressions without alternatives, flags and escapes of codes: classes,
     groups, and what may be repeated or missing, cut the literal.
@@ -81,41 +94,58 @@ def required_literal(pattern: Column) -> Column:
     out = F.regexp_replace(out, r"[.^$]", gap)
     told = ~pattern.rlike(r"\||\(\?|\\[0-9xuQEcpPkN]") & ~out.rlike(r"[()\[\]{}*+?]")
     shown = F.translate(out, "".join([*hidden.values(), "\ue0ff"]), _SPECIAL + "\\")
-    longest = F.array_max(F.transform(F.split(shown, gap), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    return F.when(told, longest).otherwise(F.lit(""))
+    return F.when(told, F.split(shown, gap)).otherwise(F.array(F.lit("")))
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest of the ``required_literals``."""
+    return F.array_max(F.transform(required_literals(pattern), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
 
 
-def literal_of() -> Column:
-    """The longest text that a call must hold to match a pattern (callee, object_method)."""
+def literals_of() -> Column:
+    """The texts of ``GRAM`` letters or more that a call must hold to match a pattern (callee, object_method)."""
 
     def of(spec: Column, plain: Column) -> Column:
-        return F.when(spec.startswith("re:"), required_literal(F.substr(spec, F.lit(4)))).otherwise(plain)
+        return F.coalesce(F.when(spec.startswith("re:"), required_literals(F.substr(spec, F.lit(4)))).otherwise(F.array(plain)), F.array(F.lit("")))
+
+    both = F.concat(of(F.col("callee"), F.replace("callee", F.lit(" "), F.lit(""))), of(F.col("object_method"), F.concat("object_method", F.lit("("))))
+    return F.filter(both, lambda x: F.length(x) >= GRAM)
+
+
+def grams(text: Column, sizes: Sequence[int] = (GRAM,)) -> Column:
+    """The distinct parts of ``sizes`` letters."""
+
+    def of(size: int) -> Column:
+        last = F.length(text) - size + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
-    callee = F.coalesce(of(F.col("callee"), F.replace("callee", F.lit(" "), F.lit(""))), F.lit(""))
-    method = F.coalesce(of(F.col("object_method"), F.concat("object_method", F.lit("("))), F.lit(""))
-    return F.when(F.length(callee) >= F.length(method), callee).otherwise(method)
+    return F.array_distinct(F.concat(*[of(size) for size in sizes]))
 
 
-def grams(text: Column) -> Column:
-    """The distinct parts of ``GRAM`` letters."""
-    last = F.length(text) - GRAM + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+def parts(literal: Column) -> Column:
+    """The parts of a text that a pattern needs: of ``LONGEST`` letters, or the whole of a shorter one."""
+    return F.coalesce(F.when(F.length(literal) >= LONGEST, grams(literal, (LONGEST,))), F.array(literal))
 
 
 def _indexed(listed: DataFrame, left: DataFrame, small: bool) -> DataFrame:
-    """Calls with the patterns of ``listed`` (which need a text of ``GRAM`` letters) that share their rarest part."""
+    """Calls with the patterns of ``listed`` (which need a text of ``GRAM`` letters) that share their rarest part; equal texts are looked at once."""
 
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df  # at most MAX_RULE_ROWS patterns
 
     numbered = stage_table(listed.withColumn("_pattern", F.monotonically_increasing_id()), "rules")
-    parts = numbered.select("_pattern", F.explode(grams(F.col("_literal"))).alias("_gram"))
-    seen = left.select(F.explode(grams(F.col("preview"))).alias("_gram")).join(sent(parts.select("_gram").distinct()), "_gram").groupBy("_gram").agg(F.count("*").alias("n"))
-    counted = parts.join(seen, "_gram", "left").groupBy("_pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_gram")).alias("r"))
+    asked = numbered.select("_pattern", F.explode(F.flatten(F.transform("_literals", parts))).alias("_gram"))
+    sizes = sorted(r[0] for r in asked.select(F.length("_gram")).distinct().collect())  # from GRAM to LONGEST
+    if not sizes:
+        return left.join(numbered.limit(0), F.col("own_language") == F.col("call_language")).drop("_pattern")
+    texts = left.select("preview").distinct().withColumn("_gram", F.explode(grams(F.col("preview"), sizes)))
+    texts = stage_table(texts.join(sent(asked.select("_gram").distinct()), "_gram"), "call-parts")
+    seen = texts.groupBy("_gram").agg(F.count("*").alias("n"))
+    counted = asked.join(seen, "_gram", "left").groupBy("_pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_gram")).alias("r"))
     chosen = counted.filter("r.n > 0").select("_pattern", F.col("r._gram").alias("_rarest"))  # a part that no call has: no match
     keyed = numbered.join(chosen, "_pattern")
-    calls = left.withColumn("_gram", F.explode(grams(F.col("preview"))))
-    return calls.join(sent(keyed), (F.col("_gram") == F.col("_rarest")) & (F.col("own_language") == F.col("call_language")) & pattern_matches()).drop("_gram", "_rarest", "_pattern")
+    fitting = texts.join(sent(keyed), F.col("_gram") == F.col("_rarest")).filter(text_matches()).withColumnRenamed("preview", "_preview")
+    return left.join(fitting, (F.col("preview") == F.col("_preview")) & (F.col("own_language") == F.col("call_language")) & call_matches()).drop("_preview", "_gram", "_rarest", "_pattern")
 
 
 def matched(calls: DataFrame, rules: DataFrame, index: bool | None = None) -> DataFrame:
@@ -125,12 +155,13 @@ def matched(calls: DataFrame, rules: DataFrame, index: bool | None = None) -> Da
     listed = by_language(rules)
     left = calls if "path" in calls.columns else calls.withColumn("path", F.lit(None).cast("string"))
     left = left.withColumnRenamed("language", "own_language")
-    found = None
+    found, few = None, small
     if number >= INDEX_FROM if index is None else index:
-        listed = listed.withColumn("_literal", literal_of())
-        found = _indexed(listed.filter(F.length("_literal") >= GRAM), left, small).drop("_literal")
-        listed = listed.filter(F.length("_literal") < GRAM).drop("_literal")
-    tried = left.join(F.broadcast(listed) if small else listed, (F.col("own_language") == F.col("call_language")) & pattern_matches())
+        listed = listed.withColumn("_literals", literals_of())
+        found = _indexed(listed.filter(F.size("_literals") > 0), left, small).drop("_literals")
+        listed = stage_table(listed.filter(F.size("_literals") == 0).drop("_literals"), "tried-rules")
+        few = listed.limit(MAX_RULE_ROWS + 1).count() <= MAX_RULE_ROWS  # else all calls of a language would meet in a task
+    tried = left.join(F.broadcast(listed) if few else listed, (F.col("own_language") == F.col("call_language")) & pattern_matches())
     found = tried if found is None else found.unionByName(tried)
     return found.drop("own_language").dropDuplicates(["call_id", "rule_id"])
 

@@ -17,7 +17,7 @@ from sourceloom.functions import fixed, ids
 from sourceloom.functions import text as T
 from sourceloom.operators import discovery, effects, flow, graph, intervals
 from sourceloom.plans import report, store
-from sourceloom.session import ship_package
+from sourceloom.session import measured_session, ship_package
 from sourceloom.sources import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -536,6 +536,7 @@ UNION ALL SELECT call_id, 'every' FROM c WHERE language = 'javascript'"""
 )
 def rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many rules as there are customers, found by the rarest part of the text that they need."""
+    spark = measured_session(spark)
     k = F.col("c_custkey").cast("string")
     customers = table(spark, sf_dir, "customer")
 

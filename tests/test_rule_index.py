@@ -51,3 +51,25 @@ def test_many_rules_are_keyed_by_their_parts(spark, monkeypatch):
     assert {(r.call_id, r.rule_id) for r in found.collect()} == {(i, f"call{i}(") for i in range(2000)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "_rarest" in plan and "Cartesian" not in plan
+
+
+def test_texts_are_listed_once_and_under_long_parts(spark, monkeypatch):
+    """A thousand calls of each of a thousand names: lists of three letters would hold all of them."""
+    monkeypatch.setattr(effects, "INDEX_FROM", 5)
+    made: dict[str, int] = {}
+    staged = effects.stage_table
+
+    def counting(df, name):
+        table = staged(df, name)
+        made[name] = table.count()
+        return table
+
+    monkeypatch.setattr(effects, "stage_table", counting)
+    rules = spark.range(1000).select(F.format_string(r"re:^client\.?c%04d\.r[a-z]+\(", "id").alias("callee"), F.format_string("r%d", "id").alias("rule_id"))
+    fixed = {"pack": "p", "language": "any", "pattern_language": "any", "kind": "rpc", "pattern_kind": "call", "arg_min": 0}
+    rules = rules.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()])
+    rules = rules.selectExpr(*[f"CAST({c if c in rules.columns else 'NULL'} AS {t}) AS {c}" for c, t in (x.split(" ", 1) for x in effects.RULE_SCHEMA.split(", "))])
+    calls = spark.range(100_000).select(F.col("id").alias("call_id"), F.lit("python").alias("language"), F.format_string("clientc%04d.run(1)", F.col("id") % 1000).alias("preview"), F.lit(1).alias("n_args"))
+    found = effects.matched(calls, rules)
+    assert found.count() == 100_000 and found.filter("rule_id <> concat('r', call_id % 1000)").count() == 0
+    assert made["call-parts"] <= 3000
