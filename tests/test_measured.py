@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sourceloom import code_queries
 from sourceloom.plans.staging import stage_table
 from sourceloom.session import measured_session
+from sourceloom.sources import captures
 
 
 def _first_plan(df):
@@ -36,3 +37,27 @@ def test_graph_is_built_in_a_measured_session(spark, sf):
     built = code_queries.built(spark, sf)
     for df in (built.nodes, built.edges, built.bindings, built.metrics, built.anomalies):
         assert df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+
+
+def test_strings_are_found_without_the_other_tokens(spark, sf):
+    for files in (code_queries.source_files(spark, sf), code_queries.hard_files(spark, sf)):
+        rows = stage_table(captures.lines(files), "lines")
+        alone, among = (captures.literals(rows, found) for found in (None, captures.tokens(rows)))
+        assert alone.count() > 0 and alone.exceptAll(among).count() == among.exceptAll(alone).count() == 0
+        plan = captures.tokens(rows, captures._MARKS)._jdf.queryExecution().optimizedPlan().toString()
+        assert "class|function" not in plan
+
+
+def test_signs_that_part_tokens_may_stand_in_a_text(spark):
+    text = "f(1)\n\x07 = g(\x07)\ns = '\x07' + h('a')\x07\n"
+    rows = stage_table(captures.lines(spark.createDataFrame([("a.py", "python", text)], "path string, language string, text string")), "lines")
+    found = captures.tokens(rows).orderBy("start").collect()
+    assert [t.token for t in found if t.token[0].isalpha()] == ["f", "g", "h"]
+    assert all(text[t.start : t.start + len(t.token)] == t.token for t in found if ord(t.token[0]) > 31)
+    assert [x.text for x in captures.literals(rows).orderBy("start").collect()] == ["'\x07'", "'a'"]
+
+
+def test_lines_are_cut_once(spark, sf):
+    rows = stage_table(captures.lines(code_queries.source_files(spark, sf)), "lines")
+    plan = captures.tokens(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(translate(") == 1
