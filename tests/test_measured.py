@@ -61,3 +61,9 @@ def test_lines_are_cut_once(spark, sf):
     rows = stage_table(captures.lines(code_queries.source_files(spark, sf)), "lines")
     plan = captures.tokens(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(translate(") == 1
+
+
+def test_tables_of_the_graph_read_captures_and_do_not_make_them_again(spark, sf):
+    built = code_queries.built(spark, sf)
+    for df in (built.anomalies, built.metrics, built.edges):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
