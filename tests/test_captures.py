@@ -158,3 +158,13 @@ def test_fingerprint_follows_the_patterns(monkeypatch):
 def test_spans_that_are_none(spark):
     rows = spark.createDataFrame([(0, 0), (-1, 2), (3, 1), (2, 5)], "start long, end long")
     assert [tuple(r) for r in captures.sane(rows).collect()] == [(0, 0), (2, 5)]
+
+
+def test_graph_tells_how_many_captures_a_file_loses(spark, monkeypatch):
+    monkeypatch.setattr(graph.fixed, "CAPTURE_CAP", 2)
+    registry = rule_packs.Registry()
+    registry.load_folder()
+    rows = [("a.py", "python", "f(1)\ng(2)\nh(3)\ni(4)\nj(5)\n", ""), ("b.py", "python", "f(1)\ng(2)\n", "")]
+    g = graph.build(spark.createDataFrame(rows, "path string, language string, text string, blob_sha256 string"), registry.table(spark))
+    assert [(r.path, r.reason_detail) for r in g.anomalies.filter("anomaly_type = 'CAPTURE_TRUNCATED'").collect()] == [("a.py", "calls: 3 captures dropped")]
+    assert sorted((r.path, r.name) for r in g.nodes.filter("semantic_type = 'Call'").collect()) == [("a.py", "f"), ("a.py", "g"), ("b.py", "f"), ("b.py", "g")]
