@@ -14,7 +14,7 @@ from sourceloom.functions import text as T
 from sourceloom.operators import discovery, graph
 from sourceloom.plans.staging import stage_table
 from sourceloom.queries import query, table
-from sourceloom.session import measured_session, spread
+from sourceloom.session import measured_session, partitions, spread
 from sourceloom.sources import captures, encodings
 from sourceloom.sources.rule_packs import Registry
 
@@ -83,7 +83,8 @@ def u@k():
 
 def parts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers of the parts that files are made of, before they are."""
-    return spread(table(measured_session(spark), sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey")
+    own = measured_session(spark, partitions(table(spark, sf_dir, "part")))
+    return spread(table(own, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey")
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from sourceloom.functions import fixed
 from sourceloom.functions.text import latest
 from sourceloom.operators.intervals import islands
 from sourceloom.plans.staging import stage_table
+from sourceloom.session import spread
 from sourceloom.sources import lexer
 
 #: Makes a stage table of (rows, name), or leaves the rows as they are.
@@ -143,6 +144,7 @@ def tokens(table: DataFrame, pattern: str = _TOKEN) -> DataFrame:
     own = ["path", "language", "line_no", "line", "code", "char_start", "byte_start", "above"]
     pairs = F.transform(F.sequence(F.lit(1), F.size("cut") - 2, F.lit(2)), lambda i: F.struct(F.get("cut", i).alias("token"), F.get("cut", i - 1).alias("before")))
     parts = table.filter(F.col("code").rlike(pattern)) if pattern != _TOKEN else table
+    parts = spread(parts, "path", "line_no")  # the lines go to the tasks, and not the many tokens of few files of lines
     # the outer form: of the plain one Spark infers a filter, and cuts each line once more for it
     parts = parts.select(*own, cut.alias("cut")).select(*own, F.posexplode_outer(F.when(F.size("cut") > 1, pairs)).alias("nth", "z")).filter("z IS NOT NULL")
     along = Window.partitionBy("path", "line_no").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)

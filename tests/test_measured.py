@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sourceloom import code_queries
+from sourceloom import code_queries, session
 from sourceloom.plans.staging import stage_table
 from sourceloom.session import measured_session
 from sourceloom.sources import captures
@@ -67,3 +67,17 @@ def test_tables_of_the_graph_read_captures_and_do_not_make_them_again(spark, sf)
     built = code_queries.built(spark, sf)
     for df in (built.anomalies, built.metrics, built.edges):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
+
+
+@pytest.mark.parametrize("rows, least", [(2000, 1), (10, 20)])
+def test_partitions_grow_with_the_rows(spark, sf, monkeypatch, rows, least):
+    monkeypatch.setattr(session, "PARTITION_ROWS", rows)
+    files = code_queries.source_files(spark, sf)
+    assert spark.read.parquet(f"{sf}/part.parquet").count() == 200
+    assert files.rdd.getNumPartitions() == max(least, 4 * spark.sparkContext.defaultParallelism)
+    lines = stage_table(captures.lines(files), "lines")
+    assert captures.tokens(lines).rdd.getNumPartitions() == files.rdd.getNumPartitions()  # tokens of one file of lines are made by many tasks
+
+
+def test_sizes_of_settings():
+    assert [session._bytes(x) for x in ("16m", "134217728b", "128MB", "8388608", "1 GiB")] == [16 << 20, 128 << 20, 128 << 20, 8 << 20, 1 << 30]
