@@ -81,3 +81,12 @@ def test_partitions_grow_with_the_rows(spark, sf, monkeypatch, rows, least):
 
 def test_sizes_of_settings():
     assert [session._bytes(x) for x in ("16m", "134217728b", "128MB", "8388608", "1 GiB")] == [16 << 20, 128 << 20, 128 << 20, 8 << 20, 1 << 30]
+
+
+def test_plans_of_the_graph_are_not_compiled_by_the_driver(spark, sf):
+    built = code_queries.built(spark, sf)
+    for df in (built.nodes, built.frames, built.metrics, built.facts):
+        assert "*(1)" not in df._jdf.queryExecution().executedPlan().toString().replace(" ", "") and int(df.sparkSession.conf.get("spark.sql.maxPlanStringLength")) <= 10_000
+        df.count()
+        assert "WholeStageCodegen" not in df._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.codegen.wholeStage") == "true"
