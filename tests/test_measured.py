@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceloom import code_queries, session
+from sourceloom.plans import store
 from sourceloom.plans.staging import stage_table
 from sourceloom.session import measured_session
 from sourceloom.sources import captures
@@ -90,3 +91,17 @@ def test_plans_of_the_graph_are_not_compiled_by_the_driver(spark, sf):
         df.count()
         assert "WholeStageCodegen" not in df._jdf.queryExecution().executedPlan().toString()
     assert spark.conf.get("spark.sql.codegen.wholeStage") == "true"
+
+
+def test_store_keeps_nothing_in_memory(spark, tmp_path, monkeypatch):
+    def persist(*_):
+        raise AssertionError("partitions of a kept table aren't put together")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", persist)
+    kept = store.Store(spark, str(tmp_path / "store"))
+    files = spark.createDataFrame([("r", "1", "a.py"), ("r", "1", "b.py")], "repo_id string, run_id string, path string")
+    odd = files.select("*", F.lit("T").alias("anomaly_type"))
+    for batch, looked in enumerate((files, files.filter("path = 'a.py'"))):
+        assert kept.put_all({"files": looked, "anomalies": odd.join(looked, ["repo_id", "run_id", "path"])}, files=looked, batch=("s", batch))
+    assert [r.path for r in kept.read("files").orderBy("path").collect()] == ["a.py", "b.py"]
+    assert [r.path for r in kept.read("anomalies").orderBy("path").collect()] == ["a.py", "a.py", "b.py"]
