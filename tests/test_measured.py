@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sourceloom import code_queries, session
+from sourceloom import code_queries, queries, session
 from sourceloom.plans import store
 from sourceloom.plans.staging import stage_table
 from sourceloom.session import measured_session
@@ -105,3 +105,27 @@ def test_store_keeps_nothing_in_memory(spark, tmp_path, monkeypatch):
         assert kept.put_all({"files": looked, "anomalies": odd.join(looked, ["repo_id", "run_id", "path"])}, files=looked, batch=("s", batch))
     assert [r.path for r in kept.read("files").orderBy("path").collect()] == ["a.py", "b.py"]
     assert [r.path for r in kept.read("anomalies").orderBy("path").collect()] == ["a.py", "a.py", "b.py"]
+
+
+_DEFS = {"lines", "tokens", "brackets", "members", "head-spans", "defs", "definitions", "modules"}
+_CALLED = _DEFS | {"functions", "call-spans", "calls"}
+_MADE = {
+    "flow_metrics": _CALLED | {"flow-tokens", "written", "facts"},
+}
+
+
+@pytest.mark.parametrize("name", _MADE)
+def test_a_query_makes_only_the_tables_that_it_reads(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(code_queries, "_built", {})
+    rows = queries.QUERIES[name](spark, sf)
+    (built,) = code_queries._built.values()
+    stages = [x._stage_path.rsplit("/", 1)[1].rpartition("-")[0] for x in built.stages]
+    assert {*stages} == _MADE[name] and len(stages) == len(_MADE[name])
+    assert rows.count() == {"graph_frames": 700, "graph_nodes": 2300}.get(name, 200)
+
+
+def test_metrics_that_are_asked_for_are_those_of_all(spark, sf):
+    built = code_queries.built(spark, sf)
+    names = ("facts", "errors", "calls", "pack_errors")
+    some, whole = built.metrics_of(*names), built.metrics.select("path", *names)
+    assert some.schema == whole.schema and some.exceptAll(whole).count() == whole.exceptAll(some).count() == 0
