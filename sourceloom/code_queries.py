@@ -301,7 +301,7 @@ def flow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_by_shape("candidate_calls matched fields_missing pack_errors", _metric_rows((3, 2, 0, 1), (7, 0, 0, 1), (5, 1, 0, 1), (5, 0, 0, 1))))
 def detect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark, sf_dir).metrics.select("path", "candidate_calls", "matched", "fields_missing", "pack_errors")
+    return built(spark, sf_dir).metrics_of("candidate_calls", "matched", "fields_missing", "pack_errors")
 
 
 @query("SELECT 'fastapi' AS tag, count(*) * 2 AS matched, count(DISTINCT p_partkey) AS files FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'express', count(*), count(*) FROM part WHERE p_partkey % 4 = 2")
