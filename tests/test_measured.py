@@ -110,6 +110,7 @@ def test_store_keeps_nothing_in_memory(spark, tmp_path, monkeypatch):
 _DEFS = {"lines", "tokens", "brackets", "members", "head-spans", "defs", "definitions", "modules"}
 _CALLED = _DEFS | {"functions", "call-spans", "calls"}
 _MADE = {
+    "graph_frames": _DEFS,
     "flow_metrics": _CALLED | {"flow-tokens", "written", "facts"},
     "detect_metrics": _CALLED | {"owned-calls", "matched"},
 }
