@@ -111,6 +111,7 @@ _DEFS = {"lines", "tokens", "brackets", "members", "head-spans", "defs", "defini
 _CALLED = _DEFS | {"functions", "call-spans", "calls"}
 _MADE = {
     "graph_frames": _DEFS,
+    "graph_nodes": _CALLED - {"functions"} | {"import-spans", "import-lines", "imports", "exports", "literal-spans", "literals"},
     "flow_metrics": _CALLED | {"flow-tokens", "written", "facts"},
     "detect_metrics": _CALLED | {"owned-calls", "matched"},
 }
