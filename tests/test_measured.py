@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from sourceloom import code_queries, queries, session
+from sourceloom import code_queries, queries, session, store_queries
 from sourceloom.plans import store
 from sourceloom.plans.staging import stage_table
 from sourceloom.session import measured_session
@@ -132,3 +134,50 @@ def test_metrics_that_are_asked_for_are_those_of_all(spark, sf):
     names = ("facts", "errors", "calls", "pack_errors")
     some, whole = built.metrics_of(*names), built.metrics.select("path", *names)
     assert some.schema == whole.schema and some.exceptAll(whole).count() == whole.exceptAll(some).count() == 0
+
+
+_FILE = "'r' repo_id", "'1' run_id", "concat('f', id) path"
+
+
+def test_store_is_written_in_rounds_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store.Store, "ROUND_FILES", 10)
+    kept = store.Store(spark, str(tmp_path / "store"))
+    files = spark.range(40).selectExpr(*_FILE)
+    own, shared = files.withColumns({"node_id": F.concat(F.lit("n"), "path"), "symbol_id": F.concat(F.lit("s"), "path")}), files.withColumn("symbol_id", F.lit("s"))
+    tables = {"files": files, "nodes": own.union(own), "symbols": own.drop("node_id").union(shared)}
+
+    def folders(table):
+        return {f.rsplit("/", 1)[0] for f in kept.manifest()[table].values()}
+
+    kept.put_all(tables, files=files)
+    assert [len(folders(t)) for t in ("files", "nodes", "symbols")] == [4, 4, 4]
+    assert [kept.read(t).count() for t in ("files", "nodes", "symbols")] == [40, 40, 41]  # a key of several files once
+    some = files.filter("path = 'f7'")
+    kept.put_all({"nodes": own.join(some, ["repo_id", "run_id", "path"]).withColumn("name", F.lit("new"))}, files=some)
+    assert kept.read("nodes").count() == 40 and kept.read("nodes").filter("name = 'new'").count() == 1 and kept.read("files").count() == 39
+    with pytest.raises(ValueError, match="aren't listed"):
+        kept.put_all({"effects": spark.range(100, 200).selectExpr(*_FILE, "'e' effect_id")}, files=files)
+
+
+def test_store_leaves_no_shuffle_files(spark, tmp_path):
+    def left():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x.rsplit("/", 1)[-1] for x in held.mkString("\n").split("\n") if "/shuffle_" in x}
+
+    kept, files = store.Store(spark, str(tmp_path / "store")), spark.range(40).selectExpr(*_FILE)
+    before = left()
+    kept.put_all({"files": files, "nodes": files.withColumn("node_id", F.col("path"))}, files=files)
+    until = time.time() + 10
+    while left() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not left() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false" and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    (one,) = list((tmp_path / "store").glob("files/*/_bucket=*/*.parquet"))[:1]
+    assert one.stat().st_size < 200_000  # its Bloom filters are as large as its values ask for
+
+
+def test_old_versions_of_stored_queries_are_deleted(spark, sf):
+    kept = store_queries.stored(spark, sf)
+    for table, buckets in kept.manifest().items():
+        assert set(kept._list(f"{kept.folder}/{table}")) == {f.split("/")[1] for f in buckets.values()}
+    assert len(kept._list(f"{kept.folder}/manifests")) == 1
