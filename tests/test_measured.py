@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceloom import code_queries, queries, session, store_queries
+from sourceloom.operators import graph, intervals
 from sourceloom.plans import store
 from sourceloom.plans.staging import stage_table
 from sourceloom.session import measured_session
@@ -181,3 +182,29 @@ def test_old_versions_of_stored_queries_are_deleted(spark, sf):
     for table, buckets in kept.manifest().items():
         assert set(kept._list(f"{kept.folder}/{table}")) == {f.split("/")[1] for f in buckets.values()}
     assert len(kept._list(f"{kept.folder}/manifests")) == 1
+
+
+def test_scopes_come_from_one_join(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(intervals, "containing", lambda *a, real=intervals.containing, **k: made.append(1) or real(*a, **k))
+    files = code_queries.source_files(spark, sf).filter("path LIKE 'src/p1%'")
+    defs = graph.Graph(files, None).definitions
+    assert len(made) == 1
+    bare = defs.select("path", "start", "end", "def_key", "name")
+    parts = intervals.chains(bare, ["path"], "def_key", F.col("name")).join(intervals.parents(bare.drop("name"), ["path"], "def_key"), "def_key")
+    whole = intervals.nested(bare, ["path"], "def_key", F.col("name"), bins=16).select(parts.columns)
+    assert {*map(tuple, whole.collect())} == {*map(tuple, parts.collect())} and defs.filter("semantic_type = 'Method'").count() > 0
+
+
+def test_members_pass_over_the_brackets_once(spark, sf):
+    rows = stage_table(captures.lines(code_queries.hard_files(spark, sf).limit(9)), "lines")
+    found = stage_table(captures.tokens(rows), "tokens")
+    pairs = stage_table(captures.brackets(found), "brackets")
+    plan = captures.members(found, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Window [") == 4  # depths, what comes before and after, what is around
+
+
+def test_names_above_are_kept_for_lines_that_hang_on_them(spark):
+    text = "a.b\n  .c(1)\nd = e\n"
+    rows = captures.lines(spark.createDataFrame([("a.js", "javascript", text)], "path string, language string, text string")).orderBy("line_no").collect()
+    assert [r.above and (r.above.at, r.above.line_no, r.above.chain) for r in rows[:4]] == [None, (3, 0, "a.b"), (11, 1, None), (17, 2, None)]
