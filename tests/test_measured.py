@@ -208,3 +208,8 @@ def test_names_above_are_kept_for_lines_that_hang_on_them(spark):
     text = "a.b\n  .c(1)\nd = e\n"
     rows = captures.lines(spark.createDataFrame([("a.js", "javascript", text)], "path string, language string, text string")).orderBy("line_no").collect()
     assert [r.above and (r.above.at, r.above.line_no, r.above.chain) for r in rows[:4]] == [None, (3, 0, "a.b"), (11, 1, None), (17, 2, None)]
+
+
+def test_only_tables_of_measured_sessions_are_zstd(spark):
+    for own, ending in ((measured_session(spark), ".zstd.parquet"), (spark, ".snappy.parquet")):
+        assert all(x.endswith(ending) for x in stage_table(own.range(9), "codec").inputFiles())
